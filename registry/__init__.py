@@ -1,8 +1,8 @@
 """All registered queries and the SQL they are checked against."""
 
-from registry import rules, text
+from registry import corpus, rules, text
 
-_PARTS = (text, rules)
+_PARTS = (text, corpus, rules)
 
 QUERIES = {key: query for part in _PARTS for key, query in part.QUERIES.items()}
 ORACLES = {key: sql for part in _PARTS for key, sql in part.ORACLES.items()}
