@@ -32,3 +32,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MESSAGES_SQL.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+
+
+# Raw model answers, derived from every event but the error events: those have none.
+_HEAD = "concat('{\"risk_score\": 0.', lpad(cast(event_id % 100 as string), 2, '0'), "
+_BODY = "'\"indicators\": [\"asks for money\", \"odd link\"], \"recommendations\": [\"do not answer\"], \"confidence\": \"High\"}'"
+VERDICTS_SQL = f"""
+select event_id as msg_id,
+ case event_id % 9
+  when 0 then {_HEAD}', ', {_BODY})
+  when 1 then concat('```json', chr(10), {_HEAD}', ', {_BODY}), chr(10), '```', chr(10))
+  when 2 then concat('```', chr(10), '{{"risk_score": "0.4", ', {_BODY}, '```')
+  when 3 then 'I think this is a scam.'
+  when 4 then null
+  when 5 then concat('{{', {_BODY})
+  when 6 then concat('{{"risk_score": "high", ', {_BODY})
+  when 7 then '{{"risk_score": 0.71, "indicators": ["", "  padded ", null, "plain"], "recommendations": [], "confidence": "Medium"}}'
+  else concat('{{"risk_score": 0.55, "indicators": ["costs ', chr(92), '$5"], "recommendations": ["wait"]}}') end as raw
+from events where event_type <> 'error'
+"""
+
+
+def raw_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(VERDICTS_SQL.replace("{", "{{").replace("}", "}}").replace("from events", "from {events}"),
+                     events=table(spark, sf_dir, "events"))

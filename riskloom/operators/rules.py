@@ -1,7 +1,7 @@
 """Weighted regex rules over message text.
 
-A pack is matched in one projection: each rule sets one bit of a hit mask, and scores, pattern lists and
-long-form matches are all read from that mask. There is no join between messages and rules.
+A pack is matched inside one projection, rule by rule, with no join between messages and rules. Scores and
+pattern lists mention the same test of a rule, which code generation evaluates once per row.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.text import BOUNDARY
 
-_WORD_BITS = 62
 _MAX_RULES = 10_000
 
 
@@ -77,50 +76,28 @@ def _unicode(pattern: str) -> str:
     return pattern.replace(r"\b", BOUNDARY).replace(r"\d", r"\p{Nd}")
 
 
-def _fires(rule: Rule, lowered: Column) -> Column:
+def _fires(rule: Rule) -> Column:
+    lowered = F.col("_lowered")
     found = lowered.rlike(_unicode(rule.pattern))
-    return lowered.contains(rule.needle) & found if rule.needle else found
+    return F.coalesce(lowered.contains(rule.needle) & found if rule.needle else found, F.lit(False))
 
 
-def _bit(pack: RulePack, index: int) -> Column:
-    """Whether rule ``index`` fired, read back from the mask columns."""
-    word, bit = divmod(index, _WORD_BITS)
-    return F.col(f"_hits{word}").bitwiseAND(F.lit(1 << bit)) != 0
+def _lowered(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn("_lowered", F.lower(F.col(column)))
 
 
-def with_hits(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "text") -> DataFrame:
-    """Add the hit mask: one BIGINT per 62 rules."""
-    out = df.withColumn("_lowered", F.lower(F.col(column)))
-    masks = {}
-    for start in range(0, len(pack.rules), _WORD_BITS):
-        bits = [
-            F.when(_fires(rule, F.col("_lowered")), F.lit(1 << at)).otherwise(F.lit(0)).cast("bigint")
-            for at, rule in enumerate(pack.rules[start : start + _WORD_BITS])
-        ]
-        masks[f"_hits{start // _WORD_BITS}"] = reduce(lambda a, b: a.bitwiseOR(b), bits)
-    return out.withColumns(masks).drop("_lowered")
-
-
-def drop_hits(df: DataFrame) -> DataFrame:
-    return df.drop(*[name for name in df.columns if name.startswith("_hits")])
+def _of(pack: RulePack, category: str) -> list[Rule]:
+    return [rule for rule in pack.rules if rule.category == category]
 
 
 def _score_of(pack: RulePack, category: str) -> Column:
-    weights = [
-        F.when(_bit(pack, at), F.lit(float(rule.weight))).otherwise(F.lit(0.0))
-        for at, rule in enumerate(pack.rules)
-        if rule.category == category
-    ]
-    best = reduce(F.greatest, weights) if weights else F.lit(0.0)
+    weights = [F.when(_fires(r), F.lit(float(r.weight))).otherwise(F.lit(0.0)) for r in _of(pack, category)]
+    best = F.greatest(F.lit(0.0), *weights) if weights else F.lit(0.0)
     return F.least(best, F.lit(float(pack.caps[category])))
 
 
 def _patterns_of(pack: RulePack, category: str) -> Column:
-    shown = [
-        F.when(_bit(pack, at), F.lit(rule.pattern))
-        for at, rule in enumerate(pack.rules)
-        if rule.category == category
-    ]
+    shown = [F.when(_fires(r), F.lit(r.pattern)) for r in _of(pack, category)]
     if not shown:
         return F.array().cast("array<string>")
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*shown))))
@@ -130,29 +107,28 @@ def match_rules(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "tex
     """Long form: one row per message and matching rule, with ``category, pattern, weight``."""
     fired = [
         F.when(
-            _bit(pack, at),
+            _fires(rule),
             F.struct(
                 F.lit(rule.category).alias("category"),
                 F.lit(rule.pattern).alias("pattern"),
                 F.lit(float(rule.weight)).alias("weight"),
             ),
         )
-        for at, rule in enumerate(pack.rules)
+        for rule in pack.rules
     ]
-    hits = with_hits(df, pack, column)
-    return hits.select(*df.columns, F.inline(F.array_compact(F.array(*fired))))
+    return _lowered(df, column).select(*df.columns, F.inline(F.array_compact(F.array(*fired))))
 
 
 def category_scores(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "text") -> DataFrame:
     """``score_<category>``: the highest weight matched, at most the cap of the category."""
-    scored = with_hits(df, pack, column)
-    scored = scored.withColumns({f"score_{c}": _score_of(pack, c) for c in pack.categories})
-    return drop_hits(scored)
+    scores = {f"score_{c}": _score_of(pack, c) for c in pack.categories}
+    return _lowered(df, column).withColumns(scores).drop("_lowered")
 
 
 def _total(pack: RulePack) -> Column:
     parts = [F.col(f"score_{c}") for c in pack.categories]
-    return F.round(reduce(lambda a, b: a + b, parts) / len(parts), 4)
+    # Never null, which the optimizer can tell only from the coalesce: a null test on it costs nothing.
+    return F.coalesce(F.round(reduce(lambda a, b: a + b, parts) / len(parts), 4), F.lit(0.0))
 
 
 def pattern_score(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "text") -> DataFrame:
@@ -162,19 +138,18 @@ def pattern_score(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "t
 
 def matched_patterns(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "text") -> DataFrame:
     """``patterns_<category>`` arrays, sorted, and ``patterns`` over all categories in pack order."""
-    hits = with_hits(df, pack, column)
-    listed = hits.withColumns({f"patterns_{c}": _patterns_of(pack, c) for c in pack.categories})
+    listed = _lowered(df, column).withColumns({f"patterns_{c}": _patterns_of(pack, c) for c in pack.categories})
     every = F.flatten(F.array(*[F.col(f"patterns_{c}") for c in pack.categories]))
-    return drop_hits(listed.withColumn("patterns", every))
+    return listed.withColumn("patterns", every).drop("_lowered")
 
 
 def analyse(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "text") -> DataFrame:
     """Scores, total and patterns from one matching pass."""
-    out = with_hits(df, pack, column).withColumns(
+    out = _lowered(df, column).withColumns(
         {f"score_{c}": _score_of(pack, c) for c in pack.categories}
         | {f"patterns_{c}": _patterns_of(pack, c) for c in pack.categories}
     )
-    return drop_hits(out).withColumn("total_score", _total(pack))
+    return out.withColumn("total_score", _total(pack)).drop("_lowered")
 
 
 def pattern_summary(df: DataFrame, pack: RulePack = DEFAULT_PACK, out: str = "summary") -> DataFrame:
@@ -202,15 +177,11 @@ def rule_coverage(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "t
 
     The sums collapse to one row per task before anything is shuffled.
     """
-    in_category = {
-        c: reduce(
-            lambda a, b: a | b, [_bit(pack, at) for at, r in enumerate(pack.rules) if r.category == c], F.lit(False)
-        )
-        for c in pack.categories
-    }
-    sums = [F.count_if(_bit(pack, at)).alias(f"r{at}") for at in range(len(pack.rules))]
-    sums += [F.count_if(test).alias(f"c_{c}") for c, test in in_category.items()]
-    totals = with_hits(df, pack, column).agg(*sums)
+    sums = [F.count_if(_fires(rule)).alias(f"r{at}") for at, rule in enumerate(pack.rules)]
+    for c in pack.categories:
+        any_of = reduce(lambda a, b: a | b, [_fires(rule) for rule in _of(pack, c)], F.lit(False))
+        sums.append(F.count_if(any_of).alias(f"c_{c}"))
+    totals = _lowered(df, column).agg(*sums)
     rows = F.array(
         *[
             F.struct(

@@ -19,10 +19,10 @@ def build_corpus(
     """Merged corpus: normalise, mask, keep labelled rows of at least 10 characters, last copy of a text wins."""
     merged = union_sources(frames, check_empty=False)
     ready = ops.length_gate(ops.keep_labels(ops.mask_pii(ops.normalise(merged))), low=10)
-    out = dedup(ready, ["text"], order, keep="last")
-    if check_empty and out.isEmpty():
+    # Asked before the shuffle: the first usable row answers it.
+    if check_empty and ready.isEmpty():
         raise ValueError("the merged sources hold no usable rows")
-    return out
+    return dedup(ready, ["text"], order, keep="last")
 
 
 def load_corpus(df: DataFrame, column: str = "text") -> DataFrame:
