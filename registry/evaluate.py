@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry import sql
 from registry.corpus import FOLDS_CTE, LABELLED_CTE
 from registry.rules import ALL_CTES
-from registry.vectors import nearest
+from registry.vectors import COSINE
 from registry.views import messages, table
 from riskloom.operators import evaluate as ev, rules, text as tx, vectors as vx
 
@@ -107,7 +107,7 @@ _FINE_CTE = f"""scored as (
   from messages join (select query_id, max(ip) as value from (
      select *, row_number() over (partition by query_id order by round(ip, 9) desc, neighbour_id) as rank from (
        select q.vec_id as query_id, c.vec_id as neighbour_id,
-              list_inner_product(q.embedding::double[], c.embedding::double[]) as ip
+              {COSINE} as ip
        from embeddings q cross join embeddings c)) where rank between 2 and 3 group by query_id)
   on query_id = msg_id)"""
 

@@ -10,7 +10,7 @@ from registry import sql
 from registry.corpus import FOLDS_CTE, LABELLED_CTE
 from registry.evaluate import METRICS_SELECT, cells_cte
 from registry.rules import ALL_CTES
-from registry.vectors import SPAM_VECTORS, nearest
+from registry.vectors import COSINE, SPAM_VECTORS, nearest
 from registry.views import VERDICTS_SQL, messages, raw_verdicts, table
 from riskloom.operators import evaluate as ev, risk, rules, verdicts, vectors as vx
 from riskloom.plans import evaluation, scoring
@@ -238,7 +238,7 @@ _PROMPT = """'Analyze the potential fraud risk of the following text:' || chr(10
 _UUID = "md5(msg_id || ':' || {t})"
 _CV_NEAR = "(" + " union all ".join(
     f"""select f.msg_id, max((ip + 1) / 2 * 0.5) as best from (
-      select q.vec_id, list_inner_product(q.embedding::double[], c.embedding::double[]) as ip
+      select q.vec_id, {COSINE} as ip
       from embeddings q join folds a on a.msg_id = q.vec_id and a.fold = {fold}
       cross join embeddings c join folds b on b.msg_id = c.vec_id and b.fold <> {fold} and b.type = 'spam') p
     join folds f on f.msg_id = p.vec_id group by f.msg_id"""

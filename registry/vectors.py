@@ -71,14 +71,16 @@ def l2_risk(spark, sf):
     )
 
 
-PAIRS = "list_inner_product(q.embedding::double[], c.embedding::double[])"
+COSINE = """list_inner_product(q.embedding::double[], c.embedding::double[])
+  / sqrt(list_inner_product(q.embedding::double[], q.embedding::double[]))
+  / sqrt(list_inner_product(c.embedding::double[], c.embedding::double[]))"""
 SPAM_VECTORS = "(select e.* from embeddings e join events v on v.event_id = e.vec_id where v.event_id % 12 < 6)"
 
 
 def nearest(corpus: str = "embeddings", k: int = 3) -> str:
     return f"""select query_id, rank, neighbour_id, round((ip + 1) / 2 * 0.5, 4) as similarity from (
       select *, row_number() over (partition by query_id order by round(ip, 9) desc, neighbour_id) as rank
-      from (select q.vec_id as query_id, c.vec_id as neighbour_id, {PAIRS} as ip
+      from (select q.vec_id as query_id, c.vec_id as neighbour_id, {COSINE} as ip
             from embeddings q cross join {corpus} c)) where rank <= {k}"""
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskloom.functions.text import strip
+
 # The prompt text and the advice given when there is no usable answer.
 _PROMPT_HEAD = "Analyze the potential fraud risk of the following text:\n\nText: "
 _PROMPT_PATTERNS = "\n\nDetected patterns:\n"
@@ -53,7 +55,7 @@ def _items(verdict: Column, path: str) -> Column:
     missing = F.try_variant_get(verdict, path, "variant").isNull()
     listed = F.try_variant_get(verdict, path, "array<string>")
     kept = F.filter(listed, lambda item: item.isNotNull() & (item != ""))
-    return F.when(missing, F.array().cast("array<string>")).otherwise(F.transform(kept, F.trim))
+    return F.when(missing, F.array().cast("array<string>")).otherwise(F.transform(kept, lambda item: strip(item)))
 
 
 def conform_verdicts(df: DataFrame, json: str = "verdict_json", out: str = "verdict") -> DataFrame:
