@@ -12,7 +12,7 @@ from registry.evaluate import METRICS_SELECT, cells_cte
 from registry.rules import ALL_CTES
 from registry.vectors import COSINE, SPAM_VECTORS, nearest
 from registry.views import VERDICTS_SQL, messages, raw_verdicts, table
-from riskloom.operators import evaluate as ev, risk, rules, verdicts, vectors as vx
+from riskloom.operators import evaluate as ev, risk, rules, text, verdicts
 from riskloom.plans import evaluation, scoring
 
 
@@ -110,28 +110,32 @@ def cv_sweep(spark, sf):
     return out.withColumns(rounded).withColumn("fold", F.col("fold").cast("bigint"))
 
 
-def _labelled_scores(spark, sf):
+def _labelled_scores(rows, spark, sf):
     """Score of a labelled message; null where its answer failed, as a failed request would leave it."""
-    rows = scored(spark, sf).where(F.lower("type").isin("spam", "ham"))
+    cases, given = _inputs(spark, sf)
+    done = scoring.score_messages(rows, cases, given)
     failed = F.col("verdict.error").eqNullSafe(verdicts.FAILED)
-    return rows.select(
-        "msg_id", F.when(F.lower("type") == "spam", 1).otherwise(0).alias("y_true"),
-        F.when(~failed, F.col("risk_score")).alias("score"),
-    )
+    return text.to_binary(done).select("msg_id", "y_true", F.when(~failed, F.col("risk_score")).alias("score"))
+
+
+def _labelled(spark, sf):
+    return text.keep_labels(messages(spark, sf))
 
 
 def threshold_report(spark, sf):
-    metrics, _, _ = evaluation.threshold_report(_labelled_scores(spark, sf), 200, ev.FINE_THRESHOLDS)
+    metrics, _, _ = evaluation.threshold_report(_labelled(spark, sf), lambda rows: _labelled_scores(rows, spark, sf))
     return metrics.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "f1")})
 
 
 def threshold_auc(spark, sf):
-    _, _, area = evaluation.threshold_report(_labelled_scores(spark, sf), 200, on_error="zero")
+    _, _, area = evaluation.threshold_report(
+        _labelled(spark, sf), lambda rows: _labelled_scores(rows, spark, sf), on_error="zero"
+    )
     return area.withColumn("auc", F.round("auc", 6))
 
 
 def failure_policy(spark, sf):
-    rows = _labelled_scores(spark, sf)
+    rows = _labelled_scores(_labelled(spark, sf), spark, sf)
     kept = [
         ev.apply_failure_policy(rows, on_error=policy).agg(
             F.lit(policy).alias("policy"), F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score")

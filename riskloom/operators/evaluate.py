@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskloom.session import stored
+
 # The two default threshold lists.
 SWEEP_THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
 FINE_THRESHOLDS = (0.2, 0.25, 0.3, 0.35, 0.4)
@@ -96,34 +98,38 @@ def _score_counts(df: DataFrame, digits: int | None, y_true: str, score: str) ->
 
 
 def _running_totals(counts: DataFrame, bounded: bool) -> DataFrame:
-    """tp and fp when everything from a score upwards is predicted positive."""
+    """tp and fp when everything from a score upwards is predicted positive, and the totals p and n."""
     down = Window.partitionBy("_range").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    all_ranges = Window.partitionBy(F.lit(1))
     if bounded:
         ranged = counts.withColumn("_range", F.lit(0))
-        starts = None
-    else:
-        # Distinct scores are cut into even ranges; the cut points are the only thing the driver sees.
-        steps = [at / _SCORE_RANGES for at in range(1, _SCORE_RANGES)]
-        cuts = sorted(set(counts.approxQuantile("threshold", steps, 0.001)))
-        above = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("threshold"))
-        ranged = counts.withColumn("_range", F.size(above) if cuts else F.lit(0))
-        earlier = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        totals = ranged.groupBy("_range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-        starts = totals.select(
-            F.col("_range").alias("_r"),
-            F.coalesce(F.sum("p").over(earlier), F.lit(0)).alias("_p"),
-            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n"),
-        )
-    summed = ranged.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
-    if starts is not None:
-        summed = summed.join(starts, on=F.col("_range") == F.col("_r"), how="inner").withColumns(
-            {"tp": F.col("tp") + F.col("_p"), "fp": F.col("fp") + F.col("_n")}
+        return ranged.select(
+            "threshold", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
+            F.sum("pos").over(all_ranges).alias("p"), F.sum("neg").over(all_ranges).alias("n"),
         )
-    return summed.select("threshold", "pos", "neg", "tp", "fp")
+    # Distinct scores are cut into even ranges; the cut points are all the driver sees. The table is written
+    # once because cutting, counting and summing each read it.
+    counts = stored(counts, "scores")
+    steps = [at / _SCORE_RANGES for at in range(1, _SCORE_RANGES)]
+    cuts = sorted(set(counts.approxQuantile("threshold", steps, 0.001)))
+    above = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("threshold"))
+    ranged = counts.withColumn("_range", F.size(above) if cuts else F.lit(0))
+    earlier = all_ranges.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    starts = totals.select(
+        "_range",
+        F.coalesce(F.sum("_pos").over(earlier), F.lit(0)).alias("_tp"),
+        F.coalesce(F.sum("_neg").over(earlier), F.lit(0)).alias("_fp"),
+        F.sum("_pos").over(all_ranges).alias("p"), F.sum("_neg").over(all_ranges).alias("n"),
+    )
+    return ranged.join(starts, "_range").select(
+        "threshold", "pos", "neg", (F.sum("pos").over(down) + F.col("_tp")).alias("tp"),
+        (F.sum("neg").over(down) + F.col("_fp")).alias("fp"), "p", "n",
+    )
 
 
 def roc(
-    df: DataFrame, digits: int | None = 4, y_true: str = "y_true", score: str = "score", start: bool = True
+    df: DataFrame, digits: int | None = 4, y_true: str = "y_true", score: str = "score"
 ) -> DataFrame:
     """ROC points, one per distinct score, plus the origin (its threshold is null).
 
@@ -131,25 +137,24 @@ def roc(
     ``digits=None`` takes scores as they are, however many there are, and orders them range by range.
     """
     points = _running_totals(_score_counts(df, digits, y_true, score), digits is not None)
-    total = points.agg(F.max("tp").alias("p"), F.max("fp").alias("n"))
-    p, n = total.select("p").scalar(), total.select("n").scalar()
-    out = points.select(
+    point = F.struct(
         "threshold", "tp", "fp",
-        F.when(p > 0, F.col("tp") / p).alias("tpr"), F.when(n > 0, F.col("fp") / n).alias("fpr"),
+        F.when(F.col("p") > 0, F.col("tp") / F.col("p")).alias("tpr"),
+        F.when(F.col("n") > 0, F.col("fp") / F.col("n")).alias("fpr"),
     )
-    if not start:
-        return out
-    origin = total.select(
+    origin = F.struct(
         F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("tp"),
         F.lit(0).cast("bigint").alias("fp"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"),
     )
-    return origin.unionByName(out)
+    # The highest score, which nothing precedes, also emits the origin.
+    highest = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    return points.select(F.inline(F.when(highest, F.array(origin, point)).otherwise(F.array(point))))
 
 
 def auc(df: DataFrame, digits: int | None = 4, y_true: str = "y_true", score: str = "score") -> DataFrame:
     """Area under the ROC curve by trapezoids, tied scores as one step; null if a class is missing."""
     points = _running_totals(_score_counts(df, digits, y_true, score), digits is not None)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    total = points.agg(area.alias("_area"), F.max("tp").alias("positives"), F.max("fp").alias("negatives"))
+    total = points.agg(area.alias("_area"), F.max("p").alias("positives"), F.max("n").alias("negatives"))
     whole = F.col("positives").cast("double") * F.col("negatives")
     return total.select("positives", "negatives", F.when(whole > 0, F.col("_area") / whole).alias("auc"))

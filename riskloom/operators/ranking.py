@@ -31,16 +31,18 @@ def with_position(
     ``per_group`` (one row per group) are added on the way: they ride along with the bucket starts, so no
     join ever runs on the group columns alone.
     """
+    # One struct as key: struct equality treats null labels as equal, and the join and the window below then
+    # ask for the same partitioning, so the rows are shuffled once.
     hashed = df.withColumn("_hash", seeded_hash(seed, *key)).withColumn(
-        "_bucket", F.substring("_hash", 1, _HEX_DIGITS)
+        "_cell", F.struct(*groups, F.substring("_hash", 1, _HEX_DIGITS).alias("_bucket"))
     )
-    cells = [*groups, "_bucket"]
-    counts = hashed.groupBy(*cells).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = hashed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
     # At most 16^3 rows per group from here to the join.
-    along = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
+    members = [F.col("_cell")[g] for g in groups]
+    whole = Window.partitionBy(*members) if members else Window.partitionBy(F.lit(1))
+    along = whole.orderBy(F.col("_cell")["_bucket"]).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        *[F.col(c).alias(f"_s_{c}") for c in cells],
+        "_cell",
         F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"),
         F.sum("_rows").over(whole).alias(size),
     )
@@ -49,10 +51,9 @@ def with_position(
         extra = [c for c in per_group.columns if c not in groups]
         figures = per_group.select(*[F.col(g).alias(f"_g_{g}") for g in groups], *extra)
         starts = starts.join(
-            figures, on=[F.col(f"_s_{g}").eqNullSafe(F.col(f"_g_{g}")) for g in groups], how="inner"
-        )
-    match = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in cells]
-    inside = Window.partitionBy(*cells).orderBy("_hash", *key)
-    joined = hashed.join(starts, on=match, how="inner")
+            figures, on=[F.col("_cell")[g].eqNullSafe(F.col(f"_g_{g}")) for g in groups], how="inner"
+        ).drop(*[f"_g_{g}" for g in groups])
+    inside = Window.partitionBy("_cell").orderBy("_hash", *key)
+    joined = hashed.join(starts, "_cell")
     ranked = joined.withColumn(position, (F.row_number().over(inside) + F.col("_before")).cast("bigint"))
     return ranked.select(*df.columns, position, size, *extra)

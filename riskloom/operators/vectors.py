@@ -92,7 +92,10 @@ def _top_k(query_ids, queries, ids, corpus, k: int, metric: str) -> Iterator[pd.
         place = np.arange(len(row)) - np.searchsorted(row, row)
         row, col = row[place < keep], col[place < keep]
         yield pd.DataFrame(
-            {"query_id": np.asarray(query_ids)[at + row], "neighbour_id": ids[col], "value": score[row, col]}
+            {
+                "query_id": np.asarray(query_ids)[at + row], "rank": place[place < keep] + 1,
+                "neighbour_id": ids[col], "value": score[row, col],
+            }
         )
 
 
@@ -108,7 +111,7 @@ def _by_id(ids, vectors, metric: str) -> tuple[np.ndarray, np.ndarray]:
 def knn(
     queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "ip",
     query_id: str = "vec_id", corpus_id: str = "vec_id", vector: str = "embedding",
-    slack: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = 8192, pivots: int = 256,
+    slack: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = 32_768, pivots: int = 256,
 ) -> DataFrame:
     """``(query_id, rank, neighbour_id, value)``: the k nearest corpus rows of every query, fewer if the
     corpus is smaller. No self-exclusion.
@@ -128,15 +131,15 @@ def knn(
     if first and (small is None or len(small) > fitting):
         found = _blocked(q, c, k, metric, slack, block_rows, pivots)
     else:
-        found = _broadcast(q, small, k, metric)
+        return _broadcast(q, small, k, metric)
     best = F.desc(F.round("value", _DIGITS)) if metric == "ip" else F.asc(F.round("value", _DIGITS))
     order = Window.partitionBy("query_id").orderBy(best, "neighbour_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "neighbour_id", "value")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "neighbour_id", "value")
 
 
 def _schema(q: DataFrame, c_type: str) -> str:
-    return f"query_id {q.schema['id'].dataType.simpleString()}, neighbour_id {c_type}, value double"
+    return f"query_id {q.schema['id'].dataType.simpleString()}, rank bigint, neighbour_id {c_type}, value double"
 
 
 def _broadcast(q: DataFrame, small: pd.DataFrame | None, k: int, metric: str) -> DataFrame:
@@ -165,7 +168,7 @@ def _blocked(
     # task by task, before it is shuffled.
     copies = Window.partitionBy("vec").orderBy("id")
     slim = c.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k).drop("_n")
-    chosen = slim.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
+    chosen = c.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
     centres = _matrix(chosen["vec"], metric, 0)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,57 +198,80 @@ def _blocked(
     inner = np.concatenate([np.asarray(r) for r in figures["closest"]])
     centre = centres[cells]
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reachable(vectors) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the nearest cell, and a mask of the cells that may hold one of its k nearest."""
+        gaps = np.sqrt(_squared(_matrix(vectors, metric, 1), centre))
+        # k known corpus rows lie within `reach`, so nothing farther away can be among the k nearest.
+        upper = gaps[:, owner] + inner[None, :]
+        take = min(k, upper.shape[1])
+        picks = np.argpartition(upper, take - 1, axis=1)[:, :take]
+        reach = np.take_along_axis(upper, picks, axis=1).max(1)
+        at_least = np.maximum(0.0, np.maximum(gaps - hi[None, :], lo[None, :] - gaps))
+        open_ = at_least**2 <= ((reach / (1.0 + slack)) ** 2 + 1e-8)[:, None]
+        np.put_along_axis(open_, owner[picks], True, axis=1)
+        return gaps.argmin(1), open_
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+        step = max(1, _TILE // len(owner))
         for batch in batches:
-            if not len(batch):
-                continue
-            gaps = np.sqrt(_squared(_matrix(batch["vec"], metric, 1), centre))
-            # k known corpus rows lie within `reach`, so nothing farther away can be among the k nearest.
-            upper = gaps[:, owner] + inner[None, :]
-            take = min(k, upper.shape[1])
-            picks = np.argpartition(upper, take - 1, axis=1)[:, :take]
-            reach = np.take_along_axis(upper, picks, axis=1).max(1)
-            at_least = np.maximum(0.0, np.maximum(gaps - hi[None, :], lo[None, :] - gaps))
-            allowed = (reach / (1.0 + slack)) ** 2 + 1e-8
-            open_ = at_least**2 <= allowed[:, None]
-            np.put_along_axis(open_, owner[picks], True, axis=1)
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                yield part, *reachable(part["vec"])
+
+    def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, home, open_ in pieces(batches):
+            row, col = np.nonzero(open_)
+            pairs = pd.DataFrame({"home": home[row], "cell": cells[col], "n": 1})
+            alone = pd.DataFrame({"home": home, "cell": -1, "n": 1})
+            yield pd.concat([pairs, alone]).groupby(["home", "cell"], as_index=False).sum()
+
+    # Queries are grouped by their own nearest cell, so that a group shares the cells it visits. At most
+    # (pivots + 1)^2 rows: which groups visit which cell, and how many queries a group has (cell -1).
+    survey = (
+        q.mapInPandas(count_visits, "home int, cell int, n bigint")
+        .groupBy("home", "cell").agg(F.sum("n").alias("n")).toPandas()
+    )
+    sizes = survey[survey["cell"] == -1]
+    chunks = np.ones(len(cells), dtype=np.int64)
+    chunks[sizes["home"].to_numpy()] = -(-sizes["n"].to_numpy() // block_rows)
+    pairs = survey[survey["cell"] != -1][["home", "cell"]].assign(chunks=lambda p: chunks[p["home"].to_numpy()])
+    blocks_of = np.ones(pivots, dtype=np.int64)
+    blocks_of[cells] = blocks
+    pairs = pairs.assign(blocks=blocks_of[pairs["cell"].to_numpy()])
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, home, open_ in pieces(batches):
             row, col = np.nonzero(open_)
             yield pd.DataFrame(
                 {
-                    "id": batch["id"].to_numpy()[row], "vec": batch["vec"].to_numpy()[row],
-                    "cell": cells[col], "blocks": blocks[col],
+                    "id": part["id"].to_numpy()[row], "vec": part["vec"].to_numpy()[row], "home": home[row],
+                    "chunks": chunks[home[row]], "cell": cells[col], "blocks": blocks[col],
                 }
             )
 
     q_type = q.schema["id"].dataType.simpleString()
-    visits = q.mapInPandas(visit, f"id {q_type}, vec array<float>, cell int, blocks int")
-    chunks = max(1, -(-q.count() // block_rows))
-    asked = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "id", "vec", "cell", "block", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")
+    visits = q.mapInPandas(
+        visit, f"id {q_type}, vec array<float>, home int, chunks bigint, cell int, blocks bigint"
     )
-    block_of = F.element_at(F.array(*[F.lit(int(b)) for b in _dense(cells, blocks, pivots)]), F.col("cell") + 1)
-    held = placed.select(
-        "id", "vec", "cell", F.pmod(F.xxhash64("id"), block_of).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+    spread = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1))
+    asked = visits.select("id", "vec", "cell", "home", spread("chunks").alias("chunk"), every("blocks").alias("block"))
+    plan = q.sparkSession.createDataFrame(pairs, "home int, cell int, chunks bigint, blocks bigint")
+    held = placed.join(F.broadcast(plan), "cell").select(
+        "id", "vec", "cell", "home", every("chunks").alias("chunk"), spread("blocks").alias("block")
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": left["id"][:0], "neighbour_id": right["id"][:0], "value": []})
+            return pd.DataFrame({"query_id": left["id"][:0], "rank": [], "neighbour_id": right["id"][:0], "value": []})
         ids, rows = _by_id(right["id"], right["vec"], metric)
         parts = _top_k(left["id"].to_numpy(), _matrix(left["vec"], metric, 1), ids, rows, k, metric)
         return pd.concat(list(parts), ignore_index=True)
 
-    spot = ["cell", "block", "chunk"]
+    spot = ["cell", "block", "home", "chunk"]
     return asked.groupBy(*spot).cogroup(held.groupBy(*spot)).applyInPandas(search, _schema(q, id_type))
 
 
-def _dense(cells: np.ndarray, blocks: np.ndarray, pivots: int) -> np.ndarray:
-    out = np.ones(pivots, dtype=np.int64)
-    out[cells] = blocks
-    return out
-
-
 def similar(neighbours: DataFrame) -> DataFrame:
     """Neighbours with the scaled similarity instead of the raw cosine."""
     return neighbours.withColumn("similarity", scaled_similarity(F.col("value"))).drop("value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -51,11 +51,14 @@ def cv_sweep(
 
 
 def threshold_report(
-    scored: DataFrame, n: int = 200, thresholds: Sequence[float] = evaluate.FINE_THRESHOLDS,
-    key: Sequence[str] = ("msg_id",), seed: int = 42, on_error: str = "skip",
+    messages: DataFrame, scorer: Callable[[DataFrame], DataFrame], n: int = 200,
+    thresholds: Sequence[float] = evaluate.FINE_THRESHOLDS, key: Sequence[str] = ("msg_id",), seed: int = 42,
+    on_error: str = "skip",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Metrics, ROC points and AUC over a sample of ``n`` scored rows ``(key, y_true, score)``."""
-    sample = evaluate.apply_failure_policy(sample_n(scored, n, list(key), seed), on_error=on_error)
-    return (
-        evaluate.metrics(evaluate.confusion(sample, thresholds)), evaluate.roc(sample), evaluate.auc(sample),
-    )
+    """Metrics, ROC points and AUC over a sample of ``n`` messages.
+
+    ``scorer`` turns messages into ``(y_true, score)`` rows; only the sample is ever scored, and once.
+    """
+    sample = stored(scorer(sample_n(messages, n, list(key), seed)), "sample")
+    kept = evaluate.apply_failure_policy(sample, on_error=on_error)
+    return evaluate.metrics(evaluate.confusion(kept, thresholds)), evaluate.roc(kept), evaluate.auc(kept)
