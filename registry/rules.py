@@ -40,7 +40,7 @@ def rule_coverage(spark, sf):
 def pattern_analysis(spark, sf):
     """The nested form, unfolded to one row per message and category."""
     nested = ops.pattern_analysis(ops.analyse(messages(spark, sf).select(KEY, "text")))
-    return nested.select(KEY, F.explode("categories").alias("category", "found")).select(
+    return nested.select(KEY, F.explode_outer("categories").alias("category", "found")).select(
         KEY, "category", F.col("found.score").alias("score"),
         F.size("found.matched_patterns").cast("bigint").alias("n_patterns"),
     )

@@ -56,13 +56,13 @@ def masked(text: Column) -> Column:
 
 def cleaned(text: Column) -> Column:
     """Plain prose: links shortened, contractions opened, odd symbols and repeats removed; null gives ''."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n\t]+", " ")
-    out = F.regexp_replace(out, f"http[^{SPACE}]+", "[URL]")
+    given = F.coalesce(text, F.lit(""))
+    out = F.when(given.contains("http"), F.regexp_replace(given, f"http[^{SPACE}]+", "[URL]")).otherwise(given)
     for short, long in CONTRACTIONS:
         out = F.replace(out, F.lit(short), F.lit(long))
-    out = F.regexp_replace(out, f"[^{WORD}{SPACE}.,!?@$%-]", " ")
+    # White space and dropped symbols both end as one blank, so one pass takes runs of either.
+    out = F.regexp_replace(out, f"[^{WORD}.,!?@$%-]+", " ")
     out = F.regexp_replace(out, r"[!?.]+([!?.])", "$1")
-    out = F.regexp_replace(out, f"[{SPACE}]+", " ")
     return F.trim(out)
 
 
@@ -72,7 +72,8 @@ def token_count(text: Column) -> Column:
 
 def letter_share(text: Column) -> Column:
     """Share of ASCII letters; null for empty text."""
-    return F.length(F.regexp_replace(text, "[^A-Za-z]+", "")) / F.nullif(F.length(text), F.lit(0))
+    letters = F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]+", ""))
+    return letters / F.nullif(F.length(text), F.lit(0))
 
 
 def digit_share(text: Column) -> Column:
@@ -81,9 +82,9 @@ def digit_share(text: Column) -> Column:
 
 def looks_english(text: Column, lang: Column) -> Column:
     """At least 3 tokens, half of it ASCII letters, at most 30 % digits, and tagged English."""
-    test = (
-        (token_count(text) >= 3) & (letter_share(text) >= 0.5) & (digit_share(text) <= 0.3) & (lang == "en")
-    )
+    three_tokens = text.rlike(f"[^{SPACE}]+[{SPACE}]+[^{SPACE}]+[{SPACE}]+[^{SPACE}]")
+    # Cheapest test first: the later ones are skipped once one fails.
+    test = (lang == "en") & three_tokens & (digit_share(text) <= 0.3) & (letter_share(text) >= 0.5)
     return F.coalesce(test, F.lit(False))
 
 

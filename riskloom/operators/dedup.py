@@ -21,18 +21,27 @@ def union_sources(frames: Sequence[DataFrame], check_empty: bool = True) -> Data
 
 
 def dedup(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("file_seq", "row_seq"), keep: str = "last"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("file_seq", "row_seq"), keep: str = "last",
+    where: Column | None = None,
 ) -> DataFrame:
     """One row per key: the last (or first) in ``order``.
 
     An aggregate rather than a window: copies of a hot key fold into one row on each task before the shuffle.
+    ``where`` drops rows first. Use it instead of a filter when it tests a costly derived column (and holds
+    for no null key): the optimizer would push a filter below that column and compute the column twice,
+    while here the dropped rows fold into one group.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
     rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*order)
     pick = F.max_by if keep == "last" else F.min_by
-    chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), rank).alias("_row"))
+    row = pick(F.struct(*rest), F.struct(*order)).alias("_row")
+    if where is None:
+        chosen = df.groupBy(*keys).agg(row)
+    else:
+        tested = df.withColumn("_kept", F.coalesce(where, F.lit(False)))
+        groups = tested.groupBy(*[F.when(F.col("_kept"), F.col(k)).alias(k) for k in keys])
+        chosen = groups.agg(row, F.bool_or("_kept").alias("_kept")).where("_kept")
     return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 

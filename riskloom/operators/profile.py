@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def label_distribution(df: DataFrame, label: str = "type") -> DataFrame:
@@ -56,31 +54,6 @@ def profile(df: DataFrame, label: str = "type", column: str = "text") -> DataFra
     )
 
 
-def stage_counts(
-    df: DataFrame, stages: Mapping[str, Column], label: str = "type",
-    positive: str = "spam", negative: str = "ham",
-) -> DataFrame:
-    """Rows, positives and negatives left after each stage, from one pass.
-
-    ``stages`` maps a stage name to the test "the row is still there".
-    """
-    sums = []
-    for at, alive in enumerate(stages.values()):
-        sums += [
-            F.count_if(alive).alias(f"t{at}"),
-            F.count_if(alive & (F.col(label) == positive)).alias(f"p{at}"),
-            F.count_if(alive & (F.col(label) == negative)).alias(f"n{at}"),
-        ]
-    rows = [
-        F.struct(
-            F.lit(at + 1).alias("step"), F.lit(name).alias("stage"), F.col(f"t{at}").alias("total"),
-            F.col(f"p{at}").alias(positive), F.col(f"n{at}").alias(negative),
-        )
-        for at, name in enumerate(stages)
-    ]
-    return df.agg(*sums).select(F.inline(F.array(*rows)))
-
-
 def length_quartiles(df: DataFrame, label: str = "type", column: str = "text") -> DataFrame:
     """Box-plot figures of text length per label: exact quartiles, ends, and whisker ends at 1.5 IQR.
 
@@ -88,23 +61,20 @@ def length_quartiles(df: DataFrame, label: str = "type", column: str = "text") -
     """
     lengths = df.withColumn("_length", F.length(column)).where(F.col("_length").isNotNull())
     counted = lengths.groupBy(label, "_length").agg(F.count(F.lit(1)).alias("_n"))
-    quartiles = counted.groupBy(label).agg(
+    # From here on one row per label and distinct length.
+    own = Window.partitionBy(label)
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    placed = counted.withColumn("_q", F.percentile("_length", quarters, F.col("_n")).over(own))
+    q1, q3 = F.col("_q")[0], F.col("_q")[2]
+    reach = (q3 - q1) * 1.5
+    inside = F.when(F.col("_length").between(q1 - reach, q3 + reach), F.col("_length"))
+    return placed.groupBy(label).agg(
         F.sum("_n").alias("n"),
-        F.percentile("_length", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"),
         F.min("_length").cast("bigint").alias("min_length"),
+        F.max(q1).alias("q1"),
+        F.max(F.col("_q")[1]).alias("median"),
+        F.max(q3).alias("q3"),
         F.max("_length").cast("bigint").alias("max_length"),
+        F.min(inside).cast("bigint").alias("whisker_low"),
+        F.max(inside).cast("bigint").alias("whisker_high"),
     )
-    named = quartiles.select(
-        label, "n", "min_length", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-        F.col("_q")[2].alias("q3"), "max_length",
-    )
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    fences = named.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
-    other = fences.select(F.col(label).alias("_label"), "_low", "_high")
-    inside = counted.join(other, on=counted[label].eqNullSafe(F.col("_label")), how="inner").where(
-        F.col("_length").between(F.col("_low"), F.col("_high"))
-    )
-    whiskers = inside.groupBy("_label").agg(
-        F.min("_length").cast("bigint").alias("whisker_low"), F.max("_length").cast("bigint").alias("whisker_high")
-    )
-    return named.join(whiskers, on=named[label].eqNullSafe(F.col("_label")), how="inner").drop("_label")

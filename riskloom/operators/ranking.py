@@ -8,7 +8,7 @@ spread over every bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,13 +23,14 @@ def seeded_hash(seed: int, *key: str | Column) -> Column:
 
 def with_position(
     df: DataFrame, groups: Sequence[str], key: Sequence[str], seed: int = 42,
-    position: str = "_position", size: str = "_size", per_group: DataFrame | None = None,
+    position: str = "_position", size: str = "_size",
+    per_group: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row inside its group, and the group's row count.
 
-    ``key`` must identify a row. With no ``groups`` the whole table is one group. The columns of
-    ``per_group`` (one row per group) are added on the way: they ride along with the bucket starts, so no
-    join ever runs on the group columns alone.
+    ``key`` must identify a row. With no ``groups`` the whole table is one group. ``per_group`` turns the
+    table of group sizes ``(groups..., n)`` into figures per group, which are added too: they ride along
+    with the bucket starts, so no join runs on the group columns alone and nothing is counted twice.
     """
     # One struct as key: struct equality treats null labels as equal, and the join and the window below then
     # ask for the same partitioning, so the rows are shuffled once.
@@ -48,11 +49,12 @@ def with_position(
     )
     extra = []
     if per_group is not None:
-        extra = [c for c in per_group.columns if c not in groups]
-        figures = per_group.select(*[F.col(g).alias(f"_g_{g}") for g in groups], *extra)
-        starts = starts.join(
-            figures, on=[F.col("_cell")[g].eqNullSafe(F.col(f"_g_{g}")) for g in groups], how="inner"
-        ).drop(*[f"_g_{g}" for g in groups])
+        sizes = counts.groupBy(*[F.col("_cell")[g].alias(g) for g in groups]).agg(F.sum("_rows").alias("n"))
+        figures = per_group(sizes)
+        extra = [c for c in figures.columns if c not in groups]
+        named = figures.select(*[F.col(g).alias(f"_g_{g}") for g in groups], *extra)
+        match = [F.col("_cell")[g].eqNullSafe(F.col(f"_g_{g}")) for g in groups]
+        starts = starts.join(named, on=match, how="inner").drop(*[f"_g_{g}" for g in groups])
     inside = Window.partitionBy("_cell").orderBy("_hash", *key)
     joined = hashed.join(starts, "_cell")
     ranked = joined.withColumn(position, (F.row_number().over(inside) + F.col("_before")).cast("bigint"))

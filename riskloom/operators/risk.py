@@ -80,9 +80,8 @@ def build_reports(df: DataFrame, out: str = "report") -> DataFrame:
     level = F.when(total > _REPORT_LEVELS[0][0], _REPORT_LEVELS[0][1]).when(
         total > _REPORT_LEVELS[1][0], _REPORT_LEVELS[1][1]
     ).otherwise(LOWEST)
-    phrases = F.array_compact(
-        F.array(*[F.when(F.col(f"score_{c}") > 0, F.lit(phrase)) for c, phrase in _PHRASES.items()])
-    )
+    found = [F.when(F.col(f"score_{c}") > 0, F.lit(phrase)) for c, phrase in _PHRASES.items()]
+    phrases = F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
 
     percent = lambda case: F.round(case["similarity"] * 100, 1)
     shown = F.filter(F.slice(F.col("similar_cases"), 1, 2), lambda case: percent(case) > 30)

@@ -96,11 +96,16 @@ def _score_of(pack: RulePack, category: str) -> Column:
     return F.least(best, F.lit(float(pack.caps[category])))
 
 
+def _fired(values: list[Column], kind: str) -> Column:
+    """The distinct non-null values, in order. Unlike a lambda filter this stays in generated code."""
+    return F.array_except(F.array(*values), F.array(F.lit(None).cast(kind)))
+
+
 def _patterns_of(pack: RulePack, category: str) -> Column:
     shown = [F.when(_fires(r), F.lit(r.pattern)) for r in _of(pack, category)]
     if not shown:
         return F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*shown))))
+    return F.sort_array(_fired(shown, "string"))
 
 
 def match_rules(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "text") -> DataFrame:
@@ -116,7 +121,9 @@ def match_rules(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "tex
         )
         for rule in pack.rules
     ]
-    return _lowered(df, column).select(*df.columns, F.inline(F.array_compact(F.array(*fired))))
+    # Outer, then filtered: for an inner one the optimizer tests "any match" first, which runs all rules twice.
+    hits = _fired(fired, "struct<category:string,pattern:string,weight:double>")
+    return _lowered(df, column).select(*df.columns, F.inline_outer(hits)).where(F.col("category").isNotNull())
 
 
 def category_scores(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "text") -> DataFrame:
@@ -154,8 +161,10 @@ def analyse(df: DataFrame, pack: RulePack = DEFAULT_PACK, column: str = "text")
 
 def pattern_summary(df: DataFrame, pack: RulePack = DEFAULT_PACK, out: str = "summary") -> DataFrame:
     """One line per category that scored: ``category: pattern, pattern``. Needs the columns of ``analyse``."""
+    # Null where the category did not score. The patterns stand outside the condition so that they share
+    # their rule tests with the score.
     lines = [
-        F.when(F.col(f"score_{c}") > 0, F.concat(F.lit(f"{c}: "), F.array_join(f"patterns_{c}", ", ")))
+        F.concat(F.when(F.col(f"score_{c}") > 0, f"{c}: "), F.array_join(f"patterns_{c}", ", "))
         for c in pack.categories
     ]
     return df.withColumn(out, F.concat_ws("\n", *lines))

@@ -23,18 +23,16 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataF
     return ranked.where(F.col("_position") <= n).drop("_position", "_size")
 
 
-def test_quotas(df: DataFrame, label: str, share: float | None = None) -> DataFrame:
+def test_quotas(sizes: DataFrame, label: str, share: float | None = None) -> DataFrame:
     """Test rows per label: ceil(N * share) in total, spread by largest remainder, ties by label.
 
-    Without ``share`` it is .3 below 10,000 rows, else .2. Works on the table of label counts, which has
-    one row per class.
+    ``sizes`` is ``(label, n)``, one row per class. Without ``share`` it is .3 below 10,000 rows, else .2.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy(F.lit(1))
     total = F.sum("n").over(everything)
     wanted = F.lit(float(share)) if share is not None else F.when(total < 10_000, 0.3).otherwise(0.2)
     # The 1e-9 keeps a product such as 10 * 0.3 from being rounded up by its binary error.
-    sized = counts.withColumn("_total", F.ceil(total * wanted - 1e-9)).withColumn(
+    sized = sizes.withColumn("_total", F.ceil(total * wanted - 1e-9)).withColumn(
         "_exact", F.col("n") * F.col("_total") / total
     )
     floored = sized.withColumn("_base", F.floor("_exact")).withColumn(
@@ -52,7 +50,7 @@ def stratified_split(
     df: DataFrame, label: str, key: Sequence[str], share: float | None = None, seed: int = 42
 ) -> DataFrame:
     """Add ``split`` = 'test' or 'train', with the class shares kept in both."""
-    quotas = test_quotas(df, label, share).select(label, F.col("n_test").alias("_n_test"))
+    quotas = lambda sizes: test_quotas(sizes, label, share).select(label, F.col("n_test").alias("_n_test"))
     ranked = with_position(df, [label], key, seed, per_group=quotas)
     side = F.when(F.col("_position") <= F.col("_n_test"), "test").otherwise("train")
     return ranked.select(*df.columns, side.alias("split"))
@@ -89,17 +87,19 @@ def balance(
         return df
     if strategy not in ("under", "over"):
         raise ValueError("strategy is 'under', 'over' or 'stratified'")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    ranked = with_position(df, [label], key, seed)
+    # One row per class: smallest and largest are taken over that table.
+    classes = Window.partitionBy(F.lit(1))
+    ends = lambda sizes: sizes.select(
+        label, F.min("n").over(classes).alias("_smallest"), F.max("n").over(classes).alias("_largest")
+    )
+    ranked = with_position(df, [label], key, seed, per_group=ends)
     if strategy == "under":
-        smallest = sizes.agg(F.min("n")).scalar()
-        return ranked.where(F.col("_position") <= smallest).select(*df.columns)
+        return ranked.where(F.col("_position") <= F.col("_smallest")).select(*df.columns)
 
-    largest = sizes.agg(F.max("n")).scalar()
     copies = F.floor(F.col("_largest") / F.col("_size")) + F.when(
         F.col("_position") <= F.col("_largest") % F.col("_size"), 1
     ).otherwise(0)
-    planned = ranked.withColumn("_largest", largest).withColumn("_copies", copies.cast("bigint"))
+    planned = ranked.withColumn("_copies", copies.cast("bigint"))
     # Two steps, spread in between, so that one rare row is not repeated a billion times inside one task.
     blocks = planned.withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / _COPY_BLOCK)))
