@@ -203,7 +203,7 @@ _JOB_CTE = f"""near as ({nearest(SPAM_VECTORS)}),
     case when usable and answered and e is null then r else 0 end as verdict_score,
     patterns, texts, sims, indicators, recommendations, conf from base),
  blended as (
-  select *, round(total_score * 0.4::double + max_similarity * 0.3::double + verdict_score * 0.3::double, 4) as risk_score
+  select *, {sql.round4('total_score * 0.4::double + max_similarity * 0.3::double + verdict_score * 0.3::double')} as risk_score
   from job),
  levelled as (select *, case when not usable then 'Invalid Input' else {_LEVEL.format(x='risk_score')} end as risk_level
   from blended),
@@ -250,8 +250,8 @@ _CV_NEAR = "(" + " union all ".join(
 ) + ")"
 _CV_CTE = f"""cv as (
   select f.msg_id, f.fold, (f.type = 'spam')::bigint as y_true,
-    round(s.total_score * 0.4::double + coalesce(round(n.best, 4), 0) * 0.3::double
-          + case when a.error is null then coalesce(a.risk_score, 0) else 0 end * 0.3::double, 4) as score
+    {sql.round4("""s.total_score * 0.4::double + coalesce(round(n.best, 4), 0) * 0.3::double
+          + case when a.error is null then coalesce(a.risk_score, 0) else 0 end * 0.3::double""")} as score
   from folds f join scores s using (msg_id) left join {_CV_NEAR} n using (msg_id) left join answers a using (msg_id)),
  thresholds(threshold) as (values {", ".join(f"({t}::double)" for t in CV_THRESHOLDS)})"""
 

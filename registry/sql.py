@@ -45,3 +45,8 @@ def english(x: str, lang: str) -> str:
     letters = f"length(regexp_replace({x}, '[^A-Za-z]', '', 'g'))::double / nullif(length({x}), 0)"
     digits = f"length(regexp_replace({x}, '\\P{{Nd}}', '', 'g'))::double / nullif(length({x}), 0)"
     return f"coalesce({tokens(x)} >= 3 and {letters} >= 0.5 and {digits} <= 0.3 and {lang} = 'en', false)"
+
+
+def round4(x: str) -> str:
+    """Half-up on the printed digits, as Spark rounds doubles (DuckDB scales the binary value first)."""
+    return f"round(cast(cast({x} as varchar) as decimal(38, 20)), 4)::double"

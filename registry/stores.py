@@ -26,8 +26,7 @@ NOON = dt.datetime(2024, 1, 31, 12)
 def read_messages(spark, sf):
     """All messages through a positional CSV file and back; rows without text are short rows."""
     path = shared_folder(spark, "messages-csv")
-    rows = messages(spark, sf).select("type", "text", "msg_id")
-    rows.write.option("quoteAll", True).option("escape", '"').csv(path)
+    files.write_messages(messages(spark, sf).select("type", "text", "msg_id"), path, header=False)
     return files.read_messages(spark, [path]).select("type", "text")
 
 
@@ -42,8 +41,8 @@ def read_documents(spark, sf):
 def read_latin1(spark, sf):
     """A latin-1 file, first two columns."""
     path = shared_folder(spark, "latin1-csv")
-    messages(spark, sf).select("type", "text", "source").write.option("encoding", "ISO-8859-1").option(
-        "quoteAll", True).option("escape", '"').csv(path)
+    rows = messages(spark, sf).select("type", "text", "source")
+    files.write_messages(rows, path, header=False, encoding="ISO-8859-1")
     return files.read_messages(spark, [path], encoding="ISO-8859-1").select("type", "text")
 
 
@@ -52,9 +51,7 @@ def corpus_from_files(spark, sf):
     folder = shared_folder(spark, "corpus")
     rows = messages(spark, sf).select("type", "text", "source")
     for name, keep in (("early", F.col("source") != "click"), ("late", F.col("source") == "click")):
-        rows.where(keep).select("type", "text").write.option("quoteAll", True).option("escape", '"').csv(
-            f"{folder}/{name}"
-        )
+        files.write_messages(rows.where(keep).select("type", "text"), f"{folder}/{name}", header=False)
     merged = files.read_messages(spark, [f"{folder}/early", f"{folder}/late"])
     return build_corpus([merged], files.MESSAGE_ORDER).select("type", "text")
 

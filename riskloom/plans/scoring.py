@@ -22,6 +22,17 @@ def cases_for(
     return vectors.similar_cases(near, texts, text_id).withColumnRenamed("query_id", query_id)
 
 
+def cases_from_texts(
+    messages: DataFrame, known: DataFrame, key: str = "msg_id", known_key: str = "case_id", text: str = "text",
+    k: int = 3, dims: int = 256, **options,
+) -> DataFrame:
+    """``(key, similar_cases)`` straight from texts: both sides become hashed term vectors."""
+    asked = vectors.hash_vectors(messages.select(key, text), text, dims)
+    held = vectors.hash_vectors(known.select(known_key, text), text, dims)
+    texts = known.select(F.col(known_key).alias("doc_id"), F.col(text).alias("text"))
+    return cases_for(asked, held, texts, k, key, known_key, **options)
+
+
 def read_verdicts(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Raw answers to conformed verdicts."""
     return verdicts.conform_verdicts(verdicts.parse_verdicts(raw, column)).drop(column, "verdict_json")

@@ -62,10 +62,15 @@ def read_split(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_labelled(spark, f"{folder}/{name}_data")
 
 
-def write_messages(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header and every field quoted."""
-    writer = df.write.option("header", True).option("quoteAll", True).option("escape", '"')
-    writer.option("quote", '"').option("lineSep", "\n").mode(mode).csv(path)
+def write_messages(
+    df: DataFrame, path: str, mode: str = "errorifexists", header: bool = True, encoding: str = "UTF-8"
+) -> None:
+    """CSV with every field quoted and kept as it is, white space included."""
+    options = {
+        "header": header, "encoding": encoding, "quoteAll": True, "quote": '"', "escape": '"', "lineSep": "\n",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
+    df.write.options(**options).mode(mode).csv(path)
 
 
 def write_split(split: DataFrame, folder: str, mode: str = "errorifexists") -> None:

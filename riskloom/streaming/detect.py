@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,6 +31,15 @@ def _start(stream: DataFrame, path: str, checkpoint: str, mode: str) -> Streamin
     return writer.foreachBatch(_write_batch(path)).trigger(availableNow=True).start()
 
 
+def write_batches(
+    stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+) -> StreamingQuery:
+    """Run a whole batch job on each micro-batch, such as scoring with a search for similar cases."""
+    write = _write_batch(path)
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(lambda batch, batch_id: write(job(batch), batch_id)).trigger(availableNow=True).start()
+
+
 def write_detections(
     scored: DataFrame, path: str, checkpoint: str, level: str | None = None, now: Column | None = None
 ) -> StreamingQuery:
