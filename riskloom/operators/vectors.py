@@ -8,14 +8,19 @@ what leaves a block is at most k rows per query.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.session import stored
 
+# The kernels below travel inside the tasks, so executors need numpy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 _TILE = 4_000_000  # scores held at once by one task
 _DIGITS = 9  # scores are compared to this many places, ties by id
