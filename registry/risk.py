@@ -80,6 +80,20 @@ def score_messages(spark, sf):
     )
 
 
+def score_by_map(spark, sf):
+    """The same scores with the search and the raw answer on the message row: no shuffle after the test tables
+    are put together."""
+    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), "embedding")
+    rows = messages(spark, sf).join(vecs, "msg_id", "left").join(raw_verdicts(spark, sf), "msg_id", "left")
+    spam = messages(spark, sf).where("type = 'spam'").join(vecs, "msg_id")
+    corpus = spam.select(F.col("msg_id").alias("case_id"), "embedding", "text")
+    done = scoring.score_messages(scoring.with_cases(scoring.read_verdicts(rows), corpus))
+    return done.select(
+        "msg_id", "total_score", "max_similarity", F.size("similar_cases").cast("bigint").alias("n_cases"),
+        "risk_score", "risk_level", F.md5("report").alias("report_md5"),
+    )
+
+
 def detection_records(spark, sf):
     cases, given = _inputs(spark, sf)
     done = scoring.score_requests(messages(spark, sf), cases=cases, answers=given)
@@ -154,6 +168,7 @@ QUERIES = {
     "q_i3_decision": verdict_decision,
     "q_i5_reports": build_reports,
     "q_i6_score_messages": score_messages,
+    "q_i6_score_by_map": score_by_map,
     "q_i7_records": detection_records,
     "q_j4_cv_sweep": cv_sweep,
     "q_j7_threshold_report": threshold_report,
@@ -284,6 +299,9 @@ ORACLES = {
         """select msg_id, score_financial, score_urgency, score_suspicious, total_score, max_similarity, n_cases,
         verdict_error, risk_score, risk_level from levelled"""
     ),
+    "q_i6_score_by_map": _job(
+        "select msg_id, total_score, max_similarity, n_cases, risk_score, risk_level, md5(report) as report_md5 from reported"
+    ),
     "q_i7_records": _job(
         f"""select msg_id, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) as analysis_id,
           timestamp '2024-01-31 00:00:00' as timestamp, t as input_text, verdict_score > 0.5 as risk_detected,

@@ -1,9 +1,9 @@
 """Vectors and nearest neighbours.
 
-Exact top-k without a cross join. A corpus whose size is checked and small is broadcast and each task scores
-its own queries, with no shuffle at all. A larger corpus is cut into cells around pivot vectors; each query
-visits only the cells that can still hold one of its k nearest, cells are cut into blocks of even size, and
-what leaves a block is at most k rows per query.
+Exact top-k without a cross join. A corpus that is measured and found small is broadcast, and each task
+searches for its own queries, with no shuffle at all. A larger corpus is cut into cells around pivot vectors;
+each query visits only the cells that can still hold one of its k nearest, cells are cut into blocks of even
+size, and what leaves a block is at most k rows per query.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from riskloom.session import stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-_TILE = 4_000_000  # scores held at once by one task
+_TILE = 8_000_000  # scores held at once by one task
 _DIGITS = 9  # scores are compared to this many places, ties by id
 
 
@@ -130,13 +130,10 @@ def knn(
     q = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("vec")).where("vec is not null")
     c = corpus.select(F.col(corpus_id).alias("id"), F.col(vector).alias("vec")).where("vec is not null")
 
-    first = c.select(F.size("vec").alias("dims")).head(1)
-    fitting = broadcast_bytes // max(1, 8 * first[0].dims) if first else 0
-    small = c.limit(fitting + 1).toPandas() if fitting else None
-    if first and (small is None or len(small) > fitting):
-        found = _blocked(q, c, k, metric, slack, block_rows, pivots)
-    else:
+    small = _fetched(c, broadcast_bytes)
+    if small is not None:
         return _broadcast(q, small, k, metric)
+    found = _blocked(q, stored(c, "corpus"), k, metric, slack, block_rows, pivots)
     best = F.desc(F.round("value", _DIGITS)) if metric == "ip" else F.asc(F.round("value", _DIGITS))
     order = Window.partitionBy("query_id").orderBy(best, "neighbour_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
@@ -147,9 +144,16 @@ def _schema(q: DataFrame, c_type: str) -> str:
     return f"query_id {q.schema['id'].dataType.simpleString()}, rank bigint, neighbour_id {c_type}, value double"
 
 
-def _broadcast(q: DataFrame, small: pd.DataFrame | None, k: int, metric: str) -> DataFrame:
-    """The corpus is on the driver already and within its byte bound; every task gets one copy."""
-    if small is None or small.empty:
+def _fetched(c: DataFrame, limit: int) -> pd.DataFrame | None:
+    """The rows ``(id, vec[, text])``, or None if they measure more than ``limit`` bytes."""
+    width = F.size("vec") * 8 + (F.octet_length("text") if "text" in c.columns else F.lit(0)) + 64
+    measured = c.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).head().bytes
+    return c.toPandas() if measured <= limit else None
+
+
+def _broadcast(q: DataFrame, small: pd.DataFrame, k: int, metric: str) -> DataFrame:
+    """Every task gets one copy of the corpus, which is within its byte bound."""
+    if small.empty:
         return q.sparkSession.createDataFrame([], _schema(q, "bigint"))
     ids, matrix = _by_id(small["id"], small["vec"], metric)
     shared = q.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -164,6 +168,52 @@ def _broadcast(q: DataFrame, small: pd.DataFrame | None, k: int, metric: str) ->
     return q.mapInPandas(search, _schema(q, c_type))
 
 
+def attach_cases(
+    df: DataFrame, corpus: DataFrame, k: int = 3, vector: str = "embedding", corpus_id: str = "case_id",
+    corpus_vector: str = "embedding", corpus_text: str = "text", out: str = "similar_cases",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame | None:
+    """``df`` with the texts and scaled similarities of its k nearest cases, or None if the corpus is too large.
+
+    A map over rows, streams included: only the vector column visits Python, and nothing is shuffled. Rows
+    without a vector get an empty list; corpus rows without a text are left out.
+    """
+    held = corpus.select(
+        F.col(corpus_id).alias("id"), F.col(corpus_vector).alias("vec"), F.col(corpus_text).alias("text")
+    ).dropna()
+    small = _fetched(held, broadcast_bytes)
+    if small is None:
+        return None
+    none = F.array().cast("array<struct<text:string,similarity:double>>")
+    if small.empty:
+        return df.withColumn(out, none)
+    small = small.sort_values("id", kind="stable")
+    shared = df.sparkSession.sparkContext.broadcast(
+        (small["text"].to_numpy(), _matrix(small["vec"], "ip", 0))
+    )
+
+    @F.pandas_udf("array<struct<text:string,value:double>>")
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        texts, rows = shared.value
+        for batch in batches:
+            found = [None] * len(batch)
+            asked = np.flatnonzero(batch.notna().to_numpy())
+            if len(asked):
+                vectors = _matrix(batch.iloc[asked], "ip", 1)
+                for hits in _top_k(asked, vectors, np.arange(len(texts)), rows, k, "ip"):
+                    for at, case, value in zip(hits["query_id"], hits["neighbour_id"], hits["value"]):
+                        if found[at] is None:
+                            found[at] = []
+                        found[at].append({"text": texts[case], "value": value})
+            yield pd.Series(found)
+
+    scaled = F.transform(
+        "_found",
+        lambda case: F.struct(case["text"].alias("text"), scaled_similarity(case["value"]).alias("similarity")),
+    )
+    return df.withColumn("_found", search(vector)).withColumn(out, F.coalesce(scaled, none)).drop("_found")
+
+
 def _blocked(
     q: DataFrame, c: DataFrame, k: int, metric: str, slack: float, block_rows: int, pivots: int
 ) -> DataFrame:

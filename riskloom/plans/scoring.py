@@ -22,15 +22,32 @@ def cases_for(
     return vectors.similar_cases(near, texts, text_id).withColumnRenamed("query_id", query_id)
 
 
-def cases_from_texts(
-    messages: DataFrame, known: DataFrame, key: str = "msg_id", known_key: str = "case_id", text: str = "text",
-    k: int = 3, dims: int = 256, **options,
+def with_cases(
+    messages: DataFrame, corpus: DataFrame, k: int = 3, vector: str = "embedding", key: str = "msg_id",
+    broadcast_bytes: int = vectors.BROADCAST_BYTES, **options,
 ) -> DataFrame:
-    """``(key, similar_cases)`` straight from texts: both sides become hashed term vectors."""
-    asked = vectors.hash_vectors(messages.select(key, text), text, dims)
-    held = vectors.hash_vectors(known.select(known_key, text), text, dims)
-    texts = known.select(F.col(known_key).alias("doc_id"), F.col(text).alias("text"))
-    return cases_for(asked, held, texts, k, key, known_key, **options)
+    """Messages with ``similar_cases`` from a corpus ``(case_id, embedding, text)``.
+
+    With a corpus that can be broadcast this is a map over the messages. Otherwise the neighbours are
+    searched by cells and joined back on the key (batch only).
+    """
+    mapped = vectors.attach_cases(messages, corpus, k, vector, broadcast_bytes=broadcast_bytes)
+    if mapped is not None:
+        return mapped
+    known = corpus.dropna(subset=["case_id", "embedding", "text"])
+    asked = messages.select(key, F.col(vector).alias("embedding"))
+    cases = cases_for(asked, known, known, k, key, "case_id", "case_id", broadcast_bytes=broadcast_bytes, **options)
+    joined = messages.join(cases, key, "left")
+    return joined.withColumn("similar_cases", F.coalesce("similar_cases", F.array().cast(_CASES)))
+
+
+def with_cases_from_texts(
+    messages: DataFrame, known: DataFrame, text: str = "text", dims: int = 256, **options
+) -> DataFrame:
+    """The same straight from texts: messages and ``known`` ``(case_id, text)`` become hashed term vectors."""
+    asked = vectors.hash_vectors(messages, text, dims, "_vector")
+    corpus = vectors.hash_vectors(known.select("case_id", "text"), "text", dims)
+    return with_cases(asked, corpus, vector="_vector", **options).drop("_vector")
 
 
 def read_verdicts(raw: DataFrame, column: str = "raw") -> DataFrame:
@@ -46,17 +63,18 @@ def score_messages(
     ``risk_level`` and ``report``.
 
     ``cases`` is ``(key, similar_cases)`` and ``answers`` ``(key, verdict)``; a message without one has no
-    similarity, or a verdict marked unavailable. The only shuffles are these two joins on the message key.
-    Text shorter than 3 characters is 'Invalid Input' with zero scores.
+    similarity, or a verdict marked unavailable. Messages may instead carry either as a column (see
+    ``with_cases``): the job is then a map. Otherwise these two joins on the message key, which share one
+    partitioning, are its only shuffles. Text shorter than 3 characters is 'Invalid Input' with zero scores.
     """
     base = messages
     if cases is not None:
         base = base.join(cases, key, "left")
-    else:
+    elif "similar_cases" not in base.columns:
         base = base.withColumn("similar_cases", F.lit(None).cast(_CASES))
     if answers is not None:
         base = base.join(answers, key, "left")
-    else:
+    elif "verdict" not in base.columns:
         base = base.withColumn("verdict", F.lit(None).cast(_verdict_type(messages)))
 
     usable = F.col("_usable")

@@ -14,7 +14,8 @@ from riskloom.sources.scams import REALTIME_SCAMS, conform
 
 def score_stream(stream: DataFrame, cases: DataFrame | None = None, answers: DataFrame | None = None,
                  **options) -> DataFrame:
-    """Scored messages of a stream. Cases and answers are static tables joined to each micro-batch."""
+    """Scored messages of a stream. Cases and answers are static tables joined to each micro-batch, or columns
+    of the stream, as ``plans.scoring.with_cases`` adds them."""
     return score_messages(stream, cases, answers, **options)
 
 
@@ -26,22 +27,25 @@ def _write_batch(path: str):
     return write
 
 
-def _start(stream: DataFrame, path: str, checkpoint: str, mode: str) -> StreamingQuery:
+def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str,
+           every: str | None) -> StreamingQuery:
+    """``every`` is a processing interval such as '10 seconds'; without it, what is there is read and the query ends."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(_write_batch(path)).trigger(availableNow=True).start()
+    return writer.foreachBatch(write).trigger(**trigger).start()
 
 
 def write_batches(
-    stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+    stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Run a whole batch job on each micro-batch, such as scoring with a search for similar cases."""
+    """Run a whole batch job on each micro-batch, such as scoring against a corpus too large to broadcast."""
     write = _write_batch(path)
-    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(lambda batch, batch_id: write(job(batch), batch_id)).trigger(availableNow=True).start()
+    return _start(stream, lambda batch, batch_id: write(job(batch), batch_id), checkpoint, "append", every)
 
 
 def write_detections(
-    scored: DataFrame, path: str, checkpoint: str, level: str | None = None, now: Column | None = None
+    scored: DataFrame, path: str, checkpoint: str, level: str | None = None, now: Column | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Append scored messages to the real-time table; ``level`` keeps one risk level only.
 
@@ -53,11 +57,11 @@ def write_detections(
         F.col("risk_level").alias("scam_type"), F.col("risk_score").alias("confidence"),
         F.col("ts").alias("detected_at"),
     )
-    return _start(conform(rows, REALTIME_SCAMS, now), path, checkpoint, "append")
+    return _start(conform(rows, REALTIME_SCAMS, now), _write_batch(path), checkpoint, "append", every)
 
 
-def write_scored(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return _start(scored, path, checkpoint, "append")
+def write_scored(scored: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    return _start(scored, _write_batch(path), checkpoint, "append", every)
 
 
 def daily_texts(stream: DataFrame, days: int = 30, text: str = "text", ts: str = "ts") -> DataFrame:
@@ -71,9 +75,9 @@ def daily_texts(stream: DataFrame, days: int = 30, text: str = "text", ts: str =
     return daily.agg(F.max("_ts").alias("seen")).select(F.col("window.start").alias("day"), text, "seen")
 
 
-def write_daily_texts(daily: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_daily_texts(daily: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Each micro-batch adds the (day, text) pairs it changed."""
-    return _start(daily, path, checkpoint, "update")
+    return _start(daily, _write_batch(path), checkpoint, "update", every)
 
 
 def recent_stream_texts(spark: SparkSession, path: str, as_of: Column, days: int = 30, text: str = "text") -> DataFrame:

@@ -122,14 +122,36 @@ def test_records(frame):
     assert json.loads(risk.detection_records(done).where("msg_id = 1").toJSON().first())["risk_score"] == 0.85
 
 
-def test_text_only_cases(frame):
-    """Texts in, similar texts out: the hashed vectors find the copy of a known case."""
-    messages = frame([(1, "claim your prize money now"), (2, "meeting moved to friday")], "msg_id bigint, text string")
-    known = frame([(7, "claim your prize money now"), (8, "unrelated words entirely")], "case_id bigint, text string")
-    cases = scoring.cases_from_texts(messages, known, "msg_id", "case_id", k=1)
-    got = {r.msg_id: r.similar_cases for r in cases.collect()}
-    assert got[1][0].text == "claim your prize money now" and got[1][0].similarity == 0.5
-    assert got[2][0].similarity < 0.5
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_text_only_cases(frame, limit):
+    """Texts in, similar texts out, by map and by join: the hashed vectors find the copy of a known case."""
+    messages = frame([(1, "claim your prize money now"), (2, "meeting moved to friday"), (3, None)],
+                     "msg_id bigint, text string")
+    known = frame([(7, "claim your prize money now"), (8, "unrelated words entirely"), (9, None)],
+                  "case_id bigint, text string")
+    out = scoring.with_cases_from_texts(messages, known, k=2, broadcast_bytes=limit)
+    got = {r.msg_id: r.similar_cases for r in out.collect()}
+    assert [c.text for c in got[1]] == ["claim your prize money now", "unrelated words entirely"]
+    assert got[1][0].similarity == 0.5 and got[1][1].similarity == 0.25
+    assert got[2][0].similarity < 0.5 and len(got[3]) == 2
+    assert out.columns == ["msg_id", "text", "similar_cases"]
+    scored = {r.msg_id: r for r in scoring.score_messages(out).collect()}
+    assert scored[1].max_similarity == 0.5 and scored[3].similar_cases == []
+
+
+def test_scoring_is_a_map_when_the_row_holds_everything(frame):
+    messages = frame([(1, "claim your prize money now", GOOD)], "msg_id bigint, text string, raw string")
+    known = frame([(7, "claim your prize money now")], "case_id bigint, text string")
+    done = scoring.score_messages(scoring.with_cases_from_texts(scoring.read_verdicts(messages), known))
+    source = messages._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange") == source
+    assert done.head().risk_score == round(0.1333 * 0.4 + 0.5 * 0.3 + 0.85 * 0.3, 4)
+
+
+def test_no_known_cases(frame):
+    messages = frame([(1, "hello there")], "msg_id bigint, text string")
+    none = frame([], "case_id bigint, text string")
+    assert scoring.with_cases_from_texts(messages, none).head().similar_cases == []
 
 
 def test_session_is_reused(spark):

@@ -58,9 +58,8 @@ def test_micro_batches_run_the_whole_job(spark, sf):
     columns = ["msg_id", "risk_score", "risk_level"]
 
     def job(batch):
-        asked = batch.where("text is not null")
-        cases = scoring.cases_from_texts(asked, known, "msg_id", "msg_id", k=2)
-        return scoring.score_messages(batch, cases).select(*columns)
+        cased = scoring.with_cases_from_texts(batch, known.withColumnRenamed("msg_id", "case_id"), k=2, broadcast_bytes=0)
+        return scoring.score_messages(cased).select(*columns)
 
     detect.write_batches(stream, job, f"{folder}/out", f"{folder}/cp").awaitTermination()
     assert same(spark.read.parquet(f"{folder}/out").select(*columns), job(rows))
@@ -74,3 +73,13 @@ def test_recent_texts_of_a_stream(spark, sf):
     for days in (3, 15, 30):
         got = detect.recent_stream_texts(spark, f"{folder}/out", as_of, days)
         assert same(got, recent_texts(rows, as_of, days))
+
+
+def test_search_inside_the_stream(spark, sf):
+    stream, rows = source(spark, sf, 2)
+    known = rows.where("type = 'spam' and text is not null").select(F.col("msg_id").alias("case_id"), "text")
+    folder = shared_folder(spark, "stream")
+    columns = ["msg_id", "max_similarity", "risk_score"]
+    scored = lambda df: detect.score_stream(scoring.with_cases_from_texts(df, known)).select(*columns)
+    detect.write_scored(scored(stream), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    assert same(spark.read.parquet(f"{folder}/out").select(*columns), scored(rows))

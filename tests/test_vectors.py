@@ -79,7 +79,7 @@ def test_string_ids_null_vectors_and_empty_corpus(frame, spark):
 def test_size_decides(frame):
     rows = make(frame, random_rows(50))
     plan = lambda limit: vx.knn(rows, rows, 2, broadcast_bytes=limit, pivots=4)._jdf.queryExecution().toString()
-    assert "CoGroup" in plan(1000) and "CoGroup" not in plan(8 * 8 * 50)
+    assert "CoGroup" in plan(1000) and "CoGroup" not in plan((8 * 8 + 64) * 50)
 
 
 def test_approximate_bound(frame):
