@@ -185,8 +185,8 @@ QUERIES = {
 LABELLED_CTE = """labelled as (
   select msg_id, source, ts, lower(type) as type, text from messages where lower(type) in ('spam', 'ham'))"""
 _POSITION = "row_number() over (partition by {g} order by md5('42:' || {k}), {k})"
-FOLDS_CTE = f"""folds as (
-  select *, ({_POSITION.format(g='type', k='msg_id')} - 1) % 2 + 1 as fold from labelled)"""
+FOLDS_CTE = """folds as (
+  select *, (row_number() over (order by type, md5('42:' || msg_id), msg_id) - 1) % 2 + 1 as fold from labelled)"""
 
 
 def _split(source: str, label: str, share: str) -> str:
@@ -254,8 +254,8 @@ ORACLES = {
         order by md5('42:' || l_orderkey || ':' || l_linenumber), l_orderkey, l_linenumber limit 20000""",
     "q_d2_split_documents": _split("documents", "lang", "(case when sum(n) over () < 10000 then 0.3 else 0.2 end)::double"),
     "q_d2_split_labels": _split("labels", "quality", "0.25::double"),
-    "q_d3_folds": f"""select doc_id, quality, ({_POSITION.format(g='quality', k='doc_id')} - 1) % 5 + 1 as fold
-        from labels""",
+    "q_d3_folds": """select doc_id, quality,
+        (row_number() over (order by quality, md5('42:' || doc_id), doc_id) - 1) % 5 + 1 as fold from labels""",
     "q_d4_balance_under": sql.with_messages(
         f"""select msg_id, type from (select *, {_POSITION.format(g='type', k='msg_id')} as pos from labelled)
         where pos <= (select min(n) from (select count(*) as n from labelled group by type))""",

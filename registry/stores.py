@@ -134,22 +134,26 @@ def _ids(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("id"))
 
 
+def _drawn(spark, sf):
+    return gen.with_draws(_ids(spark, sf), "id", SEED)
+
+
 def generate_template(spark, sf):
-    return _ids(spark, sf).select("id", gen.template_text(F.col("id"), SEED).alias("message"))
+    return _drawn(spark, sf).select("id", gen.template_text().alias("message"))
 
 
 def generate_links(spark, sf):
-    return _ids(spark, sf).select("id", gen.link(F.col("id"), SEED).alias("link"))
+    return _drawn(spark, sf).select("id", gen.link().alias("link"))
 
 
 def generate_rewrites(spark, sf):
-    return gen.rewrites(generate_template(spark, sf), F.col("id"), SEED, "message")
+    return gen.drop_draws(gen.rewrites(_drawn(spark, sf).withColumn("message", gen.template_text()), "message"))
 
 
 def generate_noise(spark, sf):
     """Noise on the message texts."""
     rows = messages(spark, sf).where("text is not null").select(F.col("msg_id").alias("id"), F.col("text").alias("message"))
-    return gen.noise(rows, F.col("id"), SEED, "message")
+    return gen.drop_draws(gen.noise(gen.with_draws(rows, "id", SEED), "message"))
 
 
 def generate_all(spark, sf):
@@ -217,8 +221,14 @@ QUERIES = {
 }
 
 
-def _number(slot: str, below: int, id_: str = "id") -> str:
-    return f"(('0x' || md5('{SEED}:' || {id_} || ':{slot}')[1:6])::bigint % {below})"
+_DRAWS = """category kind scheme host open_tld tld tagged amount id account agency username status benefit action
+deadline alert_type transaction_type instruction courier claim verify dollars colon blank shout""".split()
+
+
+def _number(slot: str, below: int) -> str:
+    at = _DRAWS.index(slot)
+    first = 1 + at % 5 * 6
+    return f"(('0x' || md5('{SEED}:' || id || ':{at // 5}')[{first}:{first + 5}])::bigint % {below})"
 
 
 def _pick(slot: str, choices) -> str:
@@ -227,7 +237,7 @@ def _pick(slot: str, choices) -> str:
 
 
 _HOST, _TLD = _pick("host", gen.WORDS), _pick("tld", ["com", "net"])
-_HASH = f"md5('{SEED}:' || id || ':uuid')"
+_HASH = f"md5(md5('{SEED}:' || id || ':0') || ':uuid')"
 _UUID = " || '-' || ".join(f"{_HASH}[{a}:{b}]" for a, b in ((1, 8), (9, 12), (13, 16), (17, 20), (21, 32)))
 _LINK = f"""case {_number('kind', 3)}
   when 0 then regexp_replace({_pick('scheme', ['https://', 'http://', ''])} || {_HOST} || '.' ||

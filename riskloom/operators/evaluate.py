@@ -89,7 +89,11 @@ def sweep_by_fold(
 
 def _score_counts(df: DataFrame, digits: int | None, y_true: str, score: str) -> DataFrame:
     """Positives and negatives per distinct score."""
-    value = F.col(score) if digits is None else F.round(score, digits)
+    value = F.col(score)
+    if digits is not None:
+        # What bounds the table is the range of the scores.
+        outside = F.raise_error(F.lit("scores outside 0..1 need digits=None"))
+        value = F.when(value.between(0, 1), F.round(value, digits)).otherwise(outside.cast("double"))
     return (
         df.where(F.col(score).isNotNull())
         .groupBy(value.alias("threshold"))

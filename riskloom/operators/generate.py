@@ -1,6 +1,7 @@
 """Synthetic spam messages from slot templates.
 
-Every choice is a hash of (seed, message id, slot): no random state, so a retried task writes the same rows.
+Every choice is drawn from a hash of (seed, message id): no random state, so a retried task writes the same
+rows. One md5 gives five draws, and the few md5 of a row are computed once.
 """
 
 from __future__ import annotations
@@ -44,18 +45,38 @@ WORDS = [
 ]
 
 
-def _number(id_: Column, seed: int, slot: str, below: int) -> Column:
+# Draws of a message, in order: five per hash, six hex digits each.
+DRAWS = [
+    "category", "kind", "scheme", "host", "open_tld", "tld", "tagged", "amount", "id", "account",
+    "agency", "username", "status", "benefit", "action", "deadline", "alert_type", "transaction_type",
+    "instruction", "courier", "claim", "verify", "dollars", "colon", "blank", "shout",
+]
+_PER_HASH = 5
+
+
+def with_draws(df: DataFrame, id_column: str, seed: int) -> DataFrame:
+    """Add the hashes all choices of a message are read from; ``drop_draws`` removes them."""
+    blocks = range(-(-len(DRAWS) // _PER_HASH))
+    return df.withColumns({f"_draw{b}": seeded_hash(seed, id_column, F.lit(str(b))) for b in blocks})
+
+
+def drop_draws(df: DataFrame) -> DataFrame:
+    return df.drop(*[name for name in df.columns if name.startswith("_draw")])
+
+
+def _number(slot: str, below: int) -> Column:
     """A number in 0..below-1 for this message and slot."""
-    digits = F.substring(seeded_hash(seed, id_, F.lit(slot)), 1, 6)
+    block, place = divmod(DRAWS.index(slot), _PER_HASH)
+    digits = F.substring(f"_draw{block}", 1 + 6 * place, 6)
     return (F.conv(digits, 16, 10).cast("bigint") % below).cast("int")
 
 
-def _pick(id_: Column, seed: int, slot: str, choices: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in choices]), _number(id_, seed, slot, len(choices)) + 1)
+def _pick(slot: str, choices: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in choices]), _number(slot, len(choices)) + 1)
 
 
-def _chance(id_: Column, seed: int, slot: str, percent: int) -> Column:
-    return _number(id_, seed, slot, 100) < percent
+def _chance(slot: str, percent: int) -> Column:
+    return _number(slot, 100) < percent
 
 
 def _replace_first(text: Column, old: str, new: Column) -> Column:
@@ -63,89 +84,89 @@ def _replace_first(text: Column, old: str, new: Column) -> Column:
     return F.when(at > 0, F.overlay(text, new, at, F.lit(len(old)))).otherwise(text)
 
 
-def link(id_: Column, seed: int) -> Column:
+def link() -> Column:
     """A defanged, misspelt or redirecting address."""
     defanged = _replace_first(
         F.concat(
-            _pick(id_, seed, "scheme", SCHEMES), _pick(id_, seed, "host", WORDS), F.lit("."),
-            _pick(id_, seed, "open_tld", OPEN_TLDS),
+            _pick("scheme", SCHEMES), _pick("host", WORDS), F.lit("."),
+            _pick("open_tld", OPEN_TLDS),
         ),
         ".", F.lit("[.]"),
     )
-    host, tld = _pick(id_, seed, "host", WORDS), _pick(id_, seed, "tld", TLDS)
+    host, tld = _pick("host", WORDS), _pick("tld", TLDS)
     misspelt = F.concat(
         F.translate(F.substring(host, 1, 4), *MISSPELT), F.substr(host, F.lit(5)), F.lit("."), tld
     )
     tag = F.when(
-        _chance(id_, seed, "tagged", 50), F.concat(F.lit("?id="), stable_uuid(F.lit(seed), id_, F.lit("uuid")))
+        _chance("tagged", 50), F.concat(F.lit("?id="), stable_uuid(F.col("_draw0"), F.lit("uuid")))
     ).otherwise("")
     redirect = F.concat(host, F.lit("-redirect."), tld, tag)
-    kind = _number(id_, seed, "kind", 3)
+    kind = _number("kind", 3)
     return F.when(kind == 0, defanged).when(kind == 1, misspelt).otherwise(redirect)
 
 
-def _slot(name: str, category: str, id_: Column, seed: int) -> Column:
+def _slot(name: str, category: str) -> Column:
     if (category, name) in CHOICES:
-        return _pick(id_, seed, name, CHOICES[category, name])
+        return _pick(name, CHOICES[category, name])
     if name == "link":
-        return link(id_, seed)
+        return link()
     if name == "amount":
-        return F.concat(F.lit("$"), (_number(id_, seed, name, 900) + 100).cast("string"))
+        return F.concat(F.lit("$"), (_number(name, 900) + 100).cast("string"))
     if name == "id":
-        return F.concat(F.lit("#"), (_number(id_, seed, name, 900_000) + 100_000).cast("string"))
+        return F.concat(F.lit("#"), (_number(name, 900_000) + 100_000).cast("string"))
     if name == "account":
-        return F.concat(F.lit("Account ****"), (_number(id_, seed, name, 9000) + 1000).cast("string"))
-    return _pick(id_, seed, name, WORDS)
+        return F.concat(F.lit("Account ****"), (_number(name, 9000) + 1000).cast("string"))
+    return _pick(name, WORDS)
 
 
-def _filled(category: str, id_: Column, seed: int) -> Column:
+def _filled(category: str) -> Column:
     parts = []
     for piece in TEMPLATES[category].replace("{", "\0{").replace("}", "\0").split("\0"):
         if piece.startswith("{"):
-            parts.append(_slot(piece[1:], category, id_, seed))
+            parts.append(_slot(piece[1:], category))
         elif piece:
             parts.append(F.lit(piece))
     return F.concat(*parts)
 
 
-def template_text(id_: Column, seed: int) -> Column:
+def template_text() -> Column:
     """A message straight from one of the templates."""
-    kind = _number(id_, seed, "category", len(TEMPLATES))
-    filled = [_filled(category, id_, seed) for category in TEMPLATES]
+    kind = _number("category", len(TEMPLATES))
+    filled = [_filled(category) for category in TEMPLATES]
     first, *rest = list(enumerate(filled))
     return reduce(lambda chain, at: chain.when(kind == at[0], at[1]), rest, F.when(kind == first[0], first[1]))
 
 
-def rewrites(df: DataFrame, id_: Column, seed: int, column: str) -> DataFrame:
+def rewrites(df: DataFrame, column: str) -> DataFrame:
     """Synonyms (the word is looked for in lower case but replaced as written), '$' before digit runs in half
     of the messages, and another sign for the first colon."""
     text = F.col(column)
     for word, others in SYNONYMS:
         swap = F.lower(text).contains(word)
         df = df.withColumn(
-            column, F.when(swap, _replace_first(text, word, _pick(id_, seed, word, others))).otherwise(text)
+            column, F.when(swap, _replace_first(text, word, _pick(word, others))).otherwise(text)
         )
-    dollars = F.when(_chance(id_, seed, "dollars", 50), F.regexp_replace(text, r"(\d+)", r"\$$1")).otherwise(text)
+    dollars = F.when(_chance("dollars", 50), F.regexp_replace(text, r"(\d+)", r"\$$1")).otherwise(text)
     df = df.withColumn(column, dollars)
-    return df.withColumn(column, _replace_first(text, ":", _pick(id_, seed, "colon", COLON_SWAPS)))
+    return df.withColumn(column, _replace_first(text, ":", _pick("colon", COLON_SWAPS)))
 
 
-def noise(df: DataFrame, id_: Column, seed: int, column: str) -> DataFrame:
+def noise(df: DataFrame, column: str) -> DataFrame:
     """A doubled first blank in 20 %, upper then lower case halves in 10 % of the messages."""
     text = F.col(column)
     df = df.withColumn(
-        column, F.when(_chance(id_, seed, "blank", 20), _replace_first(text, " ", F.lit("  "))).otherwise(text)
+        column, F.when(_chance("blank", 20), _replace_first(text, " ", F.lit("  "))).otherwise(text)
     )
     half = F.floor(F.length(text) / 2).cast("int")
     shouted = F.concat(F.upper(F.substr(text, F.lit(1), half)), F.lower(F.substr(text, half + 1)))
-    return df.withColumn(column, F.when(_chance(id_, seed, "shout", 10), shouted).otherwise(text))
+    return df.withColumn(column, F.when(_chance("shout", 10), shouted).otherwise(text))
 
 
 def generate_for(df: DataFrame, id_column: str, seed: int = 42, out: str = "message") -> DataFrame:
     """One spam message per row of ``df``: ``(id, type, message)``."""
-    id_ = F.col(id_column)
-    drafted = df.select(id_column, F.lit("spam").alias("type"), template_text(id_, seed).alias(out))
-    return noise(rewrites(drafted, id_, seed, out), id_, seed, out)
+    drawn = with_draws(df.select(id_column), id_column, seed)
+    drafted = drawn.withColumns({"type": F.lit("spam"), out: template_text()})
+    return drop_draws(noise(rewrites(drafted, out), out))
 
 
 def generate_messages(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:

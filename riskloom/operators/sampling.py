@@ -57,11 +57,15 @@ def stratified_split(
 
 
 def stratified_folds(df: DataFrame, label: str, key: Sequence[str], k: int = 2, seed: int = 42) -> DataFrame:
-    """Add ``fold`` in 1..k; each fold keeps the class shares."""
+    """Add ``fold`` in 1..k. Folds keep the class shares and differ by at most one row in size: rows are dealt
+    out in turn, class after class."""
     if k < 2:
         raise ValueError("at least two folds are needed")
-    ranked = with_position(df, [label], key, seed)
-    return ranked.select(*df.columns, ((F.col("_position") - 1) % k + 1).cast("int").alias("fold"))
+    classes = Window.partitionBy(F.lit(1)).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda sizes: sizes.select(label, F.coalesce(F.sum("n").over(classes), F.lit(0)).alias("_earlier"))
+    ranked = with_position(df, [label], key, seed, per_group=earlier)
+    turn = (F.col("_earlier") + F.col("_position") - 1) % k + 1
+    return ranked.select(*df.columns, turn.cast("int").alias("fold"))
 
 
 def fold_frames(folds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:

@@ -44,6 +44,13 @@ def test_ties_and_extremes(frame, digits):
     assert [(r.fpr, r.tpr) for r in points if r.threshold is None] == [(0.0, 0.0)]
 
 
+def test_scores_beyond_one_need_the_ranged_form(frame):
+    rows = frame([(1, 7.5), (0, -2.0), (1, 0.1)], SCHEMA)
+    assert ev.auc(rows, None).head().auc == 1.0
+    with pytest.raises(Exception, match="digits=None"):
+        ev.auc(rows).head()
+
+
 def scored(spark, n, digits):
     score = F.round(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003, digits)
     return spark.range(n).select(F.when(F.rand(7) < score, 1).otherwise(0).alias("y_true"), score.alias("score"))

@@ -14,7 +14,7 @@ def test_same_seed_same_messages(spark):
 
 
 def test_shapes(spark):
-    drafts = [r.m for r in spark.range(600).select(gen.template_text(F.col("id"), 42).alias("m")).collect()]
+    drafts = [r.m for r in gen.with_draws(spark.range(600), "id", 42).select(gen.template_text().alias("m")).collect()]
     assert any(re.match(r"^\[.+\] \w+: \w+ [\w ]+ of \$\d{3}\. [\w ]+ \w+: \S+$", d) for d in drafts)
     assert any(re.match(r"^[\w ]+: \$\d{3} \w+ from Account \*{4}\d{4}\. \w+ \S+$", d) for d in drafts)
     assert any(re.match(r"^\w+: Package ##\d{6} requires [\w ]+\. [\w ]+ \S+$", d) for d in drafts)
@@ -22,7 +22,7 @@ def test_shapes(spark):
 
 
 def test_links(spark):
-    links = [r.l for r in spark.range(900).select(gen.link(F.col("id"), 42).alias("l")).collect()]
+    links = [r.l for r in gen.with_draws(spark.range(900), "id", 42).select(gen.link().alias("l")).collect()]
     kinds = [r"^(https?://)?\w+\[\.\](com|net|org|info)$", r"^[a-z0-9]+\.(com|net)$",
              r"^\w+-redirect\.(com|net)(\?id=[0-9a-f-]{36})?$"]
     counts = [sum(bool(re.match(k, link)) for link in links) for k in kinds]
@@ -30,8 +30,8 @@ def test_links(spark):
 
 
 def test_rates(spark):
-    rows = spark.range(4000).withColumn("m", F.lit("pay 12: now please"))
-    out = [r.m for r in gen.noise(gen.rewrites(rows, F.col("id"), 42, "m"), F.col("id"), 42, "m").collect()]
+    rows = gen.with_draws(spark.range(4000), "id", 42).withColumn("m", F.lit("pay 12: now please"))
+    out = [r.m for r in gen.noise(gen.rewrites(rows, "m"), "m").collect()]
     share = lambda test: sum(map(test, out)) / len(out)
     assert abs(share(lambda m: "$" in m) - 0.5) < 0.05
     assert abs(share(lambda m: "  " in m) - 0.2) < 0.04

@@ -88,7 +88,8 @@ def test_automatic_share(spark, n, tests):
 def test_folds(frame):
     folds = sp.stratified_folds(rows_of(frame, {"spam": 10, "ham": 7, "rare": 1}), "label", ["id"], 3)
     sizes = Counter((r.label, r.fold) for r in folds.collect())
-    assert [sizes["spam", f] for f in (1, 2, 3)] == [4, 3, 3] and [sizes["ham", f] for f in (1, 2, 3)] == [3, 2, 2]
+    assert [sizes["ham", f] for f in (1, 2, 3)] == [3, 2, 2] and [sizes["rare", f] for f in (1, 2, 3)] == [0, 1, 0]
+    assert [sizes["spam", f] for f in (1, 2, 3)] == [3, 3, 4]
     train, test = sp.fold_frames(folds, 2)
     assert train.count() + test.count() == 18 and test.select("fold").distinct().head().fold == 2
     known = sp.fold_corpus(folds, 2, "label")
