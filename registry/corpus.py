@@ -112,6 +112,13 @@ def balance_keep(spark, sf):
     return sp.balance(_labelled(spark, sf), "type", ["msg_id"], "stratified").select("msg_id", "type")
 
 
+def concat_samples(spark, sf):
+    """Equal samples of both classes, one after the other."""
+    rows = _labelled(spark, sf).select("msg_id", "type")
+    parts = [sp.sample_n(rows.where(F.col("type") == kind), 150, ["msg_id"]) for kind in ("spam", "ham")]
+    return dd.union_sources(parts, check_empty=False).withColumn("file_seq", F.col("file_seq").cast("bigint"))
+
+
 def label_distribution(spark, sf):
     return pf.label_distribution(tx.keep_labels(messages(spark, sf)))
 
@@ -166,6 +173,7 @@ QUERIES = {
     "q_c3_dedup_first": dedup_first,
     "q_c4_distinct": distinct_rows,
     "q_c5_recent_texts": recent_texts,
+    "q_c6_concat_samples": concat_samples,
     "q_d1_sample": sample_n,
     "q_d1_sample_large": sample_large,
     "q_d2_split_documents": split_documents,
@@ -247,6 +255,12 @@ ORACLES = {
         """select text, max(ts) as last_seen from messages
         where text is not null and text <> '' and ts >= date '2024-01-31' - 15 group by text"""
     ),
+    "q_c6_concat_samples": sql.with_messages(
+        """select msg_id, type, (type = 'ham')::bigint as file_seq from (
+          select msg_id, type, row_number() over (partition by type order by md5('42:' || msg_id), msg_id) as pos
+          from labelled) where pos <= 150""",
+        LABELLED_CTE,
+    ),
     "q_d1_sample": sql.with_messages(
         "select msg_id, type, text from messages order by md5('42:' || msg_id), msg_id limit 200"
     ),

@@ -68,6 +68,12 @@ def verdict_decision(spark, sf):
     return decided.select("msg_id", "risk_detected", "confidence", "decision_level")
 
 
+def invalid_input(spark, sf):
+    return scored(spark, sf).where(F.col("risk_level") == risk.INVALID).select(
+        "msg_id", "text", "risk_score", "total_score", "report", F.col("verdict.error").alias("error")
+    )
+
+
 def build_reports(spark, sf):
     return scored(spark, sf).select("msg_id", F.md5("report").alias("report_md5"))
 
@@ -166,6 +172,7 @@ QUERIES = {
     "q_i1_blend": blend_scores,
     "q_i2_risk_levels": risk_levels,
     "q_i3_decision": verdict_decision,
+    "q_i4_invalid_input": invalid_input,
     "q_i5_reports": build_reports,
     "q_i6_score_messages": score_messages,
     "q_i6_score_by_map": score_by_map,
@@ -294,6 +301,10 @@ ORACLES = {
     ),
     "q_i3_decision": f"""with {_ANSWERS_CTE} select msg_id, risk_score > 0.5 as risk_detected,
       round(risk_score, 4) as confidence, {_LEVEL.format(x='risk_score')} as decision_level from answers""",
+    "q_i4_invalid_input": _job(
+        """select msg_id, text, risk_score, total_score::double as total_score, report, verdict_error as error
+        from reported where risk_level = 'Invalid Input'"""
+    ),
     "q_i5_reports": _job("select msg_id, md5(report) as report_md5 from reported"),
     "q_i6_score_messages": _job(
         """select msg_id, score_financial, score_urgency, score_suspicious, total_score, max_similarity, n_cases,

@@ -12,6 +12,7 @@ from registry.views import MESSAGES_SQL, messages, table
 from riskloom.operators import dedup, generate as gen, profile
 from riskloom.operators.sampling import stratified_split
 from riskloom.plans.corpus import build_corpus
+from riskloom.plans.scoring import with_cases
 from riskloom.session import shared_folder
 from riskloom.sources import messages as files, scams
 from riskloom.streaming import detect
@@ -181,6 +182,18 @@ def score_stream(spark, sf):
     return spark.read.parquet(f"{folder}/out").drop("batch_id")
 
 
+def score_stream_cases(spark, sf):
+    """Scores of the stream with the search for similar cases inside it."""
+    folder = shared_folder(spark, "scores")
+    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), "embedding")
+    spam = messages(spark, sf).where("type = 'spam'").join(vecs, "msg_id")
+    corpus = spam.select(F.col("msg_id").alias("case_id"), "embedding", "text")
+    cased = with_cases(_stream(spark, sf).join(vecs, "msg_id", "left"), corpus)
+    slim = detect.score_stream(cased, answers=answers(spark, sf)).select("msg_id", "max_similarity", "risk_score")
+    detect.write_scored(slim, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch_id")
+
+
 def write_detections(spark, sf):
     folder = shared_folder(spark, "detections")
     scored = detect.score_stream(_stream(spark, sf), answers=answers(spark, sf))
@@ -216,6 +229,7 @@ QUERIES = {
     "q_k4_noise": generate_noise,
     "q_k5_generate": generate_all,
     "q_l1_score_stream": score_stream,
+    "q_l1_score_stream_cases": score_stream_cases,
     "q_l2_write_detections": write_detections,
     "q_l3_recent_stream": recent_stream,
 }
@@ -330,6 +344,8 @@ ORACLES = {
     ),
     "q_k5_generate": f"with {_DRAFTS}, {_REWRITTEN} select distinct 'spam' as type, message from ({_noisy('rewritten')})",
     "q_l1_score_stream": f"select msg_id, total_score, risk_score, risk_level from ({_STREAMED})",
+    "q_l1_score_stream_cases": RISK_ORACLES["q_i1_blend"].replace(
+        "select msg_id, total_score, max_similarity", "select msg_id, max_similarity"),
     "q_l2_write_detections": sql.with_messages(
         f"""select msg_id as id, source, text as scam_text, risk_level as scam_type, risk_score as confidence,
           ts as detected_at

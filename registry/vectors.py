@@ -28,6 +28,13 @@ def knn(spark, sf):
     return ops.similar(ops.knn(_vectors(spark, sf), _vectors(spark, sf)))
 
 
+def scaled_similarity(spark, sf):
+    """Range of the scaled similarity at each rank."""
+    return ops.similar(ops.knn(_vectors(spark, sf), _vectors(spark, sf))).groupBy("rank").agg(
+        F.min("similarity").alias("lowest"), F.max("similarity").alias("highest"), F.count(F.lit(1)).alias("n")
+    )
+
+
 def knn_blocked(spark, sf):
     """The same through cells and blocks, as for a corpus too large to broadcast."""
     found = ops.knn(_vectors(spark, sf), _vectors(spark, sf), broadcast_bytes=0, block_rows=128, pivots=16)
@@ -89,6 +96,7 @@ QUERIES = {
     "q_g2_hash_vectors": hash_vectors,
     "q_g3_knn": knn,
     "q_g3_knn_blocked": knn_blocked,
+    "q_g4_scaled_similarity": scaled_similarity,
     "q_g5_similar_cases": similar_cases,
     "q_g6_knn_approx": knn_approx,
     "q_g7_max_similarity": max_similarity,
@@ -104,6 +112,8 @@ ORACLES = {
       from documents""",
     "q_g3_knn": nearest(),
     "q_g3_knn_blocked": nearest(),
+    "q_g4_scaled_similarity": f"""select rank, min(similarity) as lowest, max(similarity) as highest, count(*) as n
+      from ({nearest()}) group by rank""",
     "q_g5_similar_cases": f"""select query_id, row_number() over (partition by query_id order by rank) - 1 as place,
       md5(text) as text_md5, similarity from ({nearest()}) n join documents d on d.doc_id = n.neighbour_id""",
     "q_g7_max_similarity": f"""select event_id as msg_id, coalesce(best, 0) as max_similarity
