@@ -32,30 +32,37 @@ def with_position(
     table of group sizes ``(groups..., n)`` into figures per group, which are added too: they ride along
     with the bucket starts, so no join runs on the group columns alone and nothing is counted twice.
     """
-    # One struct as key: struct equality treats null labels as equal, and the join and the window below then
-    # ask for the same partitioning, so the rows are shuffled once.
-    hashed = df.withColumn("_hash", seeded_hash(seed, *key)).withColumn(
-        "_cell", F.struct(*groups, F.substring("_hash", 1, _HEX_DIGITS).alias("_bucket"))
+    # Null-free key columns, the bucket first: the join and the window then ask for the same partitioning, so
+    # rows are shuffled once, and the sort compares a number before anything else.
+    hashed = df.withColumn("_hash", seeded_hash(seed, *key)).withColumns(
+        {"_bucket": F.conv(F.substring("_hash", 1, _HEX_DIGITS), 16, 10).cast("int")}
+        | {f"_key{at}": F.coalesce(F.col(g).cast("string"), F.lit("")) for at, g in enumerate(groups)}
+        | {f"_null{at}": F.col(g).isNull() for at, g in enumerate(groups)}
     )
-    counts = hashed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    keys = [f"_{part}{at}" for at in range(len(groups)) for part in ("key", "null")]
+    cells = ["_bucket", *keys]
+    counts = hashed.groupBy(*cells, *groups).agg(F.count(F.lit(1)).alias("_rows"))
     # At most 16^3 rows per group from here to the join.
-    members = [F.col("_cell")[g] for g in groups]
-    whole = Window.partitionBy(*members) if members else Window.partitionBy(F.lit(1))
-    along = whole.orderBy(F.col("_cell")["_bucket"]).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*(keys or [F.lit(1)]))
+    along = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        "_cell",
+        *cells,
+        *[F.col(g).alias(f"_s_{g}") for g in groups],
         F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"),
         F.sum("_rows").over(whole).alias(size),
     )
     extra = []
     if per_group is not None:
-        sizes = counts.groupBy(*[F.col("_cell")[g].alias(g) for g in groups]).agg(F.sum("_rows").alias("n"))
-        figures = per_group(sizes)
+        figures = per_group(counts.groupBy(*groups).agg(F.sum("_rows").alias("n")))
         extra = [c for c in figures.columns if c not in groups]
         named = figures.select(*[F.col(g).alias(f"_g_{g}") for g in groups], *extra)
-        match = [F.col("_cell")[g].eqNullSafe(F.col(f"_g_{g}")) for g in groups]
-        starts = starts.join(named, on=match, how="inner").drop(*[f"_g_{g}" for g in groups])
-    inside = Window.partitionBy("_cell").orderBy("_hash", *key)
-    joined = hashed.join(starts, "_cell")
-    ranked = joined.withColumn(position, (F.row_number().over(inside) + F.col("_before")).cast("bigint"))
+        match = [F.col(f"_s_{g}").eqNullSafe(F.col(f"_g_{g}")) for g in groups]
+        starts = starts.join(named, on=match, how="inner")
+    starts = starts.select(*cells, "_before", size, *extra)
+    # Numbered before the join: the sort this needs also serves the join.
+    inside = Window.partitionBy(*cells).orderBy("_hash", *key)
+    numbered = hashed.withColumn("_number", F.row_number().over(inside)).drop("_hash")
+    ranked = numbered.join(starts, cells).withColumn(
+        position, (F.col("_number") + F.col("_before")).cast("bigint")
+    )
     return ranked.select(*df.columns, position, size, *extra)

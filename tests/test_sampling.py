@@ -40,7 +40,7 @@ def test_a_hot_label_is_spread(spark):
     """A label with all the rows is ranked in many cells, none of them large."""
     rows = spark.range(40_000).withColumn("label", F.lit("spam"))
     plan = with_position(rows, ["label"], ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(_cell" in plan and "SinglePartition" not in plan
+    assert "hashpartitioning(_bucket" in plan and "SinglePartition" not in plan
     hashes = rows.select(F.substring(F.md5(F.concat(F.lit("42:"), F.col("id").cast("string"))), 1, 3).alias("b"))
     assert hashes.groupBy("b").count().agg(F.max("count")).head()[0] < 40
 
