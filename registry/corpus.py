@@ -193,8 +193,20 @@ QUERIES = {
 LABELLED_CTE = """labelled as (
   select msg_id, source, ts, lower(type) as type, text from messages where lower(type) in ('spam', 'ham'))"""
 _POSITION = "row_number() over (partition by {g} order by md5('42:' || {k}), {k})"
-FOLDS_CTE = """folds as (
-  select *, (row_number() over (order by type, md5('42:' || msg_id), msg_id) - 1) % 2 + 1 as fold from labelled)"""
+
+
+def _folds(source: str, label: str, key: str, k: int) -> str:
+    """Fold of every row: dealing sizes per class, taken as runs of the hash order."""
+    dealt = [f"((first + n - {j} + {k}) // {k} - (first - {j} + {k}) // {k})" for j in range(1, k)]
+    upto = [" + ".join(dealt[: j + 1]) for j in range(k - 1)]
+    fold = " + ".join(f"(pos > {cut})::bigint" for cut in upto)
+    return f"""select * exclude (pos, n, first), 1::bigint + {fold} as fold from (
+      select s.*, {_POSITION.format(g='s.' + label, k='s.' + key)} as pos, c.n, c.first from {source} s join (
+        select {label}, n, (coalesce(sum(n) over (order by {label} rows between unbounded preceding and 1 preceding), 0))::bigint as first
+        from (select {label}, count(*) as n from {source} group by 1)) c on c.{label} = s.{label})"""
+
+
+FOLDS_CTE = f"folds as ({_folds('labelled', 'type', 'msg_id', 2)})"
 
 
 def _split(source: str, label: str, share: str) -> str:
@@ -268,8 +280,7 @@ ORACLES = {
         order by md5('42:' || l_orderkey || ':' || l_linenumber), l_orderkey, l_linenumber limit 20000""",
     "q_d2_split_documents": _split("documents", "lang", "(case when sum(n) over () < 10000 then 0.3 else 0.2 end)::double"),
     "q_d2_split_labels": _split("labels", "quality", "0.25::double"),
-    "q_d3_folds": """select doc_id, quality,
-        (row_number() over (order by quality, md5('42:' || doc_id), doc_id) - 1) % 5 + 1 as fold from labels""",
+    "q_d3_folds": f"select doc_id, quality, fold from ({_folds('labels', 'quality', 'doc_id', 5)})",
     "q_d4_balance_under": sql.with_messages(
         f"""select msg_id, type from (select *, {_POSITION.format(g='type', k='msg_id')} as pos from labelled)
         where pos <= (select min(n) from (select count(*) as n from labelled group by type))""",

@@ -1,9 +1,12 @@
-"""Exact positions in a seeded random order, without one task per group.
+"""Exact positions and cuts in a seeded random order, without one task per group.
 
-The order is the md5 of ``seed:key``, so any engine can repeat it. Rows are split by the first hex digits of
-that hash into even buckets; bucket counts give each bucket its starting position, and only the rows of
-one (group, bucket) pair are ever sorted together. A label that holds a third of all rows is thereby
-spread over every bucket.
+The order is the md5 of ``seed:key``, so any engine can repeat it. Rows fall into even buckets by the first hex
+digits of that hash, and bucket counts say at which position each bucket starts. A label that holds a third
+of all rows is thereby spread over every bucket.
+
+``with_parts`` cuts groups at given positions: only the bucket that holds a cut is ever sorted, and what comes
+back to the rows is one hash per cut, so splitting a table is a map over it. ``with_position`` numbers every
+row, which takes one shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +15,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_HEX_DIGITS = 3
+from riskloom.session import stored
+
+# Buckets per group: 16^3 when all rows are numbered, 16^4 when only the bucket of a cut is sorted.
+_NUMBER_DIGITS = 3
+_CUT_DIGITS = 4
+# Up to this many cuts over all groups are broadcast.
+_MAX_CUTS = 10_000
 
 
 def seeded_hash(seed: int, *key: str | Column) -> Column:
@@ -21,6 +30,10 @@ def seeded_hash(seed: int, *key: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
+def _bucket(digits: int) -> Column:
+    return F.conv(F.substring("_hash", 1, digits), 16, 10).cast("int")
+
+
 def with_position(
     df: DataFrame, groups: Sequence[str], key: Sequence[str], seed: int = 42,
     position: str = "_position", size: str = "_size",
@@ -35,7 +48,7 @@ def with_position(
     # Null-free key columns, the bucket first: the join and the window then ask for the same partitioning, so
     # rows are shuffled once, and the sort compares a number before anything else.
     hashed = df.withColumn("_hash", seeded_hash(seed, *key)).withColumns(
-        {"_bucket": F.conv(F.substring("_hash", 1, _HEX_DIGITS), 16, 10).cast("int")}
+        {"_bucket": _bucket(_NUMBER_DIGITS)}
         | {f"_key{at}": F.coalesce(F.col(g).cast("string"), F.lit("")) for at, g in enumerate(groups)}
         | {f"_null{at}": F.col(g).isNull() for at, g in enumerate(groups)}
     )
@@ -66,3 +79,56 @@ def with_position(
         position, (F.col("_number") + F.col("_before")).cast("bigint")
     )
     return ranked.select(*df.columns, position, size, *extra)
+
+
+def with_parts(
+    df: DataFrame, groups: Sequence[str], key: Sequence[str], quotas: Callable[[DataFrame], DataFrame],
+    seed: int = 42, part: str = "_part", max_cuts: int = _MAX_CUTS,
+) -> DataFrame:
+    """Cut each group at given positions and add the number of the part, from 0, that a row falls into.
+
+    ``quotas`` turns the table of group sizes ``(groups..., n)`` into ``(groups..., _quotas, ...)``: the
+    ascending positions to cut after, and any figures to add to the rows of the group. Two narrow passes over
+    groups and key find the cuts; the result is then a map over ``df`` with no shuffle. Should the groups
+    have more than ``max_cuts`` cuts, rows are numbered and compared with the quotas instead.
+    """
+    if not groups:
+        whole = df.withColumn("_all", F.lit(0))
+        return with_parts(whole, ["_all"], key, quotas, seed, part, max_cuts).drop("_all")
+    hashed = df.withColumn("_hash", seeded_hash(seed, *key))
+    slim = hashed.select(*dict.fromkeys([*groups, *key]), "_hash", _bucket(_CUT_DIGITS).alias("_bucket"))
+    # Small tables from here on: at most 16^4 rows per group, then one row per group or cut.
+    counts = stored(slim.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_rows")), "bucket-counts")
+    figures = quotas(counts.groupBy(*groups).agg(F.sum("_rows").alias("n")))
+    extra = [c for c in figures.columns if c not in (*groups, "_quotas")]
+    figures = stored(figures, "quotas")
+    if (figures.agg(F.sum(F.size("_quotas") + 1)).head()[0] or 0) > max_cuts:
+        ranked = with_position(df, groups, key, seed, per_group=quotas)
+        passed = F.size(F.filter("_quotas", lambda quota: quota < F.col("_position")))
+        return ranked.select(*df.columns, *extra, passed.alias(part))
+
+    of_group = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
+    renamed = lambda table, *rest: table.select(*[F.col(g).alias(f"_g_{g}") for g in groups], *rest)
+    upto = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    filled = counts.withColumn("_after", F.sum("_rows").over(upto))
+    cuts = renamed(figures, F.posexplode("_quotas").alias("_cut", "_quota"))
+    before = F.col("_after") - F.col("_rows")
+    edges = filled.join(F.broadcast(cuts), of_group).where(
+        (before < F.col("_quota")) & (F.col("_quota") <= F.col("_after"))
+    )
+    edges = renamed(edges, F.col("_bucket").alias("_edge"), "_cut", (F.col("_quota") - before).alias("_need"))
+
+    # The rows of those buckets, and among them the last one before each cut.
+    near = slim.join(F.broadcast(edges), [*of_group, F.col("_bucket") == F.col("_edge")])
+    turn = F.row_number().over(Window.partitionBy(*groups, "_cut").orderBy("_hash", *key))
+    own = F.struct("_hash", *key)
+    last = near.withColumn("_turn", turn).where(F.col("_turn") == F.col("_need"))
+    found = renamed(last.groupBy(*groups).agg(F.sort_array(F.collect_list(own)).alias("_cuts")), "_cuts")
+    per_group = figures.join(found, of_group, "left").select(
+        *[F.col(g).alias(f"_h_{g}") for g in groups], *extra, "_cuts",
+        F.size(F.filter("_quotas", lambda quota: quota <= 0)).alias("_passed"),
+    )
+    small = stored(per_group, "cuts")
+    joined = hashed.join(F.broadcast(small), [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in groups])
+    beyond = F.size(F.filter(F.coalesce("_cuts", F.array().cast(small.schema["_cuts"].dataType)), lambda at: at < own))
+    return joined.select(*df.columns, *extra, (F.col("_passed") + beyond).alias(part))

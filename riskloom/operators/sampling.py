@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskloom.operators.ranking import seeded_hash, with_position
+from riskloom.operators.ranking import seeded_hash, with_parts
 
-# Up to here the n first rows fit the driver's merge of per-task heaps; beyond, positions are computed.
+# Up to here the n first rows fit the driver's merge of per-task heaps; beyond, the table is cut at position n.
 _TOP_N_LIMIT = 10_000
 # Copies made of one row in one step of oversampling.
 _COPY_BLOCK = 4096
@@ -19,8 +19,8 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataF
     if n <= _TOP_N_LIMIT:
         hashed = df.withColumn("_hash", seeded_hash(seed, *key))
         return hashed.orderBy("_hash", *key).limit(n).drop("_hash")
-    ranked = with_position(df, [], key, seed)
-    return ranked.where(F.col("_position") <= n).drop("_position", "_size")
+    cut = lambda sizes: sizes.withColumn("_quotas", F.array(F.lit(n).cast("bigint"))).drop("n")
+    return with_parts(df, [], key, cut, seed).where("_part = 0").drop("_part")
 
 
 def test_quotas(sizes: DataFrame, label: str, share: float | None = None) -> DataFrame:
@@ -50,22 +50,36 @@ def stratified_split(
     df: DataFrame, label: str, key: Sequence[str], share: float | None = None, seed: int = 42
 ) -> DataFrame:
     """Add ``split`` = 'test' or 'train', with the class shares kept in both."""
-    quotas = lambda sizes: test_quotas(sizes, label, share).select(label, F.col("n_test").alias("_n_test"))
-    ranked = with_position(df, [label], key, seed, per_group=quotas)
-    side = F.when(F.col("_position") <= F.col("_n_test"), "test").otherwise("train")
-    return ranked.select(*df.columns, side.alias("split"))
+    cut = lambda sizes: test_quotas(sizes, label, share).select(
+        label, F.array(F.col("n_test").cast("bigint")).alias("_quotas")
+    )
+    parts = with_parts(df, [label], key, cut, seed)
+    return parts.select(*df.columns, F.when(F.col("_part") == 0, "test").otherwise("train").alias("split"))
 
 
 def stratified_folds(df: DataFrame, label: str, key: Sequence[str], k: int = 2, seed: int = 42) -> DataFrame:
-    """Add ``fold`` in 1..k. Folds keep the class shares and differ by at most one row in size: rows are dealt
-    out in turn, class after class."""
+    """Add ``fold`` in 1..k. Folds keep the class shares and differ by at most one row in size.
+
+    Their sizes per class are those of dealing the rows out in turn, class after class.
+    """
     if k < 2:
         raise ValueError("at least two folds are needed")
     classes = Window.partitionBy(F.lit(1)).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = lambda sizes: sizes.select(label, F.coalesce(F.sum("n").over(classes), F.lit(0)).alias("_earlier"))
-    ranked = with_position(df, [label], key, seed, per_group=earlier)
-    turn = (F.col("_earlier") + F.col("_position") - 1) % k + 1
-    return ranked.select(*df.columns, turn.cast("int").alias("fold"))
+
+    def cuts(sizes: DataFrame) -> DataFrame:
+        placed = sizes.withColumn("_first", F.coalesce(F.sum("n").over(classes), F.lit(0)))
+        dealt = lambda upto: F.floor((upto - F.col("_fold") + k) / k)
+        folds = F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("_fold")
+        each = placed.select(label, "n", "_first", folds).withColumn(
+            "_dealt", dealt(F.col("_first") + F.col("n")) - dealt(F.col("_first"))
+        )
+        so_far = Window.partitionBy(label).orderBy("_fold").rowsBetween(Window.unboundedPreceding, 0)
+        return each.withColumn("_upto", F.sum("_dealt").over(so_far)).groupBy(label).agg(
+            F.sort_array(F.collect_list("_upto")).alias("_quotas")
+        )
+
+    parts = with_parts(df, [label], key, cuts, seed)
+    return parts.select(*df.columns, (F.col("_part") + 1).cast("int").alias("fold"))
 
 
 def fold_frames(folds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
@@ -93,17 +107,16 @@ def balance(
         raise ValueError("strategy is 'under', 'over' or 'stratified'")
     # One row per class: smallest and largest are taken over that table.
     classes = Window.partitionBy(F.lit(1))
-    ends = lambda sizes: sizes.select(
-        label, F.min("n").over(classes).alias("_smallest"), F.max("n").over(classes).alias("_largest")
-    )
-    ranked = with_position(df, [label], key, seed, per_group=ends)
     if strategy == "under":
-        return ranked.where(F.col("_position") <= F.col("_smallest")).select(*df.columns)
+        cut = lambda sizes: sizes.select(label, F.array(F.min("n").over(classes)).alias("_quotas"))
+        return with_parts(df, [label], key, cut, seed).where("_part = 0").select(*df.columns)
 
-    copies = F.floor(F.col("_largest") / F.col("_size")) + F.when(
-        F.col("_position") <= F.col("_largest") % F.col("_size"), 1
-    ).otherwise(0)
-    planned = ranked.withColumn("_copies", copies.cast("bigint"))
+    largest = F.max("n").over(classes)
+    again = lambda sizes: sizes.select(
+        label, F.array(largest % F.col("n")).alias("_quotas"), F.floor(largest / F.col("n")).alias("_times")
+    )
+    parts = with_parts(df, [label], key, again, seed)
+    planned = parts.withColumn("_copies", F.col("_times") + F.when(F.col("_part") == 0, 1).otherwise(0))
     # Two steps, spread in between, so that one rare row is not repeated a billion times inside one task.
     blocks = planned.withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / _COPY_BLOCK)))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import sampling as sp
-from riskloom.operators.ranking import with_position
+from riskloom.operators.ranking import with_parts, with_position
 
 
 def in_order(ids, seed=42):
@@ -37,14 +37,46 @@ def test_positions_do_not_depend_on_partitions(frame):
 
 
 def test_a_hot_label_is_spread(spark):
-    """A label with all the rows is ranked in many cells, none of them large."""
-    rows = spark.range(40_000).withColumn("label", F.lit("spam"))
+    """A label with nearly all rows is ranked in many cells, none of them large."""
+    rows = spark.range(40_000).withColumn("label", F.when(F.col("id") % 1000 == 0, "ham").otherwise("spam"))
     plan = with_position(rows, ["label"], ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_bucket" in plan and "SinglePartition" not in plan
     hashes = rows.select(F.substring(F.md5(F.concat(F.lit("42:"), F.col("id").cast("string"))), 1, 3).alias("b"))
     assert hashes.groupBy("b").count().agg(F.max("count")).head()[0] < 40
 
 
+@pytest.mark.parametrize("max_cuts", [10_000, 0])
+def test_parts(frame, max_cuts):
+    """Cuts found in their buckets, and the numbered fallback, put every row into the part of its position."""
+    rows = rows_of(frame, {"a": 400, "b": 30, None: 9})
+    quotas = {"a": [0, 17, 17, 399], "b": [30, 31], None: [4]}
+
+    def cut(sizes):
+        of = F.when(F.col("label") == "a", F.array(*[F.lit(q) for q in quotas["a"]]))
+        of = of.when(F.col("label") == "b", F.array(*[F.lit(q) for q in quotas["b"]])).otherwise(F.array(F.lit(4)))
+        return sizes.select("label", of.cast("array<bigint>").alias("_quotas"), (F.col("n") * 2).alias("twice"))
+
+    got = with_parts(rows, ["label"], ["id"], cut, max_cuts=max_cuts).collect()
+    assert len(got) == 439
+    for label, cuts in quotas.items():
+        own = {r.id: r for r in got if r.label == label}
+        for place, i in enumerate(in_order(own), 1):
+            assert own[i]._part == sum(q < place for q in cuts), (label, place)
+        assert {r.twice for r in own.values()} == {2 * len(own)}
+
+
+def test_splitting_is_a_map(spark):
+    rows = spark.range(5_000).withColumn("label", F.when(F.col("id") % 3 == 0, "a").otherwise("b"))
+    plan = sp.stratified_split(rows, "label", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SinglePartition" not in plan
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "id bigint, label string")
+    assert sp.stratified_split(none, "label", ["id"]).count() == 0
+    assert sp.balance(none, "label", ["id"], "over").count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 40, 100])
 def test_sample_n(frame, n):
     rows = rows_of(frame, {"a": 60})
