@@ -82,32 +82,61 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(gap, 0.0)
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """A number per row, equal for equal rows."""
+    return pd.factorize(np.array([row.tobytes() for row in rows], dtype=object))[0]
+
+
 def _top_k(query_ids, queries, ids, corpus, k: int, metric: str) -> Iterator[pd.DataFrame]:
-    """The k best corpus rows per query; ``ids`` ascend, so position breaks ties by id."""
+    """The k best corpus rows per query; ``ids`` ascend, so position breaks ties by id.
+
+    One matrix product per tile. The best score of each run of columns bounds the k-th best score from
+    below, so only the few runs that reach the bound are looked at one by one.
+    """
+    query_ids = np.asarray(query_ids)
     keep = min(k, len(ids))
-    step = max(1, _TILE // len(ids))
-    for at in range(0, len(query_ids), step):
-        part = queries[at : at + step]
-        score = part @ corpus.T if metric == "ip" else _squared(part, corpus)
-        badness = np.round(-score if metric == "ip" else score, _DIGITS)
-        bound = np.partition(badness, keep - 1, axis=1)[:, keep - 1]
-        row, col = np.nonzero(badness <= bound[:, None])
-        order = np.lexsort((col, badness[row, col], row))
-        row, col = row[order], col[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col = row[place < keep], col[place < keep]
-        yield pd.DataFrame(
-            {
-                "query_id": np.asarray(query_ids)[at + row], "rank": place[place < keep] + 1,
-                "neighbour_id": ids[col], "value": score[row, col],
-            }
-        )
-
-
-def _by_id(ids, vectors, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    width = max(1, min(128, len(ids) // (4 * keep)))
+    runs = -(-len(ids) // width)
+    half = 0.5 * (corpus * corpus).sum(1) if metric == "l2" else 0.0
+    tolerance = 1e-8 + 1e-12 * (np.abs(queries).max(initial=0.0) + np.abs(corpus).max(initial=0.0)) ** 2 * corpus.shape[1]
+
+    # Copies of a query are searched for once.
+    number = _distinct(queries)
+    _, first = np.unique(number, return_index=True)
+    step = max(1, _TILE // (runs * width))
+    for at in range(0, len(first), step):
+        part = queries[first[at : at + step]]
+        gain = np.full((len(part), runs * width), -np.inf)
+        gain[:, : len(ids)] = part @ corpus.T - half
+        gain = gain.reshape(len(part), runs, width)
+        best = gain.max(2)
+        bound = np.partition(best, runs - keep, axis=1)[:, runs - keep] - tolerance
+        row, run = np.nonzero(best >= bound[:, None])
+        hit, place = np.nonzero(gain[row, run] >= bound[row, None])
+        row, col = row[hit], run[hit] * width + place
+
+        if metric == "ip":
+            value = np.einsum("ij,ij->i", part[row], corpus[col])
+        else:
+            value = ((part[row] - corpus[col]) ** 2).sum(1)
+        order = np.lexsort((col, np.round(-value if metric == "ip" else value, _DIGITS), row))
+        row, col, value = row[order], col[order], value[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        kept = rank <= keep
+        found = pd.DataFrame({"row": row[kept] + at, "rank": rank[kept], "neighbour_id": ids[col[kept]], "value": value[kept]})
+        own = (number >= at) & (number < at + step)
+        asked = pd.DataFrame({"query_id": query_ids[own], "row": number[own]})
+        yield asked.merge(found, on="row", sort=False)[["query_id", "rank", "neighbour_id", "value"]]
+
+
+def _by_id(ids, vectors, metric: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus rows in id order. Of equal rows only the k lowest ids can be reported, so only those are kept."""
     ids = np.asarray(ids)
     order = np.argsort(ids, kind="stable")
-    return ids[order], _matrix(vectors, metric, 0)[order]
+    rows = _matrix(vectors, metric, 0)[order]
+    number = pd.Series(_distinct(rows))
+    kept = (number.groupby(number).cumcount() < k).to_numpy()
+    return ids[order][kept], rows[kept]
 
 
 # --- operators ---------------------------------------------------------------------------------------------
@@ -155,7 +184,7 @@ def _broadcast(q: DataFrame, small: pd.DataFrame, k: int, metric: str) -> DataFr
     """Every task gets one copy of the corpus, which is within its byte bound."""
     if small.empty:
         return q.sparkSession.createDataFrame([], _schema(q, "bigint"))
-    ids, matrix = _by_id(small["id"], small["vec"], metric)
+    ids, matrix = _by_id(small["id"], small["vec"], metric, k)
     shared = q.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,10 +216,9 @@ def attach_cases(
     none = F.array().cast("array<struct<text:string,similarity:double>>")
     if small.empty:
         return df.withColumn(out, none)
-    small = small.sort_values("id", kind="stable")
-    shared = df.sparkSession.sparkContext.broadcast(
-        (small["text"].to_numpy(), _matrix(small["vec"], "ip", 0))
-    )
+    places, matrix = _by_id(small["id"].rank(method="first").astype(int) - 1, small["vec"], "ip", k)
+    in_order = small.sort_values("id", kind="stable")["text"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast((in_order[places], matrix))
 
     @F.pandas_udf("array<struct<text:string,value:double>>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -319,7 +347,7 @@ def _blocked(
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": left["id"][:0], "rank": [], "neighbour_id": right["id"][:0], "value": []})
-        ids, rows = _by_id(right["id"], right["vec"], metric)
+        ids, rows = _by_id(right["id"], right["vec"], metric, k)
         parts = _top_k(left["id"].to_numpy(), _matrix(left["vec"], metric, 1), ids, rows, k, metric)
         return pd.concat(list(parts), ignore_index=True)
 
