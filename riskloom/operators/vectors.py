@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 _TILE = 8_000_000  # scores held at once by one task
+_MAX_PIVOTS = 512  # bounds the tables of cells and of cell pairs
+_ROWS_PER_CELL = 8192  # smaller cells cost more in calls than they save in comparisons
 _DIGITS = 9  # scores are compared to this many places, ties by id
 
 
@@ -145,7 +147,7 @@ def _by_id(ids, vectors, metric: str, k: int) -> tuple[np.ndarray, np.ndarray]:
 def knn(
     queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "ip",
     query_id: str = "vec_id", corpus_id: str = "vec_id", vector: str = "embedding",
-    slack: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = 32_768, pivots: int = 256,
+    slack: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = 32_768, pivots: int | None = None,
 ) -> DataFrame:
     """``(query_id, rank, neighbour_id, value)``: the k nearest corpus rows of every query, fewer if the
     corpus is smaller. No self-exclusion.
@@ -159,9 +161,10 @@ def knn(
     q = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("vec")).where("vec is not null")
     c = corpus.select(F.col(corpus_id).alias("id"), F.col(vector).alias("vec")).where("vec is not null")
 
-    small = _fetched(c, broadcast_bytes)
-    if small is not None:
-        return _broadcast(q, small, k, metric)
+    size, rows = _measured(c)
+    if size <= broadcast_bytes:
+        return _broadcast(q, c.toPandas(), k, metric)
+    pivots = pivots or max(8, min(_MAX_PIVOTS, rows // _ROWS_PER_CELL))
     found = _blocked(q, stored(c, "corpus"), k, metric, slack, block_rows, pivots)
     best = F.desc(F.round("value", _DIGITS)) if metric == "ip" else F.asc(F.round("value", _DIGITS))
     order = Window.partitionBy("query_id").orderBy(best, "neighbour_id")
@@ -173,11 +176,10 @@ def _schema(q: DataFrame, c_type: str) -> str:
     return f"query_id {q.schema['id'].dataType.simpleString()}, rank bigint, neighbour_id {c_type}, value double"
 
 
-def _fetched(c: DataFrame, limit: int) -> pd.DataFrame | None:
-    """The rows ``(id, vec[, text])``, or None if they measure more than ``limit`` bytes."""
+def _measured(c: DataFrame) -> tuple[int, int]:
+    """Bytes that the rows ``(id, vec[, text])`` take on the driver, and their number."""
     width = F.size("vec") * 8 + (F.octet_length("text") if "text" in c.columns else F.lit(0)) + 64
-    measured = c.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).head().bytes
-    return c.toPandas() if measured <= limit else None
+    return tuple(c.agg(F.coalesce(F.sum(width), F.lit(0)), F.count(F.lit(1))).head())
 
 
 def _broadcast(q: DataFrame, small: pd.DataFrame, k: int, metric: str) -> DataFrame:
@@ -210,9 +212,9 @@ def attach_cases(
     held = corpus.select(
         F.col(corpus_id).alias("id"), F.col(corpus_vector).alias("vec"), F.col(corpus_text).alias("text")
     ).dropna()
-    small = _fetched(held, broadcast_bytes)
-    if small is None:
+    if _measured(held)[0] > broadcast_bytes:
         return None
+    small = held.toPandas()
     none = F.array().cast("array<struct<text:string,similarity:double>>")
     if small.empty:
         return df.withColumn(out, none)
@@ -309,7 +311,7 @@ def _blocked(
             yield pd.concat([pairs, alone]).groupby(["home", "cell"], as_index=False).sum()
 
     # Queries are grouped by their own nearest cell, so that a group shares the cells it visits. At most
-    # (pivots + 1)^2 rows: which groups visit which cell, and how many queries a group has (cell -1).
+    # pivots * (pivots + 1) rows: which groups visit which cell, and how many queries a group has (cell -1).
     survey = (
         q.mapInPandas(count_visits, "home int, cell int, n bigint")
         .groupBy("home", "cell").agg(F.sum("n").alias("n")).toPandas()
