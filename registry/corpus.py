@@ -71,8 +71,8 @@ def sample_n(spark, sf):
 
 def sample_large(spark, sf):
     """A sample too large for the driver's top-n merge."""
-    return sp.sample_n(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), 20_000,
-                       ["l_orderkey", "l_linenumber"])
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return sp.sample_n(table(spark, sf, "lineitem").select(*key), 20_000, key)
 
 
 def split_documents(spark, sf):
@@ -276,8 +276,8 @@ ORACLES = {
     "q_d1_sample": sql.with_messages(
         "select msg_id, type, text from messages order by md5('42:' || msg_id), msg_id limit 200"
     ),
-    "q_d1_sample_large": """select l_orderkey, l_linenumber from lineitem
-        order by md5('42:' || l_orderkey || ':' || l_linenumber), l_orderkey, l_linenumber limit 20000""",
+    "q_d1_sample_large": """select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem
+        order by md5('42:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey) limit 20000""",
     "q_d2_split_documents": _split("documents", "lang", "(case when sum(n) over () < 10000 then 0.3 else 0.2 end)::double"),
     "q_d2_split_labels": _split("labels", "quality", "0.25::double"),
     "q_d3_folds": f"select doc_id, quality, fold from ({_folds('labels', 'quality', 'doc_id', 5)})",

@@ -87,6 +87,7 @@ def with_parts(
 ) -> DataFrame:
     """Cut each group at given positions and add the number of the part, from 0, that a row falls into.
 
+    ``key`` must identify a row: rows that share it are never cut apart.
     ``quotas`` turns the table of group sizes ``(groups..., n)`` into ``(groups..., _quotas, ...)``: the
     ascending positions to cut after, and any figures to add to the rows of the group. Two narrow passes over
     groups and key find the cuts; the result is then a map over ``df`` with no shuffle. Should the groups
