@@ -81,6 +81,14 @@ def with_position(
     return ranked.select(*df.columns, position, size, *extra)
 
 
+def _local(table: DataFrame, limit: int) -> DataFrame | None:
+    """A table of one row per group as local rows, or None if it has more than ``limit`` rows and cuts."""
+    rows = table.limit(limit + 1).collect()
+    if len(rows) + sum(len(row["_quotas"]) for row in rows if "_quotas" in table.columns) > limit:
+        return None
+    return table.sparkSession.createDataFrame(rows, table.schema)
+
+
 def with_parts(
     df: DataFrame, groups: Sequence[str], key: Sequence[str], quotas: Callable[[DataFrame], DataFrame],
     seed: int = 42, part: str = "_part", max_cuts: int = _MAX_CUTS,
@@ -100,13 +108,13 @@ def with_parts(
     slim = hashed.select(*dict.fromkeys([*groups, *key]), "_hash", _bucket(_CUT_DIGITS).alias("_bucket"))
     # Small tables from here on: at most 16^4 rows per group, then one row per group or cut.
     counts = stored(slim.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_rows")), "bucket-counts")
-    figures = quotas(counts.groupBy(*groups).agg(F.sum("_rows").alias("n")))
-    extra = [c for c in figures.columns if c not in (*groups, "_quotas")]
-    figures = stored(figures, "quotas")
-    if (figures.agg(F.sum(F.size("_quotas") + 1)).head()[0] or 0) > max_cuts:
+    figures = _local(quotas(counts.groupBy(*groups).agg(F.sum("_rows").alias("n"))), max_cuts)
+    if figures is None:
         ranked = with_position(df, groups, key, seed, per_group=quotas)
+        extra = [c for c in ranked.columns if c not in (*df.columns, "_position", "_size", "_quotas")]
         passed = F.size(F.filter("_quotas", lambda quota: quota < F.col("_position")))
         return ranked.select(*df.columns, *extra, passed.alias(part))
+    extra = [c for c in figures.columns if c not in (*groups, "_quotas")]
 
     of_group = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
     renamed = lambda table, *rest: table.select(*[F.col(g).alias(f"_g_{g}") for g in groups], *rest)
@@ -129,7 +137,7 @@ def with_parts(
         *[F.col(g).alias(f"_h_{g}") for g in groups], *extra, "_cuts",
         F.size(F.filter("_quotas", lambda quota: quota <= 0)).alias("_passed"),
     )
-    small = stored(per_group, "cuts")
+    small = _local(per_group, max_cuts)
     joined = hashed.join(F.broadcast(small), [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in groups])
     beyond = F.size(F.filter(F.coalesce("_cuts", F.array().cast(small.schema["_cuts"].dataType)), lambda at: at < own))
     return joined.select(*df.columns, *extra, (F.col("_passed") + beyond).alias(part))
