@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskloom.session import stored
 
@@ -22,6 +22,8 @@ _NUMBER_DIGITS = 3
 _CUT_DIGITS = 4
 # Up to this many cuts over all groups are broadcast.
 _MAX_CUTS = 10_000
+# Group column of a table that is one group.
+_WHOLE = "_all"
 
 
 def seeded_hash(seed: int, *key: str | Column) -> Column:
@@ -89,6 +91,15 @@ def _local(table: DataFrame, limit: int) -> DataFrame | None:
     return table.sparkSession.createDataFrame(rows, table.schema)
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    """A driver value as a column of the given type; lists of structs are the widest it needs to take."""
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[_literal(v, kind.elementType) for v in value or []]).cast(kind)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    return F.lit(value).cast(kind)
+
+
 def with_parts(
     df: DataFrame, groups: Sequence[str], key: Sequence[str], quotas: Callable[[DataFrame], DataFrame],
     seed: int = 42, part: str = "_part", max_cuts: int = _MAX_CUTS,
@@ -102,8 +113,8 @@ def with_parts(
     have more than ``max_cuts`` cuts, rows are numbered and compared with the quotas instead.
     """
     if not groups:
-        whole = df.withColumn("_all", F.lit(0))
-        return with_parts(whole, ["_all"], key, quotas, seed, part, max_cuts).drop("_all")
+        whole = df.withColumn(_WHOLE, F.lit(0))
+        return with_parts(whole, [_WHOLE], key, quotas, seed, part, max_cuts).drop(_WHOLE)
     hashed = df.withColumn("_hash", seeded_hash(seed, *key))
     slim = hashed.select(*dict.fromkeys([*groups, *key]), "_hash", _bucket(_CUT_DIGITS).alias("_bucket"))
     # Small tables from here on: at most 16^4 rows per group, then one row per group or cut.
@@ -138,6 +149,14 @@ def with_parts(
         F.size(F.filter("_quotas", lambda quota: quota <= 0)).alias("_passed"),
     )
     small = _local(per_group, max_cuts)
-    joined = hashed.join(F.broadcast(small), [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in groups])
+    if groups == [_WHOLE]:
+        # One group: its row becomes literals.
+        only = small.head()
+        joined = hashed
+        for name in [*extra, "_cuts", "_passed"]:
+            kind = small.schema[name].dataType
+            joined = joined.withColumn(name, _literal(only[name] if only else None, kind))
+    else:
+        joined = hashed.join(F.broadcast(small), [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in groups])
     beyond = F.size(F.filter(F.coalesce("_cuts", F.array().cast(small.schema["_cuts"].dataType)), lambda at: at < own))
     return joined.select(*df.columns, *extra, (F.col("_passed") + beyond).alias(part))

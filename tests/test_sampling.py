@@ -71,8 +71,16 @@ def test_splitting_is_a_map(spark):
     assert "hashpartitioning" not in plan and "SinglePartition" not in plan
 
 
-def test_empty_table(spark):
+def test_large_sample_is_a_map(spark, monkeypatch):
+    monkeypatch.setattr(sp, "_TOP_N_LIMIT", 10)
+    plan = sp.sample_n(spark.range(300), 20, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_empty_table(spark, monkeypatch):
+    monkeypatch.setattr(sp, "_TOP_N_LIMIT", 10)
     none = spark.createDataFrame([], "id bigint, label string")
+    assert sp.sample_n(none, 20, ["id"]).count() == 0
     assert sp.stratified_split(none, "label", ["id"]).count() == 0
     assert sp.balance(none, "label", ["id"], "over").count() == 0
 
