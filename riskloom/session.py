@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Working folders of this driver, oldest first.
+_FOLDERS: list[str] = []
+
 
 def build_session(app: str = "riskloom", master: str | None = None, **extra: str) -> SparkSession:
     """Session with the settings the operators are tested under.
@@ -34,16 +38,18 @@ def build_session(app: str = "riskloom", master: str | None = None, **extra: str
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Every executor has to see it. Only a local session, where driver and executors share one disk, may
-    fall back to a temporary folder.
+    Every executor has to see it. Where that setting is missing the warehouse folder, which a cluster shares
+    as well, takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="riskloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+        base = os.path.join(warehouse, "_riskloom")
+    folder = os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    _FOLDERS.append(folder)
+    return folder
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -54,3 +60,21 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Remove the working tables made inside the block once it ends; results have to be written by then."""
+    before = len(_FOLDERS)
+    try:
+        yield
+    finally:
+        mine, _FOLDERS[before:] = _FOLDERS[before:], []
+        for folder in mine:
+            discard(spark, folder)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove one working folder, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
