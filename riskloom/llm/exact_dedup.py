@@ -22,6 +22,10 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: Columns that tell where a row's text is read from.
+FILE, ROW = "__file", "__row"
+#: Rows to drop are broadcast up to this number, and joined by a shuffle beyond it.
+BROADCAST_ROWS = 200_000
 _WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -36,8 +40,8 @@ def digest(text: Column) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_file`` and ``_row``: the place its text is read from. A table not read from files is written."""
-    place = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    """``docs`` with the columns FILE and ROW: the place its text is read from. A table not read from files is written."""
+    place = {FILE: F.col("_metadata.file_path"), ROW: F.col("_metadata.row_index")}
     try:
         return docs.withColumns(place)
     except Exception as error:
@@ -54,7 +58,7 @@ def _stream(spark: SparkSession, slim: DataFrame, bytes_per_batch: int | None) -
     if bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", str(bytes_per_batch))
     state = reader.parquet(source).groupBy("digest").agg(
-        F.min(F.struct("none", "doc_id", "_file", "_row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        F.min(F.struct("none", "doc_id", FILE, ROW)).alias("keep"), F.count(F.lit(1)).alias("group_size"))
 
     def write(batch: DataFrame, number: int) -> None:
         # A batch that is run again overwrites its own folder.
@@ -82,32 +86,35 @@ def exact_dedup(
     docs: DataFrame, digest: Callable[[Column], Column] = digest, bytes_per_batch: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): ``doc_id, keep_id, group_size, kept, text_sha256`` and its
-    place ``_file, _row``.
+    place, FILE and ROW.
 
     Texts are equal when identical after ``normalised``. Of equal texts the row with the smallest doc_id stays; a row
     without an id only where no other has one; of repeated ids the first by place. So one row of a group is
     ``kept``, whatever repeats. Rows that share a digest but not the bytes are grouped by their bytes.
     """
     spark = docs.sparkSession
-    rows = located(docs.select("doc_id", "text"))
+    known = [c for c in (FILE, ROW) if c in docs.columns]
+    rows = docs.select("doc_id", "text", *known)
+    if not known:
+        rows = located(rows)
     text = normalised()
     slim = stored(rows.select(
-        "doc_id", F.col("doc_id").isNull().alias("none"), digest(text).alias("digest"), "_file", "_row"), "digests")
-    keepers = stored(_stream(spark, slim.select("digest", "none", "doc_id", "_file", "_row"), bytes_per_batch)
-                     .select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep._file").alias("keep_file"),
-                             F.col("keep._row").alias("keep_row"), "group_size"), "keepers")
+        "doc_id", F.col("doc_id").isNull().alias("none"), digest(text).alias("digest"), FILE, ROW), "digests")
+    keepers = stored(_stream(spark, slim.select("digest", "none", "doc_id", FILE, ROW), bytes_per_batch)
+                     .select("digest", F.col("keep.doc_id").alias("keep_id"), F.col(f"keep.{FILE}").alias("keep_file"),
+                             F.col(f"keep.{ROW}").alias("keep_row"), "group_size"), "keepers")
     grouped = slim.join(keepers, "digest").withColumn(
-        "kept", (F.col("_file") == F.col("keep_file")) & (F.col("_row") == F.col("keep_row")))
+        "kept", (F.col(FILE) == F.col("keep_file")) & (F.col(ROW) == F.col("keep_row")))
     grouped = stored(grouped, "grouped")
 
     # Full bytes of every hit against those of the row that stays. Both sides are fetched by place.
     hits = grouped.where(~F.col("kept"))
-    body = rows.select("_file", "_row", text.alias("body"))
-    hit_bodies = hits.select("digest", "_file", "_row").join(body, ["_file", "_row"])
-    keeper_bodies = (hits.select("digest", F.col("keep_file").alias("_file"), F.col("keep_row").alias("_row"))
-                     .distinct().join(body, ["_file", "_row"]).select("digest", F.col("body").alias("keep_body")))
+    body = rows.select(FILE, ROW, text.alias("body"))
+    hit_bodies = hits.select("digest", FILE, ROW).join(body, [FILE, ROW])
+    keeper_bodies = (hits.select("digest", F.col("keep_file").alias(FILE), F.col("keep_row").alias(ROW))
+                     .distinct().join(body, [FILE, ROW]).select("digest", F.col("body").alias("keep_body")))
     unequal = stored(hit_bodies.join(keeper_bodies, "digest").where("body <> keep_body").select(
-        "digest", "_file", "_row", "body"), "unequal")
+        "digest", FILE, ROW, "body"), "unequal")
     if unequal.isEmpty():
         final = grouped
     else:
@@ -116,23 +123,32 @@ def exact_dedup(
     if digest is globals()["digest"]:
         final = final.withColumn("text_sha256", F.col("digest"))
     else:
-        final = final.join(rows.select("_file", "_row", F.sha2(text, 256).alias("text_sha256")), ["_file", "_row"])
-    return final.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "_file", "_row")
+        final = final.join(rows.select(FILE, ROW, F.sha2(text, 256).alias("text_sha256")), [FILE, ROW])
+    return final.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", FILE, ROW)
+
+
+def deduplicate(docs: DataFrame, bytes_per_batch: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    placed = located(docs)
+    dropped = stored(exact_dedup(placed, bytes_per_batch=bytes_per_batch).where(~F.col("kept")).select(FILE, ROW),
+                     "dropped")
+    small = dropped.count() <= BROADCAST_ROWS
+    return placed.join(F.broadcast(dropped) if small else dropped, [FILE, ROW], "left_anti").drop(FILE, ROW)
 
 
 def _regrouped(grouped: DataFrame, unequal: DataFrame) -> DataFrame:
     """Groups of a shared digest, split: those unlike the kept row are grouped by their whole text."""
-    away = unequal.join(grouped.select("_file", "_row", "doc_id", "none"), ["_file", "_row"])
+    away = unequal.join(grouped.select(FILE, ROW, "doc_id", "none"), [FILE, ROW])
     own = away.groupBy("digest", "body").agg(
-        F.min(F.struct("none", "doc_id", "_file", "_row")).alias("first"), F.count(F.lit(1)).alias("size"))
+        F.min(F.struct("none", "doc_id", FILE, ROW)).alias("first"), F.count(F.lit(1)).alias("size"))
     moved = away.join(own, ["digest", "body"]).select(
-        "_file", "_row", F.col("first.doc_id").alias("new_id"), F.col("first._file").alias("new_file"),
-        F.col("first._row").alias("new_row"), "size")
+        FILE, ROW, F.col("first.doc_id").alias("new_id"), F.col(f"first.{FILE}").alias("new_file"),
+        F.col(f"first.{ROW}").alias("new_row"), "size")
     lost = own.groupBy("digest").agg(F.sum("size").alias("lost"))
-    return (grouped.join(moved, ["_file", "_row"], "left").join(lost, "digest", "left").select(
-        "doc_id", "none", "digest", "_file", "_row",
+    return (grouped.join(moved, [FILE, ROW], "left").join(lost, "digest", "left").select(
+        "doc_id", "none", "digest", FILE, ROW,
         F.when(F.col("size").isNull(), F.col("keep_id")).otherwise(F.col("new_id")).alias("keep_id"),
         F.when(F.col("size").isNull(), F.col("group_size") - F.coalesce("lost", F.lit(0))).otherwise(
             F.col("size")).alias("group_size"),
         F.when(F.col("size").isNull(), F.col("kept")).otherwise(
-            (F.col("_file") == F.col("new_file")) & (F.col("_row") == F.col("new_row"))).alias("kept")))
+            (F.col(FILE) == F.col("new_file")) & (F.col(ROW) == F.col("new_row"))).alias("kept")))

@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cache
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -194,7 +195,7 @@ _FEATURES = ([f"kind {k}" for k in _KINDS] + [f"hint {h}" for h in _HINTS]
              + ["sentence", "copyright", "bare list", "bias"])
 _PLACE = {name: at for at, name in enumerate(_FEATURES)}
 #: Children are tied to their parent by one table of potentials per kind of child.
-_TIES = ("holder", "text", "hinted")
+_TIES = ("holder", "text", "off", "main")
 
 
 @dataclass
@@ -225,6 +226,8 @@ def forest(pages: Sequence[Page]) -> Forest:
             pairs += [(base + at, _PLACE[f"hint {h}"]) for h in found]
             if found - {"content"} or kind in ("nav", "header", "footer", "aside", "form", "dialog"):
                 tie[base + at] = 2
+            elif kind in ("article", "main") or "content" in found:
+                tie[base + at] = 3
         for text, owner, linked in zip(page.text, page.owner, page.linked):
             own[base + owner] += len(text)
             own_links[base + owner] += linked
@@ -301,7 +304,7 @@ def marginals(trees: Forest, model: Model, evidence: np.ndarray | None = None) -
     return state, both, total
 
 
-def fit(pages: Sequence[str], rounds: int = 120, rate: float = 0.15, decay: float = 2e-5) -> Model:
+def fit(pages: Sequence[str], rounds: int = 200, rate: float = 0.15, decay: float = 2e-5) -> Model:
     """Maximum likelihood on pages whose elements carry ``data-label`` (content or boilerplate; inherited).
 
     The gradient is the difference of two passes of messages, with and without the labels as evidence.
@@ -327,30 +330,31 @@ def fit(pages: Sequence[str], rounds: int = 120, rate: float = 0.15, decay: floa
     return Model(point[:size], point[size:].reshape(ties))
 
 
-def labelled_pages(count: int = 260, seed: int = 17) -> list[str]:
+def labelled_pages(count: int = 400, seed: int = 17) -> list[str]:
     """Pages of many layouts, made by rule, whose elements say whether they are content."""
-    random = np.random.default_rng(seed)
+    draw = Random(seed)
     syllables = "ba de fi go ku la me ni po ru sa ti vo wa ze on er an".split()
+    known = ["".join(draw.choices(syllables, k=draw.randint(1, 4))) for _ in range(600)]
 
     def pick(*options):
-        return options[int(random.integers(len(options)))]
+        return draw.choice(options)
 
     def some(chance: float) -> bool:
-        return random.random() < chance
+        return draw.random() < chance
 
     def word() -> str:
-        return "".join(random.choice(syllables, int(random.integers(1, 5))))
+        return draw.choice(known)
 
     def words(low: int, high: int) -> str:
-        return " ".join(word() for _ in range(int(random.integers(low, high))))
+        return " ".join(draw.choices(known, k=draw.randrange(low, high)))
 
     def prose(low: int = 1, high: int = 5) -> str:
         return " ".join(words(2, 18).capitalize() + pick(".", ".", ".", "?", "!")
-                        for _ in range(int(random.integers(low, high))))
+                        for _ in range(draw.randrange(low, high)))
 
     def links(low: int, high: int) -> str:
         return "".join(f'<li><a href="/{word()}">{words(1, 4)}</a></li>'
-                       for _ in range(int(random.integers(low, high))))
+                       for _ in range(draw.randrange(low, high)))
 
     def box(tag: str, label: str, inside: str, hint: str | None = None) -> str:
         attribute = f' {pick("class", "id")}="{hint}"' if hint else ""
@@ -380,7 +384,7 @@ def labelled_pages(count: int = 260, seed: int = 17) -> list[str]:
                                 f"<p>{prose(1, 2)}</p><input type=text><button>{words(1, 2)}</button>"),
                    pick(None, "search", "newsletter", "login"))
         talk = "".join(pick(f"<div class=comment><b>{word()}</b><p>{prose()}</p></div>", f"<p>{prose()}</p>",
-                            f"<li><p>{prose()}</p></li>") for _ in range(int(random.integers(1, 5))))
+                            f"<li><p>{prose()}</p></li>") for _ in range(draw.randrange(1, 5)))
         comments = off(pick("section", "div", "ul", "ol"), pick("", f"<h3>{words(1, 3)}</h3>") + talk,
                        pick("comments", "comment-list", "comments-area", "discussion", "replies"))
         share = off(pick("div", "ul"), f"<ul>{links(2, 5)}</ul>", pick("share", "social-links", "tags"))
@@ -390,26 +394,35 @@ def labelled_pages(count: int = 260, seed: int = 17) -> list[str]:
         }
         return pick(*places[place])
 
-    def block() -> str:
+    def paragraph() -> str:
         inline = pick("", "", f' <a href="/{word()}">{words(1, 4)}</a> {words(1, 5)}.', f" <b>{words(1, 4)}</b>",
                       f" <em>{words(1, 3)}</em> {words(1, 3)}.")
-        return pick(*[f"<p>{prose()}{inline}</p>"] * 6, f"<p>{words(1, 3)}</p>", f"<p>{words(4, 60)}</p>",
-                    f"<p>{' '.join([word()] * int(random.integers(5, 90)))}</p>", f"<p>{prose(8, 30)}</p>",
-                    f"<p>{prose(30, 60)}</p>", f"<p>{word().capitalize()}.</p>",
-                    f"<h2>{words(1, 6)}</h2>", f"<h3>{words(1, 5)}</h3>",
-                    f"<p><b>{prose()}<br>", f"<blockquote>{pick('<p>', '')}{prose()}</blockquote>",
-                    "<ul>" + "".join(f"<li>{prose(1, 2)}</li>" for _ in range(3)) + "</ul>",
-                    f"<ol><li>{words(1, 5)}</li><li>{words(1, 5)}</li></ol>",
-                    f"<table><tr><th>{word()}</th><td>{words(1, 3)}</td></tr><tr><th>{word()}</th>"
-                    f"<td>{words(1, 4)}</td></tr></table>",
-                    f"<pre>{words(2, 9)}</pre>", f"<figure><img src=x><figcaption>{prose(1, 2)}</figcaption></figure>",
-                    f"<div>{prose()}</div>", f"<div><p>{prose()}</p></div>", f"<section><p>{prose()}</p></section>")
+        return f"<p>{prose()}{inline}</p>"
+
+    blocks = [
+        *[paragraph] * 6, lambda: f"<p>{words(1, 4)}</p>", lambda: f"<p>{words(4, 60)}</p>",
+        lambda: f"<p>{' '.join([word()] * draw.randrange(5, 90))}</p>", lambda: f"<p>{prose(8, 30)}</p>",
+        lambda: f"<p>{prose(30, 60)}</p>", lambda: f"<p>{words(60, 200)}</p>",
+        lambda: f"<p>{word().capitalize()}.</p>", lambda: f"<h2>{words(1, 6)}</h2>", lambda: f"<h3>{words(1, 5)}</h3>",
+        lambda: f"<p><b>{prose()}<br>", lambda: f"<blockquote>{pick('<p>', '')}{prose()}</blockquote>",
+        lambda: "<ul>" + "".join(f"<li>{prose(1, 2)}</li>" for _ in range(3)) + "</ul>",
+        lambda: f"<ol><li>{words(1, 5)}</li><li>{words(1, 5)}</li></ol>",
+        lambda: f"<table><tr><th>{word()}</th><td>{words(1, 3)}</td></tr><tr><th>{word()}</th><td>{words(1, 4)}</td>"
+                "</tr></table>",
+        lambda: f"<pre>{words(2, 9)}</pre>",
+        lambda: f"<figure><img src=x><figcaption>{prose(1, 2)}</figcaption></figure>",
+        lambda: f"<div>{prose()}</div>", lambda: f"<div><p>{prose()}</p></div>",
+        lambda: f"<section><p>{prose()}</p></section>",
+    ]
 
     pages = []
     for _ in range(count):
-        body = [block() for _ in range(pick(1, 1, 1, 2, 3, 4, 6, 8))]
+        body = [pick(*blocks)() for _ in range(pick(1, 1, 2, 3, 4, 6, 12, 40))]
+        if some(0.15):
+            # An article of nothing but very short or unfinished paragraphs.
+            body = [f"<p>{pick('', '<b>')}{words(1, 5)}{pick('.', '.', '')}</p>" for _ in range(draw.randrange(2, 25))]
         if some(0.2):
-            body.insert(int(random.integers(len(body) + 1)), boilerplate("middle"))
+            body.insert(draw.randrange(len(body) + 1), boilerplate("middle"))
         if some(0.25):
             body.append(boilerplate("end"))
         title = pick(f"<h1>{words(2, 9)}</h1>", f"<h1>{words(2, 9)}</h1>", "",
@@ -420,8 +433,8 @@ def labelled_pages(count: int = 260, seed: int = 17) -> list[str]:
                     box("main", "content", inside), f"<main><article {LABEL}=content>{inside}</article></main>",
                     box("div", "content", inside, pick("content", "post-body", "entry-content", "article", "main")),
                     box("section", "content", inside, pick("content", "story")))
-        top = "".join(boilerplate("top") for _ in range(int(random.integers(0, 4))))
-        bottom = "".join(boilerplate("bottom") for _ in range(int(random.integers(0, 4))))
+        top = "".join(boilerplate("top") for _ in range(draw.randrange(0, 4)))
+        bottom = "".join(boilerplate("bottom") for _ in range(draw.randrange(0, 4)))
         whole = top + main + bottom
         if some(0.3) and not bare:
             whole = f'<div class="{pick("wrapper", "page", "container", "site")}">{whole}</div>'

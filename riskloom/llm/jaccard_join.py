@@ -205,6 +205,28 @@ def jaccard_join(
         (F.col("uid") == F.col("first.uid")).alias("kept"))
 
 
+def without(docs: DataFrame, dropped: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` whose ``row_key()`` is not in ``dropped`` (row_key).
+
+    ``dropped`` is counted: up to ``broadcast_rows`` numbers it is broadcast, beyond that it is joined by a shuffle.
+    """
+    dropped = stored(dropped.select("row_key").distinct(), "dropped")
+    small = dropped.count() <= broadcast_rows
+    return docs.join(F.broadcast(dropped) if small else dropped, row_key(docs["text"], docs["doc_id"])
+                     == dropped["row_key"], "left_anti")
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``jaccard_join`` keeps, one per class, with all their columns."""
+    classes = stored(jaccard_join(docs, threshold).select("row_key", "kept"), "verdicts")
+    keys = classes.groupBy("row_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    remaining = without(docs, keys.where(~F.col("kept")))
+    if keys.where("kept and n > 1").isEmpty():
+        return remaining
+    # Rows repeated with their id are told apart by nothing: one of them stays.
+    return remaining.withColumn("__key", row_key()).dropDuplicates(["__key"]).drop("__key")
+
+
 def _links(keyed: DataFrame, some: DataFrame, nodes: DataFrame, families: DataFrame, threshold: float,
            width: int) -> DataFrame:
     """(uid, other, links) of every text with a link, from all tasks that compare it."""
