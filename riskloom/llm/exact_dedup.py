@@ -21,6 +21,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Else every partition of the state reserves 4 MB for its manifest.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Columns that tell where a row's text is read from.
 FILE, ROW = "__file", "__row"
@@ -107,13 +109,12 @@ def exact_dedup(
         "kept", (F.col(FILE) == F.col("keep_file")) & (F.col(ROW) == F.col("keep_row")))
     grouped = stored(grouped, "grouped")
 
-    # Full bytes of every hit against those of the row that stays. Both sides are fetched by place.
-    hits = grouped.where(~F.col("kept"))
-    body = rows.select(FILE, ROW, text.alias("body"))
-    hit_bodies = hits.select("digest", FILE, ROW).join(body, [FILE, ROW])
-    keeper_bodies = (hits.select("digest", F.col("keep_file").alias(FILE), F.col("keep_row").alias(ROW))
-                     .distinct().join(body, [FILE, ROW]).select("digest", F.col("body").alias("keep_body")))
-    unequal = stored(hit_bodies.join(keeper_bodies, "digest").where("body <> keep_body").select(
+    # Full bytes of every hit against those of the row that stays. One shuffle fetches the texts of both by place.
+    places = grouped.where(~F.col("kept")).select("digest", FILE, ROW, F.lit(False).alias("keeper")).union(
+        grouped.where(F.col("kept") & (F.col("group_size") > 1)).select("digest", FILE, ROW, F.lit(True)))
+    fetched = stored(rows.select(FILE, ROW, text.alias("body")).join(places, [FILE, ROW]), "bodies")
+    of_keepers = fetched.where("keeper").select("digest", F.col("body").alias("keep_body"))
+    unequal = stored(fetched.where("not keeper").join(of_keepers, "digest").where("body <> keep_body").select(
         "digest", FILE, ROW, "body"), "unequal")
     if unequal.isEmpty():
         final = grouped
