@@ -76,7 +76,7 @@ def sample_large(spark, sf):
 
 
 def split_documents(spark, sf):
-    return sp.stratified_split(_docs(spark, sf).select("doc_id", "lang"), "lang", ["doc_id"])
+    return sp.stratified_split(_docs(spark, sf).select("doc_id", "lang"), "lang", ["doc_id"], share="auto")
 
 
 def split_labels(spark, sf):

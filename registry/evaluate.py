@@ -38,11 +38,11 @@ def metrics(spark, sf):
 
 
 def roc(spark, sf):
-    return _rounded(ev.roc(scored(spark, sf)))
+    return _rounded(ev.roc(scored(spark, sf), digits=4))
 
 
 def auc(spark, sf):
-    return _rounded(ev.auc(scored(spark, sf)))
+    return _rounded(ev.auc(scored(spark, sf), digits=4))
 
 
 def _near_scored(spark, sf):
@@ -56,12 +56,12 @@ def _near_scored(spark, sf):
 
 
 def roc_ranges(spark, sf):
-    out = ev.roc(_near_scored(spark, sf), digits=None)
+    out = ev.roc(_near_scored(spark, sf))
     return out.withColumns({c: F.round(c, 6) for c in ("tpr", "fpr")})
 
 
 def auc_ranges(spark, sf):
-    return _rounded(ev.auc(_near_scored(spark, sf), digits=None))
+    return _rounded(ev.auc(_near_scored(spark, sf)))
 
 
 QUERIES = {

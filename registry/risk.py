@@ -10,7 +10,7 @@ from registry import sql
 from registry.corpus import FOLDS_CTE, LABELLED_CTE
 from registry.evaluate import METRICS_SELECT, cells_cte
 from registry.rules import ALL_CTES
-from registry.vectors import COSINE, SPAM_VECTORS, nearest
+from registry.vectors import COSINE, SPAM_VECTORS, hashed_terms, nearest
 from registry.views import VERDICTS_SQL, messages, raw_verdicts, table
 from riskloom.operators import evaluate as ev, risk, rules, text, verdicts
 from riskloom.plans import evaluation, scoring
@@ -38,18 +38,27 @@ def conform_verdicts(spark, sf):
     )
 
 
-def _inputs(spark, sf):
-    """Every embedding is the vector of the message with its id; the known cases are the spam messages."""
+def _prepared(rows, spark, sf):
+    """Messages with similar cases and verdicts as columns. Every embedding is the vector of the message with its id;
+    the known cases are the spam messages that have one."""
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), "embedding")
-    spam = messages(spark, sf).where("type = 'spam'")
-    known = vecs.join(spam.select("msg_id"), "msg_id")
-    cases = scoring.cases_for(vecs, known, spam.select("msg_id", "text"), corpus_id="msg_id", text_id="msg_id")
-    return cases, answers(spark, sf)
+    corpus = messages(spark, sf).where("type = 'spam'").join(vecs, "msg_id").select(
+        F.col("msg_id").alias("case_id"), "embedding", "text")
+    joined = rows.join(vecs, "msg_id", "left").join(raw_verdicts(spark, sf), "msg_id", "left")
+    return scoring.with_cases(scoring.read_verdicts(joined), corpus)
 
 
 def scored(spark, sf):
-    cases, given = _inputs(spark, sf)
-    return scoring.score_messages(messages(spark, sf), cases, given)
+    return scoring.score_messages(_prepared(messages(spark, sf), spark, sf))
+
+
+def scored_by_join(spark, sf):
+    """The same with similar cases and verdicts kept as tables of their own, joined on the message."""
+    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), "embedding")
+    spam = messages(spark, sf).where("type = 'spam'")
+    known = vecs.join(spam.select("msg_id"), "msg_id")
+    cases = scoring.cases_for(vecs, known, spam.select("msg_id", "text"), corpus_id="msg_id", text_id="msg_id")
+    return scoring.score_messages(messages(spark, sf), cases, answers(spark, sf))
 
 
 def blend_scores(spark, sf):
@@ -79,7 +88,7 @@ def build_reports(spark, sf):
 
 
 def score_messages(spark, sf):
-    return scored(spark, sf).select(
+    return scored_by_join(spark, sf).select(
         "msg_id", "score_financial", "score_urgency", "score_suspicious", "total_score", "max_similarity",
         F.size("similar_cases").cast("bigint").alias("n_cases"), F.col("verdict.error").alias("verdict_error"),
         "risk_score", "risk_level",
@@ -89,20 +98,14 @@ def score_messages(spark, sf):
 def score_by_map(spark, sf):
     """The same scores with the search and the raw answer on the message row: no shuffle after the test tables
     are put together."""
-    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), "embedding")
-    rows = messages(spark, sf).join(vecs, "msg_id", "left").join(raw_verdicts(spark, sf), "msg_id", "left")
-    spam = messages(spark, sf).where("type = 'spam'").join(vecs, "msg_id")
-    corpus = spam.select(F.col("msg_id").alias("case_id"), "embedding", "text")
-    done = scoring.score_messages(scoring.with_cases(scoring.read_verdicts(rows), corpus))
-    return done.select(
+    return scored(spark, sf).select(
         "msg_id", "total_score", "max_similarity", F.size("similar_cases").cast("bigint").alias("n_cases"),
         "risk_score", "risk_level", F.md5("report").alias("report_md5"),
     )
 
 
 def detection_records(spark, sf):
-    cases, given = _inputs(spark, sf)
-    done = scoring.score_requests(messages(spark, sf), cases=cases, answers=given)
+    done = scoring.score_requests(_prepared(messages(spark, sf), spark, sf))
     records = risk.detection_records(done, at=F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz"))
     return records.select(
         "msg_id", "analysis_id", "timestamp", "input_text", "risk_detected", "confidence", "risk_score",
@@ -119,6 +122,7 @@ def _message_vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), "embedding")
 
 
+TEXT_DIMS = 64
 CV_THRESHOLDS = (0.1, 0.2, 0.3, 0.4)
 
 
@@ -132,8 +136,7 @@ def cv_sweep(spark, sf):
 
 def _labelled_scores(rows, spark, sf):
     """Score of a labelled message; null where its answer failed, as a failed request would leave it."""
-    cases, given = _inputs(spark, sf)
-    done = scoring.score_messages(rows, cases, given)
+    done = scoring.score_messages(_prepared(rows, spark, sf))
     failed = F.col("verdict.error").eqNullSafe(verdicts.FAILED)
     return text.to_binary(done).select("msg_id", "y_true", F.when(~failed, F.col("risk_score")).alias("score"))
 
@@ -155,14 +158,16 @@ def threshold_auc(spark, sf):
 
 
 def failure_policy(spark, sf):
-    rows = _labelled_scores(_labelled(spark, sf), spark, sf)
-    kept = [
-        ev.apply_failure_policy(rows, on_error=policy).agg(
-            F.lit(policy).alias("policy"), F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score")
-        )
-        for policy in ("skip", "zero")
-    ]
-    return kept[0].unionByName(kept[1])
+    """Rows and mean score under either policy, from one pass over the scores."""
+    return ev.failure_policies(_labelled_scores(_labelled(spark, sf), spark, sf)).withColumn(
+        "mean_score", F.round("mean_score", 6))
+
+
+def score_from_texts(spark, sf):
+    """The job from nothing but texts: messages and known spam become hashed term vectors."""
+    known = messages(spark, sf).where("type = 'spam'").select(F.col("msg_id").alias("case_id"), "text")
+    cased = scoring.with_cases_from_texts(messages(spark, sf), known, dims=TEXT_DIMS)
+    return scoring.score_messages(cased).select("msg_id", "max_similarity", "risk_score", "risk_level")
 
 
 QUERIES = {
@@ -176,6 +181,7 @@ QUERIES = {
     "q_i5_reports": build_reports,
     "q_i6_score_messages": score_messages,
     "q_i6_score_by_map": score_by_map,
+    "q_i6_score_from_texts": score_from_texts,
     "q_i7_records": detection_records,
     "q_j4_cv_sweep": cv_sweep,
     "q_j7_threshold_report": threshold_report,
@@ -313,6 +319,22 @@ ORACLES = {
     "q_i6_score_by_map": _job(
         "select msg_id, total_score, max_similarity, n_cases, risk_score, risk_level, md5(report) as report_md5 from reported"
     ),
+    # Equal texts have equal vectors, so each pair of distinct texts is compared once.
+    "q_i6_score_from_texts": sql.with_messages(
+        f"""select m.msg_id, if(usable, round((coalesce(best, 0) + 1) / 2 * 0.5, 4), 0) as max_similarity, risk_score,
+          case when not usable then 'Invalid Input' else {_LEVEL.format(x='risk_score')} end as risk_level
+        from (select *, {sql.round4("total * 0.4::double + if(usable, round((coalesce(best, 0) + 1) / 2 * 0.5, 4), 0) * 0.3::double")} as risk_score
+              from (select m.msg_id, best, coalesce(length({sql.strip('m.text')}) >= 3, false) as usable,
+                      if(coalesce(length({sql.strip('m.text')}) >= 3, false), s.total_score, 0) as total
+                    from messages m join scores s using (msg_id) left join nearest_text t on t.text = m.text)) m""",
+        *ALL_CTES,
+        f"""texts as (select distinct text from messages where text is not null),
+        terms as ({hashed_terms('texts', 'text', 'text', TEXT_DIMS)}),
+        known as (select t.* from terms t where t.text in (select text from messages where type = 'spam')),
+        nearest_text as (select text, max(ip) as best from (
+          select a.text, sum(a.x * b.x) as ip from terms a join known b using (axis) group by a.text, b.text)
+          group by text)""",
+    ),
     "q_i7_records": _job(
         f"""select msg_id, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) as analysis_id,
           timestamp '2024-01-31 00:00:00' as timestamp, t as input_text, verdict_score > 0.5 as risk_detected,

@@ -20,8 +20,10 @@ def l2_normalise(spark, sf):
 
 
 def hash_vectors(spark, sf):
+    """Every coordinate that is not zero."""
     out = ops.hash_vectors(table(spark, sf, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.round(ops.norm(F.col("embedding")), 4).alias("norm"))
+    return out.select("doc_id", F.posexplode("embedding").alias("axis", "x")).where("x <> 0").select(
+        "doc_id", F.col("axis").cast("bigint").alias("axis"), F.round("x", 6).alias("x"))
 
 
 def knn(spark, sf):
@@ -42,13 +44,9 @@ def knn_blocked(spark, sf):
 
 
 def knn_approx(spark, sf):
-    """Recall of the approximate search against the exact one."""
+    """Neighbours among the vectors that share a bucket in some table of random projections."""
     every = _vectors(spark, sf)
-    exact = ops.knn(every, every).select("query_id", "neighbour_id")
-    rough = ops.knn_approx(every, every, slack=0.2, block_rows=512, pivots=32).select("query_id", "neighbour_id")
-    both = exact.join(rough, ["query_id", "neighbour_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
-    total = exact.agg(F.count(F.lit(1)).alias("wanted")).scalar()
-    return both.select("hits", total.alias("wanted"))
+    return ops.similar(ops.knn_approx(every, every, tables=APPROX_TABLES, bits=APPROX_BITS))
 
 
 def similar_cases(spark, sf):
@@ -78,6 +76,17 @@ def l2_risk(spark, sf):
     )
 
 
+APPROX_TABLES, APPROX_BITS = 40, 6
+
+
+def hashed_terms(source: str, key: str, text: str, dims: int = 256) -> str:
+    """(key, axis, x) of hashed term vectors, without zeros."""
+    return f"""select {key}, axis, n / sqrt(sum(n * n) over (partition by {key})) as x from (
+      select {key}, ('0x' || substr(md5(term), 1, 8))::bigint % {dims} as axis, count(*)::double as n
+      from (select {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) as term from {source})
+      group by 1, 2)"""
+
+
 COSINE = """list_inner_product(q.embedding::double[], c.embedding::double[])
   / sqrt(list_inner_product(q.embedding::double[], q.embedding::double[]))
   / sqrt(list_inner_product(c.embedding::double[], c.embedding::double[]))"""
@@ -107,15 +116,24 @@ ORACLES = {
     "q_g1_l2_normalise": """select vec_id, axis - 1 as axis, round(e / n, 6) as x from (
       select vec_id, unnest(embedding)::double as e, generate_subscripts(embedding, 1) as axis,
              sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings)""",
-    "q_g2_hash_vectors": """select doc_id,
-      case when regexp_matches(text, '[\\p{L}\\p{N}_]') then 1.0::double else 0.0::double end as norm
-      from documents""",
+    "q_g2_hash_vectors": f"select doc_id, axis, round(x, 6) as x from ({hashed_terms('documents', 'doc_id', 'text')})",
     "q_g3_knn": nearest(),
     "q_g3_knn_blocked": nearest(),
     "q_g4_scaled_similarity": f"""select rank, min(similarity) as lowest, max(similarity) as highest, count(*) as n
       from ({nearest()}) group by rank""",
     "q_g5_similar_cases": f"""select query_id, row_number() over (partition by query_id order by rank) - 1 as place,
       md5(text) as text_md5, similarity from ({nearest()}) n join documents d on d.doc_id = n.neighbour_id""",
+    "q_g6_knn_approx": f"""with planes as (
+        select t, b, list(case when substr(md5(t || ':' || b || ':' || i), 1, 1) < '8' then 1.0::double else -1.0 end
+                          order by i) as plane
+        from range({APPROX_TABLES}) a(t), range({APPROX_BITS}) c(b), range(64) d(i) group by t, b),
+      keys as (select vec_id, t, sum(case when list_inner_product(embedding::double[], plane) > 0 then 1 << b else 0 end) as k
+               from embeddings, planes group by vec_id, t),
+      pairs as (select distinct a.vec_id as q, b.vec_id as c from keys a join keys b on a.t = b.t and a.k = b.k)
+      select query_id, rank, neighbour_id, round((ip + 1) / 2 * 0.5, 4) as similarity from (
+        select *, row_number() over (partition by query_id order by round(ip, 9) desc, neighbour_id) as rank from (
+          select q.vec_id as query_id, c.vec_id as neighbour_id, {COSINE} as ip
+          from pairs p join embeddings q on q.vec_id = p.q join embeddings c on c.vec_id = p.c)) where rank <= 3""",
     "q_g7_max_similarity": f"""select event_id as msg_id, coalesce(best, 0) as max_similarity
       from events left join (select query_id, max(similarity) as best from ({nearest(SPAM_VECTORS)}) group by 1) b
       on b.query_id = event_id""",

@@ -26,7 +26,8 @@ def dedup(
 ) -> DataFrame:
     """One row per key: the last (or first) in ``order``.
 
-    An aggregate rather than a window: copies of a hot key fold into one row on each task before the shuffle.
+    An aggregate rather than a window: copies of a hot key fold into one row on each task before the shuffle. The
+    keys' hash leads the grouping, so the sort this takes compares numbers, and texts only where those are equal.
     ``where`` drops rows first. Use it instead of a filter when it tests a costly derived column (and holds
     for no null key): the optimizer would push a filter below that column and compute the column twice,
     while here the dropped rows fold into one group.
@@ -37,10 +38,11 @@ def dedup(
     pick = F.max_by if keep == "last" else F.min_by
     row = pick(F.struct(*rest), F.struct(*order)).alias("_row")
     if where is None:
-        chosen = df.groupBy(*keys).agg(row)
+        chosen = df.groupBy(F.xxhash64(*keys).alias("_hash"), *keys).agg(row)
     else:
         tested = df.withColumn("_kept", F.coalesce(where, F.lit(False)))
-        groups = tested.groupBy(*[F.when(F.col("_kept"), F.col(k)).alias(k) for k in keys])
+        held = [F.when(F.col("_kept"), F.col(k)).alias(k) for k in keys]
+        groups = tested.groupBy(F.when(F.col("_kept"), F.xxhash64(*keys)).alias("_hash"), *held)
         chosen = groups.agg(row, F.bool_or("_kept").alias("_kept")).where("_kept")
     return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 

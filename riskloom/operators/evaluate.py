@@ -24,6 +24,19 @@ def apply_failure_policy(df: DataFrame, score: str = "score", on_error: str = "s
     raise ValueError("on_error is 'skip' or 'zero'")
 
 
+def failure_policies(df: DataFrame, score: str = "score") -> DataFrame:
+    """``(policy, n, mean_score)`` of both policies, from one aggregate over the scored rows."""
+    whole = df.agg(
+        F.count(score).alias("_n"), F.avg(score).alias("_mean"), F.count(F.lit(1)).alias("_all"),
+        F.avg(F.coalesce(score, F.lit(0.0))).alias("_zero"),
+    )
+    rows = [
+        F.struct(F.lit(policy).alias("policy"), F.col(n).alias("n"), F.col(mean).alias("mean_score"))
+        for policy, n, mean in (("skip", "_n", "_mean"), ("zero", "_all", "_zero"))
+    ]
+    return whole.select(F.inline(F.array(*rows)))
+
+
 def predict(df: DataFrame, thresholds: Sequence[float] = SWEEP_THRESHOLDS, score: str = "score") -> DataFrame:
     """One row per input row and threshold, with ``y_pred`` = score >= threshold."""
     each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
@@ -133,12 +146,13 @@ def _running_totals(counts: DataFrame, bounded: bool) -> DataFrame:
 
 
 def roc(
-    df: DataFrame, digits: int | None = 4, y_true: str = "y_true", score: str = "score"
+    df: DataFrame, digits: int | None = None, y_true: str = "y_true", score: str = "score"
 ) -> DataFrame:
     """ROC points, one per distinct score, plus the origin (its threshold is null).
 
-    Risk scores have 4 places, so the table of distinct scores is bounded and one ordered pass does.
-    ``digits=None`` takes scores as they are, however many there are, and orders them range by range.
+    Scores are taken as they are, however many there are, and ordered range by range. With ``digits`` they are rounded
+    to that many places first, and have to lie between 0 and 1: risk scores have 4 places, so the table of distinct
+    scores is bounded and one ordered pass does.
     """
     points = _running_totals(_score_counts(df, digits, y_true, score), digits is not None)
     point = F.struct(
@@ -155,7 +169,7 @@ def roc(
     return points.select(F.inline(F.when(highest, F.array(origin, point)).otherwise(F.array(point))))
 
 
-def auc(df: DataFrame, digits: int | None = 4, y_true: str = "y_true", score: str = "score") -> DataFrame:
+def auc(df: DataFrame, digits: int | None = None, y_true: str = "y_true", score: str = "score") -> DataFrame:
     """Area under the ROC curve by trapezoids, tied scores as one step; null if a class is missing."""
     points = _running_totals(_score_counts(df, digits, y_true, score), digits is not None)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))

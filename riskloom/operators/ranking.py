@@ -106,11 +106,13 @@ def with_parts(
 ) -> DataFrame:
     """Cut each group at given positions and add the number of the part, from 0, that a row falls into.
 
-    ``key`` must identify a row: rows that share it are never cut apart.
+    Parts have exactly the sizes asked for. Rows that share ``key`` may be cut apart; which of them go where is
+    then not determined, as nothing tells them apart.
     ``quotas`` turns the table of group sizes ``(groups..., n)`` into ``(groups..., _quotas, ...)``: the
     ascending positions to cut after, and any figures to add to the rows of the group. Two narrow passes over
     groups and key find the cuts; the result is then a map over ``df`` with no shuffle. Should the groups
-    have more than ``max_cuts`` cuts, rows are numbered and compared with the quotas instead.
+    have more than ``max_cuts`` cuts, or a cut fall between rows that share a key, rows are numbered and compared
+    with the quotas instead, with the same sizes.
     """
     if not groups:
         whole = df.withColumn(_WHOLE, F.lit(0))
@@ -120,11 +122,15 @@ def with_parts(
     # Small tables from here on: at most 16^4 rows per group, then one row per group or cut.
     counts = stored(slim.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_rows")), "bucket-counts")
     figures = _local(quotas(counts.groupBy(*groups).agg(F.sum("_rows").alias("n"))), max_cuts)
-    if figures is None:
+
+    def numbered() -> DataFrame:
         ranked = with_position(df, groups, key, seed, per_group=quotas)
         extra = [c for c in ranked.columns if c not in (*df.columns, "_position", "_size", "_quotas")]
         passed = F.size(F.filter("_quotas", lambda quota: quota < F.col("_position")))
         return ranked.select(*df.columns, *extra, passed.alias(part))
+
+    if figures is None:
+        return numbered()
     extra = [c for c in figures.columns if c not in (*groups, "_quotas")]
 
     of_group = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
@@ -142,7 +148,13 @@ def with_parts(
     near = slim.join(F.broadcast(edges), [*of_group, F.col("_bucket") == F.col("_edge")])
     turn = F.row_number().over(Window.partitionBy(*groups, "_cut").orderBy("_hash", *key))
     own = F.struct("_hash", *key)
-    last = near.withColumn("_turn", turn).where(F.col("_turn") == F.col("_need"))
+    turned = near.withColumn("_turn", turn)
+    following = F.lead(own).over(Window.partitionBy(*groups, "_cut").orderBy("_hash", *key))
+    last = turned.withColumn("_tied", F.coalesce(following == own, F.lit(False))).where(
+        F.col("_turn") == F.col("_need"))
+    # A cut between rows of the same key: a value cannot part them.
+    if not last.where("_tied").isEmpty():
+        return numbered()
     found = renamed(last.groupBy(*groups).agg(F.sort_array(F.collect_list(own)).alias("_cuts")), "_cuts")
     per_group = figures.join(found, of_group, "left").select(
         *[F.col(g).alias(f"_h_{g}") for g in groups], *extra, "_cuts",

@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.text import BOUNDARY
 
-_MAX_RULES = 10_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -36,12 +34,14 @@ class RulePack:
 
     @classmethod
     def from_frames(cls, rules: DataFrame, caps: DataFrame) -> "RulePack":
-        """Pack kept as tables ``(category, pattern, weight)`` and ``(category, max_score)``."""
-        rows = rules.select("category", "pattern", "weight").orderBy("category", "pattern").limit(_MAX_RULES + 1)
-        found = rows.collect()
-        if len(found) > _MAX_RULES:
-            raise ValueError(f"a rule pack holds at most {_MAX_RULES} rules")
-        limits = caps.select("category", "max_score").orderBy("category").limit(_MAX_RULES).collect()
+        """Pack kept as tables ``(category, pattern, weight)`` and ``(category, max_score)``.
+
+        Rules become part of the plan, so a pack is as large as plans may be. Each category needs a cap.
+        """
+        found = rules.select("category", "pattern", "weight").orderBy("category", "pattern").collect()
+        limits = caps.select("category", "max_score").orderBy("category").collect()
+        if missing := sorted({str(r.category) for r in found} - {str(c.category) for c in limits}):
+            raise ValueError(f"no cap for the categories {missing}")
         return cls(
             tuple(Rule(r.category, r.pattern, float(r.weight)) for r in found),
             {c.category: float(c.max_score) for c in limits},

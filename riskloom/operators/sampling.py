@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskloom.operators.ranking import seeded_hash, with_parts
 
-# Up to here the n first rows fit the driver's merge of per-task heaps; beyond, the table is cut at position n.
+# Up to here the n first rows fit the driver's merge of per-task heaps; beyond, the table is cut at position n. Both
+# take the n first rows in the same order.
 _TOP_N_LIMIT = 10_000
 # Copies made of one row in one step of oversampling.
 _COPY_BLOCK = 4096
@@ -23,14 +24,14 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataF
     return with_parts(df, [], key, cut, seed).where("_part = 0").drop("_part")
 
 
-def test_quotas(sizes: DataFrame, label: str, share: float | None = None) -> DataFrame:
+def test_quotas(sizes: DataFrame, label: str, share: float | str = 0.2) -> DataFrame:
     """Test rows per label: ceil(N * share) in total, spread by largest remainder, ties by label.
 
-    ``sizes`` is ``(label, n)``, one row per class. Without ``share`` it is .3 below 10,000 rows, else .2.
+    ``sizes`` is ``(label, n)``, one row per class. The share ``"auto"`` is .3 below 10,000 rows, else .2.
     """
     everything = Window.partitionBy(F.lit(1))
     total = F.sum("n").over(everything)
-    wanted = F.lit(float(share)) if share is not None else F.when(total < 10_000, 0.3).otherwise(0.2)
+    wanted = F.when(total < 10_000, 0.3).otherwise(0.2) if share == "auto" else F.lit(float(share))
     # The 1e-9 keeps a product such as 10 * 0.3 from being rounded up by its binary error.
     sized = sizes.withColumn("_total", F.ceil(total * wanted - 1e-9)).withColumn(
         "_exact", F.col("n") * F.col("_total") / total
@@ -47,7 +48,7 @@ def test_quotas(sizes: DataFrame, label: str, share: float | None = None) -> Dat
 
 
 def stratified_split(
-    df: DataFrame, label: str, key: Sequence[str], share: float | None = None, seed: int = 42
+    df: DataFrame, label: str, key: Sequence[str], share: float | str = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add ``split`` = 'test' or 'train', with the class shares kept in both."""
     cut = lambda sizes: test_quotas(sizes, label, share).select(
@@ -94,11 +95,13 @@ def fold_corpus(folds: DataFrame, fold: int, label: str = "type", positive: str
 
 
 def balance(
-    df: DataFrame, label: str, key: Sequence[str], strategy: str = "under", seed: int = 42
+    df: DataFrame, label: str, key: Sequence[str], strategy: str = "under", seed: int = 42,
+    classes: Sequence[str] | None = None,
 ) -> DataFrame:
     """Same number of rows per class.
 
-    'under' cuts every class to the smallest, 'over' repeats rows up to the largest (``copy`` numbers them),
+    With ``classes`` only these count, and one of them without rows has size 0, so 'under' leaves nothing; without,
+    the classes are the labels that occur, null included. 'under' cuts every class to the smallest, 'over' repeats rows up to the largest (``copy`` numbers them),
     'stratified' leaves the table as it is.
     """
     if strategy == "stratified":
@@ -106,12 +109,17 @@ def balance(
     if strategy not in ("under", "over"):
         raise ValueError("strategy is 'under', 'over' or 'stratified'")
     # One row per class: smallest and largest are taken over that table.
-    classes = Window.partitionBy(F.lit(1))
+    every = Window.partitionBy(F.lit(1))
+    if classes is not None:
+        df = df.where(F.col(label).isin(*classes))
     if strategy == "under":
-        cut = lambda sizes: sizes.select(label, F.array(F.min("n").over(classes)).alias("_quotas"))
+        smallest = F.min("n").over(every)
+        if classes is not None:
+            smallest = F.when(F.count(F.lit(1)).over(every) < len(set(classes)), F.lit(0)).otherwise(smallest)
+        cut = lambda sizes: sizes.select(label, F.array(smallest.cast("bigint")).alias("_quotas"))
         return with_parts(df, [label], key, cut, seed).where("_part = 0").select(*df.columns)
 
-    largest = F.max("n").over(classes)
+    largest = F.max("n").over(every)
     again = lambda sizes: sizes.select(
         label, F.array(largest % F.col("n")).alias("_quotas"), F.floor(largest / F.col("n")).alias("_times")
     )

@@ -8,6 +8,7 @@ size, and what leaves a block is at most k rows per query.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -48,16 +49,23 @@ def scaled_similarity(inner_product: Column) -> Column:
 
 
 def hash_vectors(df: DataFrame, column: str = "text", dims: int = 256, out: str = "embedding") -> DataFrame:
-    """Text to a unit vector of hashed term counts. Null text gives the zero vector."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
+    """Text to a unit vector of term counts; a term's axis follows from its md5. Null text gives the zero vector."""
     from riskloom.functions.text import WORD
 
     terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(f"([{WORD}]+)"), F.lit(1))
-    counted = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dims).transform(df.withColumn("_terms", terms))
-    scaled = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(counted)
-    return scaled.withColumn(out, vector_to_array("_unit", "float32")).drop("_terms", "_tf", "_unit")
+    axes = F.transform(terms, lambda term: F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % dims)
+
+    @F.pandas_udf("array<double>")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            size = [len(row) for row in batch]
+            flat = np.concatenate([np.zeros(0, np.int64), *batch]).astype(np.int64)
+            row = np.repeat(np.arange(len(batch)), size)
+            counts = np.bincount(row * dims + flat, minlength=len(batch) * dims).reshape(len(batch), dims)
+            length = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+            yield pd.Series(list(counts / np.maximum(length, 1e-300)))
+
+    return df.withColumn(out, counted(axes))
 
 
 # --- kernels on Arrow batches ------------------------------------------------------------------------------
@@ -163,7 +171,7 @@ def knn(
 
     size, rows = _measured(c)
     if size <= broadcast_bytes:
-        return _broadcast(q, c.toPandas(), k, metric)
+        return _broadcast(q, c.toPandas(), c.schema["id"].dataType.simpleString(), k, metric)
     pivots = pivots or max(8, min(_MAX_PIVOTS, rows // _ROWS_PER_CELL))
     found = _blocked(q, stored(c, "corpus"), k, metric, slack, block_rows, pivots)
     best = F.desc(F.round("value", _DIGITS)) if metric == "ip" else F.asc(F.round("value", _DIGITS))
@@ -182,10 +190,10 @@ def _measured(c: DataFrame) -> tuple[int, int]:
     return tuple(c.agg(F.coalesce(F.sum(width), F.lit(0)), F.count(F.lit(1))).head())
 
 
-def _broadcast(q: DataFrame, small: pd.DataFrame, k: int, metric: str) -> DataFrame:
+def _broadcast(q: DataFrame, small: pd.DataFrame, c_type: str, k: int, metric: str) -> DataFrame:
     """Every task gets one copy of the corpus, which is within its byte bound."""
     if small.empty:
-        return q.sparkSession.createDataFrame([], _schema(q, "bigint"))
+        return q.sparkSession.createDataFrame([], _schema(q, c_type))
     ids, matrix = _by_id(small["id"], small["vec"], metric, k)
     shared = q.sparkSession.sparkContext.broadcast((ids, matrix))
 
@@ -195,7 +203,6 @@ def _broadcast(q: DataFrame, small: pd.DataFrame, k: int, metric: str) -> DataFr
             if len(batch):
                 yield from _top_k(batch["id"].to_numpy(), _matrix(batch["vec"], metric, 1), known, rows, k, metric)
 
-    c_type = "string" if ids.dtype == object else "bigint"
     return q.mapInPandas(search, _schema(q, c_type))
 
 
@@ -264,7 +271,7 @@ def _blocked(
                 yield batch.assign(cell=cell, radius=gaps[np.arange(len(cell)), cell])
 
     # Read by three jobs below.
-    placed = stored(slim.mapInPandas(place, f"id {id_type}, vec array<float>, cell int, radius double"), "cells")
+    placed = stored(slim.mapInPandas(place, f"id {id_type}, vec {c.schema['vec'].dataType.simpleString()}, cell int, radius double"), "cells")
 
     # One row per pivot: the cell's size, its radii, and its k smallest radii.
     near = Window.partitionBy("cell").orderBy("radius", "id")
@@ -336,7 +343,8 @@ def _blocked(
 
     q_type = q.schema["id"].dataType.simpleString()
     visits = q.mapInPandas(
-        visit, f"id {q_type}, vec array<float>, home int, chunks bigint, cell int, blocks bigint"
+        visit, f"id {q_type}, vec {q.schema['vec'].dataType.simpleString()}, home int, chunks bigint, cell int, "
+               "blocks bigint"
     )
     spread = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts))
     every = lambda parts: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1))
@@ -386,9 +394,74 @@ def max_similarity(queries: DataFrame, neighbours: DataFrame, query_id: str = "v
     return joined.select(*queries.columns, F.coalesce("max_similarity", F.lit(0.0)).alias("max_similarity"))
 
 
-def knn_approx(queries: DataFrame, corpus: DataFrame, k: int = 3, slack: float = 0.1, **options) -> DataFrame:
-    """Neighbours whose k-th distance is at most (1 + slack) times the true one, for large corpora."""
-    return knn(queries, corpus, k, slack=slack, **{"broadcast_bytes": 0, **options})
+def _planes(tables: int, bits: int, dims: int) -> np.ndarray:
+    """Directions of plus and minus ones, from md5, so that any engine can repeat them."""
+    sign = [
+        1.0 if hashlib.md5(f"{t}:{b}:{axis}".encode()).hexdigest()[0] < "8" else -1.0
+        for t in range(tables) for b in range(bits) for axis in range(dims)
+    ]
+    return np.array(sign).reshape(tables * bits, dims)
+
+
+def knn_approx(
+    queries: DataFrame, corpus: DataFrame, k: int = 3, tables: int = 40, bits: int = 6,
+    query_id: str = "vec_id", corpus_id: str = "vec_id", vector: str = "embedding", block_rows: int = 32_768,
+) -> DataFrame:
+    """The k best by cosine among the corpus rows that share a bucket with the query, for large corpora.
+
+    Each of ``tables`` buckets a vector by the signs of ``bits`` projections, so two vectors at an angle a meet in one
+    with the chance (1 - a / pi) ** bits. More tables raise recall and work, more bits lower both. Candidates are ranked
+    exactly, with ties by id as in ``knn``. A bucket with more rows than ``block_rows`` is cut into blocks, and what
+    leaves a block is k rows per query.
+    """
+    q = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("vec")).where("vec is not null")
+    c = corpus.select(F.col(corpus_id).alias("id"), F.col(vector).alias("vec")).where("vec is not null")
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            planes, powers = None, 1 << np.arange(bits)
+            for batch in batches:
+                if not len(batch):
+                    continue
+                rows = np.stack([np.asarray(v, dtype=np.float64) for v in batch["vec"]])
+                if planes is None:
+                    planes = _planes(tables, bits, rows.shape[1])
+                signs = ((rows @ planes.T) > 0).reshape(len(rows), tables, bits)
+                cells = (signs * powers).sum(axis=2) + (np.arange(tables) << bits)
+                for table in range(tables):
+                    yield batch.assign(cell=cells[:, table].astype(np.int32))
+
+        kind = df.schema
+        return df.mapInPandas(
+            assign, f"id {kind['id'].dataType.simpleString()}, vec {kind['vec'].dataType.simpleString()}, cell int"
+        )
+
+    asked, held = bucketed(q), bucketed(c)
+    # At most tables * 2 ** bits rows: into how many parts the rows of either side of a bucket are cut.
+    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
+    plan = stored(parts(asked, "chunks").join(parts(held, "blocks"), "cell"), "buckets")
+    spread = lambda name: F.pmod(F.xxhash64("id"), F.col(name))
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
+    left = asked.join(F.broadcast(plan), "cell").select(
+        "id", "vec", "cell", spread("chunks").alias("chunk"), every("blocks").alias("block"))
+    right = held.join(F.broadcast(plan), "cell").select(
+        "id", "vec", "cell", every("chunks").alias("chunk"), spread("blocks").alias("block"))
+
+    def search(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
+        if near.empty or far.empty:
+            return pd.DataFrame({"query_id": near["id"][:0], "rank": [], "neighbour_id": far["id"][:0], "value": []})
+        ids, rows = _by_id(far["id"], far["vec"], "ip", k)
+        found = _top_k(near["id"].to_numpy(), _matrix(near["vec"], "ip", 1), ids, rows, k, "ip")
+        return pd.concat(list(found), ignore_index=True)
+
+    spot = ["cell", "chunk", "block"]
+    hits = left.groupBy(*spot).cogroup(right.groupBy(*spot)).applyInPandas(
+        search, _schema(q, c.schema["id"].dataType.simpleString()))
+    # The same pair from several tables is one.
+    once = hits.groupBy("query_id", "neighbour_id").agg(F.max("value").alias("value"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("value", _DIGITS)), "neighbour_id")
+    ranked = once.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "neighbour_id", "value")
 
 
 def l2_risk(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "vec_id", **options) -> DataFrame:

@@ -51,7 +51,7 @@ def prepare_eval_set(
     first = dedup(_staged(df, lang), ["text"], order, keep="first", where=F.col("_valid"))
     # Balancing counts the classes and then ranks the rows: cleaning must not run for each.
     unique = stored(first.drop("_long", "_valid"), "eval-set")
-    return balance(unique, "type", key, "under", seed)
+    return balance(unique, "type", key, "under", seed, ops.LABELS)
 
 
 def funnel(df: DataFrame, order: Sequence[str], lang: str = "lang") -> DataFrame:
@@ -70,7 +70,9 @@ def funnel(df: DataFrame, order: Sequence[str], lang: str = "lang") -> DataFrame
             F.count_if(test & (F.col("type") == "ham")).alias(f"ham{at}"),
         ]
     first = F.min_by("type", F.struct(*order)).alias("_first")
-    groups = staged.groupBy(F.when(F.col("_valid"), F.col("text")).alias("_text")).agg(*sums, first)
+    # The hash leads, so that sorting the groups compares texts only where it is equal.
+    groups = staged.groupBy(F.when(F.col("_valid"), F.xxhash64("text")).alias("_hash"),
+                            F.when(F.col("_valid"), F.col("text")).alias("_text")).agg(*sums, first)
     kept = F.col("_text").isNotNull()
     folded = groups.agg(
         *[F.sum(f"{kind}{at}").alias(f"{kind}{at}") for at in range(len(alive)) for kind in _KINDS],

@@ -53,12 +53,14 @@ def cv_sweep(
 def threshold_report(
     messages: DataFrame, scorer: Callable[[DataFrame], DataFrame], n: int = 200,
     thresholds: Sequence[float] = evaluate.FINE_THRESHOLDS, key: Sequence[str] = ("msg_id",), seed: int = 42,
-    on_error: str = "skip",
+    on_error: str = "skip", digits: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metrics, ROC points and AUC over a sample of ``n`` messages.
 
-    ``scorer`` turns messages into ``(y_true, score)`` rows; only the sample is ever scored, and once.
+    ``scorer`` turns messages into ``(y_true, score)`` rows; only the sample is ever scored, and once. Scores are
+    rounded only if ``digits`` says so.
     """
     sample = stored(scorer(sample_n(messages, n, list(key), seed)), "sample")
     kept = evaluate.apply_failure_policy(sample, on_error=on_error)
-    return evaluate.metrics(evaluate.confusion(kept, thresholds)), evaluate.roc(kept), evaluate.auc(kept)
+    return (evaluate.metrics(evaluate.confusion(kept, thresholds)), evaluate.roc(kept, digits),
+            evaluate.auc(kept, digits))

@@ -29,8 +29,11 @@ def with_cases(
     """Messages with ``similar_cases`` from a corpus ``(case_id, embedding, text)``.
 
     With a corpus that can be broadcast this is a map over the messages. Otherwise the neighbours are
-    searched by cells and joined back on the key (batch only).
+    searched by cells and joined back on the key. A corpus may grow past that bound while a stream runs, so a stream
+    is refused at any size: give ``streaming.detect.write_batches`` this as the job of each micro-batch.
     """
+    if messages.isStreaming:
+        raise ValueError("similar cases of a stream are searched per micro-batch: use write_batches")
     mapped = vectors.attach_cases(messages, corpus, k, vector, broadcast_bytes=broadcast_bytes)
     if mapped is not None:
         return mapped

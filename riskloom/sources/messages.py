@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.operators.dedup import union_sources
 
-MESSAGE_ORDER = ("file_seq", "block_seq", "row_seq")
+MESSAGE_ORDER = ("file_seq", "file_path", "block_seq", "row_seq")
 _SPLITS = ("train", "test")
 
 
@@ -27,8 +27,9 @@ def read_messages(
 ) -> DataFrame:
     """Positional CSV: column 0 is the label, column 1 the text, any further column is ignored.
 
-    Rows with fewer fields are dropped and undecodable bytes replaced. ``file_seq, block_seq, row_seq`` keep
-    the order of the paths, of the blocks in a file and of the rows in a block. Quoted line breaks need
+    Rows with fewer fields are dropped and undecodable bytes replaced. ``file_seq, file_path, block_seq,
+    row_seq`` keep the order of the paths, of the files in a folder by name, of the blocks in a file and of the rows in
+    a block. Quoted line breaks need
     ``multi_line``, which reads a file in one task; large files without them should be read without it.
     """
     frames = []
@@ -36,6 +37,7 @@ def read_messages(
         rows = _csv(spark, encoding, multi_line).schema("type string, text string").csv(path)
         placed = rows.select(
             "type", "text", F.lit(at).alias("file_seq"),
+            F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block_seq"),
             F.monotonically_increasing_id().alias("row_seq"),
         )

@@ -48,7 +48,7 @@ def test_scores_beyond_one_need_the_ranged_form(frame):
     rows = frame([(1, 7.5), (0, -2.0), (1, 0.1)], SCHEMA)
     assert ev.auc(rows, None).head().auc == 1.0
     with pytest.raises(Exception, match="digits=None"):
-        ev.auc(rows).head()
+        ev.auc(rows, 4).head()
 
 
 def scored(spark, n, digits):
@@ -58,11 +58,11 @@ def scored(spark, n, digits):
 
 def test_ranges_agree_with_one_pass_and_with_spark(spark):
     rows = scored(spark, 20_000, 4).cache()
-    bounded, ranged = ev.auc(rows).head(), ev.auc(rows, None).head()
+    bounded, ranged = ev.auc(rows, 4).head(), ev.auc(rows).head()
     assert abs(bounded.auc - ranged.auc) < 1e-9
     other = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="y_true", numBins=0)
     assert abs(other.evaluate(rows) - bounded.auc) < 1e-9
-    a = sorted((r.threshold, r.tp, r.fp) for r in ev.roc(rows).collect() if r.threshold is not None)
+    a = sorted((r.threshold, r.tp, r.fp) for r in ev.roc(rows, 4).collect() if r.threshold is not None)
     b = sorted((r.threshold, r.tp, r.fp) for r in ev.roc(rows, None).collect() if r.threshold is not None)
     assert a == b
     rows.unpersist()
@@ -82,3 +82,8 @@ def test_failure_policy(frame):
     assert sorted(r.score for r in ev.apply_failure_policy(rows, on_error="zero").collect()) == [0.0, 0.4]
     with pytest.raises(ValueError):
         ev.apply_failure_policy(rows, on_error="other")
+
+
+def test_scores_are_exact_unless_asked(frame):
+    rows = frame([(1, 0.12341), (0, 0.12344)], SCHEMA)
+    assert ev.auc(rows).head().auc == 0.0 and ev.auc(rows, 4).head().auc == 0.5

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tools.check import TABLES, rows_of
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-ROWS_ONLY = {"q_g6_knn_approx"}
+LLM = {key for key in QUERIES if key == "pipeline" or key.startswith("op")}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def duck(sf):
 
 
 def test_every_query_has_sql_or_is_known_not_to():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) <= LLM
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -38,5 +38,7 @@ def test_entry(spark):
 
 
 def test_approximate_search_finds_most(spark, sf):
-    row = QUERIES["q_g6_knn_approx"](spark, sf).head()
-    assert row.hits >= 0.9 * row.wanted
+    """Recall of the three nearest, and the share of all pairs that was compared for it."""
+    wanted = {(r.query_id, r.neighbour_id) for r in QUERIES["q_g3_knn"](spark, sf).collect()}
+    found = {(r.query_id, r.neighbour_id) for r in QUERIES["q_g6_knn_approx"](spark, sf).collect()}
+    assert len(wanted & found) >= 0.9 * len(wanted)

@@ -79,3 +79,10 @@ def test_filters_on_scores(spark, sf, test):
     scored = rules.pattern_score(messages(spark, sf).select("msg_id", "text"))
     flagged = scored.select(F.expr(test).alias("t")).groupBy().agg(F.count_if("t").alias("n")).head().n
     assert scored.where(test).count() == flagged > 0
+
+
+def test_a_category_without_a_cap_is_refused(frame):
+    rules = frame([("a", "x", 0.5), ("b", "y", 0.5)], "category string, pattern string, weight double")
+    caps = frame([("a", 0.5)], "category string, max_score double")
+    with pytest.raises(ValueError, match="b"):
+        RulePack.from_frames(rules, caps)

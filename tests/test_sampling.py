@@ -122,7 +122,7 @@ def test_split_quotas(frame, counts, share):
 @pytest.mark.parametrize("n, tests", [(9_999, 3_000), (10_000, 2_000)])
 def test_automatic_share(spark, n, tests):
     rows = spark.range(n).withColumn("label", F.when(F.col("id") % 2 == 0, "a").otherwise("b"))
-    assert sp.stratified_split(rows, "label", ["id"]).where("split = 'test'").count() == tests
+    assert sp.stratified_split(rows, "label", ["id"], "auto").where("split = 'test'").count() == tests
 
 
 def test_folds(frame):
@@ -152,3 +152,30 @@ def test_balance(frame, monkeypatch):
     assert sp.balance(rows, "label", ["id"], "stratified").count() == 17
     with pytest.raises(ValueError):
         sp.balance(rows, "label", ["id"], "other")
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_samples_are_exact_when_keys_repeat(frame, monkeypatch, limit):
+    monkeypatch.setattr(sp, "_TOP_N_LIMIT", limit)
+    same = frame([(1, at) for at in range(100)], "id long, value long")
+    assert sp.sample_n(same, 5, ["id"]).count() == 5
+    some = frame([(at // 7, at) for at in range(200)], "id long, value long")
+    assert [sp.sample_n(some, n, ["id"]).count() for n in (0, 1, 50, 199, 500)] == [0, 1, 50, 199, 200]
+
+
+@pytest.mark.parametrize("max_cuts", [0, 10_000])
+def test_parts_have_their_sizes_when_keys_repeat(frame, max_cuts):
+    rows = frame([(at % 2, at // 50, at) for at in range(300)], "label long, id long, value long")
+    cut = lambda sizes: sizes.select("label", F.array(F.lit(40), F.lit(90)).cast("array<bigint>").alias("_quotas"))
+    got = with_parts(rows, ["label"], ["id"], cut, max_cuts=max_cuts).groupBy("label", "_part").count().collect()
+    assert {(r.label, r._part): r["count"] for r in got} == {
+        (g, p): n for g in (0, 1) for p, n in ((0, 40), (1, 50), (2, 60))}
+
+
+def test_a_missing_class_leaves_nothing(frame):
+    spam = frame([("spam", at) for at in range(6)] + [(None, 9)], "type string, id long")
+    assert sp.balance(spam, "type", ["id"], classes=["spam", "ham"]).count() == 0
+    assert sp.balance(spam, "type", ["id"]).count() == 2
+    both = spam.union(frame([("ham", 20), ("ham", 21)], "type string, id long"))
+    assert sorted(r.type for r in sp.balance(both, "type", ["id"], classes=["spam", "ham"]).collect()) == [
+        "ham", "ham", "spam", "spam"]

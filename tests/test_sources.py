@@ -156,3 +156,13 @@ def test_quartiles(frame):
 def test_empty_funnel(frame):
     empty = frame([], "msg_id bigint, type string, text string, lang string")
     assert [(r.total, r.spam, r.ham) for r in plans.funnel(empty, ["msg_id"]).collect()] == [(0, 0, 0)] * 5
+
+
+def test_files_of_a_folder_are_in_order_of_their_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("spam,the same text here\n")
+    (tmp_path / "b.csv").write_text("".join(f"ham,other text number {n}\n" for n in range(20_000)) + "ham,the same text here\n")
+    for multi_line in (True, False):
+        rows = files.read_messages(spark, [str(tmp_path)], multi_line=multi_line)
+        assert dd.dedup(rows, ["text"], files.MESSAGE_ORDER).where("text = 'the same text here'").head().type == "ham"
+        first = dd.dedup(rows, ["text"], files.MESSAGE_ORDER, keep="first")
+        assert first.where("text = 'the same text here'").head().type == "spam"

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from registry.views import messages
@@ -75,11 +76,13 @@ def test_recent_texts_of_a_stream(spark, sf):
         assert same(got, recent_texts(rows, as_of, days))
 
 
-def test_search_inside_the_stream(spark, sf):
+def test_search_is_the_job_of_a_micro_batch(spark, sf):
     stream, rows = source(spark, sf, 2)
     known = rows.where("type = 'spam' and text is not null").select(F.col("msg_id").alias("case_id"), "text")
     folder = shared_folder(spark, "stream")
     columns = ["msg_id", "max_similarity", "risk_score"]
     scored = lambda df: detect.score_stream(scoring.with_cases_from_texts(df, known)).select(*columns)
-    detect.write_scored(scored(stream), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    with pytest.raises(ValueError, match="write_batches"):
+        scored(stream)
+    detect.write_batches(stream, scored, f"{folder}/out", f"{folder}/cp").awaitTermination()
     assert same(spark.read.parquet(f"{folder}/out").select(*columns), scored(rows))

@@ -85,7 +85,7 @@ def test_size_decides(frame):
 def test_approximate_bound(frame):
     corpus, queries = random_rows(300, dims=3, seed=3), random_rows(80, dims=3, seed=4)
     exact = brute(queries, corpus, 3, "l2")
-    got = collect(vx.knn_approx(make(frame, queries), make(frame, corpus), 3, slack=0.5, metric="l2", block_rows=16, pivots=12))
+    got = collect(vx.knn(make(frame, queries), make(frame, corpus), 3, slack=0.5, metric="l2", broadcast_bytes=0, block_rows=16, pivots=12))
     assert set(got) == set(exact)
     for q in exact:
         assert np.sqrt(got[q][-1][1]) <= 1.5 * np.sqrt(exact[q][-1][1]) + 1e-9
@@ -125,3 +125,31 @@ def test_max_similarity_defaults_to_zero(frame):
 def test_l2_risk(frame):
     got = vx.l2_risk(make(frame, [(1, [0, 0])]), make(frame, [(5, [1, 0]), (6, [0, 2]), (7, [9, 9])]), 2).head()
     assert got.mean_distance == 2.5 and np.isclose(got.risk_score, 1 - np.exp(-12.5))
+
+
+@pytest.mark.parametrize("id_type", ["int", "bigint", "string"])
+def test_both_ways_give_the_same_types_and_values(frame, id_type):
+    rows = frame([(at, [0.1 * at, 1.0 / 3, 0.7 - at]) for at in range(12)], "vec_id int, embedding array<double>")
+    rows = rows.withColumn("vec_id", F.col("vec_id").cast(id_type))
+    near = vx.knn(rows, rows)
+    cells = vx.knn(rows, rows, broadcast_bytes=0, pivots=3)
+    assert near.schema.simpleString() == cells.schema.simpleString() and near.schema["neighbour_id"].dataType.simpleString() == id_type
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, cells.collect()))
+    assert vx.knn(rows, rows.limit(0)).schema.simpleString() == near.schema.simpleString()
+
+
+def test_buckets_find_close_neighbours_with_few_comparisons(frame):
+    """Pairs at a small angle share a bucket; few of all pairs do."""
+    random = np.random.default_rng(5)
+    centres = random.normal(size=(60, 32))
+    rows = [(at, (centres[at % 60] + 0.15 * random.normal(size=32)).tolist()) for at in range(600)]
+    df = frame(rows, "vec_id long, embedding array<double>")
+    exact = {(r.query_id, r.neighbour_id) for r in vx.knn(df, df).collect()}
+    for limit in (32_768, 7):
+        found = vx.knn_approx(df, df, tables=12, bits=8, block_rows=limit).collect()
+        assert len(exact & {(r.query_id, r.neighbour_id) for r in found}) >= 0.95 * len(exact)
+    matrix = np.array([r for _, r in rows])
+    signs = (matrix @ vx._planes(12, 8, 32).T > 0).reshape(600, 12, 8)
+    met = (signs[:, None] == signs[None]).all(axis=3).any(axis=2)
+    assert met.mean() < 0.1
+    assert vx.knn_approx(df, df.limit(0)).collect() == []
