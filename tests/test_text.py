@@ -83,3 +83,9 @@ def test_page_text(frame):
     rows = frame([(0, html), (1, "<body><p>tiny</p><p>bits</p></body>"), (2, None)], "i int, html string")
     got = [r.text for r in ops.page_text(rows).orderBy("i").collect()]
     assert got == ["First piece of text & more\nSecond piece\nof the page text", "tiny bits", None]
+
+
+def test_character_references(frame):
+    given = "<p>caf&eacute; &#8217;x&#x27; &amp;lt; &bogus; &am &#0; &#xD800; &nbsp;&copy;&#128512; R&D; a&b long enough</p>"
+    got = ops.page_text(frame([(1, given)], "i int, html string")).head().text
+    assert got == "café ’x' &lt; &bogus; &am \ufffd \ufffd ©\U0001f600 R&D; a&b long enough"
