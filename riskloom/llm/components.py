@@ -1,7 +1,8 @@
 """Connected components of an edge list, by alternating large-star and small-star steps.
 
-Every step is an aggregate and a join on node ids with as many rows as edges, so a hub with very many neighbours
-folds before the shuffle; rounds end when the edges no longer change. Lineage is cut by writing each round.
+Every step is an aggregate and a join on node ids with as many rows as edges. A hub with very many neighbours folds
+before the shuffle of the aggregate, and its rows in the join can be split (see ``join_hot``). Rounds end when the
+edges no longer change. Lineage is cut by writing each round.
 """
 
 from __future__ import annotations
@@ -11,6 +12,17 @@ from pyspark.sql import DataFrame, functions as F
 from riskloom.session import discard, shared_folder
 
 
+def join_hot(rows: DataFrame, figures: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``figures``, an aggregate by the same keys, so that a hot key's rows are split.
+
+    Joined on the keys alone, the aggregate's partitioning would be taken over, and adaptive execution can split a
+    skewed partition only of a side that is shuffled for the join itself. The keys' hash as one more key brings that
+    about, at the price of shuffling ``figures``, which has a row per key.
+    """
+    extra = {"__spread": F.xxhash64(*keys)}
+    return rows.withColumns(extra).join(figures.withColumns(extra), [*keys, "__spread"], how).drop("__spread")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): every node that has an edge, and the smallest node of its component.
 
@@ -29,10 +41,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before:
             break
         before = state
-        star, star_folder = _kept(_large_star(current), "large-star")
-        nxt, next_folder = _kept(_small_star(star), "small-star")
+        nxt, next_folder = _kept(_small_star(_large_star(current)), "stars")
         discard(spark, folder)
-        discard(spark, star_folder)
         current, folder = nxt, next_folder
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         current.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
@@ -48,7 +58,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where(F.col("v") >= F.col("u")).select(
+    return join_hot(both, least, ["u"]).where(F.col("v") >= F.col("u")).select(
         F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -56,5 +66,5 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """The smaller neighbours of a node, and the node, are tied to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+    return join_hot(down, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(
         least.select("u", F.col("m").alias("v"))).distinct()

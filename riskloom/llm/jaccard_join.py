@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.llm import arrays
-from riskloom.llm.components import components
+from riskloom.llm.components import components, join_hot
 from riskloom.session import stored
 
 THRESHOLD = 0.8
@@ -179,7 +179,7 @@ def jaccard_join(
     alive = some.select("uid", "prefixes").join(nodes.select("uid"), "uid", "left_semi")
     members = alive.select("uid", F.explode("prefixes").alias("prefix"))
     heads = members.groupBy("prefix").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = members.join(heads, "prefix").where("uid <> head").select("uid", "head").distinct()
+    edges = join_hot(members, heads, ["prefix"]).where("uid <> head").select("uid", "head").distinct()
     families = stored(components(edges, "uid", "head"), "families")
 
     linked = _links(keyed, some, nodes, families, threshold, width)
@@ -200,7 +200,7 @@ def jaccard_join(
     # A struct with the null flag first: a row without an id is kept only where no other row has one.
     first = rows.groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
-    return rows.join(first, "class").select(
+    return join_hot(rows, first, ["class"]).select(
         "doc_id", "row_key", F.col("first.doc_id").alias("class_id"), "n_links", "n_shingles",
         (F.col("uid") == F.col("first.uid")).alias("kept"))
 
@@ -243,15 +243,15 @@ def _links(keyed: DataFrame, some: DataFrame, nodes: DataFrame, families: DataFr
     blocks = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK_TEXTS), F.col("s") / F.lit(BLOCK_SHINGLES))).cast("int")
     # A family that fits one block is one task, whatever its sizes.
     small = whole.where((blocks == 1) & (F.col("n") > 1)).select("family")
-    in_one = slim.join(small, "family").select(
+    in_one = join_hot(slim, small, ["family"]).select(
         "uid", "row_key", "copies", F.concat_ws(":", "family").alias("task"), F.lit("all").alias("side"))
     counts = cells.select("family", "cls", blocks.alias("blocks"))
-    large = slim.join(whole.where(blocks > 1).select("family"), "family")
-    own = large.join(counts, ["family", "cls"]).withColumn(
+    large = join_hot(slim, whole.where(blocks > 1).select("family"), ["family"])
+    own = join_hot(large, counts, ["family", "cls"]).withColumn(
         "block", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("blocks")).cast("int"))
     below = counts.select("family", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("below"))
     above = counts.select("family", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("above"))
-    own = own.join(below, ["family", "cls"], "left").join(above, ["family", "cls"], "left")
+    own = join_hot(join_hot(own, below, ["family", "cls"], "left"), above, ["family", "cls"], "left")
 
     def task(*parts):
         return F.concat_ws(":", "family", *[F.col(p) if isinstance(p, str) else p for p in parts])
