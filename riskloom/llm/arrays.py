@@ -12,7 +12,7 @@ from functools import cache, cached_property
 
 import numpy as np
 
-_RUN_CHARS = 1_000_000
+_RUN_CHARS = 250_000
 _U64 = np.uint64
 _GOLDEN = _U64(0x9E3779B97F4A7C15)
 WORDS_PER_SHINGLE = 5
