@@ -129,7 +129,14 @@ def length_stats(spark, sf):
 
 
 def profile(spark, sf):
-    nested = pf.profile(tx.keep_labels(messages(spark, sf)))
+    return flat_profile(nested_profile(spark, sf))
+
+
+def nested_profile(spark, sf):
+    return pf.profile(tx.keep_labels(messages(spark, sf)))
+
+
+def flat_profile(nested):
     return nested.select(
         "total_samples",
         F.col("label_distribution")["spam"].alias("spam"), F.col("label_distribution")["ham"].alias("ham"),

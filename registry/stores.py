@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from registry import sql
+from registry import corpus, evaluate, sql
 from registry.risk import ORACLES as RISK_ORACLES, answers
 from registry.views import MESSAGES_SQL, messages, table
 from riskloom.operators import dedup, generate as gen, profile
@@ -69,6 +69,27 @@ def split_files(spark, sf):
     return sides[0].unionByName(sides[1])
 
 
+def _through_file(spark, df):
+    """``df`` written as statistics and read again."""
+    path = shared_folder(spark, "stats")
+    files.write_stats(df, path)
+    return spark.read.schema(df.schema).json(path)
+
+
+def profile_file(spark, sf):
+    """The nested profile record."""
+    return corpus.flat_profile(_through_file(spark, corpus.nested_profile(spark, sf)))
+
+
+def funnel_file(spark, sf):
+    return _through_file(spark, corpus.funnel(spark, sf))
+
+
+def thresholds_file(spark, sf):
+    """Metrics per threshold."""
+    return _through_file(spark, evaluate.QUERIES["q_j3_metrics"](spark, sf))
+
+
 def stats_file(spark, sf):
     path = shared_folder(spark, "stats")
     files.write_stats(profile.label_distribution(table(spark, sf, "documents"), "lang"), path)
@@ -226,6 +247,9 @@ QUERIES = {
     "q_a8_seed_empty": seed_empty_types,
     "q_a9_split_files": split_files,
     "q_a10_stats_file": stats_file,
+    "q_a10_profile_file": profile_file,
+    "q_a10_funnel_file": funnel_file,
+    "q_a10_thresholds_file": thresholds_file,
     "q_b10_corpus_from_files": corpus_from_files,
     "q_k1_templates": generate_template,
     "q_k2_links": generate_links,
@@ -332,6 +356,9 @@ ORACLES = {
                    <= total - sum(floor(n * total / all_rows)) over () then 1 else 0 end as n_test from sized)
       select 'test' as split, lang as type, n_test::bigint as n from quotas
       union all select 'train', lang, (n - n_test)::bigint from quotas""",
+    "q_a10_profile_file": corpus.ORACLES["q_e3_profile"],
+    "q_a10_funnel_file": corpus.ORACLES["q_e4_funnel"],
+    "q_a10_thresholds_file": evaluate.ORACLES["q_j3_metrics"],
     "q_a10_stats_file": """select lang, count(*) as n, round(count(*) / sum(count(*)) over (), 4) as share
       from documents group by lang""",
     "q_b10_corpus_from_files": sql.with_messages(

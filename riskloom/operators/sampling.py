@@ -125,11 +125,15 @@ def balance(
     )
     parts = with_parts(df, [label], key, again, seed)
     planned = parts.withColumn("_copies", F.col("_times") + F.when(F.col("_part") == 0, 1).otherwise(0))
-    # Two steps, spread in between, so that one rare row is not repeated a billion times inside one task.
-    blocks = planned.withColumn(
+    # Rows of few copies are repeated where they are. The others are repeated in two steps, spread in between, so that
+    # one rare row is not repeated a billion times inside one task.
+    few = planned.where(F.col("_copies") <= _COPY_BLOCK).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies").cast("bigint"))))
+    blocks = planned.where(F.col("_copies") > _COPY_BLOCK).withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / _COPY_BLOCK)))
     )
     spread = blocks.repartition(*key, "_block")
     low = F.col("_block") * _COPY_BLOCK + 1
     high = F.least(F.col("_copies"), (F.col("_block") + 1) * _COPY_BLOCK)
-    return spread.withColumn("copy", F.explode(F.sequence(low, high))).select(*df.columns, "copy")
+    many = spread.withColumn("copy", F.explode(F.sequence(low, high)))
+    return few.select(*df.columns, "copy").union(many.select(*df.columns, "copy"))

@@ -19,10 +19,10 @@ def score_stream(stream: DataFrame, cases: DataFrame | None = None, answers: Dat
     return score_messages(stream, cases, answers, **options)
 
 
-def _write_batch(path: str):
+def _write_batch(path: str, by: tuple[str, ...] = ()):
     def write(batch: DataFrame, batch_id: int) -> None:
         # A replayed batch overwrites its own folder, so it is never counted twice.
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch_id={batch_id}")
 
     return write
 
@@ -76,11 +76,14 @@ def daily_texts(stream: DataFrame, days: int = 30, text: str = "text", ts: str =
 
 
 def write_daily_texts(daily: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Each micro-batch adds the (day, text) pairs it changed."""
-    return _start(daily, _write_batch(path), checkpoint, "update", every)
+    """Each micro-batch adds the (day, text) pairs it changed, in one folder per day."""
+    dated = daily.withColumn("day", F.to_date("day"))
+    return _start(dated, _write_batch(path, ("day",)), checkpoint, "update", every)
 
 
 def recent_stream_texts(spark: SparkSession, path: str, as_of: Column, days: int = 30, text: str = "text") -> DataFrame:
     """Distinct texts of the last ``days`` from what ``write_daily_texts`` has written, newest first."""
-    seen = spark.read.parquet(path).select(text, F.col("seen").cast("timestamp_ntz").alias("ts"))
+    # Days before the horizon are folders that are not read; one more is, whatever the time zone of the session.
+    recent = spark.read.parquet(path).where(F.col("day") >= F.date_sub(F.to_date(as_of), days + 1))
+    seen = recent.select(text, F.col("seen").cast("timestamp_ntz").alias("ts"))
     return recent_texts(seen, as_of, days, text)
