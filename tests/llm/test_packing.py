@@ -69,6 +69,22 @@ def test_edges(frame):
     assert packing.pack(frame([], "doc_id long, text string"), PATH).collect() == []
 
 
+def test_very_long_white_space(frame):
+    rows = [(1, " " * 2_000_000), (2, "a" + "\n" * 1_200_000 + "b c"), (3, "short")]
+    check(rows, packing.pack(frame(rows, "doc_id long, text string"), PATH).collect(), 2048)
+
+
+def test_parts_at_white_space_give_the_same_ids():
+    random = np.random.default_rng(2)
+    encode = packing._encoder(PATH, 6)
+    bits = [" ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x1f", "\x85", "a", "'s", "7", "!", "\u00e9"]
+    for _ in range(4000):
+        text = "".join(bits[at] * int(n) for at, n in zip(random.integers(0, len(bits), 8), random.integers(1, 9, 8)))
+        assert encode(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+        assert "".join(part for part, _ in packing._parts(text, 6)) == text
+    assert [blank for _, blank in packing._parts("a" + " " * 8 + "b", 6)] == [False, True, False]
+
+
 def test_best_fit_takes_the_tightest_place():
     where, place, loads = packing.best_fit(np.array([60, 50, 40, 48, 2]), 100)
     assert where.tolist() == [0, 1, 0, 1, 1] and place.tolist() == [0, 0, 60, 50, 98] and loads.tolist() == [100, 100]
