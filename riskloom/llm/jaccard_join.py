@@ -102,6 +102,12 @@ def _member_sets(width: int):
     return read
 
 
+def _two_blocks(task: str) -> bool:
+    """Whether a task, ``family`` or ``family:class:class:block:block``, compares two different blocks."""
+    _, *sides = task.split(":")
+    return sides[0::2] != sides[1::2]
+
+
 def _verifier(threshold: float):
     def shared(sets: list[np.ndarray]) -> np.ndarray:
         """How many shingles each two texts have in common, as matrix products over blocks of shingles."""
@@ -121,7 +127,7 @@ def _verifier(threshold: float):
                 total += present @ present.T
         return total
 
-    def verify(frame: pd.DataFrame) -> pd.DataFrame:
+    def verify(key: tuple[str], frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("uid").sort_values("uid")
         uid, copies = frame["uid"].to_numpy(), frame["copies"].to_numpy()
         side = frame["side"].to_numpy()
@@ -131,8 +137,8 @@ def _verifier(threshold: float):
         union = size[:, None] + size[None, :] - both
         linked = both.astype(np.float64) / np.maximum(union, 1) >= threshold
         np.fill_diagonal(linked, False)
-        if len(set(side.tolist())) > 1:
-            # Two different blocks: pairs inside either of them belong to other tasks.
+        if _two_blocks(key[0]):
+            # Pairs inside either block belong to other tasks, also where the other block turns out empty.
             linked &= side[:, None] != side[None, :]
         links = linked @ copies
         # The first linked text of each component in this task, by breadth-first search over matrix rows.

@@ -80,6 +80,18 @@ def test_large_family_is_compared_in_blocks(frame, monkeypatch):
     assert result(jaccard_join.jaccard_join(df)) == brute_force(rows)
 
 
+@pytest.mark.parametrize("shingles", [60, 130, 250])
+def test_empty_blocks_count_no_link_twice(frame, monkeypatch, shingles):
+    """Families of a few texts cut into more blocks than they fill, in one size class and in neighbouring ones."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", shingles)
+    rows = []
+    for family in range(12):
+        near = variants(2 + family % 3, seed=20 + family)
+        near = [(at, text + f" more{family}" * (4 * at * (family % 2))) for at, text in near]
+        rows += [(10 * family + at, text) for at, text in near]
+    assert result(jaccard_join.jaccard_join(frame(rows, "doc_id long, text string"))) == brute_force(rows)
+
+
 def test_edges(frame):
     rows = [
         (1, "one two three"), (2, "One, two THREE!"), (3, None), (4, ""), (5, "!!! ..."), (6, "one two four"),
