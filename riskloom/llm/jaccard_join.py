@@ -48,9 +48,12 @@ def prefix_length(threshold: float, trees: int, target_recall: float, longest: i
 
 
 def row_key(text: str | Column = "text", doc_id: str | Column = "doc_id") -> Column:
-    """Finds a row again on a second reading: by its id, or by its text where the id is null."""
+    """Finds a row again on a second reading, by its id and text; a null text counts as empty.
+
+    Ids may repeat with different texts. Rows equal in both share a key.
+    """
     text, doc_id = (F.col(c) if isinstance(c, str) else c for c in (text, doc_id))
-    return F.xxhash64(doc_id, F.when(doc_id.isNull(), text))
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
 
 
 def _signer(trees: int, depth: int, width: int):
@@ -229,7 +232,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     remaining = without(docs, keys.where(~F.col("kept")))
     if keys.where("kept and n > 1").isEmpty():
         return remaining
-    # Rows repeated with their id are told apart by nothing: one of them stays.
+    # Rows repeated with id and text are told apart by nothing: one of them stays.
     return remaining.withColumn("__key", row_key()).dropDuplicates(["__key"]).drop("__key")
 
 

@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from riskloom.llm import decontamination, queries, toxicity
+from riskloom.llm import decontamination, jaccard_join, queries, toxicity
 from tests.llm.test_jaccard_join import brute_force
 from tests.llm.test_packing import check
 
@@ -57,6 +57,25 @@ def test_stages_take_rows_without_ids_and_clashing_names(frame, spark, sf):
     assert kept["benchmark_decontamination"].count() == len(rows)
 
 
+def test_stages_tell_texts_of_one_id_apart(frame, spark, sf):
+    """One id with several texts: each is judged by itself in the near-duplicate and decontamination stages."""
+    def words(name):
+        return " ".join(f"{name}{at}" for at in range(40))
+
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect())
+    near = words("b").replace("b39", "other")
+    rows = [(1, words("a")), (1, words("b")), (2, near), (1, item), (3, words("c")), (3, "!"), (3, "?")]
+    docs = frame(rows, "doc_id long, text string")
+    out = jaccard_join.jaccard_join(docs).collect()
+    assert len(out) == len(rows)
+    assert sorted((r.doc_id, r.n_links) for r in out) == [(1, 0), (1, 0), (1, 1), (2, 1), (3, 0), (3, 0), (3, 0)]
+    stages = dict(corpus_pipeline.STAGES)
+    single = stages["ngram_jaccard_join"](spark, docs, sf)
+    assert sorted(map(tuple, single.collect())) == sorted(r for r in rows if r[0] != 2)
+    clean = stages["benchmark_decontamination"](spark, docs, sf)
+    assert sorted(map(tuple, clean.collect())) == sorted(r for r in rows if r[1] != item)
+
+
 def test_eleven_queries_are_listed():
     import __spark_entry__ as entry
 
