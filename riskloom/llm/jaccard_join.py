@@ -1,16 +1,17 @@
-"""Near-duplicate texts: an n-gram Jaccard join through a MinHash LSH forest.
+"""Near-duplicate texts: an n-gram Jaccard join through MinHash banding.
 
-Texts are sets of word five-grams. A signature of min-hashes feeds ``trees`` sorted tries; a text's place in a trie
-is the prefix of its labels. From the longest prefix on, the matched length is shortened until the chance that
-two texts at the threshold share a prefix in some trie reaches ``target_recall``; that length is the key two texts
-must share to become candidates. Every candidate pair is then checked exactly on its shingle sets.
+Texts are sets of word five-grams. A signature of min-hashes gives a text one path of labels in each of ``trees``
+bands. All paths are cut to one length, fixed before the data is seen: from the longest on it is shortened until the
+chance that two texts at the threshold share a path in some band reaches ``target_recall``. This is an LSH forest
+only with its depth fixed; no sorted trie is kept. Two texts must share a path to become candidates. Every
+candidate pair is then checked exactly on its shingle sets.
 
 How it stays linear in rows:
 
 * texts with equal sets are one node from the start, so thousands of copies cost one;
-* a bucket of a trie yields one edge per member, to its smallest member, never all pairs;
+* a bucket of a band yields one edge per member, to its smallest member, never all pairs;
 * the components of those edges are the families. Each text travels once or a few times to its family, where
-  *all* pairs of comparable size are compared, including those that met in no trie. A large family is cut into
+  *all* pairs of comparable size are compared, including those that met in no band. A large family is cut into
   blocks by size class and hash, one task per pair of blocks, and a task returns one row per text: its number of
   links and the smallest text it is linked to.
 """
@@ -31,8 +32,6 @@ THRESHOLD = 0.8
 TREES = 64
 MAX_DEPTH = 12
 TARGET_RECALL = 0.99999
-#: Min-hash functions that the tries draw their labels from.
-FUNCTIONS = 256
 #: A block of a family holds about this many texts and shingles at most.
 BLOCK_TEXTS = 384
 BLOCK_SHINGLES = 600_000
@@ -58,10 +57,10 @@ def row_key(text: str | Column = "text", doc_id: str | Column = "doc_id") -> Col
 
 def _signer(trees: int, depth: int, width: int):
     random = np.random.default_rng(_SEED)
-    flips = random.integers(0, 2**32, FUNCTIONS, dtype=np.uint32)
-    factors = random.integers(0, 2**32, FUNCTIONS, dtype=np.uint32) | np.uint32(1)
-    # Each trie reads its own sequence of functions.
-    labels = np.stack([random.permutation(FUNCTIONS)[:depth] for _ in range(trees)])
+    # Each band has functions of its own: the formula of ``prefix_length`` holds for independent labels only.
+    functions = trees * depth
+    flips = random.integers(0, 2**32, functions, dtype=np.uint32)
+    factors = random.integers(0, 2**32, functions, dtype=np.uint32) | np.uint32(1)
     weights = random.integers(0, 2**63, depth, dtype=np.uint64) | np.uint64(1)
     salts = arrays.mix(np.arange(trees, dtype=np.uint64))
 
@@ -70,7 +69,7 @@ def _signer(trees: int, depth: int, width: int):
         step = max(1, 200_000 // len(high))
         return np.concatenate([
             ((high[None, :] ^ flips[at:at + step, None]) * factors[at:at + step, None]).min(axis=1)
-            for at in range(0, FUNCTIONS, step)])
+            for at in range(0, functions, step)])
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -84,7 +83,7 @@ def _signer(trees: int, depth: int, width: int):
                     if not len(shingles):
                         prefixes.append(np.zeros(0, np.int64))
                         continue
-                    path = signature(shingles)[labels].astype(np.uint64)
+                    path = signature(shingles).reshape(trees, depth).astype(np.uint64)
                     prefixes.append(arrays.mix((path * weights).sum(axis=1, dtype=np.uint64) ^ salts).astype(np.int64))
                 yield pd.DataFrame({
                     "row_key": rows["row_key"].to_numpy(), "d1": [d[0] for d in digests],

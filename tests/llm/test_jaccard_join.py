@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from riskloom.llm import arrays, jaccard_join, queries
@@ -123,6 +124,19 @@ def test_prefix_shortens_to_the_wanted_recall():
     assert jaccard_join.prefix_length(0.8, 8, 0.9999) < 3
 
 
+def test_pairs_meet_as_often_as_the_formula_says():
+    rows = []
+    for pair in range(4000):
+        words = [f"p{pair}w{at}" for at in range(55)]
+        # 42 of 60 shingles in common.
+        rows += [" ".join(words), " ".join(words[:46] + [w + "z" for w in words[46:]])]
+    sign = jaccard_join._signer(64, 8, 5)
+    paths = np.stack([p for out in sign(iter([pd.DataFrame({"row_key": range(len(rows)), "text": rows})]))
+                      for p in out["prefixes"]])
+    missed = 1 - (paths[0::2] == paths[1::2]).any(axis=1).mean()
+    assert abs(missed - (1 - 0.7**8) ** 64) < 0.006
+
+
 def test_shingles_do_not_depend_on_neighbours():
     texts = ["a b c d e f", "x", "", "É é Ü ü ß 1 2", "a b c d e f"]
     together = arrays.shingles(texts)
