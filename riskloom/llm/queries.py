@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.llm import (
-    chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, packing, sharding, toxicity,
-    url_filter,
+    chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, lexical_search, packing,
+    sharding, toxicity, url_filter,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -93,14 +93,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_chat_formatting, op3_best_fit_packing, op4_ngram_jaccard_join, op5_sharding,
-    op6_benchmark_decontamination, op7_url_filters, op8_exact_dedup, op9_toxicity, op10_language_id)}
+    op6_benchmark_decontamination, op7_url_filters, op8_exact_dedup, op9_toxicity, op10_language_id,
+    op11_ranked_lexical_search)}
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 _SHINGLES = """case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end"""
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": r"""
 with turns as (
@@ -156,4 +165,22 @@ with texts as (
 select doc_id, min(doc_id) over (partition by text_sha256) as keep_id,
  count(*) over (partition by text_sha256) as group_size,
  doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256 from texts""",
+    "op11_ranked_lexical_search": f"""
+with words as (select doc_id, unnest({_TERMS}) as term from documents),
+sizes as (select doc_id, count(*) as n from words group by doc_id),
+corpus as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from sizes),
+items as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+found as (select doc_id, term, count(*) as tf from words where term in (select term from items) group by doc_id, term),
+weights as (
+ select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+ from found, corpus group by term
+), parts as (
+ select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) as part
+ from found join weights using (term) join sizes using (doc_id), corpus
+), scored as (
+ select item_id, doc_id, cast(sum(part) as bigint) as score
+ from parts join items using (term) group by item_id, doc_id having sum(part) > 0
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+from scored qualify rank <= 10""",
 }
