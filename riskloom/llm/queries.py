@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.llm import (
     chat_format, decontamination, exact_dedup, html_extract, jaccard_join, language_id, lexical_search, packing,
-    sharding, toxicity, url_filter,
+    quality, sharding, token_alignment, toxicity, url_filter,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +99,23 @@ def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers, for every document."""
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECE_TOKENIZER))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text", "n_chars"), model, "score").select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_chat_formatting, op3_best_fit_packing, op4_ngram_jaccard_join, op5_sharding,
     op6_benchmark_decontamination, op7_url_filters, op8_exact_dedup, op9_toxicity, op10_language_id,
-    op11_ranked_lexical_search)}
+    op11_ranked_lexical_search, op12_cross_tokenizer_alignment, op13_quality_classifier)}
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 _SHINGLES = """case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
