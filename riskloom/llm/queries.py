@@ -70,7 +70,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url."""
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select(
-        "page_id", "host", "path", "rule", "verdict")
+        "page_id", "host", "path", "rule", "verdict", "method_rule")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,13 +163,13 @@ with cut as (
   when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as host_rule,
   list_sort(list_filter(['adult', 'porn', 'xxx', 'sex', 'casino', 'poker', 'betting', 'viagra', 'pharma', 'spam',
    'malware', 'phishing', 'warez', 'torrent'],
-   lambda w: regexp_matches(host || ' ' || path, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) as words
+   lambda w: regexp_matches(host || path, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))) as words
  from parsed
 ), best as (
  select *, list_filter(words, lambda w: length(w) = list_max(list_transform(words, lambda v: length(v))))[1] as word
  from ruled
 )
-select page_id, host, path, coalesce(host_rule, word) as rule,
+select page_id, host, path, host_rule as rule, case when host_rule is null then word end as method_rule,
  case when host_rule in ('net/', 'example.com/de/') then 'block' when host_rule is not null then 'allow'
   when word is not null then 'block' else 'allow' end as verdict
 from best""",
