@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment by spans: which tokens of two tokenizers cover the same bytes of a text.
 
-Tokenizer A is a byte-level BPE of `tokenizers`, B a BPE with byte fallback of `sentencepiece`. The character spans of
-A and the spans of B's proto are coarse cuts of the text. Where tokens share a character, or a byte-fallback token has
+Tokenizer A is a byte-level BPE of `tokenizers`, B a BPE with byte fallback of `sentencepiece`. The character
+spans of both are coarse cuts of the text. Where tokens share a character, or a byte-fallback token has
 no span of its own, the cut is refined with the bytes the tokens decode to, counted on from the last coarse cut.
 Where tokens of both end is a cut between groups; where byte ranges overlap is a link.
 
@@ -33,9 +33,9 @@ from riskloom.session import stored
 PART_CHARS = 4_000_000
 #: Characters of texts that are looked up together.
 _RUN_CHARS = 500_000
-#: Chunks and tokens whose alignment a task keeps before it begins anew.
-KEPT_CHUNKS = 200_000
-KEPT_TOKENS = 2_000_000
+#: Chunks and links that a task keeps before it begins anew.
+KEPT_CHUNKS = 400_000
+KEPT_LINKS = 4_000_000
 _CUT = re.compile(r" (?<=\S )(?=.)", re.S)
 _B_BLANK = "▁"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
@@ -71,15 +71,22 @@ class Tokenizers:
         self.length_b = np.array([len(b) for b in self.bytes_b], np.int64)
         self.shift = len(self.bytes_b).bit_length()
 
-    def spans_a(self, texts: list[str]) -> tuple[list[list[int]], list[list[tuple[int, int]]]]:
-        """Ids and character spans of each text."""
-        every = self.a.encode_batch(texts, add_special_tokens=False)
-        return [e.ids for e in every], [e.offsets for e in every]
+    def spans_a(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and character spans."""
+        encoding = self.a.encode(text, add_special_tokens=False)
+        return _flat(encoding.ids, encoding.offsets)
 
-    def spans_b(self, texts: list[str]) -> tuple[list[list[int]], list[list[tuple[int, int]]]]:
-        """Ids and byte spans of each text, not counting the blank that the tokenizer adds."""
-        every = [[(p.id, p.begin, p.end) for p in self.b.encode(t, return_type="proto").pieces] for t in texts]
-        return [[p[0] for p in e] for e in every], [[p[1:] for p in e] for e in every]
+    def spans_b(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and character spans, not counting the blank that the tokenizer adds.
+
+        These are the spans of its proto, which the library also hands out as lists.
+        """
+        mapping = self.b.encode(text, return_type="offset_mapping")
+        return _flat(mapping["ids"], mapping["offsets"])
+
+
+def _flat(ids: list[int], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(ids, np.int64), np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
 
 
 @cache
@@ -133,70 +140,66 @@ class _Chunks:
 
     @property
     def full(self) -> bool:
-        return len(self.groups) > KEPT_CHUNKS or self.pairs.size > KEPT_TOKENS
+        return len(self.groups) > KEPT_CHUNKS or self.pairs.size > KEPT_LINKS
 
     def learn(self, chunks: list[str]) -> None:
-        """Align chunks that are not known; each begins behind a blank that belongs to it."""
-        t, texts = self.t, [" " + c for c in chunks]
-        raw = [x.encode() for x in texts]
-        ids_a, spans_a = t.spans_a(texts)
-        ids_b, spans_b = t.spans_b(chunks)
-        good = np.array([b"".join(map(t.bytes_a.__getitem__, a)) == r == b"".join(map(t.bytes_b.__getitem__, b))
-                         for a, b, r in zip(ids_a, ids_b, raw)])
-        kept = np.flatnonzero(good).tolist()
-        ends = {}
-        size = np.array([len(raw[at]) for at in kept], np.int64)
-        base = np.cumsum(size) - size
-        chars = np.array([len(texts[at]) for at in kept], np.int64)
-        joined = "".join(texts[at] for at in kept).encode()
-        # Bytes before every character.
-        before = np.append(np.flatnonzero((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80), len(joined))
-        flat = {}
-        for side, ids, spans, lengths in (("a", ids_a, spans_a, t.length_a), ("b", ids_b, spans_b, t.length_b)):
-            count = np.array([len(ids[at]) for at in kept], np.int64)
-            token = np.fromiter(chain.from_iterable(ids[at] for at in kept), np.int64, count.sum())
-            span = np.fromiter(chain.from_iterable(chain.from_iterable(spans[at] for at in kept)), np.int64,
-                               2 * count.sum()).reshape(-1, 2)
-            if side == "a":
-                span = span + np.repeat(np.cumsum(chars) - chars, count)[:, None]
-                # Tokens inside one character all have its span.
-                ragged = np.append(span[1:, 0] < span[:-1, 1], False)
-                coarse = before[span[:, 1]]
+        """Align chunks that are not known."""
+        # Only the last chunk of a text may end in white space, behind which no cut is certain.
+        inner = [c for c in chunks if c and not c[-1].isspace()]
+        if inner:
+            self._learn(inner)
+        for chunk in chunks:
+            if not chunk or chunk[-1].isspace():
+                self._learn([chunk])
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks end to end, each behind its blank; those that do not give their bytes are told apart."""
+        t, joined = self.t, " ".join(chunks)
+        (id_a, span_a), (id_b, span_b) = t.spans_a(" " + joined), t.spans_b(joined)
+        raw = (" " + joined).encode()
+        if not (b"".join(map(t.bytes_a.__getitem__, id_a.tolist())) == raw
+                == b"".join(map(t.bytes_b.__getitem__, id_b.tolist()))):
+            if len(chunks) > 1:
+                self._learn(chunks[:len(chunks) // 2])
+                self._learn(chunks[len(chunks) // 2:])
             else:
-                ragged = span[:, 0] == span[:, 1]
-                coarse = span[:, 1] + np.repeat(base, count) + 1
-            end = _refined(coarse, ragged, lengths[token])
-            exact = np.cumsum(lengths[token])
-            # Spans that contradict the bytes give way.
-            flat[side] = (token, np.where(end == exact, end, exact), count)
-        (id_a, end_a, count_a), (id_b, end_b, count_b) = flat["a"], flat["b"]
+                self._keep(chunks, [np.array([-1])] * len(_FIGURES), np.zeros(1, np.int64), *np.zeros((2, 0), np.int64),
+                           [b""])
+            return
+        # Bytes before every character.
+        before = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
+        # Tokens inside one character all have its span in A; in B all but the last have none.
+        ragged_a = np.append(span_a[1:, 0] < span_a[:-1, 1], False)
+        ragged_b = span_b[:, 0] == span_b[:, 1]
+        end_a = _refined(before[span_a[:, 1]], ragged_a, t.length_a[id_a])
+        end_b = _refined(before[span_b[:, 1] + 1], ragged_b, t.length_b[id_b])
         cell = np.union1d(end_a, end_b)
         cut = np.intersect1d(end_a, end_b, assume_unique=True)
-        owner = np.searchsorted(base, cell - 1, side="right") - 1
+        # Where every chunk ends: chunks begin at blanks, so their number is that of the sizes in characters.
+        stop = before[np.cumsum([len(c) + 1 for c in chunks])]
+
+        def per_chunk(ends: np.ndarray) -> np.ndarray:
+            return np.diff(np.searchsorted(ends, stop, side="right"), prepend=0)
+
+        owner = np.searchsorted(stop, cell)
         pair = (id_a[np.searchsorted(end_a, cell)] << t.shift) | id_b[np.searchsorted(end_b, cell)]
         order = np.lexsort((pair, owner))
         owner, pair = owner[order], pair[order]
-        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1]))) if len(pair) else (
-            np.zeros(0, np.int64))
-        times = np.diff(np.append(new, len(pair)))
-        n_cuts = np.bincount(np.searchsorted(base, cut - 1, side="right") - 1, minlength=len(kept))
-        n_cells = np.bincount(owner, minlength=len(kept))
-        held = np.bincount(owner[new], minlength=len(kept))
-        for target, values in zip(self.figures, (count_a, count_b, n_cuts, n_cells)):
-            every = np.full(len(chunks), -1, np.int64)
-            every[kept] = values
-            target.add(every)
-        firsts = np.zeros(len(chunks), np.int64)
-        firsts[kept] = held
-        self.first.add(np.cumsum(firsts) - firsts + self.pairs.size)
-        self.pairs.add(pair[new])
-        self.times.add(times)
+        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])))
         marks = self._marks(id_a, end_a, id_b, end_b, cut)
-        stop = np.cumsum(count_a + count_b).tolist()
-        text = dict(zip(kept, (b"".join(marks[a:b]) for a, b in zip([0, *stop], stop))))
-        for at, chunk in enumerate(chunks):
-            self.number[chunk] = len(self.groups)
-            self.groups.append(text.get(at, b""))
+        figures = [per_chunk(e) for e in (end_a, end_b, cut, cell)]
+        last = np.cumsum(figures[0] + figures[1]).tolist()
+        self._keep(chunks, figures, np.bincount(owner[new], minlength=len(chunks)), pair[new],
+                   np.diff(np.append(new, len(pair))), [b"".join(marks[x:y]) for x, y in zip([0, *last], last)])
+
+    def _keep(self, chunks, figures, held, pairs, times, groups) -> None:
+        for target, values in zip(self.figures, figures):
+            target.add(values)
+        self.first.add(np.cumsum(held) - held + self.pairs.size)
+        self.pairs.add(pairs)
+        self.times.add(times)
+        self.number.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks))))
+        self.groups += groups
 
     def _marks(self, id_a, end_a, id_b, end_b, cut) -> list[bytes]:
         """The tokens of all groups as they are written: A's of a group, then B's."""
