@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import sql
 from registry.views import messages, table
-from riskloom.functions import text as tx
+from riskloom.functions import pages, text as tx
 from riskloom.operators import text as ops
 
 
@@ -83,8 +83,7 @@ def page_text(spark, sf):
 
 
 def page_body(spark, sf):
-    body = tx.page_body(tx.page_markup(F.col("html")))
-    return table(spark, sf, "pages").select("page_id", F.md5(body).alias("body_md5"))
+    return table(spark, sf, "pages").select("page_id", F.md5(pages.page_body(F.col("html"))).alias("body_md5"))
 
 
 _MARKUP = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.views import messages, table
-from riskloom.operators import vectors as ops
+from riskloom.operators import graph, vectors as ops
 
 
 def _vectors(spark, sf):
@@ -100,6 +100,18 @@ def nearest(corpus: str = "embeddings", k: int = 3) -> str:
             from embeddings q cross join {corpus} c)) where rank <= {k}"""
 
 
+def graph_neighbours(spark, sf):
+    """What the neighbour graph finds against the exact search: recall, and values that differ."""
+    vectors = _vectors(spark, sf)
+    found = graph.graph_neighbours(graph.build_graph(vectors), vectors, 3)
+    exact = ops.knn(vectors, vectors, 3).select("query_id", "neighbour_id", F.col("value").alias("true_value"))
+    both = found.join(exact, ["query_id", "neighbour_id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"),
+        (F.count("true_value") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+        F.count_if(F.abs(F.col("value") - F.col("true_value")) > 1e-9).alias("wrong_values"))
+
+
 QUERIES = {
     "q_g1_l2_normalise": l2_normalise,
     "q_g2_hash_vectors": hash_vectors,
@@ -108,6 +120,7 @@ QUERIES = {
     "q_g4_scaled_similarity": scaled_similarity,
     "q_g5_similar_cases": similar_cases,
     "q_g6_knn_approx": knn_approx,
+    "q_g6_graph_neighbours": graph_neighbours,
     "q_g7_max_similarity": max_similarity,
     "q_g8_l2_risk": l2_risk,
 }
@@ -134,6 +147,8 @@ ORACLES = {
         select *, row_number() over (partition by query_id order by round(ip, 9) desc, neighbour_id) as rank from (
           select q.vec_id as query_id, c.vec_id as neighbour_id, {COSINE} as ip
           from pairs p join embeddings q on q.vec_id = p.q join embeddings c on c.vec_id = p.c)) where rank <= 3""",
+    "q_g6_graph_neighbours": f"""select count(distinct query_id) as queries, count(*) as neighbours,
+      true as recall_reached, 0::bigint as wrong_values from ({nearest()})""",
     "q_g7_max_similarity": f"""select event_id as msg_id, coalesce(best, 0) as max_similarity
       from events left join (select query_id, max(similarity) as best from ({nearest(SPAM_VECTORS)}) group by 1) b
       on b.query_id = event_id""",

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from html.entities import name2codepoint
-
 from pyspark.sql import Column, functions as F
 
 # The white space Python's str.strip removes (Spark's plain trim removes blanks only).
@@ -26,19 +23,6 @@ URL = rf"(http|https)://[^{SPACE}]+"
 # Contractions opened up by the cleaning step, in this order.
 CONTRACTIONS = [("won't", "will not"), ("can't", "cannot"), ("n't", " not")]
 
-# Elements whose content is not prose, and elements that end a piece of text.
-_SILENT = ["head", "script", "style", "code", "pre"]
-_BLOCKS = (
-    "p|div|article|section|main|body|html|header|footer|nav|aside|h1|h2|h3|h4|h5|h6|ul|ol|li|dl|dt|dd|"
-    "table|thead|tbody|tr|td|th|blockquote|figure|form|br|hr"
-)
-# Frequent character references that stand for no ampersand, and any reference, after its ampersand: decimal,
-# hexadecimal or named.
-_FREQUENT = [("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"),
-             ("&middot;", "·")]
-_REFERENCE = "(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-_OTHERS = "&(?!amp;|" + "|".join(reference[1:] for reference, _ in _FREQUENT) + ")" + _REFERENCE
-
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
@@ -102,70 +86,3 @@ def length_between(text: Column, low: int | None = None, high: int | None = None
     if high is not None:
         test = test & (size <= high)
     return test
-
-
-def _squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
-
-
-def _character(code: Column) -> Column:
-    """The character of a code point; the replacement character where there is none."""
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
-
-
-def _frequent_decoded(text: Column) -> Column:
-    for reference, char in [*_FREQUENT, ("&amp;", "&")]:
-        text = F.replace(text, F.lit(reference), F.lit(char))
-    return text
-
-
-def _all_decoded(text: Column) -> Column:
-    """Character references resolved once: numeric ones, and those named in HTML 4."""
-    names = sorted(name2codepoint.items())
-    named = F.create_map(*[F.lit(v) for name, code in names for v in (name, chr(code))])
-
-    def resolve(piece: Column) -> Column:
-        reference = F.regexp_extract(piece, "^" + _REFERENCE, 1)
-        rest = F.substr(piece, F.length(reference) + 2)
-        hexadecimal = F.lower(F.substring(reference, 1, 2)) == "#x"
-        code = F.when(hexadecimal, F.conv(F.substr(reference, F.lit(3)), 16, 10)).otherwise(
-            F.when(F.substring(reference, 1, 1) == "#", F.substr(reference, F.lit(2)))).cast("bigint")
-        value = F.when(code.isNotNull(), _character(code)).otherwise(F.element_at(named, reference))
-        return F.when((reference != "") & value.isNotNull(), F.concat(value, rest)).otherwise(
-            F.concat(F.lit("&"), piece))
-
-    pieces = F.split(text, "&", -1)
-    resolved = F.concat(F.get(pieces, F.lit(0)), F.array_join(
-        F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), resolve), ""))
-    return resolved
-
-
-def _read(markup: Column, text: Callable[[Callable[[Column], Column]], Column]) -> Column:
-    """``text`` of the way to decode that the page needs: few pages hold more than the frequent references."""
-    return F.when(markup.rlike(_OTHERS), text(_all_decoded)).otherwise(text(_frequent_decoded))
-
-
-def page_markup(html: Column) -> Column:
-    """The page without comments, head, scripts, styles and code listings."""
-    silent = "|".join(rf"<{tag}\b.*?</{tag}\s*>" for tag in _SILENT)
-    return F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), f"(?is){silent}", "")
-
-
-def page_body(markup: Column) -> Column:
-    """All remaining text on one line."""
-    return _read(markup, lambda decoded: _squeeze(decoded(F.regexp_replace(markup, "<[^>]*>", " "))))
-
-
-def page_pieces(markup: Column) -> Column:
-    """Text pieces between block elements, longer than 10 characters, one per line."""
-    broken = F.regexp_replace(
-        F.regexp_replace(markup, f"[{SPACE}]+", " "), rf"(?i)</?(?:{_BLOCKS})\b[^>]*>", "\n"
-    )
-    plain = F.regexp_replace(broken, "<[^>]*>", "")
-
-    def joined(decoded: Callable[[Column], Column]) -> Column:
-        lines = F.transform(F.split(decoded(plain), "\n"), _squeeze)
-        return F.array_join(F.filter(lines, lambda piece: F.length(piece) > 10), "\n")
-
-    return _read(markup, joined)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.functions import text as tx
+from riskloom.functions import pages, text as tx
 
 LABELS = ("spam", "ham")
 
@@ -52,9 +52,9 @@ def to_binary(df: DataFrame, label: str = "type", out: str = "y_true", positive:
 
 
 def page_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """Visible text of a page: the pieces over 10 characters, or the whole body where there are none."""
-    markup = df.withColumn("_markup", tx.page_markup(F.col(html)))
-    pieces = markup.withColumn("_pieces", tx.page_pieces(F.col("_markup")))
-    whole = tx.page_body(F.col("_markup"))
-    chosen = F.when(F.col("_pieces") != "", F.col("_pieces")).otherwise(whole)
-    return pieces.withColumn(out, chosen).drop("_markup", "_pieces")
+    """Text of a page without its head, scripts, styles and listings, nested or unclosed ones included.
+
+    The pieces over 10 characters between block elements, or all text where there are none. A page is read once, as a
+    tree; a ``<`` that begins no tag is text.
+    """
+    return df.withColumn(out, pages.page_text(F.col(html)))

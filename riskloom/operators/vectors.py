@@ -65,7 +65,8 @@ def hash_vectors(df: DataFrame, column: str = "text", dims: int = 256, out: str
             length = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
             yield pd.Series(list(counts / np.maximum(length, 1e-300)))
 
-    return df.withColumn(out, counted(axes))
+    # So that a condition on the vector is not moved below it, where the whole of it would run once more.
+    return df.withColumn(out, counted.asNondeterministic()(axes))
 
 
 # --- kernels on Arrow batches ------------------------------------------------------------------------------

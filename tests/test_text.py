@@ -89,3 +89,90 @@ def test_character_references(frame):
     given = "<p>caf&eacute; &#8217;x&#x27; &amp;lt; &bogus; &am &#0; &#xD800; &nbsp;&copy;&#128512; R&D; a&b long enough</p>"
     got = ops.page_text(frame([(1, given)], "i int, html string")).head().text
     assert got == "café ’x' &lt; &bogus; &am \ufffd \ufffd ©\U0001f600 R&D; a&b long enough"
+
+
+def page(frame, html):
+    return ops.page_text(frame([(1, html)], "i int, html string")).head().text
+
+
+def test_listings_nested_and_unclosed(frame):
+    assert page(frame, "<p>before the listing</p><pre>a <pre>b</pre> still outer</pre><p>behind the listing</p>") == (
+        "before the listing\nbehind the listing")
+    assert page(frame, "<p>before the script</p><script>var unclosed = 'code here';</p>") == "before the script"
+    assert page(frame, "<p>before the style</p><style>p { color: red }<p>all of it is style") == "before the style"
+    # What holds an unclosed listing ends it; formatting goes on until its own end tag.
+    assert page(frame, "<div>first part here<pre>int x;</div><div>second part here</div>") == (
+        "first part here\nsecond part here")
+    assert page(frame, "<p>some text and <code>x <code>y</code> z</code> more of it</p>") == "some text and more of it"
+    assert page(frame, "<p>a long text with <code>x</p><p>still within</code> and then prose</p>") == (
+        "a long text with and then prose")
+    assert page(frame, "<ul><li><pre>listing one<li>second item here</ul>") == "second item here"
+
+
+def test_signs_that_are_no_tags(frame):
+    assert page(frame, '<p>It costs 1 < 2 and more.</p><p title="a > b ...">Second piece here</p>') == (
+        "It costs 1 < 2 and more.\nSecond piece here")
+    assert page(frame, "<p>a <3 b and <= c here</p><!-- x > y --><p data-x='>'>quoted sign here</p></ p>") == (
+        "a <3 b and <= c here\nquoted sign here")
+    assert page(frame, "<p>a long first part <b unclosed tag") == "a long first part"
+    assert page(frame, "<p>a long first part <!-- unclosed comment </p>") == "a long first part"
+    assert page(frame, "<?xml version='1'?><!DOCTYPE html><head><title>t</title><p>the head is left out</p>") == (
+        "the head is left out")
+
+
+def test_time_is_linear_in_the_page():
+    import time
+
+    from riskloom.functions import pages
+
+    parts = ["<object>", "<div>", "</section>", "<p><button>", "<code>", "<svg><b>", "<a x='", "<td><li>", "<!--", "&amp"]
+    for part in parts:
+        took = []
+        for times in (8_000, 32_000):
+            html = "<p>some words</p>" + part * times
+            began = time.process_time()
+            pages.read(html)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + .2, part
+
+
+def test_against_the_tree_of_a_plain_parser():
+    """Well-formed random pages: text outside silent elements, by the parser of the standard library."""
+    import random
+    from html.parser import HTMLParser
+
+    from riskloom.functions import pages
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append(tag)
+            self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            self.open.remove(tag)
+            self.out.append(" ")
+
+        def handle_data(self, data):
+            if not set(self.open) & pages.SILENT:
+                self.out.append(data)
+
+    draw = random.Random(4)
+
+    def tree(depth):
+        if depth == 0 or draw.random() < .3:
+            return draw.choice(["words here ", "caf&eacute; ", "1 < 2 ", "x &amp; y ", "long text of a page "])
+        name = draw.choice(["div", "section", "b", "pre", "code", "span", "ul", "article", "script", "i"])
+        inner = "var a = '<p>';" if name == "script" else "".join(tree(depth - 1) for _ in range(draw.randint(0, 4)))
+        return f"<{name} title=\"a > b\">{inner}</{name}>"
+
+    for _ in range(300):
+        html = "".join(tree(4) for _ in range(3))
+        plain = Plain()
+        plain.feed(html)
+        plain.close()
+        got = pages.read(html)[1]
+        assert got.replace(" ", "") == "".join("".join(plain.out).split())
