@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry import sql
-from registry.views import messages
-from riskloom.operators import rules as ops
+from registry.views import messages, table
+from riskloom.operators import rule_index, rules as ops
 
 KEY = "msg_id"
 
@@ -46,6 +46,28 @@ def pattern_analysis(spark, sf):
     )
 
 
+def _word_pack(spark, sf):
+    """A pack of thousands of rules: every word of the corpus that two or more texts hold, whole, or as a beginning."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(
+        F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1)))).alias("word"))
+    kept = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    shape = F.when(F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int") < 2, F.lit("")).otherwise(F.lit("\\b"))
+    category = F.concat(F.lit("c"), F.conv(F.substring(F.md5("word"), 3, 1), 16, 10))
+    weight = F.conv(F.substring(F.md5("word"), 4, 2), 16, 10).cast("int") / 256
+    return kept.select(category.alias("category"), F.concat(F.lit("\\b"), "word", shape).alias("pattern"),
+                       weight.alias("weight"))
+
+
+def large_pack(spark, sf):
+    """The rules of a large pack that each document matches, by category."""
+    caps = spark.createDataFrame([(f"c{at}", 0.9) for at in range(16)], "category string, max_score double")
+    pack = rule_index.IndexedPack.from_frames(_word_pack(spark, sf), caps)
+    hits = rule_index.match_rules(table(spark, sf, "documents").select("doc_id", "text"), pack)
+    return hits.groupBy("doc_id", "category").agg(
+        F.count(F.lit(1)).alias("rules"), F.least(F.max("weight"), F.lit(0.9)).alias("score"),
+        F.md5(F.array_join(F.array_sort(F.collect_list("pattern")), " ")).alias("patterns_md5"))
+
+
 # category, shown pattern, RE2 body, weight, whole word
 _RULES = [
     ("financial", r"\btransfer\b", "transfer", 0.4, True),
@@ -98,6 +120,7 @@ ALL_CTES = (RULES_CTE, CAPS_CTE, MATCHES_CTE, CATS_CTE, SCORES_CTE)
 
 QUERIES = {
     "q_f1_match_rules": match_rules,
+    "q_f1_large_pack": large_pack,
     "q_f2_category_scores": category_scores,
     "q_f3_pattern_score": pattern_score,
     "q_f4_matched_patterns": matched_patterns,
@@ -108,6 +131,16 @@ QUERIES = {
 
 ORACLES = {
     "q_f1_match_rules": sql.with_messages("select * from matches", RULES_CTE, MATCHES_CTE),
+    "q_f1_large_pack": r"""with words as (
+       select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as word from documents),
+     pack as (select word, md5(word) as h from words group by word having count(*) >= 2),
+     rules as (select word, '\b' || word || case when ('0x' || h[1:2])::int < 2 then '' else '\b' end as pattern,
+       ('0x' || h[1:2])::int < 2 as open_end, 'c' || ('0x' || h[3:3])::int as category,
+       ('0x' || h[4:5])::int / 256 as weight from pack),
+     hits as (select doc_id, category, pattern, weight from words join rules using (word)
+       union select doc_id, category, pattern, weight from words w join rules r on r.open_end and starts_with(w.word, r.word))
+     select doc_id, category, count(*) as rules, least(max(weight), 0.9::double) as score,
+       md5(string_agg(pattern, ' ' order by pattern)) as patterns_md5 from hits group by doc_id, category""",
     "q_f2_category_scores": sql.with_messages(
         "select msg_id, score_financial, score_urgency, score_suspicious from scores", *ALL_CTES
     ),

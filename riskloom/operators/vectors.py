@@ -9,6 +9,7 @@ size, and what leaves a block is at most k rows per query.
 from __future__ import annotations
 
 import hashlib
+import re
 import sys
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _TILE = 8_000_000  # scores held at once by one task
 _MAX_PIVOTS = 512  # bounds the tables of cells and of cell pairs
 _ROWS_PER_CELL = 8192  # smaller cells cost more in calls than they save in comparisons
+_TERMS = 200_000  # hashed terms a task remembers
 _DIGITS = 9  # scores are compared to this many places, ties by id
 
 
@@ -49,24 +51,28 @@ def scaled_similarity(inner_product: Column) -> Column:
 
 
 def hash_vectors(df: DataFrame, column: str = "text", dims: int = 256, out: str = "embedding") -> DataFrame:
-    """Text to a unit vector of term counts; a term's axis follows from its md5. Null text gives the zero vector."""
-    from riskloom.functions.text import WORD
+    """Text to a unit vector of term counts; a term's axis follows from its md5. Null text gives the zero vector.
 
-    terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(f"([{WORD}]+)"), F.lit(1))
-    axes = F.transform(terms, lambda term: F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % dims)
+    A task hashes a term once for as long as it remembers it.
+    """
 
     @F.pandas_udf("array<double>")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        word, axis = re.compile(r"\w+"), {}
         for batch in batches:
-            size = [len(row) for row in batch]
-            flat = np.concatenate([np.zeros(0, np.int64), *batch]).astype(np.int64)
-            row = np.repeat(np.arange(len(batch)), size)
-            counts = np.bincount(row * dims + flat, minlength=len(batch) * dims).reshape(len(batch), dims)
+            if len(axis) > _TERMS:
+                axis.clear()
+            found = [word.findall(text) for text in batch]
+            for term in {t for terms in found for t in terms}.difference(axis):
+                axis[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dims
+            flat = np.fromiter((axis[t] for terms in found for t in terms), np.int64)
+            row = np.repeat(np.arange(len(found)), [len(terms) for terms in found])
+            counts = np.bincount(row * dims + flat, minlength=len(found) * dims).reshape(len(found), dims)
             length = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
             yield pd.Series(list(counts / np.maximum(length, 1e-300)))
 
     # So that a condition on the vector is not moved below it, where the whole of it would run once more.
-    return df.withColumn(out, counted.asNondeterministic()(axes))
+    return df.withColumn(out, counted.asNondeterministic()(F.lower(F.coalesce(F.col(column), F.lit("")))))
 
 
 # --- kernels on Arrow batches ------------------------------------------------------------------------------
