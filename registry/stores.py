@@ -14,7 +14,7 @@ from riskloom.operators.sampling import stratified_split
 from riskloom.plans.corpus import build_corpus
 from riskloom.plans.scoring import with_cases
 from riskloom.session import shared_folder
-from riskloom.sources import messages as files, scams
+from riskloom.sources import messages as files, quoted, scams
 from riskloom.streaming import detect
 
 SEED = 42
@@ -31,6 +31,13 @@ def read_messages(spark, sf):
     return files.read_messages(spark, [path]).select("type", "text")
 
 
+def read_blocks(spark, sf):
+    """Prose with quotes and line breaks through a positional CSV file, read block by block."""
+    path = shared_folder(spark, "blocks-csv")
+    files.write_messages(table(spark, sf, "documents").select("lang", "text", "doc_id"), path, header=False)
+    return quoted.read_messages(spark, [path]).select("type", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 def read_documents(spark, sf):
     """Prose with quotes, commas and line breaks through the CSV sink and the header reader."""
     path = shared_folder(spark, "documents-csv")
@@ -236,6 +243,7 @@ def recent_stream(spark, sf):
 
 QUERIES = {
     "q_a1_read_messages": read_messages,
+    "q_a1_read_blocks": read_blocks,
     "q_a2_read_latin1": read_latin1,
     "q_a3_read_labelled": read_documents,
     "q_a5_read_scams": read_scams,
@@ -326,6 +334,7 @@ _STREAMED = RISK_ORACLES["q_i6_score_messages"].replace("left join cases c on c.
 
 ORACLES = {
     "q_a1_read_messages": sql.with_messages("select type, text from messages where text is not null"),
+    "q_a1_read_blocks": "select lang as type, length(text) as chars, md5(text) as text_md5 from documents",
     "q_a2_read_latin1": sql.with_messages("select type, text from messages where text is not null"),
     "q_a3_read_labelled": "select doc_id, lang as type, md5(text) as text_md5 from documents",
     "q_a5_read_scams": sql.with_messages(_SCAM_TABLE),

@@ -44,7 +44,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
-        if not warehouse:
+        if not warehouse or not _shared(spark, warehouse):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(warehouse, "_riskloom")
     folder = os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
@@ -52,6 +52,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return folder
 
 
+def _shared(spark: SparkSession, folder: str) -> bool:
+    """Whether executors see a folder; one on a local disk only in local mode, where they run on the driver's machine."""
+    if spark.sparkContext.master.startswith("local"):
+        return True
+    scheme = folder.split(":", 1)[0] if ":" in folder else ""
+    return (scheme or spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:").split(":", 1)[0]) != "file"
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, written once to the shared folder and read back.
 

@@ -166,3 +166,18 @@ def test_files_of_a_folder_are_in_order_of_their_names(spark, tmp_path):
         assert dd.dedup(rows, ["text"], files.MESSAGE_ORDER).where("text = 'the same text here'").head().type == "ham"
         first = dd.dedup(rows, ["text"], files.MESSAGE_ORDER, keep="first")
         assert first.where("text = 'the same text here'").head().type == "spam"
+
+
+def test_a_warehouse_on_a_local_disk_is_no_shared_folder():
+    from types import SimpleNamespace
+
+    from riskloom import session
+
+    def shared(master, folder, default="file:///"):
+        spark = SimpleNamespace(
+            sparkContext=SimpleNamespace(master=master),
+            _jsc=SimpleNamespace(hadoopConfiguration=lambda: SimpleNamespace(get=lambda name, other: default)))
+        return session._shared(spark, folder)
+
+    assert shared("local[4]", "file:/tmp/x") and shared("yarn", "hdfs://a/b") and shared("yarn", "/b", "hdfs://a")
+    assert not shared("yarn", "file:/tmp/x") and not shared("spark://a:1", "/tmp/x")
