@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cache
@@ -62,13 +63,15 @@ _HINTS = {
                "article-body post-body story-body articlebody",
 }
 _HINT_OF = {word: name for name, words in _HINTS.items() for word in words.split()}
+_ELEMENT = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(_RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(" + "|".join(_DROPPED) + r")(?=[\s/>])[^>]*+>.*?</\2\s*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(" + "|".join([*_RAW, *_DROPPED]) + r")(?=[\s/>])[^>]*+>"
+    rf"|{_ELEMENT}"
     r"|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE)
+_ELEMENT_TAG = re.compile(_ELEMENT)
+_END_OF = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in [*_RAW, *_DROPPED]}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z-]+)")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 LABEL = "data-label"
@@ -105,9 +108,15 @@ def _hints(attributes: str) -> tuple[frozenset, str | None]:
 
 
 def parse(source: str) -> Page:
-    """The page's blocks. Every block element starts and ends a text block; inline elements do not."""
+    """The page's blocks. Every block element starts and ends a text block; inline elements do not.
+
+    The places of open elements are kept by name, and an end tag that was not found is not looked for again, so that
+    the time is in proportion to the page, whatever is left open in it.
+    """
     page = Page([-1], ["body"], [frozenset()], [-1])
     stack: list[tuple[str, int]] = [("html", 0)]
+    places: dict[str, list[int]] = {}
+    endless: set[str] = set()
     run: list[str] = []
     in_link = linked = 0
 
@@ -122,7 +131,11 @@ def parse(source: str) -> Page:
 
     def close(depth: int) -> None:
         flush()
-        del stack[depth:]
+        while len(stack) > depth:
+            places[stack.pop()[0]].pop()
+
+    def last(names: Sequence[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def characters(piece: str) -> None:
         nonlocal linked
@@ -130,13 +143,31 @@ def parse(source: str) -> Page:
             run.append(piece)
             linked += in_link and len(piece.strip())
 
-    at = 0
-    for m in _TAG.finditer(source):
+    at, least, stop = 0, 0, source.rfind(">") + 1
+    # Nothing behind the last bracket is a whole tag.
+    while m := _TAG.search(source, least, stop):
         characters(source[at:m.start()])
-        at = m.end()
-        if m[4] is None:
+        at = least = m.end()
+        if m[1]:
+            name = m[1].lower()
+            end = None if name in endless else _END_OF[name].search(source, at)
+            if end or name in _RAW:
+                at = least = end.end() if end else len(source)
+                continue
+            # Without an end it is an element like others.
+            endless.add(name)
+            m, tag_at = _ELEMENT_TAG.match(source, m.start()), m.start()
+            if not m:
+                at, least = tag_at, tag_at + 1
+                continue
+            at = least = m.end()
+            closing, tag, attributes = m[1], m[2].lower(), m[3]
+        elif m[3] is None:
+            if m.end() == stop and source.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+                at = least = len(source)
             continue
-        closing, tag, attributes = m[3], m[4].lower(), m[5]
+        else:
+            closing, tag, attributes = m[2], m[3].lower(), m[4]
         if tag in _INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
@@ -144,7 +175,7 @@ def parse(source: str) -> Page:
                 run.append(" ")
             continue
         if closing:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
+            depth = last((tag,))
             if depth and tag not in ("html", "body"):
                 close(depth)
             else:
@@ -159,15 +190,12 @@ def parse(source: str) -> Page:
         ended, within = _CLOSES.get(tag, ((), ()))
         if tag not in _VOID or tag == "hr":
             # A paragraph has no block inside; list items, rows and cells end the one before them.
-            target = 0
-            for depth in range(len(stack) - 1, 0, -1):
-                name = stack[depth][0]
-                if name in within:
-                    break
-                if name in ended or name == "p" and depth == len(stack) - 1:
-                    target = depth
-                elif not ended:
-                    break
+            apart = last(within)
+            # The outermost of those that the tag ends, and a paragraph right above.
+            open_ = [found[bisect_right(found, apart)] for name in ended if (found := places.get(name, ())) and found[-1] > apart]
+            if stack[-1][0] == "p" and len(stack) - 1 > apart:
+                open_.append(len(stack) - 1)
+            target = min(open_, default=0)
             if target:
                 close(target)
         flush()
@@ -180,6 +208,7 @@ def parse(source: str) -> Page:
         page.hints.append(found)
         page.label.append(_STATES.get(label, page.label[parent]))
         if tag not in _VOID and not attributes.endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, number))
     # A tag that is cut off at the end of the page is markup, not text.
     rest = source[at:]
@@ -240,7 +269,8 @@ def forest(pages: Sequence[Page]) -> Forest:
     for at in range(size):
         if parent[at] >= 0:
             depth[at] = depth[parent[at]] + 1
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=-1)) + 1)]
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.cumsum(np.bincount(depth))[:-1]) if size else []
     below, below_links = own.copy(), own_links.copy()
     for level in reversed(levels[1:]):
         np.add.at(below, parent[level], below[level])
@@ -286,8 +316,7 @@ def marginals(trees: Forest, model: Model, evidence: np.ndarray | None = None) -
     for level in reversed(trees.levels[1:]):
         # What a child tells its parent about each state of the parent.
         message[level] = _log_add(model.tie[trees.tie[level]] + up[level][:, None, :], 2)
-        for state in (0, 1):
-            up[:, state] += np.bincount(trees.parent[level], weights=message[level, state], minlength=trees.size)
+        np.add.at(up, trees.parent[level], message[level])
     belief = up.copy()
     both = np.zeros((trees.size, 2, 2))
     roots = trees.levels[0] if trees.levels else np.zeros(0, int)

@@ -95,3 +95,26 @@ def test_edges(frame):
     assert len(out) == 6 and {r.text for r in out if r.page_id == 1} == {""}
     assert [r.text for r in out if r.page_id == 3][0].count("\n") == 20_000
     assert html_extract.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("part", [
+    "<object>", "<svg>", "<div>", "</section>", "<li><div>", "<td>", "<p>", "</ x", "<a '", "<svg x='", "<!--", "<noscript>"])
+def test_time_is_in_proportion_to_the_page(part):
+    import time
+
+    took = []
+    for times in (4_000, 16_000):
+        began = time.process_time()
+        page = html_extract.parse("<p>some words</p>" + part * times)
+        html_extract.forest([page])
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + .3
+
+
+def test_unclosed_elements_and_signs():
+    page = html_extract.parse("<p>first <object data='x'>within <b>it</p><p>second 1 < 2</p><svg>a</svg><p>third")
+    assert page.text == ["first", "within it", "second 1 < 2", "third"]
+    assert html_extract.parse("<p>text <!-- cut off <p>more</p> and").text == ["text"]
+    assert html_extract.parse("<p>text <script>cut off <p>more</p> and").text == ["text"]
+    assert html_extract.parse("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>e").text == ["a", "b", "c", "d", "e"]
+    assert html_extract.parse("").text == [] and html_extract.parse("no tags").text == ["no tags"]
