@@ -12,6 +12,7 @@ import hashlib
 import re
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -213,6 +214,54 @@ def _broadcast(q: DataFrame, small: pd.DataFrame, c_type: str, k: int, metric: s
     return q.mapInPandas(search, _schema(q, c_type))
 
 
+def knn_other_folds(
+    queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "vec_id", corpus_id: str = "vec_id",
+    vector: str = "embedding", fold: str = "fold", broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``knn`` by cosine where every query is compared with the corpus rows of all folds but its own.
+
+    One search whatever the number of folds: a task finds the k best of each fold and merges those it may use. A
+    corpus beyond ``broadcast_bytes`` is searched fold by fold, and the results are merged in the same way.
+    """
+    q = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("vec"), F.col(fold).alias("fold")).where(
+        "vec is not null and fold is not null")
+    c = corpus.select(F.col(corpus_id).alias("id"), F.col(vector).alias("vec"), F.col(fold).alias("fold")).where(
+        "vec is not null and fold is not null")
+    c_type = c.schema["id"].dataType.simpleString()
+    if _measured(c)[0] > broadcast_bytes:
+        c = stored(c, "corpus")
+        folds = [r.fold for r in c.select("fold").distinct().orderBy("fold").collect()]
+        found = reduce(DataFrame.unionByName, [
+            knn(q.where(F.col("fold") != f), c.where(F.col("fold") == f), k, query_id="id", corpus_id="id", vector="vec",
+                broadcast_bytes=broadcast_bytes) for f in folds])
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("value", _DIGITS)), "neighbour_id")
+        ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "neighbour_id", "value")
+    small = c.toPandas()
+    shared = q.sparkSession.sparkContext.broadcast(
+        {f: _by_id(rows["id"], rows["vec"], "ip", k) for f, rows in small.groupby("fold")})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, asked = batch["fold"].to_numpy(), _matrix(batch["vec"], "ip", 1)
+            found = []
+            for f, (ids, rows) in shared.value.items():
+                may = np.flatnonzero(own != f)
+                if len(may):
+                    found += _top_k(may, asked[may], ids, rows, k, "ip")
+            if not found:
+                continue
+            every = pd.concat(found, ignore_index=True)
+            every = every.iloc[np.lexsort((every["neighbour_id"], -every["value"].round(_DIGITS), every["query_id"]))]
+            every["rank"] = every.groupby("query_id").cumcount() + 1
+            every = every[every["rank"] <= k]
+            yield every.assign(query_id=batch["id"].to_numpy()[every["query_id"].to_numpy(np.int64)])
+
+    return q.mapInPandas(search, _schema(q, c_type))
+
+
 def attach_cases(
     df: DataFrame, corpus: DataFrame, k: int = 3, vector: str = "embedding", corpus_id: str = "case_id",
     corpus_vector: str = "embedding", corpus_text: str = "text", out: str = "similar_cases",

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.operators import evaluate, risk, rules, text, vectors
 from riskloom.operators.rules import DEFAULT_PACK, RulePack
-from riskloom.operators.sampling import fold_corpus, fold_frames, sample_n, stratified_folds
+from riskloom.operators.sampling import sample_n, stratified_folds
 from riskloom.session import stored
 
 
@@ -26,13 +25,10 @@ def cv_scores(
     split = stored(stratified_folds(labelled, "type", [key], folds, seed), "folds")
     scored = rules.pattern_score(text.to_binary(split), pack)
     if vecs is not None:
-        near = []
-        for fold in range(1, folds + 1):
-            known = vecs.join(fold_corpus(split, fold).select(key), key)
-            asked = vecs.join(fold_frames(split, fold)[1].select(key), key)
-            near.append(vectors.similar(vectors.knn(asked, known, k, query_id=key, corpus_id=key)))
-        every = reduce(lambda a, b: a.unionByName(b), near)
-        scored = vectors.max_similarity(scored, every, key)
+        placed = vecs.join(split.select(key, "fold", "type"), key)
+        near = vectors.knn_other_folds(
+            placed, placed.where(F.col("type") == "spam"), k, query_id=key, corpus_id=key)
+        scored = vectors.max_similarity(scored, vectors.similar(near), key)
     else:
         scored = scored.withColumn("max_similarity", F.lit(0.0))
     answer = F.lit(0.0)

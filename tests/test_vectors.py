@@ -153,3 +153,18 @@ def test_buckets_find_close_neighbours_with_few_comparisons(frame):
     met = (signs[:, None] == signs[None]).all(axis=3).any(axis=2)
     assert met.mean() < 0.1
     assert vx.knn_approx(df, df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+@pytest.mark.parametrize("folds", [2, 5])
+def test_neighbours_of_other_folds(frame, folds, limit):
+    rows = [(at, row, at % folds) for at, row in random_rows(120, dims=4, seed=8)] + [(500, None, 0), (501, [1.] * 4, None)]
+    rows.append((502, rows[0][1], 1))
+    df = frame([(i, None if v is None else [float(x) for x in v], f) for i, v, f in rows],
+               "vec_id long, embedding array<double>, fold int")
+    got = vx.knn_other_folds(df, df.where("vec_id % 3 <> 1"), 3, broadcast_bytes=limit).collect()
+    want = set()
+    for f in range(folds):
+        asked, known = df.where(f"fold = {f}"), df.where(f"fold <> {f} and vec_id % 3 <> 1")
+        want |= {(r.query_id, r["rank"], r.neighbour_id) for r in vx.knn(asked, known, 3).collect()}
+    assert {(r.query_id, r["rank"], r.neighbour_id) for r in got} == want and len(got) == len(want)
