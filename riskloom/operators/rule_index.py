@@ -166,7 +166,7 @@ def _matcher(shared):
 
 
 def _matched(df: DataFrame, pack: IndexedPack, column: str) -> DataFrame:
-    """``df`` with the matching rules in ``_HITS``, each once; null and empty texts match none."""
+    """``df`` with the matching rules in ``_HITS``, in order, each once as the rules of a pack are; null and empty texts match none."""
     names, out = df.columns, df
     for number, block in enumerate(pack.blocks):
         shared = df.sparkSession.sparkContext.broadcast(block)
@@ -174,7 +174,7 @@ def _matched(df: DataFrame, pack: IndexedPack, column: str) -> DataFrame:
         schema = T.StructType([*out.schema.fields, T.StructField(_HITS, _HIT_TYPE)])
         out = given.mapInArrow(_matcher(shared), schema).withColumnRenamed(_HITS, f"{_HITS}{number}")
     every = [F.col(f"{_HITS}{number}") for number in range(len(pack.blocks))]
-    return out.select(*[F.col(f"`{n}`") for n in names], F.array_sort(F.array_distinct(F.concat(*every))).alias(_HITS))
+    return out.select(*[F.col(f"`{n}`") for n in names], F.sort_array(F.concat(*every)).alias(_HITS))
 
 
 def _of(category: str) -> Column:
@@ -193,7 +193,7 @@ def analyse(df: DataFrame, pack: IndexedPack, column: str = "text") -> DataFrame
             F.array_max(F.transform(_of(c), lambda hit: hit["weight"])), F.lit(0.0))), F.lit(pack.caps[c]))
         for c in pack.categories
     } | {
-        f"patterns_{c}": F.array_sort(F.array_distinct(F.transform(_of(c), lambda hit: hit["pattern"])))
+        f"patterns_{c}": F.sort_array(F.array_distinct(F.transform(_of(c), lambda hit: hit["pattern"])))
         for c in pack.categories
     })
     total = reduce(lambda a, b: a + b, [F.col(f"score_{c}") for c in pack.categories])
