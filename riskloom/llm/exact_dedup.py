@@ -24,6 +24,9 @@ _STATE = {
     # Else every partition of the state reserves 4 MB for its manifest.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: A micro-batch of the registered query holds about this many bytes of digests, and the table takes two or more.
+BYTES_PER_BATCH = 16 << 30
+LEAST_BATCHES = 2
 #: Columns that tell where a row's text is read from.
 FILE, ROW = "__file", "__row"
 #: Rows to drop are broadcast up to this number, and joined by a shuffle beyond it.
@@ -52,11 +55,20 @@ def located(docs: DataFrame) -> DataFrame:
     return stored(docs, "documents").withColumns(place)
 
 
-def _stream(spark: SparkSession, slim: DataFrame, bytes_per_batch: int | None) -> DataFrame:
+def _file_bytes(table: DataFrame) -> int:
+    """Size of the files behind a table that has rows in each of them."""
+    files = table.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    return files.distinct().agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+
+
+def _stream(spark: SparkSession, slim: DataFrame, bytes_per_batch: int | None, least_batches: int = 1) -> DataFrame:
     """Run the stream over all rows of ``slim`` and return (digest, keep, group_size) as of its end."""
     source, sink, checkpoint = (shared_folder(spark, name) for name in ("arrivals", "keepers", "state"))
     slim.write.parquet(source)
     reader = spark.readStream.schema(slim.schema)
+    if least_batches > 1:
+        share = -(-_file_bytes(spark.read.schema(slim.schema).parquet(source)) // least_batches)
+        bytes_per_batch = max(1, min(share, bytes_per_batch or share))
     if bytes_per_batch:
         reader = reader.option("maxBytesPerTrigger", str(bytes_per_batch))
     state = reader.parquet(source).groupBy("digest").agg(
@@ -86,6 +98,7 @@ def _stream(spark: SparkSession, slim: DataFrame, bytes_per_batch: int | None) -
 
 def exact_dedup(
     docs: DataFrame, digest: Callable[[Column], Column] = digest, bytes_per_batch: int | None = None,
+    least_batches: int = 1,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): ``doc_id, keep_id, group_size, kept, text_sha256`` and its
     place, FILE and ROW.
@@ -93,6 +106,10 @@ def exact_dedup(
     Texts are equal when identical after ``normalised``. Of equal texts the row with the smallest doc_id stays; a row
     without an id only where no other has one; of repeated ids the first by place. So one row of a group is
     ``kept``, whatever repeats. Rows that share a digest but not the bytes are grouped by their bytes.
+
+    Digests arrive in micro-batches of about ``bytes_per_batch`` bytes, and in ``least_batches`` or more of about equal
+    size as far as they lie in that many files; a later batch looks its digests up in what earlier ones have left. The
+    result does not depend on either.
     """
     spark = docs.sparkSession
     known = [c for c in (FILE, ROW) if c in docs.columns]
@@ -102,7 +119,8 @@ def exact_dedup(
     text = normalised()
     slim = stored(rows.select(
         "doc_id", F.col("doc_id").isNull().alias("none"), digest(text).alias("digest"), FILE, ROW), "digests")
-    keepers = stored(_stream(spark, slim.select("digest", "none", "doc_id", FILE, ROW), bytes_per_batch)
+    keepers = stored(_stream(spark, slim.select("digest", "none", "doc_id", FILE, ROW), bytes_per_batch,
+                             least_batches)
                      .select("digest", F.col("keep.doc_id").alias("keep_id"), F.col(f"keep.{FILE}").alias("keep_file"),
                              F.col(f"keep.{ROW}").alias("keep_row"), "group_size"), "keepers")
     grouped = slim.join(keepers, "digest").withColumn(

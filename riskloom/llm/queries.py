@@ -75,7 +75,9 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document."""
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
+    return exact_dedup.exact_dedup(
+        table(spark, sf_dir, "documents"), bytes_per_batch=exact_dedup.BYTES_PER_BATCH,
+        least_batches=exact_dedup.LEAST_BATCHES).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

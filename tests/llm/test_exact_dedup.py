@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from riskloom.llm import exact_dedup
+from riskloom.session import shared_folder
 
 ROWS = [(5, "a  b"), (3, "a b"), (9, "a\t\r\nb"), (4, "a\u00a0b"), (1, None), (2, ""), (8, " "), (7, "A b"), (6, "x" * 500_000),
         (10, "x" * 500_000)] + [(100 + at, "hot\n" * (1 + at % 2)) for at in range(300)]
@@ -32,6 +33,30 @@ def test_several_batches_share_their_state(frame, tmp_path, spark):
     assert result(out) == groups(ROWS)
 
 
+def test_halves_of_a_table_meet_in_the_state(frame, tmp_path, spark, monkeypatch):
+    frame(ROWS, "doc_id long, text string", parts=8).write.parquet(str(tmp_path / "docs"))
+    folders = {}
+
+    def remembered(session, purpose):
+        folders[purpose] = shared_folder(session, purpose)
+        return folders[purpose]
+
+    monkeypatch.setattr(exact_dedup, "shared_folder", remembered)
+    out = exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / "docs")), bytes_per_batch=1 << 30, least_batches=2)
+    assert result(out) == groups(ROWS)
+    updates = spark.read.parquet(folders["keepers"])
+    # The hot texts came in more than one batch, and the later one counted on from the kept state.
+    seen = updates.groupBy("digest").agg(F.count_distinct("batch").alias("n"), F.max("group_size").alias("most"))
+    assert seen.where("n > 1 and most >= 150").count() >= 1
+    assert updates.select("batch").distinct().count() >= 2
+
+
+def test_dropped_rows_beyond_a_broadcast(frame, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    kept = {doc for doc, (_, _, stays, _) in groups(ROWS).items() if stays}
+    assert {r.doc_id for r in exact_dedup.deduplicate(frame(ROWS, "doc_id long, text string")).collect()} == kept
+
+
 def test_bytes_decide_when_digests_collide(frame):
     df = frame(ROWS, "doc_id long, text string")
     weak = exact_dedup.exact_dedup(df, digest=lambda text: F.substring(F.sha2(F.substring(text, 1, 1), 256), 1, 1))
