@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.operators.dedup import recent_texts
 from riskloom.plans.scoring import score_messages
@@ -68,7 +71,7 @@ def daily_texts(stream: DataFrame, days: int = 30, text: str = "text", ts: str =
     """Distinct texts per day with their last sighting, kept as state for ``days``.
 
     A streaming aggregate, not a streaming drop of duplicates: copies of a hot text fold on each task before
-    the shuffle. Rows later than the horizon are dropped by the watermark.
+    the shuffle. Rows later than the horizon are dropped by the watermark; ``live_texts`` reports them.
     """
     timed = stream.where(F.col(text).isNotNull() & (F.col(text) != "")).withColumn("_ts", F.col(ts).cast("timestamp"))
     daily = timed.withWatermark("_ts", f"{days} days").groupBy(F.window("_ts", "1 day"), text)
@@ -87,3 +90,76 @@ def recent_stream_texts(spark: SparkSession, path: str, as_of: Column, days: int
     recent = spark.read.parquet(path).where(F.col("day") >= F.date_sub(F.to_date(as_of), days + 1))
     seen = recent.select(text, F.col("seen").cast("timestamp_ntz").alias("ts"))
     return recent_texts(seen, as_of, days, text)
+
+
+def live_texts(stream: DataFrame, days: int = 30, text: str = "text", ts: str = "ts") -> DataFrame:
+    """Last sighting of each text of a stream, with one state row per text seen in the last ``days``.
+
+    Each micro-batch yields ``text, seen, n, late``: for a text that was seen later than before, its last sighting and
+    the number of rows that told so; and, with ``late`` set, the rows that came after the horizon had passed them, which
+    are left out of the state but not lost. Lateness is decided per text and day of a task's batch, by the last
+    of its rows. Rows without a text or a time are left out.
+
+    Rows of a text and day fold on each task before the shuffle, so a hot text arrives as a few rows. A timer
+    per text removes its state once the horizon has passed its last sighting. Timers run on the clock, as
+    those on event time would make Spark drop the late rows unseen.
+    """
+    day = 86_400_000_000
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            days_of = frame["at"].to_numpy() // day
+            folded = frame.groupby([frame["text"], days_of], sort=False)["at"].agg(["max", "size"])
+            yield pd.DataFrame({"text": folded.index.get_level_values(0), "at": folded["max"].to_numpy(np.int64),
+                                "n": folded["size"].to_numpy(np.int64)})
+
+    def keep(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        horizon = state.getCurrentWatermarkMs() * 1000
+        known = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            if known < horizon:
+                state.remove()
+            else:
+                state.setTimeoutDuration(max(1, (known - horizon) // 1000))
+            return
+        newest, n = known, 0
+        for frame in frames:
+            # Before the first batch ends nothing is known of the horizon, which is then 0.
+            late = (frame["at"] < horizon).to_numpy() & (horizon > 0)
+            if late.any():
+                yield frame.loc[late, ["text", "at", "n"]].assign(late=True)
+            if not late.all():
+                last = int(frame.loc[~late, "at"].max())
+                newest = last if newest is None else max(newest, last)
+                n += int(frame.loc[~late, "n"].sum())
+        if newest is not None:
+            state.update((newest,))
+            state.setTimeoutDuration(max(1, (newest - horizon) // 1000 if horizon > 0 else days * day // 1000))
+            if newest != known:
+                yield pd.DataFrame({"text": [key[0]], "at": [newest], "n": [n], "late": [False]})
+
+    slim = stream.select(F.col(text).alias("text"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).where(
+        "text <> '' and at is not null")
+    timed = slim.mapInPandas(fold, "text string, at long, n long").withColumn("seen", F.timestamp_micros("at"))
+    kept = timed.withWatermark("seen", f"{days} days").groupBy("text").applyInPandasWithState(
+        keep, "text string, at long, n long, late boolean", "at long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return kept.select(F.col("text").alias(text), F.timestamp_micros("at").alias("seen"), "n", "late")
+
+
+def write_live_texts(live: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Each micro-batch adds the sightings it changed and its late rows, in one folder per kind and day.
+
+    ``recent_stream_texts`` reads the result; the late rows are those ``where("late")``.
+    """
+    dated = live.withColumn("day", F.to_date("seen"))
+    write = _write_batch(path, ("late", "day"))
+    if every:
+        return _start(dated, write, checkpoint, "update", every)
+    # Timers on the clock ask for batches without data for ever, so a run over what is there would never end.
+    conf, name = live.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return _start(dated, write, checkpoint, "update", every)
+    finally:
+        conf.set(name, before)

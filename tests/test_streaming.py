@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,54 @@ def test_recent_texts_of_a_stream(spark, sf):
         assert same(got, recent_texts(rows, as_of, days))
 
 
+def day_files(spark, batches, extra=""):
+    """A stream that reads one list of (text, time) rows per micro-batch, in their order."""
+    path = shared_folder(spark, "dated")
+    for at, rows in enumerate(batches):
+        spark.createDataFrame(rows, "text string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return spark.readStream.schema("text string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def on(day, hour=0):
+    return dt.datetime(2024, 1, day, hour)
+
+
+def test_live_texts_equal_the_batch(spark, sf):
+    stream, rows = source(spark, sf, 4)
+    folder = shared_folder(spark, "stream")
+    detect.write_live_texts(detect.live_texts(stream), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    as_of = F.lit(dt.date(2024, 1, 31))
+    for days in (3, 15, 30):
+        assert same(detect.recent_stream_texts(spark, f"{folder}/out", as_of, days), recent_texts(rows, as_of, days))
+
+
+def test_late_rows_are_reported(spark):
+    stream = day_files(spark, [
+        [("a", on(1)), ("a", on(1, 5)), ("b", on(2)), (None, on(2)), ("", on(2)), ("c", None)],
+        [("a", on(20)), ("b", on(19))],
+        [("a", on(18)), ("old", on(3)), ("old", on(3, 1)), ("a", on(4)), ("new", on(21))],
+    ])
+    folder = shared_folder(spark, "stream")
+    detect.write_live_texts(detect.live_texts(stream, days=10), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    rows = lambda late: sorted((r.text, r.seen, r.n) for r in out.where(F.col("late") == late).collect())
+    assert rows(True) == [("a", on(4), 1), ("old", on(3, 1), 2)]
+    assert rows(False) == [("a", on(1, 5), 2), ("a", on(20), 1), ("b", on(2), 1), ("b", on(19), 1), ("new", on(21), 1)]
+
+
+def test_state_holds_live_texts_only(spark):
+    """Texts of a millisecond each, and a horizon of nothing: their timers run out before the batch after the next."""
+    moment = lambda at: on(1) + dt.timedelta(milliseconds=at)
+    stream = day_files(spark, [[(f"t{at}-{n}", moment(at)) for n in range(50)] for at in range(6)])
+    folder = shared_folder(spark, "stream")
+    query = detect.write_live_texts(detect.live_texts(stream, days=0), f"{folder}/out", f"{folder}/cp")
+    query.awaitTermination()
+    assert spark.read.parquet(f"{folder}/out").where("not late").count() == 300
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(held) <= 150
+
+
 def test_search_is_the_job_of_a_micro_batch(spark, sf):
     stream, rows = source(spark, sf, 2)
     known = rows.where("type = 'spam' and text is not null").select(F.col("msg_id").alias("case_id"), "text")
