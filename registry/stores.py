@@ -125,6 +125,13 @@ def conform_realtime(spark, sf):
     return scams.conform(rows, scams.REALTIME_SCAMS, F.lit(NOON))
 
 
+def rejected_rows(spark, sf):
+    """Messages that the real-time table does not take, with what they lack; a signup counts as having no source."""
+    rows = _scam_rows(spark, sf).withColumn("source", F.expr("nullif(source, 'signup')"))
+    return scams.rejected(rows.withColumn("id", F.col("msg_id")), scams.REALTIME_SCAMS, F.lit(NOON)).select(
+        "id", "source", "scam_type", F.array_join("missing", ",").alias("missing"))
+
+
 def assign_ids(spark, sf):
     """Purchases get ids after the highest id of the other messages."""
     rows = _scam_rows(spark, sf)
@@ -241,6 +248,13 @@ def recent_stream(spark, sf):
     return detect.recent_stream_texts(spark, f"{folder}/out", F.lit(dt.date(2024, 1, 31)), days=15)
 
 
+def live_stream(spark, sf):
+    folder = shared_folder(spark, "live")
+    live = detect.live_texts(_stream(spark, sf))
+    detect.write_live_texts(live, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return detect.recent_stream_texts(spark, f"{folder}/out", F.lit(dt.date(2024, 1, 31)), days=15)
+
+
 QUERIES = {
     "q_a1_read_messages": read_messages,
     "q_a1_read_blocks": read_blocks,
@@ -250,6 +264,7 @@ QUERIES = {
     "q_a6_scams_of_type": scams_of_type,
     "q_a7_conform_scams": conform_scams,
     "q_a7_conform_realtime": conform_realtime,
+    "q_a7_rejected": rejected_rows,
     "q_a7_assign_ids": assign_ids,
     "q_a8_seed_filled": seed_if_empty,
     "q_a8_seed_empty": seed_empty_types,
@@ -268,6 +283,7 @@ QUERIES = {
     "q_l1_score_stream_cases": score_stream_cases,
     "q_l2_write_detections": write_detections,
     "q_l3_recent_stream": recent_stream,
+    "q_l3_live_stream": live_stream,
 }
 
 
@@ -341,6 +357,13 @@ ORACLES = {
     "q_a6_scams_of_type": sql.with_messages(f"select * from ({_SCAM_TABLE}) where scam_type = 'phishing'"),
     "q_a7_conform_scams": sql.with_messages(_SCAM_TABLE),
     "q_a7_conform_realtime": sql.with_messages(_REALTIME_TABLE),
+    "q_a7_rejected": sql.with_messages(
+        """select msg_id as id, nullif(source, 'signup') as source, case source when 'click' then 'phishing'
+             when 'purchase' then 'financial' when 'signup' then 'lottery' end as scam_type,
+             concat_ws(',', case when source = 'signup' then 'source' end,
+                       case when text is null then 'scam_text' end) as missing
+        from messages where source = 'signup' or text is null"""
+    ),
     "q_a7_assign_ids": sql.with_messages(
         """select row_number() over (order by md5('42:' || msg_id), msg_id)
              + (select max(msg_id) from messages where source <> 'purchase') as id, msg_id
@@ -396,3 +419,4 @@ ORACLES = {
         where text is not null and text <> '' and ts >= date '2024-01-31' - 15 group by text"""
     ),
 }
+ORACLES["q_l3_live_stream"] = ORACLES["q_l3_recent_stream"]

@@ -12,7 +12,8 @@ from riskloom.session import stored
 SWEEP_THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7)
 FINE_THRESHOLDS = (0.2, 0.25, 0.3, 0.35, 0.4)
 
-_SCORE_RANGES = 256
+# Distinct scores in a range that one task orders, on average.
+_RANGE_SCORES = 250_000
 
 
 def apply_failure_policy(df: DataFrame, score: str = "score", on_error: str = "skip") -> DataFrame:
@@ -124,13 +125,12 @@ def _running_totals(counts: DataFrame, bounded: bool) -> DataFrame:
             "threshold", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
             F.sum("pos").over(all_ranges).alias("p"), F.sum("neg").over(all_ranges).alias("n"),
         )
-    # Distinct scores are cut into even ranges; the cut points are all the driver sees. The table is written
-    # once because cutting, counting and summing each read it.
+    # Distinct scores are cut into even ranges by sampled splitters, as many as there are scores for. Each table is
+    # written once: a range's number is its partition's, which must not change, and several steps read it.
     counts = stored(counts, "scores")
-    steps = [at / _SCORE_RANGES for at in range(1, _SCORE_RANGES)]
-    cuts = sorted(set(counts.approxQuantile("threshold", steps, 0.001)))
-    above = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("threshold"))
-    ranged = counts.withColumn("_range", F.size(above) if cuts else F.lit(0))
+    ranges = max(1, -(-counts.count() // _RANGE_SCORES))
+    ranged = stored(counts.repartitionByRange(ranges, F.desc("threshold")).withColumn(
+        "_range", F.spark_partition_id()), "ranges")
     earlier = all_ranges.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     starts = totals.select(

@@ -152,23 +152,25 @@ def with_parts(
     following = F.lead(own).over(Window.partitionBy(*groups, "_cut").orderBy("_hash", *key))
     last = turned.withColumn("_tied", F.coalesce(following == own, F.lit(False))).where(
         F.col("_turn") == F.col("_need"))
-    # A cut between rows of the same key: a value cannot part them.
-    if not last.where("_tied").isEmpty():
-        return numbered()
-    found = renamed(last.groupBy(*groups).agg(F.sort_array(F.collect_list(own)).alias("_cuts")), "_cuts")
+    found = renamed(last.groupBy(*groups).agg(
+        F.sort_array(F.collect_list(own)).alias("_cuts"), F.max("_tied").alias("_tied")), "_cuts", "_tied")
     per_group = figures.join(found, of_group, "left").select(
         *[F.col(g).alias(f"_h_{g}") for g in groups], *extra, "_cuts",
-        F.size(F.filter("_quotas", lambda quota: quota <= 0)).alias("_passed"),
+        F.size(F.filter("_quotas", lambda quota: quota <= 0)).alias("_passed"), "_tied",
     )
-    small = _local(per_group, max_cuts)
+    # One row per group, as many as the figures have.
+    rows = per_group.collect()
+    # A cut between rows of the same key: a value cannot part them.
+    if any(row["_tied"] for row in rows):
+        return numbered()
+    schema = per_group.schema
     if groups == [_WHOLE]:
         # One group: its row becomes literals.
-        only = small.head()
         joined = hashed
         for name in [*extra, "_cuts", "_passed"]:
-            kind = small.schema[name].dataType
-            joined = joined.withColumn(name, _literal(only[name] if only else None, kind))
+            joined = joined.withColumn(name, _literal(rows[0][name] if rows else None, schema[name].dataType))
     else:
+        small = df.sparkSession.createDataFrame(rows, schema).drop("_tied")
         joined = hashed.join(F.broadcast(small), [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in groups])
-    beyond = F.size(F.filter(F.coalesce("_cuts", F.array().cast(small.schema["_cuts"].dataType)), lambda at: at < own))
+    beyond = F.size(F.filter(F.coalesce("_cuts", F.array().cast(schema["_cuts"].dataType)), lambda at: at < own))
     return joined.select(*df.columns, *extra, (F.col("_passed") + beyond).alias(part))

@@ -55,11 +55,7 @@ def scams_of_type(df: DataFrame, scam_type: str) -> DataFrame:
     return df.where(F.col("scam_type") == scam_type)
 
 
-def conform(df: DataFrame, table: str = SCAMS, now: Column | None = None) -> DataFrame:
-    """Rows in the table's shape: types, defaults for confidence and time, and no null in required columns.
-
-    ``timestamp`` is taken as ``detected_at``; a missing ``id`` stays null until ``assign_ids``.
-    """
+def _shaped(df: DataFrame, table: str, now: Column | None) -> DataFrame:
     if table not in _COLUMNS:
         raise ValueError(f"unknown table {table!r}")
     if "timestamp" in df.columns and "detected_at" not in df.columns:
@@ -71,8 +67,23 @@ def conform(df: DataFrame, table: str = SCAMS, now: Column | None = None) -> Dat
     moment = (F.current_timestamp() if now is None else now).cast("timestamp_ntz")
     given["confidence"] = F.coalesce(given["confidence"], F.lit(_CONFIDENCE[table]))
     given["detected_at"] = F.coalesce(given["detected_at"], moment)
-    shaped = df.select(*[column.alias(name) for name, column in given.items()])
-    return shaped.dropna(subset=_REQUIRED[table])
+    return df.select(*[column.alias(name) for name, column in given.items()])
+
+
+def conform(df: DataFrame, table: str = SCAMS, now: Column | None = None) -> DataFrame:
+    """Rows in the table's shape: types, defaults for confidence and time, and no null in required columns.
+
+    ``timestamp`` is taken as ``detected_at``; a missing ``id`` stays null until ``assign_ids``. Rows that are left out
+    are those of ``rejected``.
+    """
+    return _shaped(df, table, now).dropna(subset=_REQUIRED[table])
+
+
+def rejected(df: DataFrame, table: str = SCAMS, now: Column | None = None) -> DataFrame:
+    """The rows that ``conform`` leaves out, in the table's shape, and ``missing``: their required columns without a value."""
+    shaped = _shaped(df, table, now)
+    missing = F.array_compact(F.array(*[F.when(F.col(name).isNull(), F.lit(name)) for name in _REQUIRED[table]]))
+    return shaped.withColumn("missing", missing).where(F.size("missing") > 0)
 
 
 def assign_ids(df: DataFrame, key: Sequence[str], existing: DataFrame | None = None, seed: int = 42) -> DataFrame:

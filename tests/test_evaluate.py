@@ -87,3 +87,16 @@ def test_failure_policy(frame):
 def test_scores_are_exact_unless_asked(frame):
     rows = frame([(1, 0.12341), (0, 0.12344)], SCHEMA)
     assert ev.auc(rows).head().auc == 0.0 and ev.auc(rows, 4).head().auc == 0.5
+
+
+def test_more_ranges_for_more_scores(frame, monkeypatch):
+    rows = [(at * 7919 % 3 % 2, at / 5000) for at in range(5000)]
+    df = frame(rows, SCHEMA)
+    want = ev.auc(df).head()
+    monkeypatch.setattr(ev, "_RANGE_SCORES", 100)
+    got = ev.auc(df).head()
+    assert abs(got.auc - want.auc) < 1e-12 and (got.positives, got.negatives) == (want.positives, want.negatives)
+    points = [(r.threshold, r.tp, r.fp) for r in ev.roc(df).collect() if r.threshold is not None]
+    assert len(points) == 5000 and max(points, key=lambda p: p[0])[1:] in ((1, 0), (0, 1))
+    assert all(tp + fp == 5000 - round(score * 5000) for score, tp, fp in points)
+    assert ev.auc(frame([], SCHEMA)).head().auc is None

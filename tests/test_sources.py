@@ -63,6 +63,15 @@ def test_split_names(spark):
         files.read_split(spark, "/nowhere", "validation")
 
 
+def test_rejected_rows_are_those_that_conform_leaves_out(frame):
+    rows = frame([(1, "sms", "a"), (2, None, "b"), (3, "sms", None), (4, None, None)],
+                 "id long, source string, scam_text string")
+    for table, missing in ((scams.SCAMS, {3: ["scam_text"], 4: ["scam_text"]}),
+                           (scams.REALTIME_SCAMS, {2: ["source"], 3: ["scam_text"], 4: ["source", "scam_text"]})):
+        assert {r.id: r.missing for r in scams.rejected(rows, table).collect()} == missing
+        assert {r.id for r in scams.conform(rows, table).collect()} == {1, 2, 3, 4} - set(missing)
+
+
 def test_conform(frame):
     now = F.lit(dt.datetime(2024, 5, 1))
     rows = frame([(1, "a", None, None, None), (2, None, "x", 0.4, None), (3, "c", "y", 0.3, dt.datetime(2020, 1, 1))],
