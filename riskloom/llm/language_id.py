@@ -18,8 +18,8 @@ from riskloom.llm import arrays
 BITS = 16
 SIZES = (1, 2, 3)
 SMOOTHING = 0.5
-#: Labelled texts used for training: a bounded hash sample of the training rows.
-TRAIN_TEXTS = 20_000
+#: Labelled texts of a language used for training: a bounded hash sample of its training rows.
+TRAIN_PER_LANGUAGE = 5_000
 UNKNOWN = "und"
 
 
@@ -70,19 +70,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["lang", "bucket", "n"])
 
 
-def train(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Model:
-    """Learn from about ``texts`` rows with a language, text and id that are not held out; none give an empty model."""
+def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
+    """Learn from rows with a language, text and id that are not held out; none give an empty model.
+
+    About ``per_language`` texts of each language count n-grams, all of them where there are no more, so a rare language
+    is learned as well. How frequent a language is, is counted over all rows.
+    """
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    total = rows.select("doc_id", "lang").count()
-    if not total:
+    shares = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not shares:
         return Model([], np.zeros(0), np.zeros((0, 0)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < F.lit(min(1.0, texts / total)))
+    share = F.create_map(*[F.lit(part) for lang, n in shares.items() for part in (lang, min(1.0, per_language / n))])
+    sample = rows.where(draw < share[F.col("lang")])
     # At most one row per language and bucket reaches the driver.
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, bucket long, n long").groupBy(
         "lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    shares = {r.lang: r.n for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(shares)
     matrix = np.full((1 << BITS, len(languages)), SMOOTHING)
     if len(counts):

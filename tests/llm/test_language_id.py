@@ -1,6 +1,10 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
-from riskloom.llm import language_id, queries
+import numpy as np
+
+from riskloom.llm import arrays, language_id, queries
 
 
 def test_held_out_rows(spark, sf):
@@ -42,3 +46,41 @@ def test_long_text_counts_to_its_end(frame):
     model = language_id.train(docs(frame))
     names, _ = model.predict(["der " * 10 + "the " * 400_000, "le"])
     assert names == ["en", "fr"]
+
+
+def test_query_equals_a_count_text_by_text(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    grams = {}
+    for doc, text, _ in docs:
+        _, bucket, has = arrays.ngram_codes([text or ""], language_id.SIZES, language_id.BITS)
+        grams[doc] = Counter(bucket.tolist()), bool(has[0])
+    counts, texts = defaultdict(Counter), Counter()
+    for doc, text, lang in docs:
+        if zlib.crc32(str(doc).encode()) % 4 != 2 and text is not None and lang is not None:
+            counts[lang].update(grams[doc][0])
+            texts[lang] += 1
+    size = {lang: sum(c.values()) + language_id.SMOOTHING * 2**language_id.BITS for lang, c in counts.items()}
+    got = {r.doc_id: r for r in queries.QUERIES["op10_language_id"](spark, sf).collect()}
+    assert len(got) == len(docs)
+    for doc, text, _ in docs:
+        seen, has = grams[doc]
+        if text is None or not has:
+            assert (got[doc].lang_pred, got[doc].score) == ("und", 0.0)
+            continue
+        total = {lang: math.log(texts[lang] / sum(texts.values())) + sum(
+            n * math.log((counts[lang][g] + language_id.SMOOTHING) / size[lang]) for g, n in seen.items())
+            for lang in counts}
+        best = max(total, key=total.get)
+        assert got[doc].lang_pred == best
+        assert abs(got[doc].score - 1 / sum(math.exp(t - total[best]) for t in total.values())) < 1e-6
+
+
+def test_a_rare_language_is_learned(frame):
+    rows = [(at, "the cat and the dog", "en") for at in range(3000)]
+    rows += [(5000 + at, "жук и кот", "ru") for at in range(8)]
+    df = frame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, per_language=50)
+    assert model.languages == ["en", "ru"]
+    learned = [sum(zlib.crc32(str(doc).encode()) % 4 != 2 for doc, _, lang in rows if lang == name) for name in ("en", "ru")]
+    assert np.allclose(np.exp(model.prior), np.array(learned) / sum(learned))
+    assert model.predict(["кот", "dog"])[0] == ["ru", "en"]

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -71,3 +73,21 @@ def test_edges(frame):
         assert len(out) == 4 and all(0 <= r.score <= 1 for r in out)
         assert len({r.score for r in out if not r.text}) == 1
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_scores_equal_a_sum_word_by_word(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert len(model.buckets)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    of_word = {}
+
+    def buckets(word):
+        if word not in of_word:
+            of_word[word] = set(toxicity.features([word])[1].tolist())
+        return of_word[word]
+
+    for row in toxicity.score(docs, model, "score").collect():
+        held = set().union(*map(buckets, re.findall(r"[^\W_]+", row.text or "")))
+        margin = model.bias + sum(weight.get(b, 0.0) for b in held)
+        assert abs(row.score - 1 / (1 + math.exp(-margin))) < 1e-9
