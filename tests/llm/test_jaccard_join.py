@@ -142,3 +142,12 @@ def test_shingles_do_not_depend_on_neighbours():
     together = arrays.shingles(texts)
     assert all(np.array_equal(s, arrays.shingles([t])[0]) for s, t in zip(together, texts))
     assert np.array_equal(together[0], together[4]) and len(together[2]) == 0
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_rows_go_by_broadcast_or_by_shuffle(frame, broadcast_rows):
+    docs = frame([(1, "a"), (1, "b"), (2, None), (2, ""), (None, "c"), (3, "d")], "doc_id long, text string")
+    gone = docs.where("text = 'a' or text is null or text = 'c'").select(jaccard_join.row_key().alias("row_key"))
+    left = jaccard_join.without(docs, gone.union(gone), broadcast_rows)
+    # A null text counts as empty, so both rows of id 2 share a key.
+    assert sorted(tuple(r) for r in left.collect()) == [(1, "b"), (3, "d")]
