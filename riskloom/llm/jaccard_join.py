@@ -10,10 +10,12 @@ How it stays linear in rows:
 
 * texts with equal sets are one node from the start, so thousands of copies cost one;
 * a bucket of a band yields one edge per member, to its smallest member, never all pairs;
-* the components of those edges are the families. Each text travels once or a few times to its family, where
-  *all* pairs of comparable size are compared, including those that met in no band. A large family is cut into
-  blocks by size class and hash, one task per pair of blocks, and a task returns one row per text: its number of
-  links and the smallest text it is linked to.
+* the components of those edges are the families. A family beyond one block is taken apart again without losing a
+  link (``_parted``): of two similar sets, the rarest shingles of one hold a shingle that is among the rarest of the
+  other. Texts that only share a common frame have none in common and leave the family.
+* each text travels once or a few times to its family, where *all* pairs of comparable size are compared, including
+  those that met in no band. A family that is still large is cut into blocks by size class and hash, one task per
+  pair of blocks, and a task returns one row per text: its number of links and the smallest text it is linked to.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ TARGET_RECALL = 0.99999
 #: A block of a family holds about this many texts and shingles at most.
 BLOCK_TEXTS = 384
 BLOCK_SHINGLES = 600_000
+#: Counters of shingles in large families, shared by hash; the table of them is what tasks receive (8 bytes each).
+COUNTERS = 1 << 20
 _SEED = 20240
 
 
@@ -97,13 +101,56 @@ def _member_sets(width: int):
         for frame in frames:
             for first, texts in arrays.runs(frame["text"].tolist()):
                 sets = arrays.shingles(texts, width)
-                rows = frame.iloc[first:first + len(texts)]
-                yield pd.DataFrame({"uid": rows["uid"].to_numpy(), "copies": rows["copies"].to_numpy(),
-                                    "task": rows["task"].tolist(), "side": rows["side"].tolist(),
+                yield pd.DataFrame({"uid": frame["uid"].to_numpy()[first:first + len(texts)],
                                     "shingles": [s.tobytes() for s in sets]})
     return read
 
 
+def _counter(shingles: np.ndarray, counters: int) -> np.ndarray:
+    return (shingles % np.uint64(counters)).astype(np.int64)
+
+
+def _count_shingles(counters: int):
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(counters, np.int64)
+        for frame in frames:
+            for shingles in frame["shingles"]:
+                np.add.at(total, _counter(np.frombuffer(shingles, np.uint64), counters), 1)
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"counter": used, "n": total[used]})
+    return count
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles by which a set meets every similar one, and which of them serve sets of its size or more.
+
+    Shingles are taken in one order for all sets: by the count of their counter, then by value. Two sets of a
+    Jaccard similarity of the threshold share at least threshold / (1 + threshold) of their sizes together. So the
+    first shingle that both hold is, in the larger set, among the first ``size - threshold * size + 1`` and, in the
+    smaller one, among the first ``size - 2 * threshold / (1 + threshold) * size + 1``.
+    """
+    size = len(shingles)
+    # The 1e-9 keeps a product's binary error from making the prefix too short.
+    as_larger = size - int(np.ceil(threshold * size - 1e-9)) + 1
+    as_smaller = size - int(np.ceil(2 * threshold / (1 + threshold) * size - 1e-9)) + 1
+    order = np.lexsort((shingles, counts[_counter(shingles, len(counts))]))[:as_larger]
+    return shingles[order], np.arange(len(order)) < as_smaller
+
+
+def _rarest_shingles(counts, threshold: float):
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [rarest(np.frombuffer(s, np.uint64), counts.value, threshold) for s in frame["shingles"]]
+            lengths = [len(taken) for taken, _ in found]
+            if sum(lengths):
+                yield pd.DataFrame({
+                    "uid": np.repeat(frame["uid"].to_numpy(), lengths),
+                    "family": np.repeat(frame["family"].to_numpy(), lengths),
+                    "shingle": np.concatenate([taken for taken, _ in found]).view(np.int64),
+                    "as_smaller": np.concatenate([small for _, small in found])})
+    return read
+
+
 def _two_blocks(task: str) -> bool:
     """Whether a task, ``family`` or ``family:class:class:block:block``, compares two different blocks."""
     _, *sides = task.split(":")
@@ -235,6 +282,45 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return remaining.withColumn("__key", row_key()).dropDuplicates(["__key"]).drop("__key")
 
 
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.col("n") / F.lit(BLOCK_TEXTS), F.col("s") / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def _sized(slim: DataFrame, *keys: str) -> DataFrame:
+    return slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+
+
+def _parted(slim: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``slim`` (uid, family, ...) with every family beyond one block taken apart into smaller ones.
+
+    Members stay together if they share one of their rarest shingles and one of them may be the smaller of the two,
+    directly or through others. Linked texts always do, whatever the counts: counters decide only the order. A
+    member that shares none has no link and is left out. The work is linear in the members' shingles.
+    """
+    large = _sized(slim, "family").where(_blocks() > 1).select("family")
+    if large.isEmpty():
+        return slim
+    rows = slim.join(large.withColumn("large", F.lit(True)), "family", "left")
+    members = stored(sets.join(rows.where("large").select("uid", "family"), "uid"), "large")
+    counted = members.select("shingles").mapInPandas(_count_shingles(COUNTERS), "counter long, n long")
+    # One row per counter that is used.
+    figures = counted.groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[figures["counter"].to_numpy()] = figures["n"].to_numpy()
+    rare = members.mapInPandas(
+        _rarest_shingles(slim.sparkSession.sparkContext.broadcast(counts), threshold),
+        "uid long, family long, shingle long, as_smaller boolean")
+    keys = ["family", "shingle"]
+    meeting = rare.groupBy(*keys).agg(
+        F.min("uid").alias("head"), F.max("uid").alias("last"), F.max("as_smaller").alias("some"))
+    edges = join_hot(rare, meeting.where("some and head < last").drop("last", "some"), keys).where(
+        "uid <> head").select("uid", "head").distinct()
+    parts = components(edges, "uid", "head").select(F.col("node").alias("uid"), F.col("root").alias("part"))
+    return (rows.where("large is null").drop("large")
+            .unionByName(rows.where("large").join(parts, "uid").withColumn("family", F.col("part"))
+                         .drop("large", "part")))
+
+
 def _links(keyed: DataFrame, some: DataFrame, nodes: DataFrame, families: DataFrame, threshold: float,
            width: int) -> DataFrame:
     """(uid, other, links) of every text with a link, from all tasks that compare it."""
@@ -245,14 +331,18 @@ def _links(keyed: DataFrame, some: DataFrame, nodes: DataFrame, families: DataFr
     slim = (some.select("uid", "row_key", "n_shingles").join(family, "uid")
             .join(nodes.select("uid", "copies"), "uid").withColumn("cls", size_class))
     slim = stored(slim, "members")
-    cells = slim.groupBy("family", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    whole = cells.groupBy("family").agg(F.sum("n").alias("n"), F.sum("s").alias("s"),
-                                        F.max("n").alias("most"))
-    blocks = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK_TEXTS), F.col("s") / F.lit(BLOCK_SHINGLES))).cast("int")
+    # The text is fetched once per member; from here on its shingles travel.
+    texts = keyed.join(slim.select("row_key", "uid"), "row_key").select("uid", "text")
+    sets = stored(texts.mapInPandas(_member_sets(width), "uid long, shingles binary"), "sets")
+    slim = stored(_parted(slim.drop("row_key"), sets, threshold), "parted")
+
+    cells = _sized(slim, "family", "cls")
+    whole = cells.groupBy("family").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    blocks = _blocks()
     # A family that fits one block is one task, whatever its sizes.
     small = whole.where((blocks == 1) & (F.col("n") > 1)).select("family")
     in_one = join_hot(slim, small, ["family"]).select(
-        "uid", "row_key", "copies", F.concat_ws(":", "family").alias("task"), F.lit("all").alias("side"))
+        "uid", "copies", F.array(F.concat_ws(":", "family")).alias("tasks"), F.lit("all").alias("side"))
     counts = cells.select("family", "cls", blocks.alias("blocks"))
     large = join_hot(slim, whole.where(blocks > 1).select("family"), ["family"])
     own = join_hot(large, counts, ["family", "cls"]).withColumn(
@@ -273,14 +363,9 @@ def _links(keyed: DataFrame, some: DataFrame, nodes: DataFrame, families: DataFr
                        lambda b: task(F.col("cls") - 1, "cls", b, "block"))
     up = F.transform(lower(F.coalesce("above", F.lit(0))),
                      lambda b: task("cls", F.col("cls") + 1, "block", b))
-    in_many = own.select("uid", "row_key", "copies", F.explode(F.concat(same, down, up)).alias("task"),
+    in_many = own.select("uid", "copies", F.concat(same, down, up).alias("tasks"),
                          F.concat_ws(":", "cls", "block").alias("side"))
-    # The text is fetched once per member and told which tasks it goes to.
-    where = in_one.union(in_many).groupBy("row_key", "uid", "copies", "side").agg(
-        F.collect_list("task").alias("tasks"))
-    texts = keyed.join(where, "row_key")
-    sets = texts.select("uid", "copies", "text", F.col("tasks").alias("task"), "side").mapInPandas(
-        _member_sets(width), "uid long, copies long, task array<string>, side string, shingles binary")
-    spread = sets.select("uid", "copies", "side", "shingles", F.explode("task").alias("task"))
+    where = in_one.unionByName(in_many)
+    spread = sets.join(where, "uid").select("uid", "copies", "side", "shingles", F.explode("tasks").alias("task"))
     return stored(spread.groupBy("task").applyInPandas(
         _verifier(threshold), "uid long, other long, links long"), "links")

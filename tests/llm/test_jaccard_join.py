@@ -93,6 +93,53 @@ def test_empty_blocks_count_no_link_twice(frame, monkeypatch, shingles):
     assert result(jaccard_join.jaccard_join(frame(rows, "doc_id long, text string"))) == brute_force(rows)
 
 
+def framed(n, own, shared, first=0):
+    """Texts of one common passage and some words of their own: alike, but below the threshold."""
+    common = " ".join(f"c{i}" for i in range(shared))
+    return [(first + at, common + " " + " ".join(f"o{first + at}n{i}" for i in range(own))) for at in range(n)]
+
+
+def test_texts_with_a_common_frame_are_not_compared(spark, frame, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TEXTS", 10)
+    rows = framed(80, 13, 60)
+    # Two real links among them.
+    rows += [(200, rows[3][1] + " more"), (201, rows[60][1] + " words")]
+    seen = []
+    parted = jaccard_join._parted
+
+    def watch(slim, sets, threshold):
+        out = parted(slim, sets, threshold)
+        seen.append((slim.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_parted", watch)
+    assert result(jaccard_join.jaccard_join(frame(rows, "doc_id long, text string"))) == brute_force(rows)
+    (before, after), = seen
+    assert before > 70 and after == 4
+
+
+@pytest.mark.parametrize("counters", [1, 7, 1 << 20])
+def test_similar_sets_meet_in_their_rarest_shingles(counters):
+    """Whatever the counters say, and at every size of both sets, exactly at the threshold as well."""
+    random = np.random.default_rng(5)
+    met = 0
+    for _ in range(3000):
+        small = int(random.integers(1, 60))
+        large = int(random.integers(small, small * 5 // 4 + 1))
+        # The fewest shared shingles that reach .8: shared / (small + large - shared).
+        shared = -(-4 * (small + large) // 9)
+        if shared > small:
+            continue
+        pool = random.integers(0, 2**63, small + large - shared, dtype=np.uint64)
+        a, b = np.sort(pool[:small]), np.sort(pool[small - shared:])
+        counts = random.integers(0, 4, counters)
+        (of_a, small_a), (of_b, _) = (jaccard_join.rarest(s, counts, 0.8) for s in (a, b))
+        assert len(a) == small and len(b) == large
+        assert np.intersect1d(of_a[small_a], of_b).size
+        met += 1
+    assert met > 1000
+
+
 def test_edges(frame):
     rows = [
         (1, "one two three"), (2, "One, two THREE!"), (3, None), (4, ""), (5, "!!! ..."), (6, "one two four"),
