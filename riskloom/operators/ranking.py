@@ -6,7 +6,8 @@ of all rows is thereby spread over every bucket.
 
 ``with_parts`` cuts groups at given positions: only the bucket that holds a cut is ever sorted, and what comes
 back to the rows is one hash per cut, so splitting a table is a map over it. ``with_position`` numbers every
-row, which takes one shuffle.
+row, which takes one shuffle; buckets that hold too many rows for one task are refined by further digits first, so
+what a task numbers is bounded at any size of the table.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskloom.session import stored
 
-# Buckets per group: 16^3 when all rows are numbered, 16^4 when only the bucket of a cut is sorted.
+# Buckets per group: 16^3 to begin with when all rows are numbered, 16^4 when only the bucket of a cut is sorted.
 _NUMBER_DIGITS = 3
 _CUT_DIGITS = 4
+# A bucket of more rows is refined before its rows are numbered, to this many digits at most.
+_CELL_ROWS = 1_000_000
+_MOST_DIGITS = 14
 # Up to this many cuts over all groups are broadcast.
 _MAX_CUTS = 10_000
 # Group column of a table that is one group.
@@ -36,6 +40,40 @@ def _bucket(digits: int) -> Column:
     return F.conv(F.substring("_hash", 1, digits), 16, 10).cast("int")
 
 
+def _cell(digits: Column) -> Column:
+    """The lowest hash, to ``_MOST_DIGITS`` digits, that begins with a row's first ``digits`` digits."""
+    padded = F.rpad(F.substring(F.col("_hash"), F.lit(1), digits), F.lit(_MOST_DIGITS), F.lit("0"))
+    return F.conv(padded, 16, 10).cast("bigint")
+
+
+def _cells(hashed: DataFrame, groups: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``hashed`` with ``_bucket``, the cell of its row, and the rows ``_rows`` of each cell of each group.
+
+    Cells are the leaves of a trie over the digits of the hash. A cell above ``_CELL_ROWS`` is refined by as many
+    digits as its count asks for, and only its rows are counted again. So a group has at most 16^3 cells, or 16 for
+    every ``_CELL_ROWS`` of its rows. Cells do not overlap, and the order of ``_bucket`` is that of the hashes.
+    """
+    hashed = hashed.withColumn("_bucket", _cell(F.lit(_NUMBER_DIGITS)))
+    counted = lambda rows, digits: rows.groupBy("_bucket", *keys, *groups, digits.alias("_digits")).agg(
+        F.count(F.lit(1)).alias("_rows"))
+    cells = stored(counted(hashed, F.lit(_NUMBER_DIGITS)), "cells")
+    crowded = (F.col("_rows") > _CELL_ROWS) & (F.col("_digits") < _MOST_DIGITS)
+    while True:
+        over = cells.where(crowded)
+        n = over.count()
+        if not n:
+            return hashed, cells
+        wanted = F.col("_digits") + F.ceil(F.log(16.0, F.col("_rows") / _CELL_ROWS))
+        deeper = over.select("_bucket", *keys, F.least(wanted, F.lit(_MOST_DIGITS)).cast("int").alias("_deeper"))
+        told = hashed.join(F.broadcast(deeper) if n <= _MAX_CUTS else deeper, ["_bucket", *keys], "left")
+        hashed = told.withColumn(
+            "_bucket", F.when(F.col("_deeper").isNull(), F.col("_bucket")).otherwise(_cell(F.col("_deeper")))
+        )
+        again = counted(hashed.where(F.col("_deeper").isNotNull()), F.col("_deeper"))
+        cells = stored(cells.where(~crowded).unionByName(again), "cells")
+        hashed = hashed.drop("_deeper")
+
+
 def with_position(
     df: DataFrame, groups: Sequence[str], key: Sequence[str], seed: int = 42,
     position: str = "_position", size: str = "_size",
@@ -50,14 +88,13 @@ def with_position(
     # Null-free key columns, the bucket first: the join and the window then ask for the same partitioning, so
     # rows are shuffled once, and the sort compares a number before anything else.
     hashed = df.withColumn("_hash", seeded_hash(seed, *key)).withColumns(
-        {"_bucket": _bucket(_NUMBER_DIGITS)}
-        | {f"_key{at}": F.coalesce(F.col(g).cast("string"), F.lit("")) for at, g in enumerate(groups)}
+        {f"_key{at}": F.coalesce(F.col(g).cast("string"), F.lit("")) for at, g in enumerate(groups)}
         | {f"_null{at}": F.col(g).isNull() for at, g in enumerate(groups)}
     )
     keys = [f"_{part}{at}" for at in range(len(groups)) for part in ("key", "null")]
     cells = ["_bucket", *keys]
-    counts = hashed.groupBy(*cells, *groups).agg(F.count(F.lit(1)).alias("_rows"))
-    # At most 16^3 rows per group from here to the join.
+    hashed, counts = _cells(hashed, groups, keys)
+    # One row per cell of a group from here to the join.
     whole = Window.partitionBy(*(keys or [F.lit(1)]))
     along = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(

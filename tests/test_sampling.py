@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import sampling as sp
+from riskloom.operators import ranking, sampling as sp
 from riskloom.operators.ranking import with_parts, with_position
 
 
@@ -179,3 +179,31 @@ def test_a_missing_class_leaves_nothing(frame):
     both = spam.union(frame([("ham", 20), ("ham", 21)], "type string, id long"))
     assert sorted(r.type for r in sp.balance(both, "type", ["id"], classes=["spam", "ham"]).collect()) == [
         "ham", "ham", "spam", "spam"]
+
+
+@pytest.mark.parametrize("broadcast_cells", [0, 10_000])
+def test_crowded_cells_are_refined(frame, monkeypatch, broadcast_cells):
+    """The same numbers whatever a cell may hold, and no cell beyond that unless its rows share a key."""
+    rows = frame([(i, "a" if i % 3 else None) for i in range(3000)] + [(5000, "b")] * 9, "id long, label string")
+    plain = [tuple(r) for r in with_position(rows, ["label"], ["id"]).collect()]
+    monkeypatch.setattr(ranking, "_NUMBER_DIGITS", 1)
+    monkeypatch.setattr(ranking, "_CELL_ROWS", 4)
+    monkeypatch.setattr(ranking, "_MAX_CUTS", broadcast_cells)
+    seen = []
+    cells = ranking._cells
+
+    def watch(*given):
+        out = cells(*given)
+        seen.extend(out[1].collect())
+        return out
+
+    monkeypatch.setattr(ranking, "_cells", watch)
+    refined = [tuple(r) for r in with_position(rows, ["label"], ["id"]).collect()]
+    key = lambda r: (r[0], str(r[1]), r[2])
+    assert sorted(refined, key=key) == sorted(plain, key=key)
+    assert sum(r["_rows"] for r in seen) == 3009
+    assert max(r["_rows"] for r in seen if r["label"] != "b") <= 4
+    assert max(r["_digits"] for r in seen if r["label"] == "b") == ranking._MOST_DIGITS
+    # Cells are refined where they are crowded, not everywhere to the end.
+    assert len({r["_digits"] for r in seen if r["label"] == "a"}) > 1
+    assert len(seen) <= 3009
