@@ -111,9 +111,14 @@ def detection_records(spark, sf):
         "msg_id", "analysis_id", "timestamp", "input_text", "risk_detected", "confidence", "risk_score",
         "risk_level", F.md5("report").alias("report_md5"), F.array_join("patterns", " | ").alias("patterns"),
         F.col("pattern_analysis.total_score").alias("total_score"),
+        F.array_join("pattern_analysis.matched_patterns", " | ").alias("analysed_patterns"),
         F.size("similar_texts").cast("bigint").alias("n_cases"),
+        F.array_join(F.transform("similar_texts", lambda case: F.concat(
+            case["text"], F.lit(" @"), F.round(case["similarity"] * 10_000).cast("bigint").cast("string"))), " | "
+        ).alias("similar_texts"),
         F.col("llm_analysis.risk_assessment").alias("risk_assessment"),
         F.array_join("llm_analysis.indicators", " | ").alias("indicators"),
+        F.array_join("llm_analysis.recommendations", " | ").alias("recommendations"),
         F.col("llm_analysis.confidence").alias("verdict_confidence"),
     )
 
@@ -341,7 +346,12 @@ ORACLES = {
           round(verdict_score, 4) as confidence, round(verdict_score, 4) as risk_score,
           {_LEVEL.format(x='verdict_score')} as risk_level,
           md5(replace(report, chr(92), chr(92) || chr(92))) as report_md5,
-          if(usable, patterns, '') as patterns, total_score, n_cases, verdict_score as risk_assessment,
+          if(usable, patterns, '') as patterns, if(usable, patterns, '') as analysed_patterns, total_score, n_cases,
+          if(usable, array_to_string([z[1] || ' @' || round(z[2] * 10000)::bigint for z in list_zip(texts, sims)], ' | '), '')
+            as similar_texts,
+          case when not usable then '' when recommendations is null then 'Please rely on pattern matching results'
+            else array_to_string(recommendations, ' | ') end as recommendations,
+          verdict_score as risk_assessment,
           case when usable and verdict_error is null then array_to_string(indicators, ' | ') else '' end as indicators,
           case when usable and verdict_error is null then conf else 'Low' end as verdict_confidence
         from (select *, {sql.strip('text')} as t, {_UUID.format(t=sql.strip('text'))} as h from reported)

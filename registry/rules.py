@@ -43,6 +43,7 @@ def pattern_analysis(spark, sf):
     return nested.select(KEY, F.explode_outer("categories").alias("category", "found")).select(
         KEY, "category", F.col("found.score").alias("score"),
         F.size("found.matched_patterns").cast("bigint").alias("n_patterns"),
+        F.array_join("found.matched_patterns", " | ").alias("matched_patterns"),
     )
 
 
@@ -153,7 +154,7 @@ ORACLES = {
         *ALL_CTES,
     ),
     "q_f4_pattern_analysis": sql.with_messages(
-        "select msg_id, category, score, n as n_patterns from cats", *ALL_CTES[:4]
+        "select msg_id, category, score, n as n_patterns, pats as matched_patterns from cats", *ALL_CTES[:4]
     ),
     "q_f5_pattern_summary": sql.with_messages("select msg_id, summary from scores", *ALL_CTES),
     "q_f6_rule_coverage": sql.with_messages(
