@@ -218,7 +218,7 @@ def score_stream(spark, sf):
 
 
 def score_stream_cases(spark, sf):
-    """Scores of the stream with a search for similar cases in each micro-batch."""
+    """Scores and reports of the stream with a search for similar cases in each micro-batch."""
     folder = shared_folder(spark, "scores")
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("msg_id"), "embedding")
     spam = messages(spark, sf).where("type = 'spam'").join(vecs, "msg_id")
@@ -227,7 +227,9 @@ def score_stream_cases(spark, sf):
 
     def job(batch):
         cased = with_cases(batch.join(vecs, "msg_id", "left"), corpus)
-        return detect.score_stream(cased, answers=given).select("msg_id", "max_similarity", "risk_score")
+        return detect.score_stream(cased, answers=given).select(
+            "msg_id", "total_score", "max_similarity", F.size("similar_cases").cast("bigint").alias("n_cases"),
+            "risk_score", "risk_level", F.md5("report").alias("report_md5"))
 
     detect.write_batches(_stream(spark, sf), job, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch_id")
@@ -407,8 +409,7 @@ ORACLES = {
     ),
     "q_k5_generate": f"with {_DRAFTS}, {_REWRITTEN} select distinct 'spam' as type, message from ({_noisy('rewritten')})",
     "q_l1_score_stream": f"select msg_id, total_score, risk_score, risk_level from ({_STREAMED})",
-    "q_l1_score_stream_cases": RISK_ORACLES["q_i1_blend"].replace(
-        "select msg_id, total_score, max_similarity", "select msg_id, max_similarity"),
+    "q_l1_score_stream_cases": RISK_ORACLES["q_i6_score_by_map"],
     "q_l2_write_detections": sql.with_messages(
         f"""select msg_id as id, source, text as scam_text, risk_level as scam_type, risk_score as confidence,
           ts as detected_at
