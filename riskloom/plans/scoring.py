@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from riskloom.functions import text as tx
 from riskloom.operators import risk, rules, vectors, verdicts
 from riskloom.operators.rules import DEFAULT_PACK, RulePack
+from riskloom.session import stored
 
 _CASES = "array<struct<text:string,similarity:double>>"
 
@@ -47,9 +48,16 @@ def with_cases(
 def with_cases_from_texts(
     messages: DataFrame, known: DataFrame, text: str = "text", dims: int = 256, **options
 ) -> DataFrame:
-    """The same straight from texts: messages and ``known`` ``(case_id, text)`` become hashed term vectors."""
+    """The same straight from texts: messages and ``known`` ``(case_id, text)`` become hashed term vectors.
+
+    Equal texts have equal vectors, of which the search reports the k lowest ids, so only those become vectors; they
+    are written once, since measuring and searching read them.
+    """
     asked = vectors.hash_vectors(messages, text, dims, "_vector")
-    corpus = vectors.hash_vectors(known.select("case_id", "text"), "text", dims)
+    copies = Window.partitionBy("text").orderBy("case_id")
+    few = known.select("case_id", "text").dropna().withColumn("_n", F.row_number().over(copies)).where(
+        F.col("_n") <= options.get("k", 3)).drop("_n")
+    corpus = stored(vectors.hash_vectors(few, "text", dims), "known")
     return with_cases(asked, corpus, vector="_vector", **options).drop("_vector")
 
 
