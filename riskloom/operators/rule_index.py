@@ -1,12 +1,12 @@
 """Rule packs of any size: a text fetches the rules whose literals it holds, and only those run.
 
-Every match of a rule holds its needle, a literal taken from its pattern. The needles of a pack make one automaton that
-reads a text once. A rule that is a literal between word boundaries, or with one on either side, is decided where the
-needle was found; of the others the regular expression runs. So the time of a text follows from what it holds and hardly
-from the number of rules. Rules without a literal cannot be indexed and run on every text; ``unindexed`` counts them.
+Every match of a rule holds its needle, a literal taken from its pattern. A rule that is one word, or the beginning of
+one, is looked up for each different word of a text, whose rules a task remembers. The needles of the others make one
+automaton that reads a text once. A rule that is a literal between word boundaries, or with one on either side, is
+decided where the needle was found; of the others the regular expression runs. So the time of a text follows from what
+it holds and hardly from the number of rules. Rules without a literal cannot be indexed and run on every text; ``unindexed`` counts them.
 
-Matching is a map. The pack goes to every task; it is measured, and a larger one is cut into blocks of rules that read
-the texts one after the other.
+Matching is a map. The pack goes to every task, which reads a text once for all its blocks.
 """
 
 from __future__ import annotations
@@ -17,20 +17,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# The kernel below travels inside the tasks, so executors need pyarrow and ahocorasick but not this package.
+from riskloom.session import stored
+
+# The kernel below travels inside the tasks, so executors need numpy, pyarrow and ahocorasick but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Characters of the patterns of one block, some 100 bytes of memory each.
 BLOCK_CHARS = 2_000_000
+#: Words whose rules a task remembers, and rows whose hits it holds at once.
+_WORDS, _ROWS = 100_000, 1_000
 _HITS = "_hits"
 _HIT = pa.list_(pa.struct([("category", pa.string()), ("pattern", pa.string()), ("weight", pa.float64())]))
 _HIT_TYPE = T.ArrayType(T.StructType([
     T.StructField("category", T.StringType()), T.StructField("pattern", T.StringType()),
     T.StructField("weight", T.DoubleType())]))
+_TOKEN = re.compile(r"\w+")
 _LITERAL = re.compile(r"(\\b)?((?:[^\\.^$*+?{}\[\]|()]|\\[^A-Za-z0-9])+)(\\b)?")
 
 
@@ -89,12 +95,13 @@ class IndexedPack:
     def from_frames(cls, rules: DataFrame, caps: DataFrame, block_chars: int = BLOCK_CHARS) -> "IndexedPack":
         """Pack kept as tables ``(category, pattern, weight)`` and ``(category, max_score)``; each category needs a cap."""
         limits = {r.category: float(r.max_score) for r in caps.orderBy("category").collect()}
+        # Read by the test below, for the order's bounds and for the blocks.
+        rules = stored(rules.select("category", "pattern", F.col("weight").cast("double").alias("weight")), "rules")
         if missing := rules.select("category").distinct().where(~F.col("category").isin(*limits)).orderBy(
                 "category").limit(5).collect():
             raise ValueError(f"no cap for the categories {[r.category for r in missing]}")
         blocks, block, size = [], [], 0
-        for r in rules.select("category", "pattern", F.col("weight").cast("double").alias("weight")).where(
-                "pattern is not null").distinct().orderBy("category", "pattern", "weight").toLocalIterator():
+        for r in rules.where("pattern is not null").distinct().orderBy("category", "pattern", "weight").toLocalIterator():
             block.append((r.category, r.pattern, r.weight))
             size += len(r.pattern) + 16
             if size >= block_chars:
@@ -107,14 +114,22 @@ def _word(text: str, at: int) -> bool:
     return 0 <= at < len(text) and (text[at] == "_" or text[at].isalnum())
 
 
+def _packed(rules) -> pa.StructArray:
+    """Rules ``(category, pattern, weight)`` as a hit takes them."""
+    fields = list(_HIT.value_type)
+    return pa.StructArray.from_arrays([pa.array([r[at] for r in rules], f.type) for at, f in enumerate(fields)], fields=fields)
+
+
 class _Index:
-    def __init__(self, rules: tuple[tuple[str, str, float], ...]):
+    def __init__(self, rules):
         import ahocorasick
 
-        self.rules = [{"category": c, "pattern": p, "weight": w} for c, p, w in rules]
+        self.rules = rules = rules if isinstance(rules, pa.StructArray) else _packed(rules)
         self._compiled: dict[int, re.Pattern] = {}
         self._always, by_needle = [], {}
-        for at, (_, pattern, _) in enumerate(rules):
+        # Rules that are a whole word, or the beginning of one, and the rules of the words seen.
+        self._whole, self._begin, self._of_word = {}, {}, {}
+        for at, pattern in enumerate(rules.field("pattern").to_pylist()):
             plain = _LITERAL.fullmatch(pattern)
             literal = re.sub(r"\\(.)", r"\1", plain[2], flags=re.S) if plain else needle_of(pattern)
             if not literal:
@@ -122,7 +137,11 @@ class _Index:
                 continue
             # Where the literal is all of a rule: whether a word has to begin or end there.
             edges = (bool(plain[1]), bool(plain[3])) if plain else None
+            if edges and edges[0] and _TOKEN.fullmatch(literal):
+                (self._whole if edges[1] else self._begin).setdefault(literal, []).append(at)
+                continue
             by_needle.setdefault(literal, []).append((at, edges))
+        self._lengths = sorted({len(literal) for literal in self._begin})
         self._automaton = ahocorasick.Automaton()
         for literal, found in by_needle.items():
             self._automaton.add_word(literal, (len(literal), found))
@@ -131,11 +150,33 @@ class _Index:
 
     def _fires(self, at: int, text: str) -> bool:
         if at not in self._compiled:
-            self._compiled[at] = re.compile(self.rules[at]["pattern"])
+            self._compiled[at] = re.compile(self.rules[at]["pattern"].as_py())
         return bool(self._compiled[at].search(text))
 
-    def matches(self, text: str) -> list[dict]:
-        fired, tried = set(), set()
+    def _rules_of(self, word: str) -> list[int]:
+        """Rules that are this word or a beginning of it."""
+        found = list(self._whole.get(word, ()))
+        for length in self._lengths:
+            if length > len(word):
+                break
+            found += self._begin.get(word[:length], ())
+        return found
+
+    def _of_words(self, text: str) -> set[int]:
+        known, fired = self._of_word, set()
+        if self._whole or self._begin:
+            for word in set(_TOKEN.findall(text)):
+                rules = known.get(word)
+                if rules is None:
+                    if len(known) >= _WORDS:
+                        known.clear()
+                    rules = known[word] = self._rules_of(word)
+                fired.update(rules)
+        return fired
+
+    def fired(self, text: str) -> list[int]:
+        """Numbers of the rules that match, in order."""
+        fired, tried = self._of_words(text), set()
         if len(self._automaton):
             for last, (length, rules) in self._automaton.iter(text):
                 first = last + 1 - length
@@ -151,30 +192,34 @@ class _Index:
                             not edges[1] or _word(text, last) != _word(text, last + 1)):
                         fired.add(at)
         fired.update(at for at in self._always if self._fires(at, text))
-        return [self.rules[at] for at in sorted(fired)]
+        return sorted(fired)
+
+    def matches(self, text: str) -> list[dict]:
+        return self.rules.take(pa.array(self.fired(text), pa.int64())).to_pylist()
 
 
 def _matcher(shared):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(shared.value)
-        for batch in batches:
-            hits = [index.matches(t) if t else [] for t in batch.column("_lowered").to_pylist()]
-            kept = [n for n in batch.schema.names if n != "_lowered"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(hits, _HIT)], [*kept, _HITS])
+        for whole in batches:
+            # Hits take many times the room of their texts.
+            for batch in (whole.slice(at, _ROWS) for at in range(0, len(whole), _ROWS)):
+                fired = [index.fired(t) if t else [] for t in batch.column("_lowered").to_pylist()]
+                starts = np.cumsum([0, *map(len, fired)], dtype=np.int32)
+                hits = index.rules.take(pa.array(np.fromiter((at for own in fired for at in own), np.int64, int(starts[-1]))))
+                kept = [n for n in batch.schema.names if n != "_lowered"]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(n) for n in kept), pa.ListArray.from_arrays(pa.array(starts), hits)], [*kept, _HITS])
 
     return match
 
 
 def _matched(df: DataFrame, pack: IndexedPack, column: str) -> DataFrame:
     """``df`` with the matching rules in ``_HITS``, in order, each once as the rules of a pack are; null and empty texts match none."""
-    names, out = df.columns, df
-    for number, block in enumerate(pack.blocks):
-        shared = df.sparkSession.sparkContext.broadcast(block)
-        given = out.withColumn("_lowered", F.lower(F.col(column)))
-        schema = T.StructType([*out.schema.fields, T.StructField(_HITS, _HIT_TYPE)])
-        out = given.mapInArrow(_matcher(shared), schema).withColumnRenamed(_HITS, f"{_HITS}{number}")
-    every = [F.col(f"{_HITS}{number}") for number in range(len(pack.blocks))]
-    return out.select(*[F.col(f"`{n}`") for n in names], F.sort_array(F.concat(*every)).alias(_HITS))
+    shared = df.sparkSession.sparkContext.broadcast(_packed([rule for block in pack.blocks for rule in block]))
+    given = df.withColumn("_lowered", F.lower(F.col(column)))
+    schema = T.StructType([*df.schema.fields, T.StructField(_HITS, _HIT_TYPE)])
+    return given.mapInArrow(_matcher(shared), schema).withColumn(_HITS, F.sort_array(_HITS))
 
 
 def _of(category: str) -> Column:

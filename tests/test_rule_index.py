@@ -97,3 +97,13 @@ def test_edges(frame):
     rows = ix.analyse(frame([(1, "A" * 100_000, 3)], "i long, text string, score int"), pack).collect()
     assert rows[0].score_x == .5 and rows[0].patterns_x == ["a"] and rows[0].score == 3
     assert ix.analyse(frame([], "i long, text string"), pack).collect() == []
+
+
+def test_texts_are_read_once_for_all_blocks_of_words(frame):
+    blocks = ((("a", r"\bbank\b", .1), ("a", r"\bsec", .2)), (("b", r"\bnote_1\b", .3), ("b", r"ban", .4), ("b", r"\bbank s", .5)))
+    pack = ix.IndexedPack(blocks, {"a": 1.0, "b": 1.0})
+    df = frame([(1, "Bank secret"), (2, "insect banknote note_1"), (3, None)], "n int, text string")
+    hits = ix.match_rules(df, pack)
+    assert sorted((r.n, r.pattern) for r in hits.collect()) == [
+        (1, r"\bban" + r"k s"), (1, r"\bbank\b"), (1, r"\bsec"), (1, "ban"), (2, r"\bnote_1\b"), (2, "ban")]
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
