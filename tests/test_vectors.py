@@ -168,3 +168,49 @@ def test_neighbours_of_other_folds(frame, folds, limit):
         asked, known = df.where(f"fold = {f}"), df.where(f"fold <> {f} and vec_id % 3 <> 1")
         want |= {(r.query_id, r["rank"], r.neighbour_id) for r in vx.knn(asked, known, 3).collect()}
     assert {(r.query_id, r["rank"], r.neighbour_id) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_scores_of_one_tile_are_held(metric):
+    """Whatever the number of corpus rows."""
+    import tracemalloc
+
+    random = np.random.default_rng(3)
+    corpus, queries = random.normal(size=(40_000, 8)), random.normal(size=(600, 8))
+    tracemalloc.start()
+    found = sum(len(part) for part in vx._top_k(np.arange(600), queries, np.arange(40_000), corpus, 3, metric))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 1800 and peak < 80_000_000
+
+
+def test_copies_do_not_count_for_the_size(frame):
+    data = [v for _, v in random_rows(2)]
+    corpus, queries = [(at, data[at % 2]) for at in range(200)], random_rows(20, seed=2)
+    got = vx.knn(make(frame, queries), make(frame, corpus), 3, broadcast_bytes=(8 * 8 + 64) * 10)
+    assert "CoGroup" not in got._jdf.queryExecution().toString()
+    same(collect(got), brute(queries, corpus, 3, "ip"))
+
+
+def test_hash_vectors_in_slices(frame, monkeypatch):
+    rows = frame([(at, "word " * (at % 7) + f"w{at}") for at in range(60)], "i int, text string")
+    vectors = lambda: [r.embedding for r in vx.hash_vectors(rows, dims=16).orderBy("i").collect()]
+    whole = vectors()
+    monkeypatch.setattr(vx, "_CHARS", 40)
+    assert vectors() == whole
+
+
+def test_known_copies_become_vectors_k_times(frame, monkeypatch):
+    from riskloom.plans import scoring
+
+    counted, hashed = [], vx.hash_vectors
+
+    def counting(df, *args):
+        counted.append(df.count())
+        return hashed(df, *args)
+
+    monkeypatch.setattr(vx, "hash_vectors", counting)
+    known = frame([(at, f"pay the bank {at % 2}") for at in range(50)] + [(None, "x y"), (77, None)], "case_id long, text string")
+    asked = frame([(1, "pay the bank 1"), (2, None)], "msg_id long, text string")
+    found = {r.msg_id: [(c.text, c.similarity) for c in r.similar_cases] for r in scoring.with_cases_from_texts(asked, known).collect()}
+    assert counted == [2, 6] and found[1] == [("pay the bank 1", 0.5)] * 3 and len(found[2]) == 3
