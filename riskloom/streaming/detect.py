@@ -14,6 +14,9 @@ from riskloom.operators.dedup import recent_texts
 from riskloom.plans.scoring import score_messages
 from riskloom.sources.scams import REALTIME_SCAMS, conform
 
+#: Buckets of the texts whose last sighting is kept.
+_BUCKETS = 4096
+
 
 def score_stream(stream: DataFrame, cases: DataFrame | None = None, answers: DataFrame | None = None,
                  **options) -> DataFrame:
@@ -93,16 +96,17 @@ def recent_stream_texts(spark: SparkSession, path: str, as_of: Column, days: int
 
 
 def live_texts(stream: DataFrame, days: int = 30, text: str = "text", ts: str = "ts") -> DataFrame:
-    """Last sighting of each text of a stream, with one state row per text seen in the last ``days``.
+    """Last sighting of each text of a stream seen in the last ``days``, kept as state by buckets of texts.
 
     Each micro-batch yields ``text, seen, n, late``: for a text that was seen later than before, its last sighting and
     the number of rows that told so; and, with ``late`` set, the rows that came after the horizon had passed them, which
     are left out of the state but not lost. Lateness is decided per text and day of a task's batch, by the last
     of its rows. Rows without a text or a time are left out.
 
-    Rows of a text and day fold on each task before the shuffle, so a hot text arrives as a few rows. A timer
-    per text removes its state once the horizon has passed its last sighting. Timers run on the clock, as
-    those on event time would make Spark drop the late rows unseen.
+    Rows of a text and day fold on each task before the shuffle, so a hot text arrives as a few rows. A call for each text
+    would take longer than its work, so a state row holds the texts of one of ``_BUCKETS`` buckets of their hash, and only
+    the buckets that a batch touches are read and written. A timer per bucket removes the texts whose last sighting the
+    horizon has passed. Timers run on the clock, as those on event time would make Spark drop the late rows unseen.
     """
     day = 86_400_000_000
 
@@ -113,36 +117,37 @@ def live_texts(stream: DataFrame, days: int = 30, text: str = "text", ts: str =
             yield pd.DataFrame({"text": folded.index.get_level_values(0), "at": folded["max"].to_numpy(np.int64),
                                 "n": folded["size"].to_numpy(np.int64)})
 
-    def keep(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def keep(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Before the first batch ends nothing is known of the horizon, which is then 0.
         horizon = state.getCurrentWatermarkMs() * 1000
-        known = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            if known < horizon:
-                state.remove()
-            else:
-                state.setTimeoutDuration(max(1, (known - horizon) // 1000))
-            return
-        newest, n = known, 0
-        for frame in frames:
-            # Before the first batch ends nothing is known of the horizon, which is then 0.
+        texts, ats = state.get if state.exists else ([], [])
+        known = pd.Series(np.array(ats, dtype=np.int64), index=pd.Index(texts, dtype=object))
+        if not state.hasTimedOut:
+            frame = pd.concat(list(frames), ignore_index=True)
             late = (frame["at"] < horizon).to_numpy() & (horizon > 0)
             if late.any():
                 yield frame.loc[late, ["text", "at", "n"]].assign(late=True)
-            if not late.all():
-                last = int(frame.loc[~late, "at"].max())
-                newest = last if newest is None else max(newest, last)
-                n += int(frame.loc[~late, "n"].sum())
-        if newest is not None:
-            state.update((newest,))
-            state.setTimeoutDuration(max(1, (newest - horizon) // 1000 if horizon > 0 else days * day // 1000))
-            if newest != known:
-                yield pd.DataFrame({"text": [key[0]], "at": [newest], "n": [n], "late": [False]})
+            fresh = frame[~late].groupby("text", sort=False).agg(at=("at", "max"), n=("n", "sum"))
+            before = known.reindex(fresh.index, fill_value=np.iinfo(np.int64).min)
+            newer = fresh[(fresh["at"] > before).to_numpy()]
+            if len(newer):
+                yield newer.reset_index()[["text", "at", "n"]].assign(late=False)
+            known = pd.concat([known.drop(newer.index.intersection(known.index)), newer["at"]])
+        if horizon > 0:
+            known = known[(known >= horizon).to_numpy()]
+        if len(known):
+            state.update((known.index.tolist(), known.tolist()))
+            state.setTimeoutDuration(max(1, (int(known.min()) - horizon) // 1000 if horizon > 0 else days * day // 1000))
+        elif state.exists:
+            state.remove()
 
     slim = stream.select(F.col(text).alias("text"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).where(
         "text <> '' and at is not null")
     timed = slim.mapInPandas(fold, "text string, at long, n long").withColumn("seen", F.timestamp_micros("at"))
-    kept = timed.withWatermark("seen", f"{days} days").groupBy("text").applyInPandasWithState(
-        keep, "text string, at long, n long, late boolean", "at long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    dealt = timed.withColumn("bucket", F.pmod(F.xxhash64("text"), F.lit(_BUCKETS)))
+    kept = dealt.withWatermark("seen", f"{days} days").groupBy("bucket").applyInPandasWithState(
+        keep, "text string, at long, n long, late boolean", "texts array<string>, ats array<long>", "update",
+        GroupStateTimeout.ProcessingTimeTimeout)
     return kept.select(F.col("text").alias(text), F.timestamp_micros("at").alias("seen"), "n", "late")
 
 

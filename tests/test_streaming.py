@@ -135,3 +135,15 @@ def test_search_is_the_job_of_a_micro_batch(spark, sf):
         scored(stream)
     detect.write_batches(stream, scored, f"{folder}/out", f"{folder}/cp").awaitTermination()
     assert same(spark.read.parquet(f"{folder}/out").select(*columns), scored(rows))
+
+
+def test_state_rows_hold_many_texts(spark, monkeypatch):
+    """So that a batch takes a call per bucket and not per text; texts of one bucket stay apart."""
+    monkeypatch.setattr(detect, "_BUCKETS", 4)
+    stream = day_files(spark, [[(f"t{n}", on(1)) for n in range(100)], [(f"t{n}", on(2)) for n in range(50, 120)], [("t1", on(1))]])
+    folder = shared_folder(spark, "stream")
+    query = detect.write_live_texts(detect.live_texts(stream, days=10), f"{folder}/out", f"{folder}/cp")
+    query.awaitTermination()
+    out = sorted((r.text, r.seen, r.n) for r in spark.read.parquet(f"{folder}/out").where("not late").collect())
+    assert out == sorted([(f"t{n}", on(1), 1) for n in range(100)] + [(f"t{n}", on(2), 1) for n in range(50, 120)])
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 4
