@@ -2,7 +2,7 @@
 
 Every step is an aggregate and a join on node ids with as many rows as edges. A hub with very many neighbours folds
 before the shuffle of the aggregate, and its rows in the join can be split (see ``join_hot``). Rounds end when the
-edges no longer change. Lineage is cut by writing each round.
+edges no longer change. Lineage is cut by writing each round, in as many files as its edges ask for.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.session import discard, shared_folder
 
+#: Edges that one file of a round holds, about. Every file costs its task processes on a local disk (`chmod`).
+EDGES_PER_FILE = 250_000
+
 
 def join_hot(rows: DataFrame, figures: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``figures``, an aggregate by the same keys, so that a hot key's rows are split.
@@ -41,7 +44,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before:
             break
         before = state
-        nxt, next_folder = _kept(_small_star(_large_star(current)), "stars")
+        # A step makes two edges of one at most, so tasks stay small; shuffles keep their own number of partitions.
+        files = max(spark.sparkContext.defaultParallelism, -(-state.n // EDGES_PER_FILE))
+        nxt, next_folder = _kept(_small_star(_large_star(current)).coalesce(files), "stars")
         discard(spark, folder)
         current, folder = nxt, next_folder
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
