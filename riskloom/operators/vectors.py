@@ -34,8 +34,9 @@ _BAND_BYTES = 16 * 1024 * 1024  # vectors of one side that meet in one call
 _BANDS = 8  # bands that a side is cut into at least, so that there is work for many tasks
 _MAX_PIVOTS = 512  # bounds the tables of cells and of cell pairs
 _ROWS_PER_CELL = 8192  # smaller cells cost more in calls than they save in comparisons
-_TERMS = 200_000  # hashed terms a task remembers
-_CHARS = 1_000_000  # characters whose terms a task holds at once
+_TERMS = 50_000  # hashed terms a task remembers
+_CHARS = 250_000  # characters whose terms a task holds at once
+_VECTORS = 1024  # hashed vectors a task holds at once
 _DIGITS = 9  # scores are compared to this many places, ties by id
 
 
@@ -61,30 +62,12 @@ def scaled_similarity(inner_product: Column) -> Column:
 def hash_vectors(df: DataFrame, column: str = "text", dims: int = 256, out: str = "embedding") -> DataFrame:
     """Text to a unit vector of term counts; a term's axis follows from its md5. Null text gives the zero vector.
 
-    A task hashes a term once for as long as it remembers it.
+    A task hashes a term once for as long as it remembers it, and holds the vectors of a slice of its texts.
     """
 
     @F.arrow_udf("array<double>")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        word, axis = re.compile(r"\w+"), {}
-        for batch in batches:
-            counts = np.zeros((len(batch), dims))
-            # A slice of texts at a time: their terms take many times the room of the texts.
-            ends = np.cumsum(pc.utf8_length(batch).to_numpy(zero_copy_only=False)) // _CHARS
-            for own in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(ends)) + 1):
-                if not len(own):
-                    continue
-                if len(axis) > _TERMS:
-                    axis.clear()
-                found = [word.findall(text) for text in batch.slice(own[0], len(own)).to_pylist()]
-                for term in {t for terms in found for t in terms}.difference(axis):
-                    axis[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dims
-                flat = np.fromiter((axis[t] for terms in found for t in terms), np.int64)
-                row = np.repeat(np.arange(len(found)), [len(terms) for terms in found])
-                counts[own] = np.bincount(row * dims + flat, minlength=len(found) * dims).reshape(len(found), dims)
-            length = np.sqrt((counts ** 2).sum(axis=1, keepdims=True))
-            counts /= np.maximum(length, 1e-300)
-            yield pa.ListArray.from_arrays(np.arange(0, counts.size + 1, dims, dtype=np.int32), counts.ravel())
+        return _hashed(batches, dims)
 
     # So that a condition on the vector is not moved below it, where the whole of it would run once more.
     return df.withColumn(out, counted.asNondeterministic()(F.lower(F.coalesce(F.col(column), F.lit("")))))
@@ -93,6 +76,29 @@ def hash_vectors(df: DataFrame, column: str = "text", dims: int = 256, out: str
 # --- kernels on Arrow batches ------------------------------------------------------------------------------
 
 
+def _hashed(batches: Iterator[pa.Array], dims: int) -> Iterator[pa.Array]:
+    """Vectors of lower-case texts, in pieces that leave one by one: the terms of a slice of texts take many times the
+    room of the texts, and so do their vectors."""
+    word, axis = re.compile(r"\w+"), {}
+    for batch in batches:
+        row = np.arange(len(batch))
+        chars = np.cumsum(pc.utf8_length(batch).to_numpy(zero_copy_only=False)) // _CHARS
+        cuts = np.flatnonzero((np.diff(chars) != 0) | (np.diff(row // _VECTORS) != 0)) + 1
+        for own in np.split(row, cuts):
+            if not len(own):
+                continue
+            if len(axis) > _TERMS:
+                axis.clear()
+            found = [word.findall(text) for text in batch.slice(own[0], len(own)).to_pylist()]
+            for term in {t for terms in found for t in terms}.difference(axis):
+                axis[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dims
+            flat = np.fromiter((axis[t] for terms in found for t in terms), np.int64)
+            flat += np.repeat(np.arange(len(found)), [len(terms) for terms in found]) * dims
+            counts = np.bincount(flat, minlength=len(found) * dims).reshape(len(found), dims).astype(float)
+            counts /= np.maximum(np.sqrt((counts ** 2).sum(axis=1, keepdims=True)), 1e-300)
+            yield pa.ListArray.from_arrays(np.arange(0, counts.size + 1, dims, dtype=np.int32), counts.ravel())
+
+
 def _matrix(vectors, metric: str, side: int) -> np.ndarray:
     """Rows as float64; for cosine scaled to unit length.
 

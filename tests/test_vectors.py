@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,15 @@ def test_hash_vectors_in_slices(frame, monkeypatch):
     assert vectors() == whole
 
 
+def test_hashed_vectors_leave_in_pieces(monkeypatch):
+    texts = pa.array([f"pay {at} " * (at % 5) for at in range(3 * vx._VECTORS + 5)])
+    pieces = list(vx._hashed(iter([texts, texts.slice(0, 0)]), 16))
+    assert [len(p) for p in pieces] == [vx._VECTORS] * 3 + [5]
+    monkeypatch.setattr(vx, "_VECTORS", 10 ** 9)
+    (whole,) = vx._hashed(iter([texts]), 16)
+    assert pa.chunked_array(pieces).to_pylist() == whole.to_pylist()
+
+
 def test_known_copies_become_vectors_k_times(frame, monkeypatch):
     from riskloom.plans import scoring
 
