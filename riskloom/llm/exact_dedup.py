@@ -23,6 +23,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Else every partition of the state reserves 4 MB for its manifest.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # Else every partition of the state keeps four threads for it, hundreds in an executor; the folder serves one run.
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
 }
 #: A micro-batch of the registered query holds about this many bytes of digests, and the table takes two or more.
 BYTES_PER_BATCH = 16 << 30

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -76,3 +77,21 @@ def test_repeated_rows_keep_one(frame):
 
 def test_empty_table(frame):
     assert exact_dedup.exact_dedup(frame([], "doc_id long, text string")).collect() == []
+
+
+def test_state_is_kept_without_checksums(spark, frame, monkeypatch):
+    folders, shared = [], exact_dedup.shared_folder
+
+    def seen(session, purpose):
+        folders.append(shared(session, purpose))
+        return folders[-1]
+
+    monkeypatch.setattr(exact_dedup, "shared_folder", seen)
+    key = "spark.sql.streaming.checkpoint.fileChecksum.enabled"
+    before = spark.conf.get(key)
+    rows = frame([(n, f"text {n % 3}") for n in range(9)], "doc_id long, text string")
+    assert {r.keep_id for r in exact_dedup.exact_dedup(rows).collect()} == {0, 1, 2}
+    (state,) = [f for f in folders if "/state-" in f]
+    files = [f for _, _, names in os.walk(state) for f in names if not f.startswith(".")]
+    assert files and not [f for f in files if f.endswith(".crc")]
+    assert spark.conf.get(key) == before
