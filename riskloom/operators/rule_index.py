@@ -6,7 +6,10 @@ automaton that reads a text once. A rule that is a literal between word boundari
 decided where the needle was found; of the others the regular expression runs. So the time of a text follows from what
 it holds and hardly from the number of rules. Rules without a literal cannot be indexed and run on every text; ``unindexed`` counts them.
 
-Matching is a map. The pack goes to every task, which reads a text once for all its blocks.
+Matching is a map. Rules of words are columns sorted by a hash of their literal, some 40 bytes a rule with the words of a
+corpus, and no object of Python each. The pack goes to every task, which reads a text once for as many blocks as
+``block_chars`` allows; a larger pack takes several passes over the texts, so what a task and the driver send and hold
+at once is bounded.
 """
 
 from __future__ import annotations
@@ -16,9 +19,12 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -27,17 +33,19 @@ from riskloom.session import stored
 # The kernel below travels inside the tasks, so executors need numpy, pyarrow and ahocorasick but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Characters of the patterns of one block, some 100 bytes of memory each.
-BLOCK_CHARS = 2_000_000
-#: Words whose rules a task remembers, and rows whose hits it holds at once.
-_WORDS, _ROWS = 100_000, 1_000
-_HITS = "_hits"
+#: Characters of the patterns of one pass over the texts, and ``_EACH`` more a rule: a task holds some 170 MB of rules of words.
+BLOCK_CHARS, _EACH = 128_000_000, 16
+#: Words whose rules a task remembers; rows and characters of texts whose hits it holds at once.
+_WORDS, _ROWS, _CHARS = 100_000, 1_000, 1_000_000
+_HITS, _FOUND = "_hits", "_found"
 _HIT = pa.list_(pa.struct([("category", pa.string()), ("pattern", pa.string()), ("weight", pa.float64())]))
 _HIT_TYPE = T.ArrayType(T.StructType([
     T.StructField("category", T.StringType()), T.StructField("pattern", T.StringType()),
     T.StructField("weight", T.DoubleType())]))
 _TOKEN = re.compile(r"\w+")
 _LITERAL = re.compile(r"(\\b)?((?:[^\\.^$*+?{}\[\]|()]|\\[^A-Za-z0-9])+)(\\b)?")
+# How a rule is found: as a whole word, as the beginning of one, otherwise.
+_WHOLE, _BEGIN, _OTHER = range(3)
 
 
 def needle_of(pattern: str) -> str | None:
@@ -76,12 +84,120 @@ def needle_of(pattern: str) -> str | None:
     return max(runs, key=len) or None
 
 
+def _literal(plain: re.Match) -> str:
+    return re.sub(r"\\(.)", r"\1", plain[2], flags=re.S)
+
+
+def _shape(pattern: str) -> tuple[int, bytes]:
+    """How a rule is found, and the word or beginning it is."""
+    plain = _LITERAL.fullmatch(pattern)
+    if plain and plain[1] and _TOKEN.fullmatch(literal := _literal(plain)):
+        return _WHOLE if plain[3] else _BEGIN, literal.encode()
+    return _OTHER, b""
+
+
+def _multipliers(n: int) -> np.ndarray:
+    """An odd number of 64 bits for each of the first positions."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
+def _sums(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word begins, its length, and running sums: those at two places tell the hash of what lies between."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    signs = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
+    signs *= _multipliers(int(sizes.max(initial=0)))[np.arange(len(signs)) - np.repeat(starts, sizes)]
+    return starts, sizes, np.concatenate([np.zeros(1, np.uint64), np.cumsum(signs, dtype=np.uint64)])
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    starts, sizes, sums = _sums(words)
+    return (sums[starts + sizes] - sums[starts]).view(np.int64)
+
+
+def _runs(words: list[bytes], most: int = _CHARS) -> Iterator[list[bytes]]:
+    """The words in runs of so many bytes, or of one word."""
+    run, size = [], 0
+    for word in words:
+        if run and size + len(word) > most:
+            yield run
+            run, size = [], 0
+        run.append(word)
+        size += len(word)
+    if run:
+        yield run
+
+
+class _Block(NamedTuple):
+    """Rules as a hit takes them: whole words and then beginnings, each by the hash of the literal, and then the others."""
+
+    rules: pa.StructArray
+    hashes: np.ndarray
+    #: Rules that are a whole word; lengths of the beginnings, and of the longest literal, in bytes.
+    whole: int
+    lengths: tuple[int, ...]
+    longest: int
+
+    @classmethod
+    def of(cls, rules: pa.StructArray, kinds: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> "_Block":
+        """From rules in this order."""
+        whole, words = (int(np.searchsorted(kinds, kind)) for kind in (_BEGIN, _OTHER))
+        return cls(rules, hashes[:words].copy(), whole, tuple(np.unique(sizes[whole:words]).tolist()),
+                   int(sizes[:words].max(initial=0)))
+
+    @classmethod
+    def sorted(cls, rules: pa.StructArray) -> "_Block":
+        kinds, hashes, sizes = _shapes(rules.field("pattern").to_pylist())
+        order = np.lexsort((hashes, kinds))
+        return cls.of(rules.take(pa.array(order)), kinds[order], hashes[order], sizes[order])
+
+
+def _shapes(patterns: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pattern how it is found, the hash of its literal and that one's length in bytes."""
+    shapes = [(_OTHER, b"") if p is None else _shape(p) for p in patterns]
+    literals = [literal for _, literal in shapes]
+    hashes = [np.zeros(0, np.int64), *map(_hashes, _runs(literals))]
+    return (np.array([kind for kind, _ in shapes], np.int8), np.concatenate(hashes),
+            np.fromiter(map(len, literals), np.int32, len(literals)))
+
+
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = _shapes(batch.column("pattern").to_pylist())
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)],
+                                         [*batch.schema.names, "kind", "hash", "size"])
+
+
+def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one value."""
+    for batch in batches:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as stream:
+            stream.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["packet"])
+
+
+def _block(pieces: list[pa.Table]) -> _Block:
+    """From rules that come in the order of a block."""
+    if not pieces:
+        return _Block.sorted(_packed(()))
+    whole = pa.concat_tables(pieces)
+    column = lambda name, kind: pa.concat_arrays([c.cast(kind) for c in whole.column(name).chunks])
+    fields = list(_HIT.value_type)
+    rules = pa.StructArray.from_arrays([column(f.name, f.type) for f in fields], fields=fields)
+    return _Block.of(rules, *(whole.column(name).to_numpy() for name in ("kind", "hash", "size")))
+
+
 @dataclass(frozen=True)
 class IndexedPack:
-    """Blocks of rules ``(category, pattern, weight)``, and the cap of every category."""
+    """Blocks of rules ``(category, pattern, weight)``, the cap of every category, and what one pass over the texts takes."""
 
-    blocks: tuple[tuple[tuple[str, str, float], ...], ...]
+    blocks: tuple[tuple[tuple[str, str, float], ...] | _Block, ...]
     caps: dict[str, float]
+    block_chars: int = BLOCK_CHARS
 
     @property
     def categories(self) -> list[str]:
@@ -89,25 +205,54 @@ class IndexedPack:
 
     @property
     def unindexed(self) -> int:
-        return sum(needle_of(pattern) is None for block in self.blocks for _, pattern, _ in block)
+        # Rules of words have a literal.
+        others = (block.rules[len(block.hashes):].field("pattern").to_pylist() if isinstance(block, _Block)
+                  else (pattern for _, pattern, _ in block) for block in self.blocks)
+        return sum(needle_of(pattern) is None for patterns in others for pattern in patterns)
+
+    def passes(self) -> Iterator[_Block]:
+        """The blocks, joined as far as one pass over the texts takes them."""
+        held, size = [], 0
+        for block in self.blocks:
+            if isinstance(block, _Block):
+                # Cut to a pass each.
+                yield block
+                continue
+            own = sum(len(pattern) + _EACH for _, pattern, _ in block)
+            if held and size + own > self.block_chars:
+                yield _Block.sorted(_packed(held))
+                held, size = [], 0
+            held += block
+            size += own
+        if held or not self.blocks:
+            yield _Block.sorted(_packed(held))
 
     @classmethod
     def from_frames(cls, rules: DataFrame, caps: DataFrame, block_chars: int = BLOCK_CHARS) -> "IndexedPack":
         """Pack kept as tables ``(category, pattern, weight)`` and ``(category, max_score)``; each category needs a cap."""
         limits = {r.category: float(r.max_score) for r in caps.orderBy("category").collect()}
+        rules = rules.select("category", "pattern", F.col("weight").cast("double").alias("weight"))
         # Read by the test below, for the order's bounds and for the blocks.
-        rules = stored(rules.select("category", "pattern", F.col("weight").cast("double").alias("weight")), "rules")
+        rules = stored(rules.mapInArrow(_shaped, T.StructType([
+            *rules.schema.fields, T.StructField("kind", T.ByteType()), T.StructField("hash", T.LongType()),
+            T.StructField("size", T.IntegerType())])), "rules")
         if missing := rules.select("category").distinct().where(~F.col("category").isin(*limits)).orderBy(
                 "category").limit(5).collect():
             raise ValueError(f"no cap for the categories {[r.category for r in missing]}")
-        blocks, block, size = [], [], 0
-        for r in rules.where("pattern is not null").distinct().orderBy("category", "pattern", "weight").toLocalIterator():
-            block.append((r.category, r.pattern, r.weight))
-            size += len(r.pattern) + 16
-            if size >= block_chars:
-                blocks.append(tuple(block))
-                block, size = [], 0
-        return cls(tuple(blocks + [tuple(block)] if block or not blocks else blocks), limits)
+        blocks, held, size = [], [], 0
+        for r in rules.where("pattern is not null").distinct().orderBy(
+                "kind", "hash", "category", "pattern", "weight").mapInArrow(_packets, "packet binary").toLocalIterator():
+            piece, at, before = pa.ipc.open_stream(r.packet).read_all(), 0, 0
+            ends = np.cumsum(pc.utf8_length(piece.column("pattern")).to_numpy().astype(np.int64) + _EACH)
+            while at < len(piece):
+                to = min(int(np.searchsorted(ends, before + block_chars - size)) + 1, len(piece))
+                held.append(piece.slice(at, to - at))
+                size += int(ends[to - 1]) - before
+                at, before = to, int(ends[to - 1])
+                if size >= block_chars:
+                    blocks.append(_block(held))
+                    held, size = [], 0
+        return cls(tuple(blocks + [_block(held)] if held or not blocks else blocks), limits, block_chars)
 
 
 def _word(text: str, at: int) -> bool:
@@ -124,24 +269,22 @@ class _Index:
     def __init__(self, rules):
         import ahocorasick
 
-        self.rules = rules = rules if isinstance(rules, pa.StructArray) else _packed(rules)
+        block = rules if isinstance(rules, _Block) else _Block.sorted(_packed(rules))
+        self.rules, self._hashes, self._whole, self._lengths, self._longest = block
+        self._patterns = self.rules.field("pattern")
         self._compiled: dict[int, re.Pattern] = {}
+        # The rules of the words seen.
+        self._of_word: dict[str, tuple[int, ...]] = {}
         self._always, by_needle = [], {}
-        # Rules that are a whole word, or the beginning of one, and the rules of the words seen.
-        self._whole, self._begin, self._of_word = {}, {}, {}
-        for at, pattern in enumerate(rules.field("pattern").to_pylist()):
+        for at, pattern in enumerate(self._patterns[len(self._hashes):].to_pylist(), len(self._hashes)):
             plain = _LITERAL.fullmatch(pattern)
-            literal = re.sub(r"\\(.)", r"\1", plain[2], flags=re.S) if plain else needle_of(pattern)
+            literal = _literal(plain) if plain else needle_of(pattern)
             if not literal:
                 self._always.append(at)
                 continue
             # Where the literal is all of a rule: whether a word has to begin or end there.
             edges = (bool(plain[1]), bool(plain[3])) if plain else None
-            if edges and edges[0] and _TOKEN.fullmatch(literal):
-                (self._whole if edges[1] else self._begin).setdefault(literal, []).append(at)
-                continue
             by_needle.setdefault(literal, []).append((at, edges))
-        self._lengths = sorted({len(literal) for literal in self._begin})
         self._automaton = ahocorasick.Automaton()
         for literal, found in by_needle.items():
             self._automaton.add_word(literal, (len(literal), found))
@@ -153,30 +296,46 @@ class _Index:
             self._compiled[at] = re.compile(self.rules[at]["pattern"].as_py())
         return bool(self._compiled[at].search(text))
 
-    def _rules_of(self, word: str) -> list[int]:
-        """Rules that are this word or a beginning of it."""
-        found = list(self._whole.get(word, ()))
-        for length in self._lengths:
-            if length > len(word):
-                break
-            found += self._begin.get(word[:length], ())
-        return found
-
-    def _of_words(self, text: str) -> set[int]:
-        known, fired = self._of_word, set()
-        if self._whole or self._begin:
-            for word in set(_TOKEN.findall(text)):
-                rules = known.get(word)
-                if rules is None:
-                    if len(known) >= _WORDS:
-                        known.clear()
-                    rules = known[word] = self._rules_of(word)
-                fired.update(rules)
-        return fired
-
-    def fired(self, text: str) -> list[int]:
-        """Numbers of the rules that match, in order."""
-        fired, tried = self._of_words(text), set()
+    def _learn(self, words: set[str]) -> None:
+        """Remember the rules that are one of these words or a beginning of it."""
+        if len(self._of_word) + len(words) > _WORDS:
+            self._of_word = {word: self._of_word[word] for word in words & self._of_word.keys()}
+        new = [word for word in words if word not in self._of_word]
+        self._of_word.update(dict.fromkeys(new, ()))
+        at = 0
+        # Of a longer word no more is needed than that it is longer.
+        for heads in _runs([word.encode()[:self._longest + 1] for word in new]):
+            starts, sizes, sums = _sums(heads)
+            own, every = new[at:at + len(heads)], np.arange(len(heads))
+            self._find(own, heads, every, sizes, sums[starts + sizes] - sums[starts], 0, self._whole)
+            for length in self._lengths:
+                fit = np.flatnonzero(sizes >= length)
+                self._find(own, heads, fit, np.full(len(fit), length), sums[starts[fit] + length] - sums[starts[fit]],
+                           self._whole, len(self._hashes))
+            at += len(heads)
+
+    def _find(self, words, heads, fit, sizes, hashes, first, last) -> None:
+        """Remember the rules numbered from ``first`` up to ``last`` that are so many bytes of the words ``fit``."""
+        there, hashes = self._hashes[first:last], hashes.view(np.int64)
+        left = np.searchsorted(there, hashes)
+        met = np.flatnonzero((left < len(there)) & (there[np.minimum(left, len(there) - 1)] == hashes)) if len(there) else left[:0]
+        counts = np.searchsorted(there, hashes[met], "right") - left[met]
+        numbers = first + np.repeat(left[met] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        which, sizes = (np.repeat(of[met], counts).tolist() for of in (fit, sizes))
+        for row, size, at, pattern in zip(which, sizes, numbers.tolist(), self._patterns.take(pa.array(numbers)).to_pylist()):
+            # Equal hashes need not be equal literals.
+            if at < self._whole and pattern == f"\\b{words[row]}\\b" or _shape(pattern)[1] == heads[row][:size]:
+                self._of_word[words[row]] += (at,)
+
+    def fired(self, texts: list[str | None]) -> list[list[int]]:
+        """Numbers of the rules that match each text, in order."""
+        words = [set(_TOKEN.findall(text)) if text and len(self._hashes) else () for text in texts]
+        self._learn(set().union(*words))
+        of = self._of_word.__getitem__
+        return [self._fired(text, set(chain.from_iterable(map(of, own)))) if text else [] for text, own in zip(texts, words)]
+
+    def _fired(self, text: str, fired: set[int]) -> list[int]:
+        tried = set()
         if len(self._automaton):
             for last, (length, rules) in self._automaton.iter(text):
                 first = last + 1 - length
@@ -195,31 +354,56 @@ class _Index:
         return sorted(fired)
 
     def matches(self, text: str) -> list[dict]:
-        return self.rules.take(pa.array(self.fired(text), pa.int64())).to_pylist()
+        return self.rules.take(pa.array(self.fired([text])[0], pa.int64())).to_pylist()
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """At most so many rows and characters at once, or one row: hits take many times the room of their texts."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("_lowered")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(batch):
+        to = max(at + 1, min(at + _ROWS, int(np.searchsorted(ends, before + _CHARS, "right"))))
+        yield batch.slice(at, to - at)
+        at, before = to, int(ends[to - 1])
 
 
 def _matcher(shared):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(shared.value)
-        for whole in batches:
-            # Hits take many times the room of their texts.
-            for batch in (whole.slice(at, _ROWS) for at in range(0, len(whole), _ROWS)):
-                fired = [index.fired(t) if t else [] for t in batch.column("_lowered").to_pylist()]
-                starts = np.cumsum([0, *map(len, fired)], dtype=np.int32)
-                hits = index.rules.take(pa.array(np.fromiter((at for own in fired for at in own), np.int64, int(starts[-1]))))
-                kept = [n for n in batch.schema.names if n != "_lowered"]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n) for n in kept), pa.ListArray.from_arrays(pa.array(starts), hits)], [*kept, _HITS])
+        index = _Index(_Block(*shared.value))
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
+            fired = index.fired(batch.column("_lowered").to_pylist())
+            starts = np.cumsum([0, *map(len, fired)], dtype=np.int32)
+            hits = index.rules.take(pa.array(np.fromiter(chain.from_iterable(fired), np.int64, int(starts[-1]))))
+            kept = [n for n in batch.schema.names if n != "_lowered"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in kept), pa.ListArray.from_arrays(pa.array(starts), hits)], [*kept, _FOUND])
 
     return match
 
 
-def _matched(df: DataFrame, pack: IndexedPack, column: str) -> DataFrame:
-    """``df`` with the matching rules in ``_HITS``, in order, each once as the rules of a pack are; null and empty texts match none."""
-    shared = df.sparkSession.sparkContext.broadcast(_packed([rule for block in pack.blocks for rule in block]))
+def _found(df: DataFrame, block: _Block, column: str) -> DataFrame:
+    """``df`` with the matching rules of one pass in ``_FOUND``, in order; null and empty texts match none."""
+    # A plain tuple, as executors lack this package.
+    shared = df.sparkSession.sparkContext.broadcast(tuple(block))
     given = df.withColumn("_lowered", F.lower(F.col(column)))
-    schema = T.StructType([*df.schema.fields, T.StructField(_HITS, _HIT_TYPE)])
-    return given.mapInArrow(_matcher(shared), schema).withColumn(_HITS, F.sort_array(_HITS))
+    schema = T.StructType([*df.schema.fields, T.StructField(_FOUND, _HIT_TYPE)])
+    return given.mapInArrow(_matcher(shared), schema).withColumn(_FOUND, F.sort_array(_FOUND))
+
+
+def _hits(df: DataFrame, pack: IndexedPack, column: str, kept: list[str]) -> DataFrame:
+    """One row per row of ``df`` and matching rule, each once as the rules of a pack are."""
+    return reduce(DataFrame.unionAll, (
+        _found(df, block, column).select(*[F.col(f"`{n}`") for n in kept], F.inline(_FOUND)) for block in pack.passes()))
+
+
+def _matched(df: DataFrame, pack: IndexedPack, column: str) -> DataFrame:
+    """``df`` with the matching rules in ``_HITS``, in order, each once as the rules of a pack are."""
+    out = None
+    for block in pack.passes():
+        # Written between passes: one after another in the same tasks, all would be held at once.
+        given = df.withColumn(_HITS, F.lit([]).cast(_HIT_TYPE)) if out is None else stored(out, "hits")
+        out = _found(given, block, column).withColumn(_HITS, F.concat(_HITS, _FOUND)).drop(_FOUND)
+    return out.withColumn(_HITS, F.sort_array(_HITS))
 
 
 def _of(category: str) -> Column:
@@ -228,7 +412,7 @@ def _of(category: str) -> Column:
 
 def match_rules(df: DataFrame, pack: IndexedPack, column: str = "text") -> DataFrame:
     """Long form: one row per message and matching rule, with ``category, pattern, weight``."""
-    return _matched(df, pack, column).select(*[F.col(f"`{n}`") for n in df.columns], F.inline(_HITS))
+    return _hits(df, pack, column, df.columns)
 
 
 def analyse(df: DataFrame, pack: IndexedPack, column: str = "text") -> DataFrame:
@@ -247,7 +431,7 @@ def analyse(df: DataFrame, pack: IndexedPack, column: str = "text") -> DataFrame
 
 def rule_coverage(df: DataFrame, rules: DataFrame, pack: IndexedPack, column: str = "text") -> DataFrame:
     """Messages hit by each rule of the pack table; those that never fire are listed with 0."""
-    hits = _matched(df.select(column), pack, column).select(F.inline(_HITS)).groupBy("category", "pattern").agg(
+    hits = _hits(df.select(column), pack, column, []).groupBy("category", "pattern").agg(
         F.count(F.lit(1)).alias("rule_hits"))
     return rules.select("category", "pattern").distinct().join(hits, ["category", "pattern"], "left").select(
         "category", "pattern", F.coalesce("rule_hits", F.lit(0)).alias("rule_hits"))

@@ -107,3 +107,57 @@ def test_texts_are_read_once_for_all_blocks_of_words(frame):
     assert sorted((r.n, r.pattern) for r in hits.collect()) == [
         (1, r"\bban" + r"k s"), (1, r"\bbank\b"), (1, r"\bsec"), (1, "ban"), (2, r"\bnote_1\b"), (2, "ban")]
     assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_rule_of_a_word_takes_little_memory(frame):
+    """At millions of rules an object of Python for each is what fills an executor or the driver."""
+    import pickle
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rules = [("x", rf"\bword{at}" + r"\b" * (at % 50 > 0), at / 1e6) for at in range(40_000)]
+    pack = ix.IndexedPack.from_frames(frame(rules, RULE), frame([("x", .5)], CAP))
+    del rules
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        held = pickle.loads(pickle.dumps(pack.blocks))
+        index = ix._Index(held[0])
+        found = index.matches("word7 word39999 word100x none")
+        used = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert {r["pattern"] for r in found} == {
+        r"\bword7\b", r"\bword39999\b", r"\bword100"}
+    assert used < 80 * 40_000
+
+
+def test_a_pack_beyond_one_pass_is_matched_whole(frame):
+    draw = random.Random(5)
+    signs = ["ab", "abc", "b", "é", "a_b", "$", " ", "-"]
+    texts = [(at, "".join(draw.choice(signs) for _ in range(draw.randint(0, 12)))) for at in range(120)] + [(900, None)] * 2
+    rules = [(c, p, w) for c, w in (("x", .1), ("y", .5)) for p in (r"\bab\b", r"\bab", r"ab\b", r"\bé", r"\$", r"b+c", "zzz")]
+    caps, df = frame([("x", .6), ("y", .3)], CAP), frame(texts, "i long, text string")
+    whole, cut = (ix.IndexedPack.from_frames(frame(rules, RULE), caps, chars) for chars in (ix.BLOCK_CHARS, 120))
+    assert len(list(whole.passes())) == 1 < len(list(cut.passes()))
+    plan = ix.match_rules(df, cut)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == len(list(cut.passes()))
+    rows = lambda out: sorted(map(str, out.collect()))
+    assert rows(ix.match_rules(df, cut)) == rows(ix.match_rules(df, whole))
+    assert rows(ix.analyse(df, cut)) == rows(ix.analyse(df, whole)) and ix.analyse(df, cut).count() == len(texts)
+
+
+def test_equal_hashes_are_no_matches(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ix, "_multipliers", lambda n: np.ones(n, np.uint64))
+    rules = (("x", r"\babc\b", .1), ("x", r"\bcba\b", .2), ("x", r"\bab", .3), ("x", r"\bba", .4), ("y", r"\babc\b", .5))
+    assert sorted(r["weight"] for r in ix._Index(rules).matches("abc acb")) == [.1, .3, .5]
+
+
+def test_words_of_any_length(frame):
+    rules = (("x", r"\b" + "a" * 70_000 + r"\b", .1), ("x", r"\baé", .2), ("x", "\\b日本\\b", .3), ("x", r"\bnote\_1\b", .4))
+    index = ix._Index(rules)
+    texts = ["a" * 70_000, "a" * 70_001, "aéb 日本 日本語", "aè note_1", None, ""]
+    assert [sorted(index.rules[at]["weight"].as_py() for at in own) for own in index.fired(texts)] == [[.1], [], [.2, .3], [.4], [], []]
