@@ -42,6 +42,11 @@ _HIT = pa.list_(pa.struct([("category", pa.string()), ("pattern", pa.string()),
 _HIT_TYPE = T.ArrayType(T.StructType([
     T.StructField("category", T.StringType()), T.StructField("pattern", T.StringType()),
     T.StructField("weight", T.DoubleType())]))
+# Of a text: one for each category, with its rules.
+_OF_CATEGORY = pa.list_(pa.struct([("pattern", pa.string()), ("weight", pa.float64())]))
+_GROUP_TYPE = T.ArrayType(T.StructType([
+    T.StructField("category", T.StringType()), T.StructField("rules", T.ArrayType(T.StructType([
+        T.StructField("pattern", T.StringType()), T.StructField("weight", T.DoubleType())])))]))
 _TOKEN = re.compile(r"\w+")
 _LITERAL = re.compile(r"(\\b)?((?:[^\\.^$*+?{}\[\]|()]|\\[^A-Za-z0-9])+)(\\b)?")
 # How a rule is found: as a whole word, as the beginning of one, otherwise.
@@ -171,24 +176,28 @@ def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          [*batch.schema.names, "kind", "hash", "size"])
 
 
+#: Columns of a rule with its shape, as they reach the driver.
+_COLUMNS = [*_HIT.value_type, pa.field("kind", pa.int8()), pa.field("hash", pa.int64()), pa.field("size", pa.int32())]
+
+
 def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch as one value."""
+    """Each batch as one row, with a value for every column."""
     for batch in batches:
-        out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, batch.schema) as stream:
-            stream.write_batch(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["packet"])
-
-
-def _block(pieces: list[pa.Table]) -> _Block:
-    """From rules that come in the order of a block."""
-    if not pieces:
-        return _Block.sorted(_packed(()))
-    whole = pa.concat_tables(pieces)
-    column = lambda name, kind: pa.concat_arrays([c.cast(kind) for c in whole.column(name).chunks])
+        packets = []
+        for field in _COLUMNS:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, pa.schema([field])) as stream:
+                stream.write_batch(pa.RecordBatch.from_arrays([batch.column(field.name).cast(field.type)], schema=pa.schema([field])))
+            packets.append(pa.array([out.getvalue().to_pybytes()], pa.binary()))
+        yield pa.RecordBatch.from_arrays(packets, [field.name for field in _COLUMNS])
+
+
+def _block(pieces: dict[str, list[pa.Array]]) -> _Block:
+    """From the columns of rules that come in the order of a block; takes the pieces, so that none is held twice."""
+    whole = {f.name: pa.concat_arrays(pieces.pop(f.name) or [pa.array([], f.type)]) for f in _COLUMNS}
     fields = list(_HIT.value_type)
-    rules = pa.StructArray.from_arrays([column(f.name, f.type) for f in fields], fields=fields)
-    return _Block.of(rules, *(whole.column(name).to_numpy() for name in ("kind", "hash", "size")))
+    rules = pa.StructArray.from_arrays([whole[f.name] for f in fields], fields=fields)
+    return _Block.of(rules, *(whole[name].to_numpy() for name in ("kind", "hash", "size")))
 
 
 @dataclass(frozen=True)
@@ -239,20 +248,23 @@ class IndexedPack:
         if missing := rules.select("category").distinct().where(~F.col("category").isin(*limits)).orderBy(
                 "category").limit(5).collect():
             raise ValueError(f"no cap for the categories {[r.category for r in missing]}")
-        blocks, held, size = [], [], 0
-        for r in rules.where("pattern is not null").distinct().orderBy(
-                "kind", "hash", "category", "pattern", "weight").mapInArrow(_packets, "packet binary").toLocalIterator():
-            piece, at, before = pa.ipc.open_stream(r.packet).read_all(), 0, 0
-            ends = np.cumsum(pc.utf8_length(piece.column("pattern")).to_numpy().astype(np.int64) + _EACH)
-            while at < len(piece):
-                to = min(int(np.searchsorted(ends, before + block_chars - size)) + 1, len(piece))
-                held.append(piece.slice(at, to - at))
+        blocks, held, size = [], {f.name: [] for f in _COLUMNS}, 0
+        packets = rules.where("pattern is not null").distinct().orderBy("kind", "hash", "category", "pattern", "weight").mapInArrow(
+            _packets, ", ".join(f"{f.name} binary" for f in _COLUMNS))
+        for r in packets.toLocalIterator():
+            piece = {f.name: pa.ipc.open_stream(r[f.name]).read_next_batch().column(0) for f in _COLUMNS}
+            ends = np.cumsum(pc.utf8_length(piece["pattern"]).to_numpy().astype(np.int64) + _EACH)
+            at, before = 0, 0
+            while at < len(ends):
+                to = min(int(np.searchsorted(ends, before + block_chars - size)) + 1, len(ends))
+                for name, column in piece.items():
+                    held[name].append(column.slice(at, to - at))
                 size += int(ends[to - 1]) - before
                 at, before = to, int(ends[to - 1])
                 if size >= block_chars:
                     blocks.append(_block(held))
-                    held, size = [], 0
-        return cls(tuple(blocks + [_block(held)] if held or not blocks else blocks), limits, block_chars)
+                    held, size = {f.name: [] for f in _COLUMNS}, 0
+        return cls(tuple(blocks + [_block(held)] if size or not blocks else blocks), limits, block_chars)
 
 
 def _word(text: str, at: int) -> bool:
@@ -367,33 +379,53 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at, before = to, int(ends[to - 1])
 
 
-def _matcher(shared):
+def _hits(rules: pa.StructArray, fired: list[list[int]]) -> pa.ListArray:
+    """The rules of each text."""
+    starts = np.cumsum([0, *map(len, fired)], dtype=np.int32)
+    numbers = np.fromiter(chain.from_iterable(fired), np.int64, int(starts[-1]))
+    return pa.ListArray.from_arrays(pa.array(starts), rules.take(pa.array(numbers)))
+
+
+def _by_category(rules: pa.StructArray, fired: list[list[int]]) -> pa.ListArray:
+    """The categories of each text, with the rules of each."""
+    hits = _hits(rules, fired)
+    named, texts = hits.values.field("category").dictionary_encode("encode"), np.diff(hits.offsets.to_numpy())
+    codes, rows = named.indices.to_numpy(), np.repeat(np.arange(len(texts)), texts)
+    order = np.lexsort((codes, rows))
+    codes, rows = codes[order], rows[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1).astype(bool) | np.diff(rows, prepend=-1).astype(bool))
+    found = hits.values.take(pa.array(order))
+    own = pa.StructArray.from_arrays([found.field(f.name) for f in _OF_CATEGORY.value_type], fields=list(_OF_CATEGORY.value_type))
+    groups = pa.StructArray.from_arrays(
+        [named.dictionary.take(pa.array(codes[first])),
+         pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), own)], ["category", "rules"])
+    starts = np.searchsorted(rows[first], np.arange(len(texts) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), groups)
+
+
+def _matcher(shared, form):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(_Block(*shared.value))
         for batch in (piece for whole in batches for piece in _pieces(whole)):
-            fired = index.fired(batch.column("_lowered").to_pylist())
-            starts = np.cumsum([0, *map(len, fired)], dtype=np.int32)
-            hits = index.rules.take(pa.array(np.fromiter(chain.from_iterable(fired), np.int64, int(starts[-1]))))
+            found = form(index.rules, index.fired(batch.column("_lowered").to_pylist()))
             kept = [n for n in batch.schema.names if n != "_lowered"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in kept), pa.ListArray.from_arrays(pa.array(starts), hits)], [*kept, _FOUND])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), found], [*kept, _FOUND])
 
     return match
 
 
-def _found(df: DataFrame, block: _Block, column: str) -> DataFrame:
-    """``df`` with the matching rules of one pass in ``_FOUND``, in order; null and empty texts match none."""
+def _found(df: DataFrame, block: _Block, column: str, form=_hits, kind: T.DataType = _HIT_TYPE) -> DataFrame:
+    """``df`` with the matching rules of one pass in ``_FOUND``; null and empty texts match none."""
     # A plain tuple, as executors lack this package.
     shared = df.sparkSession.sparkContext.broadcast(tuple(block))
     given = df.withColumn("_lowered", F.lower(F.col(column)))
-    schema = T.StructType([*df.schema.fields, T.StructField(_FOUND, _HIT_TYPE)])
-    return given.mapInArrow(_matcher(shared), schema).withColumn(_FOUND, F.sort_array(_FOUND))
+    return given.mapInArrow(_matcher(shared, form), T.StructType([*df.schema.fields, T.StructField(_FOUND, kind)]))
 
 
-def _hits(df: DataFrame, pack: IndexedPack, column: str, kept: list[str]) -> DataFrame:
-    """One row per row of ``df`` and matching rule, each once as the rules of a pack are."""
-    return reduce(DataFrame.unionAll, (
-        _found(df, block, column).select(*[F.col(f"`{n}`") for n in kept], F.inline(_FOUND)) for block in pack.passes()))
+def _rows(df: DataFrame, pack: IndexedPack, column: str, kept: list[str], **form) -> DataFrame:
+    """One row per row of ``df`` and element that is found, each once as the rules of a pack are."""
+    return reduce(DataFrame.unionAll, (_found(df, block, column, **form).select(
+        *[F.col(f"`{n}`") for n in kept], F.inline(_FOUND)) for block in pack.passes()))
 
 
 def _matched(df: DataFrame, pack: IndexedPack, column: str) -> DataFrame:
@@ -410,9 +442,14 @@ def _of(category: str) -> Column:
     return F.filter(_HITS, lambda hit: hit["category"] == category)
 
 
-def match_rules(df: DataFrame, pack: IndexedPack, column: str = "text") -> DataFrame:
-    """Long form: one row per message and matching rule, with ``category, pattern, weight``."""
-    return _hits(df, pack, column, df.columns)
+def match_rules(df: DataFrame, pack: IndexedPack, column: str = "text", by_category: bool = False) -> DataFrame:
+    """Long form: one row per message and matching rule, with ``category, pattern, weight``.
+
+    ``by_category``: one row per message and category instead, its rules as an array of ``(pattern, weight)`` in ``rules``;
+    a category whose rules are in several passes has a row of each. An aggregate sorts far fewer rows of this form.
+    """
+    return _rows(df, pack, column, df.columns, **(
+        {"form": _by_category, "kind": _GROUP_TYPE} if by_category else {}))
 
 
 def analyse(df: DataFrame, pack: IndexedPack, column: str = "text") -> DataFrame:
@@ -431,7 +468,7 @@ def analyse(df: DataFrame, pack: IndexedPack, column: str = "text") -> DataFrame
 
 def rule_coverage(df: DataFrame, rules: DataFrame, pack: IndexedPack, column: str = "text") -> DataFrame:
     """Messages hit by each rule of the pack table; those that never fire are listed with 0."""
-    hits = _hits(df.select(column), pack, column, []).groupBy("category", "pattern").agg(
+    hits = _rows(df.select(column), pack, column, []).groupBy("category", "pattern").agg(
         F.count(F.lit(1)).alias("rule_hits"))
     return rules.select("category", "pattern").distinct().join(hits, ["category", "pattern"], "left").select(
         "category", "pattern", F.coalesce("rule_hits", F.lit(0)).alias("rule_hits"))

@@ -161,3 +161,19 @@ def test_words_of_any_length(frame):
     index = ix._Index(rules)
     texts = ["a" * 70_000, "a" * 70_001, "aéb 日本 日本語", "aè note_1", None, ""]
     assert [sorted(index.rules[at]["weight"].as_py() for at in own) for own in index.fired(texts)] == [[.1], [], [.2, .3], [.4], [], []]
+
+
+def test_rules_by_category_are_those_of_the_long_form(frame):
+    rules = [("x", r"\bab\b", .1), ("x", r"\ba", .4), ("y", r"\bab\b", .5), ("y", "b c", .2), ("z", r"\d", None)]
+    caps = frame([(c, .9) for c in "xyz"], CAP)
+    df = frame([(1, "ab c 1"), (1, "ab c 1"), (2, "axe"), (3, "none"), (None, "4 ab"), (5, None), (6, "")], "i long, text string")
+    for chars in (ix.BLOCK_CHARS, 1):
+        pack = ix.IndexedPack.from_frames(frame(rules, RULE), caps, chars)
+        out = ix.match_rules(df, pack, by_category=True)
+        assert out.columns == ["i", "text", "category", "rules"]
+        unfolded = out.selectExpr("i", "text", "category", "inline(rules)").select("i", "text", "category", "pattern", "weight")
+        rows = sorted(map(str, unfolded.collect()))
+        assert rows == sorted(map(str, ix.match_rules(df, pack).collect())) and len(rows) == 2 * 5 + 1 + 4
+        if chars > 1:
+            assert out.groupBy("i", "text", "category").count().where("count > 1").collect()[0]["count"] == 2
+            assert out.count() == 2 * 3 + 1 + 3
