@@ -63,7 +63,8 @@ def large_pack(spark, sf):
     """The rules of a large pack that each document matches, by category."""
     caps = spark.createDataFrame([(f"c{at}", 0.9) for at in range(16)], "category string, max_score double")
     pack = rule_index.IndexedPack.from_frames(_word_pack(spark, sf), caps)
-    hits = rule_index.match_rules(table(spark, sf, "documents").select("doc_id", "text"), pack, by_category=True)
+    hits = rule_index.match_rules(
+        table(spark, sf, "documents").select("doc_id", "text"), pack, by_category=True, keep=["doc_id"])
     return hits.groupBy("doc_id", "category").agg(
         F.sum(F.size("rules")).alias("rules"), F.least(F.max(F.array_max("rules.weight")), F.lit(0.9)).alias("score"),
         F.md5(F.array_join(F.array_sort(F.flatten(F.collect_list("rules.pattern"))), " ")).alias("patterns_md5"))

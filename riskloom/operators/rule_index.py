@@ -414,17 +414,19 @@ def _matcher(shared, form):
     return match
 
 
-def _found(df: DataFrame, block: _Block, column: str, form=_hits, kind: T.DataType = _HIT_TYPE) -> DataFrame:
-    """``df`` with the matching rules of one pass in ``_FOUND``; null and empty texts match none."""
+def _found(df: DataFrame, block: _Block, column: str, kept: list[str] | None = None, form=_hits,
+           kind: T.DataType = _HIT_TYPE) -> DataFrame:
+    """``df``, or some of its columns, with the matching rules of one pass in ``_FOUND``; null and empty texts match none."""
     # A plain tuple, as executors lack this package.
     shared = df.sparkSession.sparkContext.broadcast(tuple(block))
-    given = df.withColumn("_lowered", F.lower(F.col(column)))
-    return given.mapInArrow(_matcher(shared, form), T.StructType([*df.schema.fields, T.StructField(_FOUND, kind)]))
+    kept = df if kept is None else df.select(*[F.col(f"`{n}`") for n in kept])
+    given = df.select(*[F.col(f"`{n}`") for n in kept.columns], F.lower(F.col(column)).alias("_lowered"))
+    return given.mapInArrow(_matcher(shared, form), T.StructType([*kept.schema.fields, T.StructField(_FOUND, kind)]))
 
 
 def _rows(df: DataFrame, pack: IndexedPack, column: str, kept: list[str], **form) -> DataFrame:
     """One row per row of ``df`` and element that is found, each once as the rules of a pack are."""
-    return reduce(DataFrame.unionAll, (_found(df, block, column, **form).select(
+    return reduce(DataFrame.unionAll, (_found(df, block, column, kept, **form).select(
         *[F.col(f"`{n}`") for n in kept], F.inline(_FOUND)) for block in pack.passes()))
 
 
@@ -442,13 +444,16 @@ def _of(category: str) -> Column:
     return F.filter(_HITS, lambda hit: hit["category"] == category)
 
 
-def match_rules(df: DataFrame, pack: IndexedPack, column: str = "text", by_category: bool = False) -> DataFrame:
+def match_rules(df: DataFrame, pack: IndexedPack, column: str = "text", by_category: bool = False,
+                keep: list[str] | None = None) -> DataFrame:
     """Long form: one row per message and matching rule, with ``category, pattern, weight``.
 
     ``by_category``: one row per message and category instead, its rules as an array of ``(pattern, weight)`` in ``rules``;
     a category whose rules are in several passes has a row of each. An aggregate sorts far fewer rows of this form.
+    ``keep``: the columns of ``df`` in the result, all by default. What is left out, such as the text, does not go through
+    the tasks' workers.
     """
-    return _rows(df, pack, column, df.columns, **(
+    return _rows(df, pack, column, df.columns if keep is None else keep, **(
         {"form": _by_category, "kind": _GROUP_TYPE} if by_category else {}))
 
 

@@ -174,6 +174,10 @@ def test_rules_by_category_are_those_of_the_long_form(frame):
         unfolded = out.selectExpr("i", "text", "category", "inline(rules)").select("i", "text", "category", "pattern", "weight")
         rows = sorted(map(str, unfolded.collect()))
         assert rows == sorted(map(str, ix.match_rules(df, pack).collect())) and len(rows) == 2 * 5 + 1 + 4
+        named = ix.match_rules(df, pack, by_category=True, keep=["i"])
+        assert named.columns == ["i", "category", "rules"]
+        assert sorted(map(str, named.collect())) == sorted(map(str, out.drop("text").collect()))
+        assert ix.match_rules(df, pack, keep=[]).count() == len(rows)
         if chars > 1:
             assert out.groupBy("i", "text", "category").count().where("count > 1").collect()[0]["count"] == 2
             assert out.count() == 2 * 3 + 1 + 3
